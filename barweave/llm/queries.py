@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, ngram_join, packing, sharding, token_counts, token_files
+from . import decontamination, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, token_counts, token_files, toxicity
 from ._common import table
 from .encoding import vocabulary_path
 
 
+#: Who uses the pseudonyms keeps a secret of their own.
+PSEUDONYM_KEY = "set-your-own-key"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -23,6 +35,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
     return token_counts.length_totals(histogram)
@@ -32,6 +48,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the rejecting rule depends on the order found on the sample
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -39,13 +60,52 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_toxicity,
+        op2_pseudonyms,
         op3_benchmark_decontamination,
         op4_token_files,
         op5_packing,
+        op6_quality_model,
         op7_token_counts,
         op8_ngram_jaccard_join,
+        op9_quality_rules,
         op10_sharding,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP3 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM bw),
+sizes AS (SELECT DISTINCT n FROM windows),
+dw AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT DISTINCT r, i, dw.n, item_id FROM dw JOIN windows ON windows.n = dw.n AND windows.s = array_to_string(dw.w[i:i + dw.n - 1], ' ')),
+places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+owners AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN owners USING (r)
+"""
+
+_OP9 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+rep AS (SELECT r, sum(least(8, i - p)) AS n FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), i - 8) AS p FROM twice) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(DISTINCT x) AS u FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+twins AS (SELECT r, count(*) AS n FROM (SELECT r, unnest(range(2, len(w) + 1)) AS i, w FROM d) WHERE w[i] = w[i - 1] GROUP BY r),
+m AS (
+  SELECT d.r, doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(t) - len(regexp_extract_all(t, '[\\x20\\x09-\\x0D]')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n - lines.u, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines, coalesce(twins.n, 0) AS n_twins,
+    len(regexp_extract_all(t, '[!?]')) AS n_cries, len(regexp_extract_all(t, '\\pL')) AS n_letters
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN lines USING (r) LEFT JOIN twins USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_cries > 60 * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+    OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_letters < 40 * length(t) OR 100 * n_twins > 25 * n_words) AS kept
+FROM b
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": _OP3, "op9_quality_rules": _OP9}
