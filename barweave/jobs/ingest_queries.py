@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barweave.functions.scratch import shared_path
 from barweave.operators import cleaning as C
 from barweave.operators import storage as S
 from barweave.registry import query
@@ -17,14 +16,6 @@ OHLCV = "open high low close volume"
 MID = "2024-01-16"
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder for tables under spark.checkpoint.dir, which all executors share; a temporary one if unset."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def source_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars tagged with the source of their first tick."""
     t = ticks(spark, sf_dir)
@@ -38,7 +29,7 @@ SOURCE_BARS = f"""{BARS}, sbars AS (SELECT b.*, s.source FROM bars b JOIN (SELEC
 
 @query(f"WITH {SOURCE_BARS} SELECT symbol, bar_ts, close, source FROM sbars WHERE source = 'u1' OR symbol NOT IN (SELECT symbol FROM sbars WHERE source = 'u1')", "close", "bar_ts")
 def io1_read_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared(spark, "bars")
+    path = shared_path(spark, "bars")
     source_bars(spark, sf_dir).write.parquet(path)
     return S.read_bars(spark, path, "u1").select("symbol", "bar_ts", "close", "source")
 
@@ -77,7 +68,7 @@ def io4_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BARS} SELECT symbol, strftime(bar_ts, '%Y-%m') AS month, count(*) AS n, sum(close) AS close FROM bars GROUP BY 1, 2", "close", "", "n")
 def io5_full_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared(spark, "reload")
+    path = shared_path(spark, "reload")
     b = bars(spark, sf_dir)
     S.full_reload(b.where("symbol = 'view'"), path)
     S.full_reload(b, path)  # what was there is gone
@@ -87,7 +78,7 @@ def io5_full_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BARS} SELECT * FROM bars", OHLCV, "bar_ts")
 def io6_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared(spark, "snapshot")
+    path = shared_path(spark, "snapshot")
     S.write_snapshot(bars(spark, sf_dir), path)
     return S.read_snapshot(spark, path)
 
@@ -105,7 +96,7 @@ def io6_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def io7_incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half cleaned and stored, then brought up to date; the SQL is a full rebuild."""
     t = ticks(spark, sf_dir)
-    path = shared(spark, "clean")
+    path = shared_path(spark, "clean")
     S.write_snapshot(C.clean_series(t.where(F.col("ts") < F.lit(MID + " 10:17:00").cast("timestamp")), "1 hour", gap=60.0), path)
     return C.incremental_refresh(S.read_snapshot(spark, path), t, "1 hour", gap=60.0)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barweave.functions.scratch import settled
 from barweave.operators import matching as M
 from barweave.registry import query
 from barweave.sources.events import BARS, GRID, bars, grid
@@ -41,7 +42,7 @@ PAIRS = f"{WIN}, {pairs_cte(N)}"
 
 
 def win(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.day_windows(grid(spark, sf_dir), N)
+    return settled(M.day_windows(grid(spark, sf_dir), N), "windows")
 
 
 def dated(df: DataFrame) -> DataFrame:

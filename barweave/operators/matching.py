@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from barweave import config
 from barweave.functions.columns import clip
+from barweave.functions.scratch import settled
 from barweave.functions.windows import with_position
 from barweave.operators import calendar
 
@@ -266,14 +267,14 @@ def match_days(df: DataFrame, n: int, k: int = 3, min_sim: float = config.MIN_SI
     Without DTW only the prefix that can be chosen leaves a part.  With DTW (a bonus within 5 percent) only pairs that can
     reach the lowest rung are measured.
     """
-    windows = day_windows(df, n)
+    windows = settled(day_windows(df, n), "windows")
     tries, step, floor = LADDER
     lowest = max(floor, min_sim - step * (tries - 1))
     if dtw_radius is None:
         pairs = similar_days(windows, n, rate, past_only, prefix_needed(k, radius, n), (lowest - 0.005) / 100)
         pairs = pairs.withColumn("similarity", similarity_pct(F.col("composite"))).withColumn("dtw_bonus", F.lit(0.0))
     else:
-        pairs = similar_days(windows, n, rate, past_only, None, (lowest - 5.005) / 100)
+        pairs = settled(similar_days(windows, n, rate, past_only, None, (lowest - 5.005) / 100), "pairs")
         z = windows.select("symbol", "trading_date", "z")
         both = pairs.join(z.select("symbol", F.col("trading_date").alias("q_trading_date"), F.col("z").alias("q_z")), ["symbol", "q_trading_date"])
         both = both.join(z.select("symbol", F.col("trading_date").alias("h_trading_date"), F.col("z").alias("h_z")), ["symbol", "h_trading_date"])
