@@ -156,5 +156,5 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Documents that no rule rejects, with all their columns; expensive rules see only what the others let pass."""
     order = estimate_order(docs, rules or default_rules())
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.withColumn("__words", words_of(F.col("text")))
-    return d.where(first_rejection(order, text, F.col("__words")).isNull()).select(*docs.columns)
+    # words are bound inside the expression: a column would be put in its place again wherever the filter names it
+    return docs.where(let(words_of(F.col("text")), lambda w: first_rejection(order, text, w)).isNull())
