@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("ingest_queries", "calendar_queries", "feature_queries", "match_queries", "forecast_queries")
+MODULES = ("ingest_queries", "calendar_queries", "feature_queries", "match_queries", "forecast_queries", "learn_queries", "report_queries", "stream_queries")
 FLAGSHIP = "ma14_match_days"
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
