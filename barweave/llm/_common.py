@@ -65,7 +65,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 #: A written table of so many rows of a few numbers each may be broadcast (some tens of MB).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 2_000_000
 
 
 def if_small(written: DataFrame) -> DataFrame:

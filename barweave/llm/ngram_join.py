@@ -260,11 +260,13 @@ def jaccard_components(docs: DataFrame, percent: int = 90, shingle: int = 3) ->
     """
     filed = materialize(_file(docs, percent, shingle), "filed")
     known = filed.where("n_shingles > 0 and doc_id is not null")
-    sets = known.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signatures", True).alias("signatures"))
-    sets = materialize(sets, "sets")
-    under = sets.select("rep", F.explode(F.array_distinct("signatures")).alias("signature"))
+    sets = materialize(known.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
+    copies = known.join(sets, ["a", "b", "n_shingles"]).where("doc_id <> rep").select("doc_id").distinct()
+    own = known.join(if_small(materialize(copies, "copies")), "doc_id", "left_anti")
+    under = own.select(F.col("doc_id").alias("rep"), F.explode(F.array_distinct("signatures")).alias("signature"))
+    # few signatures are shared: those that are, are counted before they decide how the join is done
     heads = under.groupBy("signature").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = under.join(heads, "signature").where("rep <> head").select(F.col("rep").alias("x"), F.col("head").alias("y"))
+    near = under.join(if_small(materialize(heads, "heads")), "signature").where("rep <> head").select(F.col("rep").alias("x"), F.col("head").alias("y"))
     around = materialize(connected(near).select(F.col("node").alias("rep"), F.col("root").alias("hood")), "hoods")
 
     sized = around.join(sets.select("rep", "n_shingles"), "rep")
