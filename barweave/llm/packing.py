@@ -60,30 +60,26 @@ def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int
         while left:
             room = tree.tightest(length)
             if room is None:
-                per = size // length  # new windows take as many items of this length as fit
-                full, rest = divmod(left, per)
-                for n, items in ((full, per), (1 if rest else 0, rest)):
-                    if not n:
-                        continue
-                    for k in range(items):
-                        plan.append((length, rank, n, windows, k * length))
-                        rank += n
-                    if free := size - items * length:
-                        open_.setdefault(free, []).append((windows, n))
-                        tree.add(free, n)
-                    windows += n
-                left = 0
-                continue
-            first, n = open_[room].pop()
-            used = min(n, left)
-            tree.add(room, -used)
-            if n > used:
-                open_[room].append((first + used, n - used))
-            plan.append((length, rank, used, first, size - room))
-            rank, left = rank + used, left - used
-            if room > length:
-                open_.setdefault(room - length, []).append((first, used))
-                tree.add(room - length, used)
+                room, first, n = size, windows, -(-left // (size // length))
+                windows += n
+            else:
+                first, n = open_[room].pop()
+                tree.add(room, -n)
+            # the window that took an item is the tightest for the next one, so each is filled before another is begun
+            per = room // length
+            full, rest = min(n, left // per), 0
+            if full < n:
+                rest = min(left - full * per, per)
+            for begin, many, items in ((first, full, per), (first + full, 1 if rest else 0, rest), (first + full + (1 if rest else 0), n - full - (1 if rest else 0), 0)):
+                if not many:
+                    continue
+                for k in range(items):
+                    plan.append((length, rank, many, begin, size - room + k * length))
+                    rank += many
+                if free := room - items * length:
+                    open_.setdefault(free, []).append((begin, many))
+                    tree.add(free, many)
+            left -= full * per + rest
     return plan
 
 
