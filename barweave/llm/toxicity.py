@@ -177,7 +177,7 @@ def fit_label_model(patterns: DataFrame, m: int, start: np.ndarray | None = None
     return model
 
 
-def fit_linear(terms: list[list[int]], target: np.ndarray, size: int, l2: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+def fit_linear(terms: list[list[int]], target: np.ndarray, size: int, l2: float = 0.1, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression of term presence on soft labels, by full-batch Adam."""
     x = np.zeros((len(terms), size), np.float32)
     for i, ids in enumerate(terms):
