@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Iterable
 
 #: Entries of each half of the memo, and the longest chunk that it takes: some tens of MB in each Python worker.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 40
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 40
 MARKS = (".", ",", "!", "?", ";", ":")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -34,8 +34,8 @@ _BYTE_CHARS = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if
 class ChunkEncoder:
     """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    ``blanks``: the vocabulary joins a blank to the word after it (byte-level BPE), so every chunk but the first has
-    one before it; else white space is dropped and letters are lowered.  The memo has two halves; when the younger one is full it becomes the older one.
+    ``blanks``: the vocabulary joins a blank to the word after it (byte-level BPE), so every chunk that doesn't begin
+    with a line's end has one before it; else white space is dropped and letters are lowered.  The memo has two halves; when the younger one is full it becomes the older one.
     """
 
     def __init__(self, path: str, blanks: bool):
@@ -45,6 +45,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.blanks = blanks
         self.lead = " " if blanks else ""
+        self.line_end = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes() if blanks else b""
         self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in MARKS}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -52,34 +53,52 @@ class ChunkEncoder:
     def split(self, text: str) -> list[str]:
         if not self.blanks:  # \x1c-\x1f are white space to Python alone
             return [text] if _ODD_SPACE.search(text) else text.split()
-        # A blank between two other characters begins the next chunk; longer runs of white space stay inside one.
+        # A blank, or a line's end, between two other characters begins a chunk.  The first chunk is written as if it
+        # began a line.  Longer runs of white space stay inside a chunk.
         mixed = "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace()
-        return _LONE_BLANK.split(text) if mixed or _OTHER_SPACE.search(text) else text.split(" ")
+        if mixed or "\n\n" in text or _OTHER_SPACE.search(text):
+            return _LONE_BLANK.split(text)
+        return ("\n" + text.replace("\n", " \n")).split(" ")
 
     def _word(self, word: str) -> bytes:
-        """Ids of one run of Latin letters, by the model alone: normalizing and cutting leave such a run whole."""
-        if not self.blanks:
-            word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
-        if self.blanks:
-            word = _BYTE_CHARS[0x20] + word
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        """Ids of one (lowered) run of Latin letters, by the model alone: normalizing and cutting leave such a run
+        whole.  After a line's end it has no blank before it."""
+        bare = word[0] == "\n"
+        letters = word[1:] if bare else word
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_BYTE_CHARS)
+        if self.blanks and not bare:
+            letters = _BYTE_CHARS[0x20] + letters
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return self.line_end + ids if bare else ids
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that the younger half lacks.  A mark after a run of letters is always encoded apart."""
-        new, others = {}, []
+        new, others, memo, older = {}, [], self.memo.get, self.older.get
         for c in chunks:
-            if found := self.older.get(c):
+            if found := older(c):
                 new[c] = found
                 continue
-            body = c[:-1] if c[-1:] in MARKS else c
-            if body.isalpha() and max(body) <= "\xff":
-                new[c] = self._word(body) + (self.marks[c[-1]] if body is not c else b"")
+            mark = c[-1:]
+            if mark.isalpha():
+                body, mark = c, ""
             else:
+                body = c[:-1]
+                if mark not in self.marks:
+                    others.append(c)
+                    continue
+            letters = body[1:] if body[:1] == "\n" else body
+            if not letters.isalpha() or not (letters.isascii() or max(letters) <= "\xff"):
                 others.append(c)
+                continue
+            plain = body if self.blanks else body.lower()
+            ids = new.get(plain) or memo(plain) or older(plain)
+            if not ids:
+                new[plain] = ids = self._word(plain)
+            if plain is not c:
+                new[c] = ids + self.marks[mark] if mark else ids
         if others:
-            new.update(zip(others, self._direct([self.lead + c for c in others]), strict=True))
+            new.update(zip(others, self._direct([c if c[0] == "\n" else self.lead + c for c in others]), strict=True))
         if len(self.memo) + len(new) > MEMO_ENTRIES:
             self.older, self.memo = self.memo, {}
         self.memo.update((c, ids) for c, ids in new.items() if len(c) <= MEMO_CHARS)
@@ -93,12 +112,15 @@ class ChunkEncoder:
         if not text:
             return b""
         chunks = self.split(text)
-        first = self._direct([chunks.pop(0)]) if self.blanks else []
+        lined = self.blanks and chunks[0][:1] == "\n" != text[0]
+        # a text that isn't cut at its lines begins without a blank
+        first = self._direct([chunks.pop(0)]) if self.blanks and not lined else []
         ids = list(map(self.memo.get, chunks))
         if None in ids:
             new = self._learn(list({c: 0 for c, found in zip(chunks, ids, strict=True) if found is None}))
             ids = [new[c] if found is None else found for c, found in zip(chunks, ids, strict=True)]
-        return b"".join(first + ids)
+        whole = b"".join(first + ids)
+        return whole[len(self.line_end) :] if lined else whole
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         return [self.encode(t) for t in texts]
