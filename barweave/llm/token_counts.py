@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import map_arrow
+from ._common import map_arrow, materialize
 from .encoding import encoder
 
 #: Lengths are summed in blocks of so many, so that no task gets the whole histogram.
@@ -40,6 +40,7 @@ def length_totals(histogram: DataFrame) -> DataFrame:
     documents, each cut at the limit), docs_cut_share, quantile (share of documents of at most that length).
     Suffix sums run inside blocks of lengths; a small table of block sums joins them.  An empty table gives no rows.
     """
+    histogram = materialize(histogram, "lengths")  # texts are encoded once
     h = histogram.select("length", "n_docs", F.floor(F.col("length") / BLOCK).cast("long").alias("block"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bn"), F.sum(F.col("n_docs") * F.col("length")).alias("bt"))
     later = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
