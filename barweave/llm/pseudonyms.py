@@ -25,10 +25,26 @@ IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 ISO_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 DAY_DATE = r"(?<![\d./])\d{1,2}[./]\d{1,2}[./]\d{4}(?![\d/])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"
-CARD = r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])"
-ANY = "|".join((SECRET, EMAIL, IPV4, ISO_DATE, DAY_DATE, SSN, IBAN, PHONE, CARD))
+CARD = r"\d(?:[ \-]?\d){12,18}"
+# Cards and IBANs stand in runs of groups, among other numbers and capital words; a run ends before any other format.
+OTHER = "|".join((SECRET, EMAIL, IPV4, ISO_DATE, DAY_DATE, SSN, PHONE))
+IBAN_RUN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{8}})[A-Z0-9]++(?![A-Za-z])(?:[ \-](?!{OTHER})[A-Z0-9]++(?![A-Za-z]))*+"
+CARD_RUN = rf"(?<![\d\-])\d(?:(?:[ \-](?!{OTHER}))?\d){{12,}}+"
+RUN = r"[A-Z0-9]+(?:[ \-][A-Z0-9]+)*+"
+ANY = "|".join((SECRET, EMAIL, IPV4, ISO_DATE, DAY_DATE, SSN, IBAN_RUN, PHONE, CARD_RUN))
+
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    n: names.split()
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -211,6 +227,82 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(name, F.rpad(digest, F.length(value), digest))
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[ \-]", "")
+
+
+def _longest(values: Column, size: Callable[[Column], Column], usual: Column) -> Column:
+    """The value of the usual size, else the longest: the last of an ascending sort; null if there is none."""
+    rank = lambda v: F.struct((size(v["c"]) == usual).alias("usual"), F.length(v["c"]).alias("n"), v["k"].alias("k"), v["c"].alias("c"))
+    return F.try_element_at(F.array_sort(F.transform(values, rank)), F.lit(-1))
+
+
+def _heads(groups: Column, at: Column, most: int) -> Column:
+    """The texts of the first 1, 2, ... groups from ``at`` on, up to ``most`` groups, as structs of k and c."""
+    own = F.slice(groups, at + 1, F.lit(most))
+    text = lambda k: F.struct(k.alias("k"), _strip(F.array_join(F.slice(own, F.lit(1), k), "")).alias("c"))
+    return F.transform(F.sequence(F.lit(1), F.size(own)), text)
+
+
+def _iban_at(groups: Column, at: Column) -> Column:
+    """The IBAN that begins with a group: the country's length first, else the longest that is valid."""
+    plain = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    valid = lambda c: c.rlike(_whole(IBAN)) & let(plain(c), lambda p: mod97(F.concat(F.substr(p, F.lit(5)), F.substr(p, F.lit(1), F.lit(4)))) == 1)
+    country = F.substring(_strip(groups[at]), 1, 2)
+    usual = F.coalesce(*[F.when(country.isin(names), n) for n, names in IBAN_LENGTHS.items()], F.lit(0))
+    found = F.filter(_heads(groups, at, 35), lambda v: valid(v["c"]))
+    return _longest(found, lambda c: F.length(plain(c)), usual)
+
+
+def _card_at(groups: Column, at: Column) -> Column:
+    """The card that begins with a group: its network's length first, else the longest that is valid.
+
+    Inside a run a card begins as a payment card does (3 to 9, or 22 to 27), so that lists of years aren't taken; where
+    a run begins, the longest number is taken with any first digit.
+    """
+    first = _strip(groups[at])
+    usual = F.when(first.rlike("^3[47]"), 15).when(first.rlike("^3[0689]"), 14).otherwise(16)
+    fits = F.filter(_heads(groups, at, 19), lambda v: v["c"].rlike(_whole(CARD)))
+    fits = F.when(first.rlike("^(?:[3-9]|2[2-7])"), fits).otherwise(F.slice(fits, F.greatest(F.size(fits), F.lit(1)), 1))
+    found = F.filter(fits, lambda v: luhn_sum(_only_digits(v["c"])) % 10 == 0)
+    return _longest(found, lambda c: F.length(_only_digits(c)), usual)
+
+
+def _run(m: Column, key: str) -> Column:
+    """A run of groups with its cards and IBANs replaced, and how many they are, as a struct of text and n.
+
+    A card or IBAN begins and ends at the run's own blanks, hyphens or ends.  One of its kind's usual length goes before
+    an overlapping one of another length, and of the others the first one goes before.
+    """
+
+    def best(groups: Column, at: Column) -> Column:
+        first = _strip(groups[at])
+        own = F.when(first.rlike(r"^[A-Z]{2}\d{2}"), _iban_at(groups, at)).when(first.rlike("^(?:[3-9]|2[2-7])[0-9]*$") | ((at == 0) & first.rlike("^[0-9]+$")), _card_at(groups, at))
+        return let(own, lambda x: F.struct(at.alias("at"), F.coalesce(x["k"], F.lit(0)).alias("k"), F.coalesce(x["usual"], F.lit(False)).alias("usual"), x["c"].alias("c")))
+
+    def choose(found: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            beaten = ~x["usual"] & F.exists(found, lambda y: y["usual"] & (y["at"] > x["at"]) & (y["at"] < x["at"] + x["k"]))
+            end = F.coalesce(F.get(s, F.size(s) - 1)["at"] + F.get(s, F.size(s) - 1)["k"], F.lit(0))
+            return F.when((x["at"] >= end) & ~beaten, F.concat(s, F.array(x))).otherwise(s)
+
+        return F.aggregate(found, F.slice(found, 1, 0), step)
+
+    def text(groups: Column, chosen: Column) -> Column:
+        end = lambda i: F.when(i > 0, F.get(chosen, i - 1)["at"] + F.get(chosen, i - 1)["k"]).otherwise(0)
+        gap = lambda start, stop: F.array_join(F.slice(groups, start + 1, stop - start), "")
+        mark = lambda x: F.regexp_extract(groups[x["at"]], r"^[ \-]?", 0)
+        new = lambda c: F.when(c.rlike("^[A-Z]"), _iban(c, key)).otherwise(_card(c, key))
+        parts = F.transform(chosen, lambda x, i: F.concat(gap(end(i), x["at"]), mark(x), new(x["c"])))
+        return F.concat(F.array_join(parts, ""), gap(end(F.size(chosen)), F.size(groups)))
+
+    def whole(groups: Column) -> Column:
+        found = F.filter(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda at: best(groups, at)), lambda x: x["k"] > 0)
+        return let(let(found, choose), lambda chosen: F.struct(text(groups, chosen).alias("text"), F.size(chosen).alias("n")))
+
+    return let(F.regexp_extract_all(m, F.lit(r"[ \-]?[A-Z0-9]+"), F.lit(0)), whole)
+
+
 #: Kind, pattern and pseudonym (null where a match isn't valid), in the order in which they are tried.
 KINDS: list[tuple[str, str, Callable[[Column, str], Column]]] = [
     ("secret", SECRET, _secret),
@@ -219,19 +311,18 @@ KINDS: list[tuple[str, str, Callable[[Column, str], Column]]] = [
     ("date", ISO_DATE, _iso_date),
     ("date", DAY_DATE, _day_date),
     ("ssn", SSN, _ssn),
-    ("iban", IBAN, _iban),
     ("phone", PHONE, _phone),
-    ("card", CARD, _card),
 ]
 
 
 def pseudonym(match: Column, key: str) -> Column:
-    """The pseudonym of one match; the match itself where no kind takes it."""
+    """The pseudonym of one match and how many values it replaces, as a struct of text and n; the match itself and 0 where no kind takes it."""
     chain = None
     for _, pattern, swap in KINDS:
         fits = match.rlike(_whole(pattern.replace(r"(?<![\p{L}\p{N}._%+\-])", "")))
-        chain = F.when(fits, swap(match, key)) if chain is None else chain.when(fits, swap(match, key))
-    return F.coalesce(chain, match)
+        new = let(F.coalesce(swap(match, key), match), lambda x: F.struct(x.alias("text"), (x != match).cast("int").alias("n")))
+        chain = F.when(fits, new) if chain is None else chain.when(fits, new)
+    return F.coalesce(chain.when(match.rlike(_whole(RUN)), _run(match, key)), F.struct(match.alias("text"), F.lit(0).alias("n")))
 
 
 def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
@@ -246,8 +337,8 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     found = docs.select(*columns, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("__found"))
     swapped = F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key)))
     found = found.withColumn("__new", swapped)
-    pieces = F.zip_with(F.split(text, ANY, -1), F.col("__new"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
+    pieces = F.zip_with(F.split(text, ANY, -1), F.col("__new"), lambda gap, new: F.concat(gap, F.coalesce(new["text"], F.lit(""))))
+    changed = F.aggregate("__new", F.lit(0), lambda n, new: n + new["n"])
     out = F.when(F.col("__new").isNotNull(), F.array_join(pieces, "")).otherwise(text)
     n = F.when(F.col("__new").isNotNull(), changed).otherwise(F.lit(0)).alias("n_replaced")
     return found.select(*[out.alias(column) if c == column else c for c in columns], n)

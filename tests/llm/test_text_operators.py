@@ -291,6 +291,49 @@ def test_pseudonyms(spark):
     assert rows[0].n_replaced == 2
 
 
+def test_cards_and_ibans_among_other_groups(spark):
+    card, iban, short, swiss = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "CH93 0076 2011 6238 5295 7"
+    texts = [
+        card,
+        f"{card} 12/25",
+        f"{card} 123",
+        f"no 12 {card}",
+        f"99 88 77 {card} 12 {card}-7 end",
+        f"{card} 123-45-6789",
+        f"{card} 2027-12-31",
+        f"{card} 743-555-3824",
+        iban,
+        f"{iban} BIC",
+        f"{iban} BANK OF A",
+        f"{iban} {card} 123",
+        f"AT12 {iban} NOW",
+        f"{iban} MAIL JOE@X.COM",
+        short,
+        f"{short} AND",
+        f"{short} {iban} {short}",
+        f"{short} PASSWORD=abcdefgh12345678",
+        swiss,
+        f"{swiss} 1234",
+        "4111 1111 1111 1112 123 and AT61 1904 3002 3457 3202 BIC",
+        "in 1999 2000 2001 2002 2003 2004 2005",
+        f"{card} 5",  # 17 digits
+        f"{card} 011",  # 19 digits that are a valid number too
+    ]
+    assert py_luhn("4111111111111111011")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_replaced) for r in pseudonyms.pseudonymize(d, "k").collect()}
+    new = {texts[i]: got[i][0] for i in (0, 8, 14, 18)}
+    assert all(a != b and len(a) == len(b) for a, b in new.items()) and py_luhn(new[card].replace(" ", ""))
+    for i, t in enumerate(texts):
+        want, n = t, 0
+        for old in new:
+            want, n = want.replace(old, new[old]), n + t.count(old)
+        if i in (5, 6, 7, 13, 17):  # what follows is personal as well
+            assert got[i][1] == n + 1 and got[i][0].startswith(want[: len(card) if i < 8 else len(iban) if i == 13 else len(short)]) and got[i][0] != want
+        else:
+            assert got[i] == (want, n), t
+
+
 def test_feistel_is_a_permutation_and_keyed(spark):
     d = spark.range(17 * 43).select((F.col("id") / 43).cast("long").alias("a"), (F.col("id") % 43).alias("b"))
     out = lambda key: [tuple(r[0]) for r in d.select(pseudonyms.feistel(F.col("a"), F.col("b"), F.lit(17), F.lit(43), key, "t")).collect()]
