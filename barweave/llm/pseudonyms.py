@@ -19,7 +19,7 @@ ROUNDS = 10
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
 # Fixed formats, most specific first; \p{L} are letters, (?<! ) and (?! ) keep a match from starting or ending inside a longer run.
-SECRET = r"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_\-]{0,200}\d)[A-Za-z0-9+/_\-]{12,200}"
+SECRET = r"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_\-.=]*+\d)(?=[A-Za-z0-9+/_\-.=]{11}[A-Za-z0-9+/_\-=])[A-Za-z0-9+/_\-]++(?:[.=]++[A-Za-z0-9+/_\-]++)*+=*+"
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 ISO_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"

@@ -334,6 +334,22 @@ def test_cards_and_ibans_among_other_groups(spark):
             assert got[i] == (want, n), t
 
 
+def test_secrets_are_replaced_to_their_end(spark):
+    long, dotted = "a1B2c3D4e5" * 30, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3.Sfl-KxwRJS_M"
+    values = [long, dotted, "YWJjZGVmZ2hpamtsbW5vcDEyMw==", "x" * 250 + "7", "key=abcdefgh1234.z9"]
+    texts = [f'token = "{v}". Next' for v in values] + [f"password={v}. Next" for v in values] + ["token=short.1234. Next"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pseudonyms.pseudonymize(d, "k").collect():
+        t = texts[r.doc_id]
+        if r.doc_id == 2 * len(values):
+            assert r.text == t and r.n_replaced == 0
+            continue
+        value = values[r.doc_id % len(values)]
+        at = t.index(value)
+        new = r.text[at : at + len(value)]
+        assert r.n_replaced == 1 and r.text == t.replace(value, new) and set(new) <= set("0123456789abcdef"), t
+
+
 def test_feistel_is_a_permutation_and_keyed(spark):
     d = spark.range(17 * 43).select((F.col("id") / 43).cast("long").alias("a"), (F.col("id") % 43).alias("b"))
     out = lambda key: [tuple(r[0]) for r in d.select(pseudonyms.feistel(F.col("a"), F.col("b"), F.lit(17), F.lit(43), key, "t")).collect()]
