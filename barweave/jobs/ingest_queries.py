@@ -227,13 +227,12 @@ RATES = f"{BARS}, rates AS (SELECT ts, max(price / 10 + 1) AS rate FROM ticks WH
 def cl7_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir).select("symbol", "bar_ts", "close")
     left = b.withColumn("ts", F.col("bar_ts"))
-    return C.asof_join(left, _rates_of(spark, sf_dir), ["rate"]).select("symbol", "bar_ts", "close", "rate", "right_ts")
+    return C.asof_join(left, _rates_of(spark, sf_dir, b), ["rate"]).select("symbol", "bar_ts", "close", "rate", "right_ts")
 
 
-def _rates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rate table under the name of each of the five series."""
-    names = ["click", "error", "purchase", "signup", "view"]
-    return rates(spark, sf_dir).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("symbol"), "ts", "rate")
+def _rates_of(spark: SparkSession, sf_dir: str, b: DataFrame) -> DataFrame:
+    """The rate table under the name of each series of the bars."""
+    return rates(spark, sf_dir).select("ts", "rate").crossJoin(b.select("symbol").distinct())
 
 
 @query(f"WITH {BARS} SELECT symbol, bar_ts, bar_ts + INTERVAL 8 HOUR AS local_ts, strftime(bar_ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS local_iso FROM bars", "", "bar_ts local_ts")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from barweave.functions import windows as V
 from barweave.operators import calendar as K
 from barweave.operators import cleaning as C
@@ -172,3 +173,11 @@ def test_empty_tables(spark):
     e = make_bars(spark, 0)
     assert C.flag_gaps(C.filter_spikes(e)).collect() == [] and X.bar_features(e).collect() == [] and M.day_windows(e, 6).collect() == []
     assert C.upsample_interpolate(e, "1 hour").collect() == []
+
+
+def test_asof_join_gives_rates_to_every_series(spark, tmp_path):
+    rows = [(1, "2024-03-01 00:10:00", 1, "view", 10.0, '{"k": 1}'), (2, "2024-03-01 01:10:00", 2, "metal", 5.0, '{"k": 2}')]
+    e = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.symbol: (r.rate, r.right_ts) for r in entry.queries()["cl7_asof_join"](spark, str(tmp_path)).collect()}
+    assert got == {"view": (None, None), "metal": (2.0, "2024-03-01 00:10:00")}
