@@ -3,8 +3,8 @@
 Voters are terms: words of a lexicon, and words and word beginnings that labelled rows show to be unusual in toxic
 texts.  A generative model with a hidden class says how often each voter fires in either class; expectation
 maximization over the vote patterns of all documents estimates that, and a second pass the correlations between voters,
-by which correlated votes are discounted.  The posteriors of a bounded sample train a linear classifier over many more
-terms, which scores every whole text.
+by which correlated votes are discounted.  The posteriors of a bounded sample of labelled rows, with LABEL_WEIGHT
+log-odds of the label added, train a linear classifier over many more terms, which scores every whole text.
 """
 
 from __future__ import annotations
