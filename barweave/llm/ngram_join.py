@@ -1,312 +1,381 @@
 """Exact Jaccard self-join of documents on word shingles with a token-group matrix.
 
-1. Documents of one shingle set are one set; its smallest doc_id stands for it.
-2. Similar sets are brought together.  Sets with J >= t differ in at most k shingles, where k follows from their sizes,
-   so if hash space is cut into more than k ranges, some range holds the same shingles of both.  Each set files itself
-   under the fingerprint of every range; sets that share one are joined to neighbourhoods, which no link can leave.
-3. A neighbourhood is cut into chunks of bounded size.  In a chunk similar sets form small groups, and the token-group
-   matrix says which token occurs in which group (the union of its members).  The overlap of a set with a group's union
-   bounds its overlap with every member; only groups whose bound reaches the threshold are opened, and only members
-   that aren't connected yet are compared, exactly.
-4. A few pivots of a neighbourhood are in all of its chunks.  Where that leaves it in several components, all sets
-   outside its largest one are queries against every chunk, in blocks; so no link is lost between chunks.
+1. Rows of one shingle set are one set, whatever their doc_ids; a set is a node.
+2. Sets are partitioned into groups of similar ones: sets that agree in two of three min-hashes meet, in parts of
+   bounded size, and what an exact comparison links in a part is a group.  In every part of a hot sketch sits the same
+   anchor, so that a large cluster of near copies becomes one component at linear cost.
+3. The token-group matrix is kept as rows (token, group): a group is filed under the union of its members' prefixes,
+   where shingles are ordered by rarity (counted over all documents in bounded hashed counts; any one order that all
+   sets share gives the same links).  A set x has a prefix of |x| - ceil(t|x|) + 1 shingles; sets with J >= t share one.
+4. Sets are queries against groups of other components.  Common prefix tokens, summed over the matrix, bound a query's
+   overlap with every member of a group; only groups whose bound reaches the threshold are opened, and their members
+   are compared exactly.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import if_small, map_arrow, materialize, spaced_words, utf8
-
-#: Shingles in a chunk, members in a group of the matrix, pivots of a neighbourhood, shingles in a block of queries.
-CHUNK, GROUP, PIVOTS, BLOCK = 500_000, 32, 16, 250_000
-#: A range of hash space with fewer shingles than this is weak: by chance, unlike documents agree on it.
-WEAK = 4
-
-
-def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    """A bijective mixing of 64-bit integers (murmur3's finalizer)."""
-    x = x ^ np.uint64(salt)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-@functools.cache
-def _word_memo() -> dict[bytes, int]:
-    return {}
-
-
-def shingle_set(text: bytes | None, n: int = 3) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's distinct ``n``-word shingles; of fewer words, one of them all."""
-    import xxhash
-
-    words, memo = spaced_words(text), _word_memo()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(memo) > 500_000:
-        memo.clear()
-    try:
-        h = [memo[w] for w in words]
-    except KeyError:
-        memo.update((w, xxhash.xxh3_64_intdigest(w)) for w in words if w not in memo)
-        h = [memo[w] for w in words]
-    h = np.array(h, np.uint64)
-    k = min(n, len(h))
-    code = _mix(h[: len(h) - k + 1], k)
-    for j in range(1, k):
-        code = _mix(code * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j], j)
-    return np.unique(code)
-
-
-class SizeClasses:
-    """Classes of set sizes such that sets of a link are in one class or in neighbouring ones."""
-
-    def __init__(self, percent: int):
-        self.percent, self.starts = percent, [1]
-
-    def of(self, n: int) -> int:
-        while self.starts[-1] <= n:  # the class ends where no set linked with its smallest one is larger
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.starts, n, side="right")) - 1
-
-    @functools.cache  # noqa: B019  one object for each task
-    def ranges(self, c: int) -> tuple[int, int, np.ndarray]:
-        """For links whose smaller set is in class c: ranges of hash space, how many may be weak, and the cuts."""
-        while len(self.starts) <= c + 1:
-            self.of(self.starts[-1])
-        small = self.starts[c + 1] - 1
-        differ = (small + small * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-        spare = differ // 12 + (1 if differ >= 4 else 0)
-        n = differ + 1 + spare if differ else 0  # sets that may not differ are one set already
-        return n, spare, np.array([k * (1 << 64) // n for k in range(1, n)], np.uint64)
-
-
-def signatures(tokens: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Fingerprints under which a set files itself.
-
-    Two linked sets agree on one range more than may be weak; so they meet in a range that is strong for both, or both
-    have more weak ranges than that, and then both file these too.
-    """
-    own, out = classes.of(len(tokens)), [np.zeros(0, np.uint64)]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(tokens, 0x51))])
-    for c in (own - 1, own) if own else (own,):
-        n, spare, cuts = classes.ranges(c)
-        if not n:
-            continue
-        edges = np.concatenate([[0], np.searchsorted(tokens, cuts), [len(tokens)]])
-        size = np.diff(edges)
-        prints = _mix(sums[edges[1:]] - sums[edges[:-1]], 0) + size.astype(np.uint64)
-        prints = _mix(prints * np.uint64(0x9E3779B97F4A7C15) + np.arange(n, dtype=np.uint64) + np.uint64(c << 32), 1)
-        strong = size >= WEAK
-        out.append(prints if n - int(strong.sum()) > spare else prints[strong])
-    return np.concatenate(out)
+from ._common import Scratch, if_small, map_arrow
+from .shingles import distinct, mix, shingle_codes, shingle_sets, slabs, word_codes
+
+#: Sets and shingles of a part or of a block of queries, on average.
+PART, PART_SHINGLES = 32, 200_000
+#: Hashed counts of shingles: their number is fixed, so is what the driver gets and sends.
+COUNT_BITS = 18
+#: Token columns compared at once.
+COLUMNS = 4096
+#: Pairs of the three min-hashes under which sets meet.
+SKETCHES = ("k12", "k13", "k23")
+
+
+def _rarity(docs: DataFrame, shingle: int) -> np.ndarray:
+    """For each hashed count its place in ascending order: the rarer a shingle's count, the smaller."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for b in batches:
+            for data, offsets in slabs(b.column(0)):
+                codes, _ = shingle_codes(*word_codes(data, offsets), shingle)
+                total += np.bincount((codes >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 1 << 16):
+            k = some[at : at + (1 << 16)]
+            yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(total[k])], ["k", "n"])
+
+    rows = map_arrow(docs.select("text"), count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << COUNT_BITS, np.int64)
+    total[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    place = np.empty(len(total), np.uint64)
+    place[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
+    return place
+
+
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return n + (-n * percent) // 100 + 1
 
 
 def _file(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, a long, b long, signatures array<long>"
+    """Each row's set: size, fingerprint (a, b), sketches and prefix; ``row`` names the row, ``hash`` its text."""
+    spark = docs.sparkSession
+    place = spark.sparkContext.broadcast(_rarity(docs, shingle))
+    schema = "row long, doc_id long, hash long, n_shingles long, a long, b long, k12 long, k13 long, k23 long, prefix array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = SizeClasses(percent)
+        from pyspark import TaskContext
+
+        row, low = TaskContext.get().partitionId() << 40, np.uint64((1 << (64 - COUNT_BITS)) - 1)
         for batch in batches:
-            n, a, b, own = [], [], [], []
-            for text in utf8(batch.column(1)):
-                tokens = shingle_set(text, shingle)
-                n.append(len(tokens))
-                a.append(int(_mix(tokens, 0xA).sum(dtype=np.uint64)) if len(tokens) else 0)
-                b.append(int(_mix(tokens, 0xB).sum(dtype=np.uint64)) if len(tokens) else 0)
-                own.append(signatures(tokens, classes).view(np.int64) if len(tokens) else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]), pa.int32()), pa.array(np.concatenate(own)) if own else pa.array([], pa.int64()))
-            prints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), *prints, lists], ["doc_id", "n_shingles", "a", "b", "signatures"])
+            at = 0
+            for data, offsets in slabs(batch.column(2)):
+                codes, starts = shingle_codes(*word_codes(data, offsets), shingle)
+                # the place of its count takes the place of a code's high bits: still one number for each shingle
+                codes = (place.value[(codes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] << np.uint64(64 - COUNT_BITS)) | (codes & low)
+                codes, starts = distinct(codes, starts)
+                n = np.diff(starts)
+                some = np.flatnonzero(n)
+                heads = starts[:-1][some]
+
+                def over(reduce: np.ufunc, salt: int, codes=codes, heads=heads, some=some, n=n) -> np.ndarray:
+                    out = np.zeros(len(n), np.uint64)
+                    if len(some):
+                        out[some] = reduce.reduceat(mix(codes, salt), heads)
+                    return out
+
+                h = [over(np.minimum, k) for k in (1, 2, 3)]
+                keys = [mix(h[i] * np.uint64(0x9E3779B97F4A7C15) + h[j], 10 * i + j) for i, j in ((0, 1), (0, 2), (1, 2))]
+                taken = np.where(n > 0, prefix_length(n, percent), 0)
+                ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(taken)])
+                picked = codes[np.repeat(starts[:-1] - ends[:-1], taken) + np.arange(ends[-1])]
+                numbers = [over(np.add, 0xA), over(np.add, 0xB), *keys]
+                columns = [pa.array(row + np.arange(len(n))), *(batch.column(k).slice(at, len(n)) for k in (0, 1)), pa.array(n), *(pa.array(x.view(np.int64)) for x in numbers)]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(picked.view(np.int64)))
+                yield pa.record_batch([*columns, lists], ["row", "doc_id", "hash", "n_shingles", "a", "b", "k12", "k13", "k23", "prefix"])
+                at, row = at + len(n), row + len(n)
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text"), run, schema)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by dense slabs of the columns both have."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.int64)
+
+    def place(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        hit = common[at] == flat
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]
+
+    if len(common):
+        (ra, ca), (rb, cb) = place(left, a), place(right, b)
+        for at in range(0, len(common), COLUMNS):
+            width = min(COLUMNS, len(common) - at)
+            x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+            for m, rows, columns in ((x, ra, ca), (y, rb, cb)):
+                own = (columns >= at) & (columns < at + width)
+                m[rows[own], columns[own] - at] = 1
+            out += np.rint(x @ y.T).astype(np.int64)
+    return out
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    both = overlaps(left, right)
+    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+    return (100 * both >= percent * (sizes - both)) & (both > 0)
+
+
+def group_part(nodes: list[int], sets: list[np.ndarray], anchor: int | None, percent: int) -> list[tuple[int, int]]:
+    """(node, head) for the nodes of a part that something links: its component's anchor, or the member with the most
+    links (ties: the first)."""
+    link = similar(sets, sets, percent)
+    order, head = np.argsort(-link.sum(axis=1), kind="stable"), {}
+    if anchor in nodes:
+        order = np.concatenate([[nodes.index(anchor)], order])
+    out = []
+    for i in order.tolist():
+        if i in head:
+            continue
+        reached, new = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+        new[i] = True
+        while new.any():
+            reached |= new
+            new = link[new].any(axis=0) & ~reached
+        own = np.flatnonzero(reached).tolist()
+        head.update((j, i) for j in own)
+        if len(own) > 1:
+            out += [(nodes[j], nodes[i]) for j in own]
+    return out
+
+
+def blocks(rows: DataFrame, key: list[str], fn: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+    """``fn`` over the rows of each key, which are few; many keys share a task and none is a call of its own."""
+    names, types = rows.columns, [f.split() for f in schema.split(",")]
+    out = pa.schema([(n, pa.int64()) for n, _ in types])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {n: [] for n in names}
+        found: list[tuple] = []
+        for b in batches:
+            columns = [b.column(i) for i in range(len(names))]
+            keys = list(zip(*(c.to_pylist() for n, c in zip(names, columns, strict=True) if n in key), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if held["__key"] and held["__key"][0] != keys[i] if "__key" in held else False:
+                    found += fn(held)
+                    held = {n: [] for n in names}
+                held["__key"] = [keys[i]]
+                for n, c in zip(names, columns, strict=True):
+                    held[n] += c.slice(i, j - i).to_pylist()
+            if found:
+                yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], schema=out)
+                found = []
+        if "__key" in held:
+            found = fn(held)
+        if found:
+            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], schema=out)
+
+    return map_arrow(rows.repartition(*key).sortWithinPartitions(*key, "node"), run, schema)
+
+
+def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of nodes; only their texts are shuffled."""
+    wanted = sets.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    same = own["hash"].eqNullSafe(F.col("__hash")) & own["doc_id"].eqNullSafe(F.col("__doc"))
+    return own.join(if_small(wanted.withColumn("node", F.col("node"))), same).select("node", "text")
+
+
+def _merged(docs: DataFrame, sets: DataFrame, labels: DataFrame | None, key: str, percent: int, shingle: int, scratch: Scratch) -> DataFrame | None:
+    """(node, head): heads of components, or single sets, that agree in a sketch are linked part by part."""
+    heads = sets.select("node", F.col(key).alias("key"), "n_shingles", F.lit(1).cast("long").alias("weight"))
+    if labels is not None:
+        weights = labels.groupBy("head").agg(F.count("*").alias("w"))
+        heads = heads.drop("weight").join(labels.where("node <> head").select("node"), "node", "left_anti")
+        heads = heads.join(weights.withColumnRenamed("head", "node"), "node", "left").withColumn("weight", F.coalesce("w", F.lit(1))).drop("w")
+    met = heads.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.max_by("node", F.struct("weight", "node")).alias("anchor")).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("s") / PART_SHINGLES)).cast("long")
+    dealt = heads.join(met, "key").select("key", F.pmod(F.xxhash64("node"), parts).alias("part"), "node", "anchor")
+    dealt = scratch.keep(dealt, "dealt")
+    anchors = dealt.groupBy("key", "part").agg(F.first("anchor").alias("anchor")).select("key", "part", F.col("anchor").alias("node"), "anchor")
+    rows = dealt.where("node <> anchor").union(anchors)
+    texts = scratch.keep(_texts(docs, sets, dealt.select("node").distinct()).dropDuplicates(["node"]), "texts")
+
+    def link(part: dict[str, list]) -> list[tuple]:
+        if len(part["node"]) < 2:
+            return []
+        return group_part(part["node"], shingle_sets(pa.array(part["text"]), shingle), part["anchor"][0], percent)
+
+    linked = scratch.keep(blocks(rows.join(texts, "node").select("key", "part", "node", "anchor", "text"), ["key", "part"], link, "node long, head long").distinct(), "linked")
+    scratch.drop(dealt, texts)
+    return linked
+
+
+def _followed(labels: DataFrame | None, linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels after heads were linked to other heads."""
+    if labels is None:
+        return linked
+    moved = linked.select(F.col("node").alias("head"), F.col("head").alias("to"))
+    old = labels.join(moved, "head", "left").select("node", F.coalesce("to", "head").alias("head"))
+    new = scratch.keep(old.union(linked.join(labels.select("node"), "node", "left_anti")), "labels")
+    scratch.drop(labels, linked)
+    return new
+
+
+def need(n: Column, m: Column, percent: int) -> Column:
+    """Common prefix tokens that sets of n and m shingles have at least if they link."""
+    overlap = F.ceil((n + m) * percent / (100 + percent))
+    rest = F.ceil(F.greatest(n, m) * percent / 100) - 1
+    return F.greatest(overlap - rest, F.lit(1))
+
+
+def qualifying(sets: DataFrame, labels: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, group) pairs that are to be opened: of different components, and within the bound of common tokens.
+
+    ``labels``: (node, head) of components; ``groups``: (node, head) of the groups inside them.  What isn't named is
+    alone.  A query belongs to the smaller of two components, so the sets of a large one are asked nothing.
+    """
+    sizes = labels.groupBy("head").agg(F.count("*").alias("weight"))
+    own = sets.select("node", "n_shingles").join(labels.join(sizes, "head"), "node", "left").join(groups.withColumnRenamed("head", "group"), "node", "left")
+    own = own.select("node", "n_shingles", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), F.coalesce("head", "node").alias("head")).alias("of"), F.coalesce("group", "node").alias("group"))
+    own = scratch.keep(own, "own")
+    listed = sets.select("node", F.explode("prefix").alias("token"))
+    filed = listed.join(own.select("node", "of.head"), "node").groupBy("token").agg(F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo <> hi").select("token")
+    shared = scratch.keep(listed.join(filed, "token").select("token", "node"), "shared")
+    matrix = scratch.keep(shared.join(own.select("node", "of", "group"), "node").select("token", "group", "of").distinct(), "matrix")
+    largest = matrix.groupBy("token").agg(F.max("of").alias("largest"))
+    asked = shared.join(own.select("node", "of", "n_shingles"), "node").join(largest, "token").where("of < largest")
+    asked = asked.select("token", "node", F.col("of").alias("q_of"), F.col("n_shingles").alias("n"))
+    extent = own.groupBy("group").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    met = asked.join(matrix.join(extent, "group"), "token").where("q_of < of")
+    met = met.where(f"most * 100 >= n * {percent} and least * {percent} <= n * 100")
+    n = F.col("n")
+    lowest, highest = F.greatest("least", F.ceil(n * percent / 100)), F.least("most", F.floor(n * 100 / percent))
+    bound = F.least(need(n, lowest, percent), need(n, highest, percent))
+    pairs = met.groupBy("node", "group", "n", "least", "most").agg(F.count("*").alias("common")).where(F.col("common") >= bound)
+    pairs = scratch.keep(pairs.select("node", "group", "n"), "pairs")
+    scratch.drop(own, shared, matrix)
+    return pairs
+
+
+def _opened(docs: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
+    """(x, y): for each qualifying group, the queries that link with a member, with one such member each."""
+    sizes = pairs.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / (8 * PART)), F.ceil(F.sum("n") / PART_SHINGLES)).cast("long").alias("blocks"))
+    asked = pairs.join(sizes, "group").select("group", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", F.lit(True).alias("query"))
+    members = groups.select(F.col("head").alias("group"), "node").join(sizes, "group")
+    alone = sizes.join(groups.select(F.col("head").alias("group")).distinct(), "group", "left_anti").select("group", F.col("group").alias("node"), "blocks")
+    members = members.select("group", "node", "blocks").union(alone).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = scratch.keep(asked.union(members.select("group", "block", "node", F.lit(False).alias("query"))), "opened")
+    texts = scratch.keep(_texts(docs, sets, rows.select("node").distinct()).dropDuplicates(["node"]), "texts")
+
+    def link(block: dict[str, list]) -> list[tuple]:
+        query = np.array(block["query"])
+        if query.all() or not query.any():
+            return []
+        each, nodes = shingle_sets(pa.array(block["text"]), shingle), np.array(block["node"])
+        q, m = np.flatnonzero(query), np.flatnonzero(~query)
+        found = similar([each[i] for i in q], [each[i] for i in m], percent)
+        some = np.flatnonzero(found.any(axis=1))
+        return list(zip(nodes[q[some]].tolist(), nodes[m[found[some].argmax(axis=1)]].tolist(), strict=True))
+
+    edges = scratch.keep(blocks(rows.join(texts, "node").select("group", "block", "node", "query", "text"), ["group", "block"], link, "x long, y long"), "edges")
+    scratch.drop(rows, texts)
+    return edges
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of (x, y) edges: root is the smallest node of a connected component.
+def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, root) for the nodes of (x, y) edges: root is one node of a connected component.
 
     Nodes are ordered by a hash, so that chains shrink by a constant factor: each round every node takes its smallest
     neighbour as parent, parents are followed twice, and edges between nodes of one parent are gone.  Rounds end when
     no edge is left; nothing else reaches the driver.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     mark = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id")).alias(c)
     edges = edges.where("x <> y").select(mark("x"), mark("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    edges = materialize(edges.distinct(), "edges")
-    labels = edges.select(F.explode(F.array("x", "y")).alias("node")).distinct().select("node", F.col("node").alias("root"))
+    edges = scratch.keep(edges.distinct(), "edges")
+    labels = scratch.keep(edges.select(F.explode(F.array("x", "y")).alias("node")).distinct().select("node", F.col("node").alias("root")), "labels")
     while not edges.isEmpty():
         both = edges.union(edges.select("y", "x"))
         parent = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("p"))
         grand = parent.select(F.col("x").alias("p"), F.col("p").alias("g"))
-        parent = materialize(parent.join(grand, "p").select("x", F.col("g").alias("p")), "parents")
-        labels = materialize(labels.join(parent.withColumnRenamed("x", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
+        parent = scratch.keep(parent.join(grand, "p").select("x", F.col("g").alias("p")), "parents")
+        moved = labels.join(parent.withColumnRenamed("x", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
         px, py = parent.select("x", F.col("p").alias("px")), parent.select(F.col("x").alias("y"), F.col("p").alias("py"))
-        moved = edges.join(px, "x").join(py, "y").where("px <> py")
-        edges = materialize(moved.select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "edges")
-    least = labels.groupBy("root").agg(F.min("node.id").alias("least"))
-    return labels.join(least, "root").select(F.col("node.id").alias("node"), F.col("least").alias("root"))
-
-
-class TokenGroupMatrix:
-    """Which token occurs in which group; a group is up to GROUP sets that lie next to each other in sketch order."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        every, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
-        self.edges = np.concatenate([[0], np.cumsum(self.sizes)])
-        sketch = np.array([[s[_mix(s, k).argmin()] for k in (1, 2, 3)] for s in sets], np.uint64)
-        order = np.lexsort((self.sizes, sketch[:, 2], sketch[:, 1], sketch[:, 0]))
-        self.groups = [order[i : i + GROUP] for i in range(0, len(order), GROUP)]
-        self.group_of = np.empty(len(sets), np.int64)
-        pairs = []
-        for g, members in enumerate(self.groups):
-            self.group_of[members] = g
-            union = np.unique(np.concatenate([self.ids(m) for m in members]))
-            pairs.append(np.stack([union, np.full(len(union), g)]))
-        token, group = np.concatenate(pairs, axis=1)
-        rows = np.argsort(token, kind="stable")
-        self.row_groups, self.rows = group[rows], np.searchsorted(token[rows], np.arange(len(every) + 1))
-        self.least = np.array([self.sizes[m].min() for m in self.groups])
-        self.most = np.array([self.sizes[m].max() for m in self.groups])
-        self.cache: dict[int, frozenset] = {}
-
-    def ids(self, i: int) -> np.ndarray:
-        return self.flat[self.edges[i] : self.edges[i + 1]]
-
-    def members(self, i: int) -> frozenset:
-        if i not in self.cache:
-            self.cache[i] = frozenset(self.ids(i).tolist())
-        return self.cache[i]
-
-    def qualifying(self, i: int, percent: int) -> np.ndarray:
-        """Groups in which a member can reach the threshold with set i."""
-        ids, n = self.ids(i), int(self.sizes[i])
-        a, b = self.rows[ids], self.rows[ids + 1]
-        at = np.repeat(b - np.cumsum(b - a), b - a) + np.arange(int((b - a).sum()))
-        bound = np.bincount(self.row_groups[at], minlength=len(self.groups))
-        fits = (self.most * 100 >= n * percent) & (self.least * percent <= n * 100)
-        # J >= t needs an overlap of t / (1 + t) of both sizes; the smallest size that can link is the easiest
-        least = np.maximum(self.least, -(-n * percent // 100))
-        return np.flatnonzero(fits & (bound * (100 + percent) >= percent * (n + least)))
-
-
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = sorted((self.root(i), self.root(j)))
-        self.up[j] = i
-
-
-def _similar(a: frozenset, b: frozenset, percent: int) -> bool:
-    both = len(a & b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def link_chunk(names: list[int], sets: list[np.ndarray], query: list[bool], percent: int, joined: list[int] | None = None) -> list[tuple[int, int]]:
-    """Edges that connect what links in a chunk connect; at least one end of each pair looked at is a query.
-
-    ``joined``: components known before, so that their members aren't compared again.
-    """
-    m, forest, edges, apart = TokenGroupMatrix(sets), Forest(len(sets)), [], len(sets)
-    first: dict[int, int] = {}
-    for i, c in enumerate(joined or ()):
-        if first.setdefault(c, i) != i:
-            forest.join(i, first[c])
-            apart -= 1
-    for i in np.argsort(m.group_of, kind="stable").tolist():
-        if apart == 1:
-            break
-        if not query[i]:
-            continue
-        for g in sorted(m.qualifying(i, percent).tolist(), key=lambda g: g != m.group_of[i]):
-            for j in m.groups[g].tolist():
-                if j != i and forest.root(i) != forest.root(j) and _similar(m.members(i), m.members(j), percent):
-                    forest.join(i, j)
-                    edges.append((names[i], names[j]))
-                    apart -= 1
-    return edges
-
-
-def _linker(percent: int, shingle: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("rep").sort_values("rep")
-        sets = [shingle_set(t.encode(), shingle) for t in rows["text"]]
-        edges = link_chunk(rows["rep"].tolist(), sets, rows["query"].tolist(), percent, rows["joined"].tolist())
-        return pd.DataFrame(edges, columns=["x", "y"], dtype="int64")
-
-    return run
+        left = edges.join(px, "x").join(py, "y").where("px <> py").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y"))
+        new = scratch.keep(moved, "labels"), scratch.keep(left.distinct(), "edges")
+        scratch.drop(parent, labels, edges)
+        labels, edges = new
+    return labels.select(F.col("node.id").alias("node"), F.col("root.id").alias("root"))
+
+
+def _components(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(doc_id, hash, n_shingles, a, b, component, least): ``component`` names the component of a row's set and
+    ``least`` is the smallest doc_id in it."""
+    scratch = Scratch(docs.sparkSession)
+    filed = scratch.keep(_file(docs, percent, shingle), "filed")
+    rows = filed.select("row", "doc_id", "hash", "n_shingles", "a", "b")
+    classes = rows.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
+    classes = scratch.keep(classes, "classes")
+    sets = filed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    sets = scratch.keep(sets.select("node", "doc_id", "hash", "n_shingles", *SKETCHES, "prefix"), "sets")
+
+    groups = labels = _merged(docs, sets, None, SKETCHES[0], percent, shingle, scratch)
+    groups = scratch.keep(groups.select("*"), "groups")
+    for key in SKETCHES[1:]:
+        labels = _followed(labels, _merged(docs, sets, labels, key, percent, shingle, scratch), scratch)
+
+    pairs = qualifying(sets, labels, groups, percent, scratch)
+    edges = _opened(docs, sets, groups, pairs, percent, shingle, scratch)
+    head = lambda c: labels.select(F.col("node").alias(c), F.col("head").alias(f"{c}_head"))
+    edges = edges.join(head("x"), "x", "left").join(head("y"), "y", "left").select(F.coalesce("x_head", "x").alias("x"), F.coalesce("y_head", "y").alias("y"))
+    roots = connected(edges, scratch)
+    final = classes.join(labels, "node", "left").withColumn("head", F.coalesce("head", "node"))
+    final = final.join(roots.withColumnRenamed("node", "head"), "head", "left").select("a", "b", "n_shingles", "least", F.coalesce("root", "head").alias("component"))
+    final = scratch.keep(final, "components")
+    scratch.drop(sets, groups, labels, pairs, classes)
+    smallest = final.groupBy("component").agg(F.min("least").alias("least"), F.count("*").alias("sets"))
+    final = final.drop("least").join(smallest, "component")
+    return rows.drop("row").join(final, ["a", "b", "n_shingles"], "left")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, shingle: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of documents with 100 * intersection >= percent * union.
 
-    Null, empty and blank texts have no shingles and are alone.  Repeated rows have one component.  A
-    doc_id names one text; a null doc_id stays null and takes part in no link.  An empty table gives no rows.
+    Links are between rows: a row with a null doc_id, or with the doc_id of another row, links by its own text.
+    component_id is the smallest doc_id of the component, null if it has none.  Null, empty and blank texts have no
+    shingles and are alone; repeated rows have one component; an empty table gives no rows; other columns don't matter.
     """
-    filed = materialize(_file(docs, percent, shingle), "filed")
-    known = filed.where("n_shingles > 0 and doc_id is not null")
-    sets = materialize(known.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
-    copies = known.join(sets, ["a", "b", "n_shingles"]).where("doc_id <> rep").select("doc_id").distinct()
-    own = known.join(if_small(materialize(copies, "copies")), "doc_id", "left_anti")
-    under = own.select(F.col("doc_id").alias("rep"), F.explode(F.array_distinct("signatures")).alias("signature"))
-    # few signatures are shared: those that are, are counted before they decide how the join is done
-    heads = under.groupBy("signature").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = under.join(if_small(materialize(heads, "heads")), "signature").where("rep <> head").select(F.col("rep").alias("x"), F.col("head").alias("y"))
-    around = materialize(connected(near).select(F.col("node").alias("rep"), F.col("root").alias("hood")), "hoods")
-
-    sized = around.join(sets.select("rep", "n_shingles"), "rep")
-    hoods = sized.groupBy("hood").agg(F.ceil(F.sum("n_shingles") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("n"))
-    pick = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), n)
-    sized = sized.join(hoods, "hood").select("hood", "rep", "n_shingles", "chunks", pick(0, F.col("chunks").cast("long")).cast("int").alias("chunk"), (pick(1, F.col("n")) < PIVOTS).alias("pivot"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    members = materialize(texts.join(if_small(materialize(sized, "sized")), "rep").dropDuplicates(["rep"]), "members")
-
-    everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    chunks = members.select("hood", F.explode(everywhere).alias("chunk"), "rep", "text", F.lit(True).alias("query"), F.col("rep").alias("joined"))
-    link = _linker(percent, shingle)
-    links = materialize(chunks.groupBy("hood", "chunk").applyInPandas(link, "x long, y long"), "links")
-    roots = connected(links)
-
-    split = members.where("chunks > 1").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("joined", F.coalesce("root", "rep")).drop("root")
-    if not split.isEmpty():
-        links = links.union(_between_chunks(materialize(split, "split"), link))
-        roots = connected(links)
-    found = around.select("rep").join(roots.withColumnRenamed("node", "rep"), "rep")
-    classes = sets.select("a", "b", "n_shingles", "rep").join(found, "rep", "left").select("a", "b", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-    done = filed.join(classes, ["a", "b", "n_shingles"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return done.select("doc_id", "n_shingles", own.alias("component_id"))
-
-
-def _between_chunks(split: DataFrame, link) -> DataFrame:
-    """Links of sets outside the largest component of their neighbourhood with the sets of every chunk of it."""
-    sizes = split.groupBy("hood", "joined").count()
-    largest = sizes.groupBy("hood").agg(F.max_by("joined", F.struct("count", "joined")).alias("main"))
-    rest = split.join(largest, "hood").where("joined <> main").drop("main")
-    counts = rest.groupBy("hood").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
-    asked = rest.join(counts, "hood").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks").cast("long")).cast("int"))
-    asked = asked.select("hood", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "rep", "text", F.lit(True).alias("query"), "joined")
-    against = split.join(counts, "hood").select("hood", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "text", F.lit(False).alias("query"), "joined")
-    return materialize(asked.union(against).groupBy("hood", "chunk", "block").applyInPandas(link, "x long, y long"), "links")
+    done = _components(docs, percent, shingle)
+    return done.select("doc_id", "n_shingles", F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 90, shingle: int = 3) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id (of repeated rows, all of them), with all
-    columns.  A null doc_id stays."""
-    gone = jaccard_components(docs, percent, shingle).where("component_id <> doc_id").select("doc_id")
-    return docs.join(if_small(materialize(gone.distinct(), "copies")), "doc_id", "left_anti")
+    """One document of each component stays, with all columns: the one with the smallest doc_id (then the smallest
+    fingerprint of its text); rows equal in doc_id and text are one document, of which one row stays.
+
+    Rows without shingles stay.  A component without doc_ids keeps one text.  Names of other columns don't matter.
+    """
+    scratch = Scratch(docs.sparkSession)
+    done = scratch.keep(_components(docs, percent, shingle).where("component is not null").select("doc_id", "hash", "component"), "rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
+    kept = done.groupBy("component").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
+    ranked = done.join(kept, "component").withColumn("stays", F.col("first") == rank)
+    names = ["__doc", "__hash"]
+    gone = scratch.keep(ranked.where("not stays").select("doc_id", "hash").distinct().toDF(*names), "copies")
+    repeated = scratch.keep(ranked.where("stays").groupBy("doc_id", "hash").count().where("count > 1").select("doc_id", "hash").toDF(*names), "repeated")
+    scratch.drop(done)
+
+    def same(of: DataFrame) -> Column:
+        return F.xxhash64(of["text"]).eqNullSafe(F.col("__hash")) & of["doc_id"].cast("long").eqNullSafe(F.col("__doc"))
+
+    left = docs.join(if_small(gone), same(docs), "left_anti")
+    if repeated.isEmpty():
+        return left
+    again = left.join(if_small(repeated), same(left), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(if_small(repeated), same(left), "left_anti").union(again)
