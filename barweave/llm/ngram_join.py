@@ -1,9 +1,9 @@
 """Exact Jaccard self-join of documents on word shingles with a token-group matrix.
 
 1. Rows of one shingle set are one set, whatever their doc_ids; a set is a node.
-2. Sets are partitioned into groups of similar ones: sets that agree in two of three min-hashes meet, in parts of
-   bounded size, and what an exact comparison links in a part is a group.  In every part of a hot sketch sits the same
-   anchor, so that a large cluster of near copies becomes one component at linear cost.
+2. Sets that agree in two of three min-hashes meet in parts of bounded size; what an exact comparison links there is
+   one component so far.  In every part of a hot sketch sits the same anchor, so that a large cluster of near copies
+   becomes one component at linear cost.  Each component is partitioned into groups of bounded size.
 3. The token-group matrix is kept as rows (token, group): a group is filed under the union of its members' prefixes,
    where shingles are ordered by rarity (counted over all documents in bounded hashed counts; any one order that all
    sets share gives the same links).  A set x has a prefix of |x| - ceil(t|x|) + 1 shingles; sets with J >= t share one.
@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import Scratch, if_small, map_arrow
@@ -160,24 +161,22 @@ def blocks(rows: DataFrame, key: list[str], fn: Callable[[dict[str, list]], list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {n: [] for n in names}
-        found: list[tuple] = []
+        of, found = None, []
         for b in batches:
             columns = [b.column(i) for i in range(len(names))]
             keys = list(zip(*(c.to_pylist() for n, c in zip(names, columns, strict=True) if n in key), strict=True))
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if held["__key"] and held["__key"][0] != keys[i] if "__key" in held else False:
+                if of not in (None, keys[i]):
                     found += fn(held)
                     held = {n: [] for n in names}
-                held["__key"] = [keys[i]]
+                of = keys[i]
                 for n, c in zip(names, columns, strict=True):
                     held[n] += c.slice(i, j - i).to_pylist()
             if found:
                 yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], schema=out)
                 found = []
-        if "__key" in held:
-            found = fn(held)
-        if found:
+        if of is not None and (found := fn(held)):
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], schema=out)
 
     return map_arrow(rows.repartition(*key).sortWithinPartitions(*key, "node"), run, schema)
@@ -191,7 +190,7 @@ def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.join(if_small(wanted.withColumn("node", F.col("node"))), same).select("node", "text")
 
 
-def _merged(docs: DataFrame, sets: DataFrame, labels: DataFrame | None, key: str, percent: int, shingle: int, scratch: Scratch) -> DataFrame | None:
+def _merged(docs: DataFrame, sets: DataFrame, labels: DataFrame | None, key: str, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
     """(node, head): heads of components, or single sets, that agree in a sketch are linked part by part."""
     heads = sets.select("node", F.col(key).alias("key"), "n_shingles", F.lit(1).cast("long").alias("weight"))
     if labels is not None:
@@ -227,6 +226,14 @@ def _followed(labels: DataFrame | None, linked: DataFrame, scratch: Scratch) ->
     return new
 
 
+def grouped(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, group): components cut into groups of about PART sets; a group is named by its smallest node."""
+    own = labels.join(sets.select("node", "n_shingles"), "node")
+    sizes = own.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n_shingles") / PART_SHINGLES)).cast("long").alias("parts"))
+    dealt = own.join(sizes, "head").select("node", "head", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    return dealt.select("node", F.min("node").over(W.partitionBy("head", "part")).alias("group"))
+
+
 def need(n: Column, m: Column, percent: int) -> Column:
     """Common prefix tokens that sets of n and m shingles have at least if they link."""
     overlap = F.ceil((n + m) * percent / (100 + percent))
@@ -237,11 +244,10 @@ def need(n: Column, m: Column, percent: int) -> Column:
 def qualifying(sets: DataFrame, labels: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(node, group) pairs that are to be opened: of different components, and within the bound of common tokens.
 
-    ``labels``: (node, head) of components; ``groups``: (node, head) of the groups inside them.  What isn't named is
-    alone.  A query belongs to the smaller of two components, so the sets of a large one are asked nothing.
+    ``labels``: (node, head) of components; ``groups``: (node, group) inside them.  What isn't named is alone.  A query belongs to the smaller of two components, so the sets of a large one are asked nothing.
     """
     sizes = labels.groupBy("head").agg(F.count("*").alias("weight"))
-    own = sets.select("node", "n_shingles").join(labels.join(sizes, "head"), "node", "left").join(groups.withColumnRenamed("head", "group"), "node", "left")
+    own = sets.select("node", "n_shingles").join(labels.join(sizes, "head"), "node", "left").join(groups, "node", "left")
     own = own.select("node", "n_shingles", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), F.coalesce("head", "node").alias("head")).alias("of"), F.coalesce("group", "node").alias("group"))
     own = scratch.keep(own, "own")
     listed = sets.select("node", F.explode("prefix").alias("token"))
@@ -267,8 +273,8 @@ def _opened(docs: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFram
     """(x, y): for each qualifying group, the queries that link with a member, with one such member each."""
     sizes = pairs.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / (8 * PART)), F.ceil(F.sum("n") / PART_SHINGLES)).cast("long").alias("blocks"))
     asked = pairs.join(sizes, "group").select("group", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", F.lit(True).alias("query"))
-    members = groups.select(F.col("head").alias("group"), "node").join(sizes, "group")
-    alone = sizes.join(groups.select(F.col("head").alias("group")).distinct(), "group", "left_anti").select("group", F.col("group").alias("node"), "blocks")
+    members = groups.join(sizes, "group")
+    alone = sizes.join(groups.select("group").distinct(), "group", "left_anti").select("group", F.col("group").alias("node"), "blocks")
     members = members.select("group", "node", "blocks").union(alone).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = scratch.keep(asked.union(members.select("group", "block", "node", F.lit(False).alias("query"))), "opened")
     texts = scratch.keep(_texts(docs, sets, rows.select("node").distinct()).dropDuplicates(["node"]), "texts")
@@ -325,10 +331,10 @@ def _components(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     sets = filed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
     sets = scratch.keep(sets.select("node", "doc_id", "hash", "n_shingles", *SKETCHES, "prefix"), "sets")
 
-    groups = labels = _merged(docs, sets, None, SKETCHES[0], percent, shingle, scratch)
-    groups = scratch.keep(groups.select("*"), "groups")
-    for key in SKETCHES[1:]:
+    labels = None
+    for key in SKETCHES:
         labels = _followed(labels, _merged(docs, sets, labels, key, percent, shingle, scratch), scratch)
+    groups = scratch.keep(grouped(sets, labels), "groups")
 
     pairs = qualifying(sets, labels, groups, percent, scratch)
     edges = _opened(docs, sets, groups, pairs, percent, shingle, scratch)

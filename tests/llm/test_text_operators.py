@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,35 +212,68 @@ def brute_components(texts, percent, n):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize(("percent", "shingle", "chunk"), [(90, 3, 500_000), (80, 5, 300), (90, 3, 200)])
-def test_jaccard_components(spark, monkeypatch, percent, shingle, chunk):
-    """With tiny chunks the links between chunks are found by the queries outside the largest component."""
-    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
-    monkeypatch.setattr(ngram_join, "BLOCK", chunk)
-    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+def near_texts():
+    """Random texts and chains of edits of four of them."""
     r = random.Random(9)
-    base = [[f"v{r.randint(0, 400)}" for _ in range(n)] for n in (30, 60, 90, 200)]
     texts = random_texts()
-    for w in base:
-        for _ in range(12):  # chains of edits
+    for w in [[f"v{r.randint(0, 400)}" for _ in range(n)] for n in (30, 60, 90, 200)]:
+        for _ in range(12):
             w = list(w)
             w[r.randrange(len(w))] = f"z{r.randint(0, 50)}"
             texts.append(" ".join(w))
-    rows = list(enumerate(texts))
-    r.shuffle(rows)
+    return texts
+
+
+@pytest.mark.parametrize(("percent", "shingle", "part"), [(90, 3, 32), (80, 5, 2)])
+def test_jaccard_components(spark, monkeypatch, percent, shingle, part):
+    """With tiny parts most links are found by the queries against groups."""
+    monkeypatch.setattr(ngram_join, "PART", part)
+    rows = list(enumerate(near_texts()))
+    random.Random(1).shuffle(rows)
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent, shingle).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(rows, percent, shingle)
 
 
+def test_groups_are_opened_only_within_their_bound(spark):
+    """Every link between components qualifies, and most groups that share a token with a query are rejected."""
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(60)]  # a passage that many texts share
+    texts = [" ".join(base[k : k + 40] + [f"u{i}x{j}" for j in range(r.randint(5, 60))]) for i, k in enumerate(r.randint(0, 20) for _ in range(80))]
+    texts += [t + f" more{i}" for i, t in enumerate(texts[:20])]
+    sets = ngram_join.shingle_sets(pa.array(texts), 3)
+    rows = []
+    for i, s in enumerate(sets):
+        prefix = s.tolist()[: int(ngram_join.prefix_length(np.array([len(s)]), 90)[0])]
+        rows.append((i, len(s), [x - (1 << 63) for x in prefix]))
+    d = spark.createDataFrame(rows, "node long, n_shingles long, prefix array<long>")
+    none = spark.createDataFrame([], "node long, head long")
+    pairs = {(x.node, x.group) for x in ngram_join.qualifying(d, none, none.withColumnRenamed("head", "group"), 90, ngram_join.Scratch(spark)).collect()}
+    both = ngram_join.overlaps(sets, sets)
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * both[i, j] >= 90 * (len(sets[i]) + len(sets[j]) - both[i, j])}
+    shared = sum(bool(set(rows[i][2]) & set(rows[j][2])) for i in range(len(rows)) for j in range(i + 1, len(rows)))
+    assert len(links) >= 10 and links <= {tuple(sorted(p)) for p in pairs} and len(pairs) < shared
+
+
 def test_jaccard_edges(spark, empty):
     rows = [(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "A B  C D"), (3, None), (4, "")]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1))
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1)).withColumn("node", F.lit(2)).withColumn("__hash", F.lit(3))
     got = sorted(((x.doc_id, x.component_id) for x in ngram_join.jaccard_components(d).collect()), key=str)
-    assert got == sorted([(None, None), (1, 1), (1, 1), (2, 1), (3, 3), (4, 4)], key=str)
-    assert {x.doc_id for x in ngram_join.drop_near_copies(d).collect()} == {None, 1, 3, 4}
+    assert got == sorted([(None, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 4)], key=str)
+    assert sorted(x.doc_id for x in ngram_join.drop_near_copies(d).collect()) == [1, 3, 4]
     assert ngram_join.jaccard_components(empty).collect() == []
 
 
+def test_rows_link_by_their_own_texts(spark):
+    """A doc_id with two texts links through both; a text without a doc_id is a link of a chain."""
+    w = [f"k{i}" for i in range(60)]
+    chain = [" ".join(w), " ".join([*w[:59], "x"]), " ".join([*w[:58], "y", "x"])]
+    rows = [(5, "something else entirely " * 3), (5, chain[0]), (9, chain[1]), (None, chain[2]), (7, " ".join([*w[:57], "q", "y", "x"])), (8, "another text of its own")]
+    got = sorted((x.doc_id or -1, x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 90, 3).collect())
+    assert [g[2] for g in got if g[1] == 58] == [5, 5, 5, 5] and [g[2] for g in got if g[0] == 8] == [8]
+    kept = ngram_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 90, 3).collect()
+    assert sorted((x.doc_id, x.text == chain[0]) for x in kept) == [(5, False), (5, True), (8, False)]
+
+
 def test_sharding(docs, empty, spark):
     rows = sharding.shard_documents(docs, 5).collect()
     size = {r.doc_id: len((r.text or "").encode()) + 1 for r in docs.collect()}
