@@ -187,7 +187,7 @@ def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = sets.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     same = own["hash"].eqNullSafe(F.col("__hash")) & own["doc_id"].eqNullSafe(F.col("__doc"))
-    return own.join(if_small(wanted.withColumn("node", F.col("node"))), same).select("node", "text")
+    return own.join(if_small(wanted), same).select("node", "text")
 
 
 def _merged(docs: DataFrame, sets: DataFrame, labels: DataFrame | None, key: str, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
@@ -377,11 +377,13 @@ def drop_near_copies(docs: DataFrame, percent: int = 90, shingle: int = 3) -> Da
     repeated = scratch.keep(ranked.where("stays").groupBy("doc_id", "hash").count().where("count > 1").select("doc_id", "hash").toDF(*names), "repeated")
     scratch.drop(done)
 
-    def same(of: DataFrame) -> Column:
-        return F.xxhash64(of["text"]).eqNullSafe(F.col("__hash")) & of["doc_id"].cast("long").eqNullSafe(F.col("__doc"))
+    def same(of: DataFrame, known: DataFrame) -> Column:
+        return F.xxhash64(of["text"]).eqNullSafe(known["__hash"]) & of["doc_id"].cast("long").eqNullSafe(known["__doc"])
 
-    left = docs.join(if_small(gone), same(docs), "left_anti")
+    gone = if_small(gone)
+    left = docs.join(gone, same(docs, gone), "left_anti")
     if repeated.isEmpty():
         return left
-    again = left.join(if_small(repeated), same(left), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(if_small(repeated), same(left), "left_anti").union(again)
+    repeated = if_small(repeated)
+    again = left.join(repeated, same(left, repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, same(left, repeated), "left_anti").union(again)
