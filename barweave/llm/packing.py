@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialize
-from .encoding import encoder
+from .encoding import encoder, rebatched
 
 
 class CapacityTree:
@@ -95,10 +95,10 @@ def encode_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, blan
         from pyspark import TaskContext
 
         part, enc, seen = TaskContext.get().partitionId(), encoder(vocabulary, blanks), np.zeros(size + 1, np.int64)
-        for b in batches:
+        for b in rebatched(batches):
             rows: list[list] = [[] for _ in range(7)]
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for d, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     length = min(size, total - start)

@@ -7,6 +7,7 @@ consecutive words.  All arithmetic is modulo 2**64.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is a slab of its own.
 SLAB = 2 << 20
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -27,14 +28,16 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 _SOLID = np.ones(256, bool)
 _SOLID[[0x20, *range(0x09, 0x0E)]] = False
-_VALUE = mix(np.arange(256, dtype=np.uint64) * _STEP, 0x77)
-_VALUE[0x41:0x5B] = _VALUE[0x61:0x7B]  # A-Z lowered
+#: A value for each byte, as it is and with A-Z lowered.
+EXACT = mix(np.arange(256, dtype=np.uint64) * STEP, 0x77)
+VALUE = EXACT.copy()
+VALUE[0x41:0x5B] = EXACT[0x61:0x7B]
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 @functools.cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     both = []
     for base in (_BASE, _INVERSE):
         steps = np.full(1 << bits, base, np.uint64)
@@ -43,7 +46,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def slabs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def slabs(column: pa.Array, size: int = SLAB) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, row offsets) of runs of a string column's rows; nulls are empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -51,27 +54,51 @@ def slabs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLAB, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 
 
-def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the words between ASCII white space, A-Z lowered, and where each row's words begin."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words between ASCII white space begin and end; a row's end ends a word."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = _SOLID[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
     heads, tails = offsets[:-1][offsets[:-1] < len(data)], offsets[1:][offsets[1:] > 0] - 1
     begins[heads], ends[tails] = solid[heads], solid[tails]
-    s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _powers(max(16, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * power[: len(data)], out=sums[1:])
-    codes = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * _STEP
-    return mix(codes, 0), np.searchsorted(s, offsets)
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def span_sums(data: np.ndarray, s: np.ndarray, e: np.ndarray, values: np.ndarray = VALUE) -> np.ndarray:
+    """The polynomial of each word: the sum of values[byte] * BASE ** (place in the word).  Running sums cover SLAB bytes
+    at most; a longer word is digested."""
+    out, at = np.zeros(len(s), np.uint64), 0
+    while at < len(s):
+        end = max(at + 1, int(np.searchsorted(e, s[at] + SLAB, side="right")))
+        begin, part = s[at], data[s[at] : e[end - 1]]
+        if len(part) > SLAB:
+            digest = hashlib.blake2b(values[part].tobytes(), digest_size=8).digest()
+            out[at] = np.frombuffer(digest, np.uint64)[0]
+        else:
+            power, inverse = powers(max(16, int(len(part)).bit_length()))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(values[part] * power[: len(part)], out=sums[1:])
+            out[at:end] = (sums[e[at:end] - begin] - sums[s[at:end] - begin]) * inverse[s[at:end] - begin]
+        at = end
+    return out
+
+
+def codes_of(sums: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(sums + length.astype(np.uint64) * STEP, 0)
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words between ASCII white space, A-Z lowered, and where each row's words begin."""
+    s, e = word_spans(data, offsets)
+    return codes_of(span_sums(data, s, e), e - s), np.searchsorted(s, offsets)
 
 
 def shingle_codes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +107,7 @@ def shingle_codes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.nda
     def chain(run: list[np.ndarray]) -> np.ndarray:
         code = mix(run[0], len(run))
         for j, w in enumerate(run[1:], 1):
-            code = mix(code * _STEP + w, j)
+            code = mix(code * STEP + w, j)
         return code
 
     lengths = np.diff(starts)

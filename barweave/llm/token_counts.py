@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialize
-from .encoding import encoder
+from .encoding import encoder, rebatched
 
 #: Lengths are summed in blocks of so many, so that no task gets the whole histogram.
 BLOCK = 4096
@@ -25,8 +25,8 @@ def length_histogram(docs: DataFrame, vocabulary: str, blanks: bool = True) -> D
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(vocabulary, blanks), Counter()
-        for b in batches:
-            seen.update(len(enc.encode(t)) // 4 for t in b.column(0).to_pylist())
+        for b in rebatched(batches):
+            seen.update(len(ids) // 4 for ids in enc.encode_all(b.column(0)))
         if seen:
             yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, partitions, scratch_path
-from .encoding import encoder
+from .encoding import encoder, rebatched
 
 _HEADER, _EF = struct.Struct("<4sIIQBqII"), struct.Struct("<IBII")
 MAGIC, SELECT_STEP = b"EFID", 64
@@ -119,8 +119,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, blanks)
-        for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in map(enc.encode, b.column(1).to_pylist())]
+        for b in rebatched(batches):
+            ids = [np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in enc.encode_all(b.column(1))]
             of = b.column(0)
             bucket = np.searchsorted(cuts, of.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
             yield pa.record_batch([pa.array(bucket, pa.int32()), of, pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])

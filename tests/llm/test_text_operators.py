@@ -10,8 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barweave.llm import decontamination, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, token_counts, token_files, toxicity
-from barweave.llm.encoding import ChunkEncoder, vocabulary_path
+from barweave.llm import decontamination, encoding, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, token_counts, token_files, toxicity
+from barweave.llm.encoding import WordEncoder, vocabulary_path
 
 WORD, BYTE = vocabulary_path("word_bpe_49k.json"), vocabulary_path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -40,21 +40,35 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize(("path", "blanks"), [(WORD, False), (BYTE, True)])
-def test_chunks_encode_like_whole_texts(path, blanks):
-    e = ChunkEncoder(path, blanks)
-    texts = [t for t in random_texts() if t] + ["A\nB!\nÉté, ok\n12 a\n(b) c", "a\n\nb c", "\na", "a \n b", "x.  y", "a b c", "It's, he'd; we'll!"]
-    for t in texts * 2:
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+FUZZ = ["the", "Word", "ÉTÉ", "naïve", "×2", "don't", "x.", "ok,", "A!", "12", "(b)", "é", "e\u0301", "漢字", "🙂", "a\u00a0b", "<|endoftext|>", ".", ",.", "İ", "ß", "q\x1cz", "w" * 50]
+SPACES = [" "] * 12 + ["\n"] * 4 + ["  ", "\n\n", " \n", "\n ", "\t", "\r\n", " \t ", "\x0b", "\x0c\n", "\u2003", "\x85"]
+
 
+def fuzzed(n, seed):
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        parts = [r.choice(["", "", *SPACES])]
+        for _ in range(r.randint(1, 12)):
+            parts += [r.choice(FUZZ) if r.random() < 0.8 else "".join(r.choice("abAB.,'1 é") for _ in range(r.randint(1, 5))), r.choice(SPACES)]
+        out.append("".join(parts[: -1 if r.random() < 0.7 else None]))
+    return out
 
-def test_memo_turns_over(monkeypatch):
-    from barweave.llm import encoding
 
-    monkeypatch.setattr(encoding, "MEMO_ENTRIES", 20)
-    e = ChunkEncoder(BYTE, True)
-    for t in random_texts()[:40]:
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+@pytest.mark.parametrize(("path", "blanks"), [(WORD, False), (BYTE, True)])
+@pytest.mark.parametrize("memo", [1_000_000, 40])
+def test_words_encode_like_whole_texts(monkeypatch, path, blanks, memo):
+    """Also with a memo that is full all the time, and in slabs of a few texts."""
+    monkeypatch.setattr(encoding, "MEMO_WORDS", memo)
+    monkeypatch.setattr(encoding, "JOINED", 3000)
+    e = WordEncoder(path, blanks)
+    texts = [*random_texts(), *fuzzed(3000, 1), "A\nB!\nÉté, ok\n12 a\n(b) c", "It's, he'd; we'll!", "y" * 100_000 + " z", "a b " * 50_000]
+    want = [x.ids for x in e.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    for _ in range(2):
+        got = e.encode_all(pa.array(texts, pa.string()))
+        for t, ids, w in zip(texts, got, want, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == w, t
+    assert e.encode_all(pa.array([], pa.string())) == [] and e.encode(None) == b""
 
 
 def test_elias_fano_round_trip():
@@ -68,7 +82,7 @@ def test_elias_fano_round_trip():
 
 
 def test_token_files(docs, empty):
-    t = ChunkEncoder(WORD, False)
+    t = WordEncoder(WORD, False)
     got = {r.doc_id: r for r in token_files.token_file_digest(docs, WORD).collect()}
     at = 0
     for r in docs.orderBy("doc_id").collect():
@@ -107,7 +121,7 @@ def test_best_fit_plan_is_best_fit_decreasing():
 
 
 def test_packing(docs, empty):
-    e = ChunkEncoder(BYTE, True)
+    e = WordEncoder(BYTE, True)
     rows = packing.pack_documents(docs, BYTE, size=128, keep_ids=True).collect()
     pieces, windows = {}, {}
     for p in rows:
@@ -134,7 +148,7 @@ def test_packed_sequences(docs):
 
 
 def test_token_counts(docs, empty):
-    e = ChunkEncoder(BYTE, True)
+    e = WordEncoder(BYTE, True)
     lengths = sorted(len(e.encode(r.text)) // 4 for r in docs.collect())
     totals = token_counts.length_totals(token_counts.length_histogram(docs, BYTE))
     rows = totals.collect()
