@@ -62,8 +62,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 # Bytes of words: digits, letters (A-Z lowered) and everything beyond ASCII. Other bytes separate.

@@ -14,6 +14,7 @@ bits are a unary bit vector, and every 64th set bit's place is kept so that one
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, partitions, scratch_path
+from ._common import map_arrow, scratch_path
 from .encoding import encoder, rebatched
 
 _HEADER, _EF = struct.Struct("<4sIIQBqII"), struct.Struct("<IBII")
 MAGIC, SELECT_STEP = b"EFID", 64
 #: Tokens in one file row; a longer document has a row of its own.
 RUN_TOKENS = 1 << 20
+#: Bytes of text in a range of doc_ids, and the most ranges; a range is sorted by one task, which may spill.
+RANGE_BYTES, RANGES = 16 << 20, 10_000
+_NULL = np.iinfo(np.int64).min
 
 
 class EliasFano:
@@ -54,9 +58,19 @@ class EliasFano:
         bits = np.unpackbits(self.low[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a]
         return bits.reshape(-1, self.low_bits) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
 
+    def slice(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1: only the bits between the kept places around them are read."""
+        first, after = i // SELECT_STEP, (j - 1) // SELECT_STEP + 1
+        if i >= j:
+            return np.zeros(0, np.int64)
+        start = int(self.samples[first])
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[start // 8 : -(-end // 8)], bitorder="little")) + start // 8 * 8
+        places = places[places >= start][i - first * SELECT_STEP : j - first * SELECT_STEP]
+        return ((places - np.arange(i, j)) << self.low_bits) | self._lows(i, j)
+
     def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((places - np.arange(self.n)) << self.low_bits) | self._lows(0, self.n)
+        return self.slice(0, self.n)
 
     def get(self, i: int) -> int:
         """The i-th value: from the nearest kept place on, set bits are counted."""
@@ -104,17 +118,38 @@ class TokenRun:
         return _HEADER.pack(MAGIC, len(doc_ids), len(doc_ids) - len(known), sum(lengths), width, base, len(names), len(bounds)) + names + bounds + ids
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, blanks: bool = False, width: int = 2) -> DataFrame:
+def range_cuts(docs: DataFrame) -> np.ndarray:
+    """Lower bounds of the ranges of doc_id but the first one, ascending; a doc_id that needs several ranges is repeated
+    (null: the smallest number).  The number of ranges follows the bytes of text."""
+    total, rows, known = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.count("doc_id")).first()
+    n = max(1, min(RANGES, -(-((total or 0) + 8 * rows) // RANGE_BYTES)))
+    nulls = (rows - known) * n // max(rows, 1)
+    rest = n - nulls
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / rest for k in range(1, rest)], 100_000)).first()[0] if rest > 1 and known else []
+    return np.array([_NULL] * nulls + sorted(cuts or []), np.int64)
+
+
+def buckets(cuts: np.ndarray, doc_ids: np.ndarray, spread: list[bytes]) -> np.ndarray:
+    """The range of each document; documents of a doc_id that has several ranges go by a checksum of their ids."""
+    lo, hi = np.searchsorted(cuts, doc_ids, "left"), np.searchsorted(cuts, doc_ids, "right")
+    for i in np.flatnonzero(hi - lo > 1):
+        hi[i] = lo[i] + 1 + zlib.crc32(spread[i]) % (hi[i] - lo[i])
+    return hi
+
+
+def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, blanks: bool = False) -> DataFrame:
     """Encodes whole texts, appends ``end_id`` to each and writes token files in ascending doc_id order to ``path``.
 
     Returns the file rows as read back: (bucket, run, begin, n_docs, n_tokens, raw).  A null text has only its end id;
-    null doc_ids come first; rows of one doc_id are ordered by their ids.  Ranges of doc_id come from the column's
-    quantiles, so one shuffle of the 2-byte ids sorts everything; a range is written as runs of bounded size.
+    null doc_ids come first; rows of one doc_id are in no fixed order, repeated rows each have their place; an empty
+    table gives no rows; other columns don't matter.  Ids have 2 bytes where the vocabulary and ``end_id`` fit them,
+    else 4.  Ranges of doc_id come from the column's quantiles, so one shuffle of the ids sorts everything; a range is
+    written as runs of bounded size.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100_000)).first()[0] or []
-    cuts = np.unique(np.array([c for c in cuts if c is not None], np.int64))[: n - 1]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cuts = range_cuts(docs)
+    width = 2 if max(end_id, encoder(vocabulary, blanks).tokenizer.get_vocab_size() - 1) < 1 << 16 else 4
     dtype, end = f"<u{width}", np.array([end_id], f"<u{width}").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +157,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
         for b in rebatched(batches):
             ids = [np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in enc.encode_all(b.column(1))]
             of = b.column(0)
-            bucket = np.searchsorted(cuts, of.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
+            bucket = buckets(cuts, of.fill_null(_NULL).to_numpy(zero_copy_only=False), ids)
             yield pa.record_batch([pa.array(bucket, pa.int32()), of, pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +181,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
         if names:
             yield flush()
 
-    rows = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), encode, "bucket int, doc_id long, ids binary")
-    rows = rows.repartitionById(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "ids")
+    rows = map_arrow(docs, encode, "bucket int, doc_id long, ids binary")
+    rows = rows.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "ids")
     runs = map_arrow(rows, pack, "bucket int, run int, begin long, n_docs long, n_tokens long, raw binary")
     runs.write.parquet(path)
     return spark.read.schema(runs.schema).parquet(path)
@@ -156,7 +191,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
 def read_token_files(runs: DataFrame) -> DataFrame:
     """Documents of token files: (doc_id, start, n_tokens, ids) with ids as 32-bit little-endian integers.
 
-    The driver holds one number for each range, of which there are as many as shuffle partitions.
+    The driver holds one number for each range, of which there are RANGES at most.
     """
     totals = {r[0]: r[1] for r in runs.groupBy("bucket").agg(F.sum("n_tokens")).collect()}
     starts, at = {}, 0
@@ -167,13 +202,14 @@ def read_token_files(runs: DataFrame) -> DataFrame:
         for b in batches:
             for bucket, begin, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 run = TokenRun(raw)
-                bounds = run.bounds.all()
-                names = [None] * run.nulls + (run.doc_ids.all() + run.base).tolist()
-                ids = run.ids.astype("<u4")
                 for i in range(0, run.n, 2000):
                     j = min(run.n, i + 2000)
-                    each = [ids[x:y].tobytes() for x, y in zip(bounds[i:j], bounds[i + 1 : j + 1], strict=True)]
-                    yield pa.record_batch([pa.array(names[i:j], pa.int64()), pa.array(bounds[i:j] + (starts[bucket] + begin)), pa.array(np.diff(bounds[i : j + 1])), pa.array(each, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    bounds = run.bounds.slice(i, j + 1)
+                    names = [None] * (min(j, run.nulls) - min(i, run.nulls)) + (run.doc_ids.slice(max(i - run.nulls, 0), max(j - run.nulls, 0)) + run.base).tolist()
+                    ids = run.ids[bounds[0] : bounds[-1]].astype("<u4").tobytes()
+                    at = (4 * (bounds - bounds[0])).tolist()
+                    each = [ids[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+                    yield pa.record_batch([pa.array(names, pa.int64()), pa.array(bounds[:-1] + (starts[bucket] + begin)), pa.array(np.diff(bounds)), pa.array(each, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return map_arrow(runs.select("bucket", "begin", "raw"), decode, "doc_id long, start long, n_tokens long, ids binary")
 
