@@ -6,23 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, materialize, partitions
+from ._common import map_arrow, materialize
 
 #: Size-weighted key samples drawn over the whole table; the bound of what the driver sorts.
 SAMPLES = 20_000
+#: Records in a range, on average, and the most ranges; a range is sorted by one task, which may spill.
+RANGE_ROWS, RANGES = 1_000_000, 10_000
 
 
-def record_sizes(docs: DataFrame) -> DataFrame:
+def record_sizes(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, size, text_crc32, key): UTF-8 bytes of the text plus 1 (null: 1), and a hash of the text to range over.
 
     Equal texts lie together in key order; ``doc_id`` orders them, so a large group of copies can be cut anywhere.
     """
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.xxhash64(text).alias("key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.xxhash64(text).alias("key"), *more)
 
 
 def draw_splitters(records: DataFrame, ranges: int, seed: int = 7) -> np.ndarray:
@@ -60,15 +62,15 @@ def assign_ranges(records: DataFrame, splitters: np.ndarray) -> DataFrame:
 
 
 def assign_shards(records: DataFrame, shards: int) -> DataFrame:
-    """Adds (shard, slot) to (doc_id, size, text_crc32, key): contiguous key ranges of near equal bytes, slots gapless.
+    """Adds (shard, slot) to (doc_id, size, text_crc32, key[, row]): contiguous key ranges of near equal bytes, slots
+    gapless.  A column ``row`` is carried along.
 
     Many more ranges than shards are drawn from the sample.  Their exact bytes place every range on the axis of all
     bytes; a range over a shard boundary is overfull for either side and is subdivided at that byte by a running sum
     inside the range.  So a shard differs from the mean by one record at most, whatever the sample was.  The driver
     gets one pair of numbers for each range.
     """
-    spark = records.sparkSession
-    ranges = max(16 * shards, 4 * partitions(spark))
+    ranges = max(16 * shards, min(RANGES, -(-records.count() // RANGE_ROWS)))
     placed = materialize(assign_ranges(records, draw_splitters(records, ranges)), "ranges")
     sums = {r[0]: (r[1], r[2]) for r in placed.groupBy("bucket").agg(F.sum("size"), F.count("*")).collect()}
     total, first, at, n = sum(x for x, _ in sums.values()), np.zeros(ranges + 1, np.int64), 0, 0
@@ -87,13 +89,13 @@ def assign_shards(records: DataFrame, shards: int) -> DataFrame:
             middle = 2 * (first[k] + b.column("upto").to_numpy(zero_copy_only=False)) - size
             shard = np.array([int(m) * shards // (2 * total) for m in middle], np.int32)
             rank = rows[k] + b.column("nth").to_numpy(zero_copy_only=False) - 1
-            keep = [b.column(n) for n in ("doc_id", "size", "text_crc32")]
-            yield pa.record_batch([*keep, pa.array(shard, pa.int32()), pa.array(rank, pa.int64())], ["doc_id", "size", "text_crc32", "shard", "rank"])
+            yield pa.record_batch([*[b.column(n) for n in names], pa.array(shard, pa.int32()), pa.array(rank, pa.int64())], [*names, "shard", "rank"])
 
-    cuts = map_arrow(ranked, cut, "doc_id long, size long, text_crc32 long, shard int, rank long")
+    names = [n for n in records.columns if n != "key"]
+    cuts = map_arrow(ranked, cut, ", ".join(f"`{n}` {t}" for n, t in records.dtypes if n != "key") + ", shard int, rank long")
     cuts = materialize(cuts, "shards")
     begins = F.broadcast(cuts.groupBy("shard").agg(F.min("rank").alias("begin")))  # one row for each shard
-    return cuts.join(begins, "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.col("begin")).alias("slot"))
+    return cuts.join(begins, "shard").select(*names, "shard", (F.col("rank") - F.col("begin")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -107,7 +109,12 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """The records themselves, one folder for each shard, sorted by slot.  Rows need distinct doc_ids."""
-    placed = shard_documents(docs, shards).select("doc_id", "shard", "slot")
-    rows = docs.join(placed, "doc_id")
-    rows.repartitionByRange(max(shards, partitions(docs.sparkSession)), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Every row of ``docs`` with its columns and ``slot``, one folder for each shard, sorted by slot.
+
+    Rows travel with their sizes, so null and repeated doc_ids and repeated rows are all written once.  Columns named
+    shard or slot are replaced; an empty table writes an empty folder.
+    """
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    placed = assign_shards(record_sizes(docs, F.struct(*own).alias("row")), shards)
+    rows = placed.select("row.*", "shard", "slot")
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
