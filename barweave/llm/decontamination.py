@@ -137,9 +137,13 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, spans: b
     an empty benchmark leaves every document clean.  The index of a block of items is broadcast: its size is bounded by
     INDEX_BYTES of text.  With several blocks, the hits of each go to the shared folder and are joined by document.
     """
-    spark, found = docs.sparkSession, []
-    docs = docs.select("doc_id", "text")
-    indexes = []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("key"))
+    return _hits(rows, items, window, spans).drop("key")
+
+
+def _hits(docs: DataFrame, items: DataFrame, window: int, spans: bool) -> DataFrame:
+    """``benchmark_hits`` of (doc_id, text, key) with the key."""
+    spark, indexes = docs.sparkSession, []
     for block in _blocks(items):
         index = WindowIndex(block, window)
         codes = index.vocabulary()
@@ -147,24 +151,22 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, spans: b
         indexes.append(spark.sparkContext.broadcast(index))
     if len(indexes) == 1:
         return _one_block(docs, indexes[0], spans)
-    keyed = docs.withColumn("key", F.sha2(F.to_json(F.struct("doc_id", "text")), 256))
-    for index in indexes:
-        found.append(materialize(_block_hits(keyed, index), "benchmark-hits"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    every = every.groupBy("key").agg(F.collect_set("begin_end").alias("at"), F.collect_set("item").alias("items"))
-    counted = keyed.select("doc_id", "key", "text").join(every, "key", "left").drop("key")
-    return _from_blocks(counted, spans)
+    hashed = docs.withColumn("text_key", F.sha2("text", 256))
+    every = _block_hits(hashed, indexes[0])
+    for index in indexes[1:]:
+        every = every.unionByName(_block_hits(hashed, index))
+    every = materialize(every, "benchmark-hits").distinct()
+    every = every.groupBy("text_key").agg(F.collect_set("begin_end").alias("at"), F.collect_set("item").alias("items"))
+    return _from_blocks(hashed.join(every, "text_key", "left"), spans)
 
 
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-_NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+_NAMES = ["doc_id", "key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+_SCHEMA = "doc_id long, key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _rows(doc_ids: pa.Array, rows: list[tuple], spans: list[list] | None) -> pa.RecordBatch:
-    arrays = [doc_ids, *[pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES[1:])]]
+def _rows(names: list[pa.Array], rows: list[tuple], spans: list[list] | None) -> pa.RecordBatch:
+    arrays = [*names, *[pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)]]
     if spans is None:
         return pa.record_batch(arrays, _NAMES)
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -187,9 +189,9 @@ def _one_block(docs: DataFrame, index: Broadcast, spans: bool) -> DataFrame:
                 n_hit, n_items, sha = _digest(len(words), at, [ix.items[k] for _, _, w in hits for k in ix.owners[w]])
                 rows.append((len(words), n_hit, n_items, sha, n_hit > 0))
                 places.append(at)
-            yield _rows(b.column(0), rows, places if spans else None)
+            yield _rows([b.column(0), b.column(2)], rows, places if spans else None)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), scan, _out(spans))
+    return map_arrow(docs.select("doc_id", "text", "key"), scan, _out(spans))
 
 
 def _block_hits(keyed: DataFrame, index: Broadcast) -> DataFrame:
@@ -203,30 +205,34 @@ def _block_hits(keyed: DataFrame, index: Broadcast) -> DataFrame:
                         keys.append(key)
                         at.append(begin << 32 | end)
                         names.append(ix.items[k])
-            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(at, pa.int64()), pa.array(names, pa.string())], ["key", "begin_end", "item"])
+            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(at, pa.int64()), pa.array(names, pa.string())], ["text_key", "begin_end", "item"])
 
-    return map_arrow(keyed.select("key", "text"), scan, "key string, begin_end long, item string").distinct()
+    return map_arrow(keyed.select("text_key", "text"), scan, "text_key string, begin_end long, item string")
 
 
 def _from_blocks(joined: DataFrame, spans: bool) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, places = [], []
-            for text, at, names in zip(utf8(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for text, at, names in zip(utf8(b.column(1)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 n, own = len(alnum_words(text)), [(x >> 32, x & 0xFFFFFFFF) for x in at or ()]
                 n_hit, n_items, sha = _digest(n, own, names or [])
                 rows.append((n, n_hit, n_items, sha, n_hit > 0))
                 places.append(own)
-            yield _rows(b.column(0), rows, places if spans else None)
+            yield _rows([b.column(0), b.column(2)], rows, places if spans else None)
 
-    return map_arrow(joined.select(F.col("doc_id").cast("long"), "text", "at", "items"), digest, _out(spans))
+    return map_arrow(joined.select("doc_id", "text", "key", "at", "items"), digest, _out(spans))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """Documents without a benchmark window, with all their columns.
 
-    The doc_ids to drop are written first, so that the join sees their size and moves no texts while they are few.
+    Rows are judged by their own texts: rows of one doc_id, or without one, with other texts stay.  Texts of null and
+    empty documents and an empty benchmark drop nothing; names of other columns don't matter.  Names of the rows to drop
+    are written first, so that the join sees their size and moves no texts while they are few.
     """
-    hits = materialize(benchmark_hits(docs, items, window).where("contaminated").select("doc_id").distinct(), "contaminated")
+    key = F.xxhash64("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
+    hits = materialize(_hits(rows, items, window, False).where("contaminated").select("doc_id", "key").distinct(), "contaminated")
     hits = if_small(hits)
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "left_anti")
+    return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["doc_id"]) & (F.xxhash64(docs["text"]) == hits["key"]), "left_anti")
