@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal numbers and dates, in DataFrame functions only.
 
-A keyed Feistel network permutes each validated value inside its format: the pseudonym has the same length, separators
-and check digits, equal values get equal pseudonyms in every document, and different values stay different.  Card
+A keyed Feistel network permutes each validated value inside its format: the pseudonym has the same separators and
+valid check digits, equal values get equal pseudonyms in every document, and different values stay different.  Numbers
+keep their length; octets of IPv4 addresses and days and months of one digit may get more or fewer digits.  Card
 numbers, IBANs, social security numbers, dates, IPv4 addresses and phone numbers are permuted; e-mail addresses and
 secrets have no fixed format and get a keyed digest.  What fails its validation (a Luhn sum, an octet over 255, a 31st
 of February) isn't personal and stays.
@@ -46,6 +47,11 @@ IBAN_LENGTHS = {
     }.items()
 }
 
+#: Country codes of two digits; 1 and 7 have one, the others three.
+TWO_DIGIT_CODES = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once."""
@@ -203,21 +209,26 @@ def _day_date(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The digits of an international prefix stay; 7 to 15 digits in all."""
-    prefix = F.length(F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .\-(])", 1))
-    kept = F.when(prefix > 0, prefix).when(F.startswith(m, F.lit("+")), F.lit(1)).otherwise(F.lit(0))
+    """The country's code, and a (0) after it, stay; the national digits are permuted, 7 to 15 digits in all.
+
+    A number without a code is North American, so that it gets the pseudonym of its international form; blanks, marks
+    and brackets stay where they are and don't matter.
+    """
+    plus = F.startswith(m, F.lit("+"))
 
     def swap(d: Column) -> Column:
-        n = F.length(d)
+        code = F.when(d.rlike("^[17]"), 1).when(F.substr(d, F.lit(1), F.lit(2)).isin(TWO_DIGIT_CODES), 2).otherwise(3)
+        kept = F.when(~plus, 0).otherwise(code + m.rlike(r"^\+\d{1,3}[ .\-]?\(0\)").cast("int"))
         mixed = F.concat(F.substr(d, F.lit(1), kept), permute_digits(F.substr(d, kept + 1), key, "phone"))
-        return F.when(n.between(7, 15), fill_digits(m, mixed))
+        return F.when(F.length(d).between(7, 15), fill_digits(m, mixed))
 
     return let(_only_digits(m), swap)
 
 
 def _email(m: Column, key: str) -> Column:
+    """104 bits of a digest: no two of 2 ** 40 addresses are likely to meet."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256)
-    return F.concat(F.lit("u"), F.substring(digest, 1, 12), F.lit("@mail.invalid"))
+    return F.concat(F.lit("u"), F.substring(digest, 1, 26), F.lit("@mail.invalid"))
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -328,7 +339,9 @@ def pseudonym(match: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with the personal values of ``column`` replaced, and ``n_replaced``, how many were.
 
-    Other columns and the number of rows stay.  A null text stays null with 0 replaced; an empty one stays empty.
+    Other columns and the number of rows stay; repeated rows are replaced alike; an empty table gives no rows.  A null
+    text stays null with 0 replaced; an empty one stays empty.  Where two kinds could take a match, the earlier of KINDS
+    takes it.
     Texts without a digit or @ aren't searched: every kind has one.  Columns of the input named ``n_replaced`` are
     replaced.
     """

@@ -78,6 +78,8 @@ def test_elias_fano_round_trip():
         e = token_files.EliasFano.from_bytes(token_files.EliasFano.of(v).to_bytes())
         assert e.all().tolist() == v.tolist()
         assert [e.get(i) for i in range(0, n, max(1, n // 97))] == v[:: max(1, n // 97)].tolist()
+        for i, j in [(0, n), (n // 3, n // 2), (n - 1, n), (0, 0), (n // 2, min(n, n // 2 + 65))]:
+            assert e.slice(i, j).tolist() == v[i:j].tolist()
     assert len(token_files.EliasFano.of(np.arange(0, 10**6, 600)).to_bytes()) * 8 / 1667 < 16
 
 
@@ -100,6 +102,29 @@ def test_token_files_with_null_and_repeated_ids(spark):
     assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
 
 
+def test_ranges_of_hot_doc_ids(spark, monkeypatch):
+    """Nulls and one doc_id hold most rows: they are spread over ranges, and the files still ascend."""
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 40)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"w{i} x", i) for i in range(90)] + [(None, None, 1)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, bucket long")
+    runs = token_files.write_token_files(d, WORD, token_files.scratch_path(spark, "hot"))
+    assert runs.groupBy("bucket").agg(F.sum("n_docs").alias("n")).agg(F.max("n")).first()[0] < 20
+    got = token_files.read_token_files(runs).orderBy("start").collect()
+    names = [r.doc_id for r in got]
+    assert names == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    e = WordEncoder(WORD, False)
+    want = Counter((n, e.encode(t) + np.array([2], "<u4").tobytes()) for n, t, _ in rows)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == want
+
+
+def test_wide_ids_get_four_bytes(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    runs = token_files.write_token_files(d, WORD, token_files.scratch_path(spark, "wide"), end_id=70_000)
+    ids = np.frombuffer(token_files.read_token_files(runs).first().ids, "<u4").tolist()
+    assert ids == [*WordEncoder(WORD, False).tokenizer.encode("a b").ids, 70_000]
+
+
 def test_best_fit_plan_is_best_fit_decreasing():
     r = random.Random(1)
     for _ in range(30):
@@ -203,6 +228,19 @@ def test_decontamination(spark, monkeypatch, index_bytes):
     assert decontamination.benchmark_hits(docs.limit(0), bench).collect() == []
 
 
+def test_contaminated_rows_are_judged_by_their_own_texts(spark, monkeypatch):
+    hit, long = "one two three four five six seven eight nine ten", "word " * 200_000
+    rows = [(None, hit), (None, "clean"), (1, hit), (1, "clean"), (2, "x"), (3, None), (4, ""), (5, long), (6, long + hit), (7, hit), (7, hit)]
+    d = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string")
+    items = spark.createDataFrame([(1, hit + " eleven"), (2, "qq ww ee rr tt yy uu ii oo pp aa")], "item_id long, text string")
+    for size in (2 << 20, 30):
+        monkeypatch.setattr(decontamination, "INDEX_BYTES", size)
+        got = [(r.doc_id, r.n_words, r.n_hit) for r in decontamination.benchmark_hits(d, items).collect()]
+        assert Counter(got) == Counter((i, len((t or "").split()), 10 if t and hit in t else 0) for i, t in rows)
+        kept = decontamination.drop_contaminated(d, items)
+        assert kept.columns == d.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(r for r in rows if hit not in (r[1] or ""))
+
+
 def brute_components(texts, percent, n):
     sets = {}
     for d, t in texts:
@@ -303,6 +341,17 @@ def test_sharding(docs, empty, spark):
     assert sharding.shard_documents(empty).collect() == []
 
 
+def test_shards_hold_every_row_once(spark):
+    rows = [(1, "a", 5), (1, "b", 6), (None, "c", 7), (None, None, 8), (2, "d" * 100_000, 9), (3, "", 1), (3, "", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, slot long")
+    path = token_files.scratch_path(spark, "out")
+    sharding.write_shards(d, path, 3)
+    got = spark.read.parquet(path).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(r[:2] for r in rows)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def py_luhn(d):
     return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
@@ -382,6 +431,17 @@ def test_cards_and_ibans_among_other_groups(spark):
             assert got[i] == (want, n), t
 
 
+def test_phone_numbers_are_linked_across_spellings(spark):
+    spellings = ["+49 30 12345678", "+493012345678", "+49-30-1234-5678", "+49 (0)30 12345678", "+1 (743) 555-3824", "743-555-3824", "(743) 555-3824", "+17435553824", "+351 912 345 678", "+351912345678"]
+    d = spark.createDataFrame([(i, f"call {t}") for i, t in enumerate(spellings)] + [(90, f"{spellings[0]}, {spellings[1]}")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymize(d, "k").collect()}
+    digits = ["".join(c for c in got[i] if c.isdigit()) for i in range(len(spellings))]
+    assert digits[0] == digits[1] == digits[2] == digits[3].replace("490", "49", 1) and digits[0].startswith("49") and digits[0] != "493012345678"
+    assert digits[4] == digits[7] == "1" + digits[5] and digits[5] == digits[6] != "7435553824" and digits[8] == digits[9]
+    assert all(len(got[i]) == len(f"call {t}") for i, t in enumerate(spellings))
+    assert "".join(c for c in got[90] if c.isdigit()) == 2 * digits[0]
+
+
 def test_secrets_are_replaced_to_their_end(spark):
     long, dotted = "a1B2c3D4e5" * 30, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3.Sfl-KxwRJS_M"
     values = [long, dotted, "YWJjZGVmZ2hpamtsbW5vcDEyMw==", "x" * 250 + "7", "key=abcdefgh1234.z9"]
