@@ -3,11 +3,12 @@
 1. Rows of one shingle set are one set, whatever their doc_ids; a set is a node.
 2. Sets that agree in two of three min-hashes meet in parts of bounded size; what an exact comparison links there is
    one component so far.  In every part of a hot sketch sits the same anchor, so that a large cluster of near copies
-   becomes one component at linear cost.  Each component is partitioned into groups of bounded size.
+   becomes one component at linear cost.  Components, and crowds of single sets that share a token and have about the
+   same size, are partitioned into groups of bounded size.
 3. The token-group matrix is kept as rows (token, group): a group is filed under the union of its members' prefixes,
    where shingles are ordered by rarity (counted over all documents in bounded hashed counts; any one order that all
    sets share gives the same links).  A set x has a prefix of |x| - ceil(t|x|) + 1 shingles; sets with J >= t share one.
-4. Sets are queries against groups of other components.  Common prefix tokens, summed over the matrix, bound a query's
+4. Sets are queries against groups with sets of other components.  Common prefix tokens, summed over the matrix, bound a query's
    overlap with every member of a group; only groups whose bound reaches the threshold are opened, and their members
    are compared exactly.
 """
@@ -26,7 +27,9 @@ from ._common import Scratch, if_small, map_arrow
 from .shingles import distinct, mix, shingle_codes, shingle_sets, slabs, word_codes
 
 #: Sets and shingles of a part or of a block of queries, on average.
-PART, PART_SHINGLES = 32, 200_000
+PART, PART_SHINGLES = 128, 200_000
+#: So many single sets under one token are put into groups.
+CROWD = 8
 #: Hashed counts of shingles: their number is fixed, so is what the driver gets and sends.
 COUNT_BITS = 18
 #: Token columns compared at once.
@@ -226,14 +229,6 @@ def _followed(labels: DataFrame | None, linked: DataFrame, scratch: Scratch) ->
     return new
 
 
-def grouped(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, group): components cut into groups of about PART sets; a group is named by its smallest node."""
-    own = labels.join(sets.select("node", "n_shingles"), "node")
-    sizes = own.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n_shingles") / PART_SHINGLES)).cast("long").alias("parts"))
-    dealt = own.join(sizes, "head").select("node", "head", F.pmod(F.xxhash64("node"), "parts").alias("part"))
-    return dealt.select("node", F.min("node").over(W.partitionBy("head", "part")).alias("group"))
-
-
 def need(n: Column, m: Column, percent: int) -> Column:
     """Common prefix tokens that sets of n and m shingles have at least if they link."""
     overlap = F.ceil((n + m) * percent / (100 + percent))
@@ -241,23 +236,43 @@ def need(n: Column, m: Column, percent: int) -> Column:
     return F.greatest(overlap - rest, F.lit(1))
 
 
-def qualifying(sets: DataFrame, labels: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(node, group) pairs that are to be opened: of different components, and within the bound of common tokens.
+def _groups(own: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(node, group): components, and crowds of single sets that have a token and about their size in common, are cut
+    into groups of about PART sets; a group is named by its smallest node.  What isn't named is a group of its own."""
+    crowd = shared.where(F.col("singles") >= CROWD).join(own.where("of.weight = 1").select("node", "n_shingles"), "node")
+    crowd = crowd.groupBy("node", "n_shingles").agg(F.max_by("token", F.struct("singles", "token")).alias("key"))
+    classes = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent))).cast("long")
+    crowd = crowd.select("node", "n_shingles", "key", classes.alias("class"))
+    linked = own.where("of.weight > 1").select("node", "n_shingles", F.col("of.head").alias("key"), F.lit(-1).cast("long").alias("class"))
+    every = linked.union(crowd)
+    sizes = every.groupBy("key", "class").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n_shingles") / PART_SHINGLES)).cast("long").alias("parts"))
+    dealt = every.join(sizes, ["key", "class"]).select("node", "key", "class", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    return dealt.select("node", F.min("node").over(W.partitionBy("key", "class", "part")).alias("group"))
+
+
+def qualifying(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, group, n) pairs that are to be opened, and (node, group) of the sets in groups of several.
 
-    ``labels``: (node, head) of components; ``groups``: (node, group) inside them.  What isn't named is alone.  A query belongs to the smaller of two components, so the sets of a large one are asked nothing.
+    ``labels``: (node, head) of components; what isn't named is alone.  A pair is within the bound of common tokens, and
+    the group has a member of another component under one of them.  A set asks for sets of larger components (ties: of
+    the larger name) only, so the sets of a large component are asked about, not asking.
     """
     sizes = labels.groupBy("head").agg(F.count("*").alias("weight"))
-    own = sets.select("node", "n_shingles").join(labels.join(sizes, "head"), "node", "left").join(groups, "node", "left")
-    own = own.select("node", "n_shingles", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), F.coalesce("head", "node").alias("head")).alias("of"), F.coalesce("group", "node").alias("group"))
+    own = sets.select("node", "n_shingles").join(labels.join(sizes, "head"), "node", "left")
+    own = own.select("node", "n_shingles", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), F.coalesce("head", "node").alias("head")).alias("of"))
     own = scratch.keep(own, "own")
     listed = sets.select("node", F.explode("prefix").alias("token"))
-    filed = listed.join(own.select("node", "of.head"), "node").groupBy("token").agg(F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo <> hi").select("token")
-    shared = scratch.keep(listed.join(filed, "token").select("token", "node"), "shared")
-    matrix = scratch.keep(shared.join(own.select("node", "of", "group"), "node").select("token", "group", "of").distinct(), "matrix")
+    singles = F.count(F.when(F.col("of.weight") == 1, 1)).alias("singles")
+    filed = listed.join(own.select("node", "of"), "node").groupBy("token").agg(F.min("of.head").alias("lo"), F.max("of.head").alias("hi"), singles)
+    shared = scratch.keep(listed.join(filed.where("lo <> hi").select("token", "singles"), "token").select("token", "node", "singles"), "shared")
+    groups = scratch.keep(_groups(own, shared, percent), "groups")
+    placed = own.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    matrix = shared.join(placed.select("node", "of", "group"), "node").groupBy("token", "group").agg(F.max("of").alias("of"))
+    matrix = scratch.keep(matrix, "matrix")
     largest = matrix.groupBy("token").agg(F.max("of").alias("largest"))
     asked = shared.join(own.select("node", "of", "n_shingles"), "node").join(largest, "token").where("of < largest")
     asked = asked.select("token", "node", F.col("of").alias("q_of"), F.col("n_shingles").alias("n"))
-    extent = own.groupBy("group").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    extent = placed.groupBy("group").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     met = asked.join(matrix.join(extent, "group"), "token").where("q_of < of")
     met = met.where(f"most * 100 >= n * {percent} and least * {percent} <= n * 100")
     n = F.col("n")
@@ -266,12 +281,30 @@ def qualifying(sets: DataFrame, labels: DataFrame, groups: DataFrame, percent: i
     pairs = met.groupBy("node", "group", "n", "least", "most").agg(F.count("*").alias("common")).where(F.col("common") >= bound)
     pairs = scratch.keep(pairs.select("node", "group", "n"), "pairs")
     scratch.drop(own, shared, matrix)
-    return pairs
+    return pairs, groups
+
+
+def spanning(found: np.ndarray, left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """As few of the found pairs of left and right nodes as connect the same nodes."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    out = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(found)), strict=True):
+        x, y = top(left[i]), top(right[j])
+        if x != y:
+            root[x] = y
+            out.append((left[i], right[j]))
+    return out
 
 
 def _opened(docs: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
-    """(x, y): for each qualifying group, the queries that link with a member, with one such member each."""
-    sizes = pairs.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / (8 * PART)), F.ceil(F.sum("n") / PART_SHINGLES)).cast("long").alias("blocks"))
+    """(x, y): for each qualifying group, links that connect its queries with the members that they link with."""
+    sizes = pairs.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / (2 * PART)), F.ceil(F.sum("n") / PART_SHINGLES)).cast("long").alias("blocks"))
     asked = pairs.join(sizes, "group").select("group", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", F.lit(True).alias("query"))
     members = groups.join(sizes, "group")
     alone = sizes.join(groups.select("group").distinct(), "group", "left_anti").select("group", F.col("group").alias("node"), "blocks")
@@ -283,11 +316,9 @@ def _opened(docs: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFram
         query = np.array(block["query"])
         if query.all() or not query.any():
             return []
-        each, nodes = shingle_sets(pa.array(block["text"]), shingle), np.array(block["node"])
-        q, m = np.flatnonzero(query), np.flatnonzero(~query)
-        found = similar([each[i] for i in q], [each[i] for i in m], percent)
-        some = np.flatnonzero(found.any(axis=1))
-        return list(zip(nodes[q[some]].tolist(), nodes[m[found[some].argmax(axis=1)]].tolist(), strict=True))
+        each, nodes = shingle_sets(pa.array(block["text"]), shingle), block["node"]
+        q, m = np.flatnonzero(query).tolist(), np.flatnonzero(~query).tolist()
+        return spanning(similar([each[i] for i in q], [each[i] for i in m], percent), [nodes[i] for i in q], [nodes[i] for i in m])
 
     edges = scratch.keep(blocks(rows.join(texts, "node").select("group", "block", "node", "query", "text"), ["group", "block"], link, "x long, y long"), "edges")
     scratch.drop(rows, texts)
@@ -320,6 +351,18 @@ def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     return labels.select(F.col("node.id").alias("node"), F.col("root.id").alias("root"))
 
 
+def _linked(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels after (x, y) edges between sets of different components."""
+    head = lambda c: labels.select(F.col("node").alias(c), F.col("head").alias(f"{c}_head"))
+    of = edges.join(head("x"), "x", "left").join(head("y"), "y", "left").select(F.coalesce("x_head", "x").alias("x"), F.coalesce("y_head", "y").alias("y"))
+    roots = connected(of, scratch)
+    new = labels.join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("node", F.coalesce("root", "head").alias("head"))
+    alone = roots.select("node", F.col("root").alias("head")).join(labels.select("node"), "node", "left_anti")
+    new = scratch.keep(new.union(alone), "labels")
+    scratch.drop(labels, edges)
+    return new
+
+
 def _components(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """(doc_id, hash, n_shingles, a, b, component, least): ``component`` names the component of a row's set and
     ``least`` is the smallest doc_id in it."""
@@ -334,17 +377,13 @@ def _components(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     labels = None
     for key in SKETCHES:
         labels = _followed(labels, _merged(docs, sets, labels, key, percent, shingle, scratch), scratch)
-    groups = scratch.keep(grouped(sets, labels), "groups")
-
-    pairs = qualifying(sets, labels, groups, percent, scratch)
+    pairs, groups = qualifying(sets, labels, percent, scratch)
     edges = _opened(docs, sets, groups, pairs, percent, shingle, scratch)
-    head = lambda c: labels.select(F.col("node").alias(c), F.col("head").alias(f"{c}_head"))
-    edges = edges.join(head("x"), "x", "left").join(head("y"), "y", "left").select(F.coalesce("x_head", "x").alias("x"), F.coalesce("y_head", "y").alias("y"))
-    roots = connected(edges, scratch)
-    final = classes.join(labels, "node", "left").withColumn("head", F.coalesce("head", "node"))
-    final = final.join(roots.withColumnRenamed("node", "head"), "head", "left").select("a", "b", "n_shingles", "least", F.coalesce("root", "head").alias("component"))
+    scratch.drop(groups, pairs)
+    labels = _linked(labels, edges, scratch)
+    final = classes.join(labels, "node", "left").select("a", "b", "n_shingles", "least", F.coalesce("head", "node").alias("component"))
     final = scratch.keep(final, "components")
-    scratch.drop(sets, groups, labels, pairs, classes)
+    scratch.drop(sets, labels, classes)
     smallest = final.groupBy("component").agg(F.min("least").alias("least"), F.count("*").alias("sets"))
     final = final.drop("least").join(smallest, "component")
     return rows.drop("row").join(final, ["a", "b", "n_shingles"], "left")

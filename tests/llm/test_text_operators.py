@@ -299,11 +299,36 @@ def test_groups_are_opened_only_within_their_bound(spark):
         rows.append((i, len(s), [x - (1 << 63) for x in prefix]))
     d = spark.createDataFrame(rows, "node long, n_shingles long, prefix array<long>")
     none = spark.createDataFrame([], "node long, head long")
-    pairs = {(x.node, x.group) for x in ngram_join.qualifying(d, none, none.withColumnRenamed("head", "group"), 90, ngram_join.Scratch(spark)).collect()}
+    pairs, groups = ngram_join.qualifying(d, none, 90, ngram_join.Scratch(spark))
+    group = {x.node: x.group for x in groups.collect()}
+    pairs = {(x.node, x.group) for x in pairs.collect()}
+    assert max(Counter(group.values()).values()) > 2  # crowds share the passage's tokens
     both = ngram_join.overlaps(sets, sets)
     links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * both[i, j] >= 90 * (len(sets[i]) + len(sets[j]) - both[i, j])}
-    shared = sum(bool(set(rows[i][2]) & set(rows[j][2])) for i in range(len(rows)) for j in range(i + 1, len(rows)))
-    assert len(links) >= 10 and links <= {tuple(sorted(p)) for p in pairs} and len(pairs) < shared
+    of = lambda i: group.get(i, i)
+    assert len(links) >= 10 and all((i, of(j)) in pairs or (j, of(i)) in pairs for i, j in links)
+    tokens = {}
+    for i in range(len(rows)):
+        tokens.setdefault(of(i), set()).update(rows[i][2])
+    meet = {(i, g) for i in range(len(rows)) for g, t in tokens.items() if t & set(rows[i][2]) and t != set(rows[i][2])}
+    assert pairs <= meet and len(pairs) < len(meet) / 2  # the bound rejects most groups that share a token
+
+
+def test_spanning_links_connect_what_the_found_ones_do():
+    r = np.random.default_rng(2)
+    for _ in range(20):
+        found, left, right = r.random((9, 7)) < 0.15, r.permutation(30)[:9].tolist(), r.permutation(30)[:7].tolist()
+        every = [(left[i], right[j]) for i, j in zip(*np.nonzero(found), strict=True)]
+
+        def parts(edges):
+            root = {x: x for x in range(30)}
+            for _ in range(30):
+                for x, y in edges:
+                    root[x] = root[y] = min(root[x], root[y])
+            return root
+
+        few = ngram_join.spanning(found, left, right)
+        assert set(few) <= set(every) and parts(few) == parts(every) and len(few) <= 15
 
 
 def test_jaccard_edges(spark, empty):
