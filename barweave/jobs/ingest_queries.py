@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,15 @@ from barweave.registry import query
 from barweave.sources.events import BARS, GRID, TICKS, bars, bars_cte, grid, rates, ticks
 
 OHLCV = "open high low close volume"
-MID = "2024-01-16"
+#: The day in the middle of the bars, in SQL.
+MID = "(SELECT date_trunc('day', make_timestamp((epoch_us(min(bar_ts)) + epoch_us(max(bar_ts))) // 2)) FROM bars)"
+
+
+def middle(b: DataFrame) -> Column:
+    """The day in the middle of the bars."""
+    ends = b.agg(F.unix_micros(F.min("bar_ts")), F.unix_micros(F.max("bar_ts"))).first()
+    return F.date_trunc("day", F.timestamp_micros(F.lit(((ends[0] or 0) + (ends[1] or 0)) // 2)))
+
 
 
 def source_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,29 +48,29 @@ def io2_purge_other_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BARS}, old AS (SELECT * FROM bars WHERE bar_ts < '{MID}'), batch AS (SELECT symbol, bar_ts, open, high, low, close + 1 AS close,
-    CASE WHEN hour(bar_ts) % 2 = 0 THEN volume END AS volume FROM bars WHERE bar_ts >= TIMESTAMP '{MID}' - INTERVAL 3 DAY)
+    f"""WITH {BARS}, old AS (SELECT * FROM bars WHERE bar_ts < {MID}), batch AS (SELECT symbol, bar_ts, open, high, low, close + 1 AS close,
+    CASE WHEN hour(bar_ts) % 2 = 0 THEN volume END AS volume FROM bars WHERE bar_ts >= {MID} - INTERVAL 3 DAY)
     SELECT * FROM old UNION ALL SELECT * REPLACE (coalesce(volume, 0) AS volume) FROM batch b WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.symbol = b.symbol AND o.bar_ts = b.bar_ts)""",
     OHLCV,
     "bar_ts",
 )
 def io3_append_new_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
-    old = b.where(F.col("bar_ts") < F.lit(MID).cast("timestamp"))
-    batch = b.where(F.col("bar_ts") >= F.lit(MID).cast("timestamp") - F.expr("INTERVAL 3 DAYS"))
+    old = b.where(F.col("bar_ts") < middle(b))
+    batch = b.where(F.col("bar_ts") >= middle(b) - F.expr("INTERVAL 3 DAYS"))
     batch = batch.withColumns({"close": F.col("close") + 1, "volume": F.when(F.hour("bar_ts") % 2 == 0, F.col("volume"))})
     return S.append_new_bars(old, batch)
 
 
 @query(
-    f"WITH {BARS} SELECT symbol, bar_ts, CASE WHEN bar_ts >= TIMESTAMP '{MID}' - INTERVAL 3 DAY THEN close + 1 ELSE close END AS close, CASE WHEN bar_ts >= TIMESTAMP '{MID}' - INTERVAL 3 DAY THEN 2 ELSE 1 END AS version FROM bars",
+    f"WITH {BARS} SELECT symbol, bar_ts, CASE WHEN bar_ts >= {MID} - INTERVAL 3 DAY THEN close + 1 ELSE close END AS close, CASE WHEN bar_ts >= {MID} - INTERVAL 3 DAY THEN 2 ELSE 1 END AS version FROM bars",
     "close",
     "bar_ts",
     "version",
 )
 def io4_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir).select("symbol", "bar_ts", "close")
-    batch = b.where(F.col("bar_ts") >= F.lit(MID).cast("timestamp") - F.expr("INTERVAL 3 DAYS"))
+    batch = b.where(F.col("bar_ts") >= middle(b) - F.expr("INTERVAL 3 DAYS"))
     return S.upsert_latest(b.withColumn("version", F.lit(1)), batch.select("symbol", "bar_ts", (F.col("close") + 1).alias("close"), F.lit(2).alias("version")), ["symbol", "bar_ts"], "version")
 
 
@@ -97,7 +105,7 @@ def io7_incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half cleaned and stored, then brought up to date; the SQL is a full rebuild."""
     t = ticks(spark, sf_dir)
     path = shared_path(spark, "clean")
-    S.write_snapshot(C.clean_series(t.where(F.col("ts") < F.lit(MID + " 10:17:00").cast("timestamp")), "1 hour", gap=60.0), path)
+    S.write_snapshot(C.clean_series(t.where(F.col("ts") < middle(bars(spark, sf_dir)) + F.expr("INTERVAL 617 MINUTES")), "1 hour", gap=60.0), path)
     return C.incremental_refresh(S.read_snapshot(spark, path), t, "1 hour", gap=60.0)
 
 
@@ -108,13 +116,13 @@ def io8_align_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, key, value): weights of three prefixes and a scalar from the first ticks of each series."""
-    t = ticks(spark, sf_dir).where("event_id < 400")
+    """(symbol, key, value): weights named w1_0 to w1_49, each from the first tick of a series that has its number."""
+    t = ticks(spark, sf_dir)
     i = (F.col("event_id") % 50).cast("string")
     return t.select("symbol", F.concat(F.lit("w1_"), i).alias("key"), F.round("price", 4).cast("string").alias("value"), "event_id").groupBy("symbol", "key").agg(F.min_by("value", "event_id").alias("value"))
 
 
-KV = f"""{TICKS}, kv AS (SELECT symbol, 'w1_' || CAST(event_id % 50 AS VARCHAR) AS key, first(round(price, 4) ORDER BY event_id) AS v FROM ticks WHERE event_id < 400 GROUP BY 1, 2)"""
+KV = f"""{TICKS}, kv AS (SELECT symbol, 'w1_' || CAST(event_id % 50 AS VARCHAR) AS key, first(round(price, 4) ORDER BY event_id) AS v FROM ticks GROUP BY 1, 2)"""
 
 
 @query(

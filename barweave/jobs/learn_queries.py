@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.functions.scratch import settled
@@ -19,9 +19,10 @@ PRED = f"""{BARS}, pr0 AS (SELECT symbol, bar_ts, bar_ts + INTERVAL 6 HOUR AS ta
   (['{"', '".join(ADVICE)}'])[CAST(volume AS BIGINT) % 6 + 1] AS advice_type FROM bars),
 pred AS (SELECT *, predicted_price * .9 AS lower_bound, predicted_price * 1.1 AS upper_bound, CASE WHEN abs(predicted_price - base_price) <= .15 THEN 'FLAT' WHEN predicted_price > base_price THEN 'UP' ELSE 'DOWN' END AS predicted_direction
   FROM pr0 WHERE predicted_price IS NOT NULL AND predicted_price <> 0 AND base_price <> 0)"""
-NOW = "2024-01-28 12:00:00"
-RES = f"""pp AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) AS p FROM bars),
-res AS (SELECT d.*, b.close AS actual_price, b.p FROM pred d ASOF JOIN pp b ON d.symbol = b.symbol AND b.bar_ts >= d.target_time WHERE d.target_time <= TIMESTAMP '{NOW}')"""
+#: As of a day and a half before the last bar; its session began at 06:00.  The last hour's predictions are newly due.
+NOW = "nw AS (SELECT max(bar_ts) - INTERVAL 36 HOUR AS now FROM bars), nws AS (SELECT now, date_trunc('day', now - INTERVAL 6 HOUR) + INTERVAL 6 HOUR AS start FROM nw)"
+RES = f"""{NOW}, pp AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) AS p FROM bars),
+res AS (SELECT d.*, b.close AS actual_price, b.p FROM pred d ASOF JOIN pp b ON d.symbol = b.symbol AND b.bar_ts >= d.target_time WHERE d.target_time <= (SELECT now FROM nws))"""
 SCORED = """sc0 AS (SELECT *, actual_price - base_price AS ch, CASE WHEN abs(actual_price - base_price) <= .15 THEN 'FLAT' WHEN actual_price > base_price THEN 'UP' ELSE 'DOWN' END AS ad FROM res),
 scored AS (SELECT *, CAST(ad = predicted_direction OR ad = 'FLAT' OR predicted_direction = 'FLAT' OR abs(ch) <= .25 AS INT) AS is_direction_correct, CAST(actual_price BETWEEN lower_bound AND upper_bound AS INT) AS is_range_correct,
   CAST(CASE advice_type WHEN 'STRONG_BUY' THEN ch >= .1 WHEN 'BUY_DIP' THEN ch >= -.05 WHEN 'STRONG_SELL' THEN ch <= -.1 WHEN 'SELL_RISK' THEN ch <= .05 WHEN 'WAIT' THEN abs(ch) <= .8 ELSE ad = predicted_direction OR ad = 'FLAT' END AS INT) AS is_advice_correct FROM sc0)"""
@@ -38,9 +39,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.make_predictions(d)
 
 
+def as_of(spark: SparkSession, sf_dir: str) -> tuple[Column, Column]:
+    """The as-of time and the start of its session, from the last bar."""
+    now = F.lit(bars(spark, sf_dir).agg(F.max("bar_ts") - F.expr("INTERVAL 36 HOURS")).first()[0]).cast("timestamp")
+    return now, F.date_trunc("day", now - F.expr("INTERVAL 6 HOURS")) + F.expr("INTERVAL 6 HOURS")
+
+
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir).withColumn("actual_price", F.lit(None).cast("double"))
-    return settled(E.resolve_actuals(p, bars(spark, sf_dir), F.lit(NOW).cast("timestamp")), "resolved")
+    return settled(E.resolve_actuals(p, bars(spark, sf_dir), as_of(spark, sf_dir)[0]), "resolved")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,19 +75,25 @@ def ev3_score_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("symbol", "target_time", "is_direction_correct", "is_range_correct", "is_advice_correct")
 
 
-WIN = f"""{ALL}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY target_time DESC) AS k, target_time >= TIMESTAMP '2024-01-28 06:00:00' AS td, count(*) FILTER (target_time >= TIMESTAMP '2024-01-28 06:00:00') OVER (PARTITION BY symbol) AS n FROM scored),
-win AS (SELECT symbol, count(*) AS n, 100 * (.5 * avg(is_direction_correct) + .3 * avg(is_advice_correct) + .2 * avg(is_range_correct)) AS win_rate FROM k WHERE CASE WHEN n >= 5 THEN td ELSE k <= 30 END GROUP BY 1)"""
+WIN = f"""{ALL}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY target_time DESC) AS k, target_time >= start AS td, count(*) FILTER (target_time >= start) OVER (PARTITION BY symbol) AS n,
+  count(*) FILTER (target_time > now - INTERVAL 1 HOUR) OVER (PARTITION BY symbol) AS due FROM scored, nws),
+win AS (SELECT symbol, count(*) AS n, 100 * (.5 * avg(is_direction_correct) + .3 * avg(is_advice_correct) + .2 * avg(is_range_correct)) AS win_rate FROM k WHERE CASE WHEN due = 0 THEN k <= 20 WHEN n >= 5 THEN td ELSE k <= 30 END GROUP BY 1)"""
+
+
+def rates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, start = as_of(spark, sf_dir)
+    done = scored(spark, sf_dir)
+    return E.win_rate(done, start, due=done.where(F.col("target_time") > now - F.expr("INTERVAL 1 HOUR")))
 
 
 @query(f"WITH {WIN} SELECT * FROM win", "win_rate", "", "n")
 def ev4_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.win_rate(scored(spark, sf_dir), F.lit("2024-01-28 06:00:00").cast("timestamp"))
+    return rates_of(spark, sf_dir)
 
 
 @query(f"WITH {WIN} SELECT symbol, CAST(round(CAST(greatest(.9, least(1.4, .9 + .5 / (1 + exp((win_rate - 60) / 10)))) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS k FROM win", "k")
 def ev5_dynamic_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = E.win_rate(scored(spark, sf_dir), F.lit("2024-01-28 06:00:00").cast("timestamp"))
-    return w.select("symbol", E.dynamic_k(F.col("win_rate")).alias("k"))
+    return rates_of(spark, sf_dir).select("symbol", E.dynamic_k(F.col("win_rate")).alias("k"))
 
 
 NEXT = """nx AS (SELECT r.symbol, r.target_time, r.base_price, r.predicted_price, r.actual_price, n.p - r.p + 1 AS step, n.close, lag(n.close) OVER (PARTITION BY r.symbol, r.target_time ORDER BY n.p) AS before, count(*) OVER (PARTITION BY r.symbol, r.target_time) AS m

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.jobs.learn_queries import PRED, WIN, predictions, scored
+from barweave.jobs.learn_queries import PRED, WIN, predictions, rates_of, scored
 from barweave.operators import evaluation as E
 from barweave.operators import reporting as R
 from barweave.registry import query
@@ -49,7 +49,7 @@ def rp2_prediction_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rp3_summary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     last = bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "bar_ts").alias("last_price"))
-    rate = E.win_rate(s, F.lit("2024-01-28 06:00:00").cast("timestamp"))
+    rate = rates_of(spark, sf_dir)
     mape = E.mape_check(s.select("symbol", F.col("target_time").alias("bar_ts"), F.col("actual_price").alias("actual"), F.col("predicted_price").alias("predicted")))
     return R.summary_metrics(last, rate.join(mape.select("symbol", "mape"), "symbol"))
 

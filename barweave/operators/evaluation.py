@@ -52,16 +52,25 @@ def score_predictions(resolved: DataFrame, flat: float = config.FLAT, lenient: f
     return resolved.where("actual_price is not null").withColumns({k: F.coalesce(v, F.lit(False)).cast("int") for k, v in flags.items()})
 
 
-def win_rate(scored: DataFrame, session_start: Column, least: int = 5, fallback: int = 30) -> DataFrame:
+def win_rate(scored: DataFrame, session_start: Column, due: DataFrame | None = None, least: int = 5, fallback: int = 30, idle: int = 20) -> DataFrame:
     """(symbol, n, win_rate): 0.5 direction + 0.3 advice + 0.2 range, in percent, of rows due since the session's start; of the last
-    ``fallback`` rows where those are fewer than ``least``."""
-    w = W.partitionBy("symbol")
-    today = F.col("target_time") >= session_start
-    d = scored.withColumns({"__k": F.row_number().over(w.orderBy(F.desc("target_time"))), "__today": today, "__n": F.count_if(today).over(w)})
-    d = d.where(F.when(F.col("__n") >= least, F.col("__today")).otherwise(F.col("__k") <= fallback))
-    mean = lambda c: F.sum(F.coalesce(c, F.lit(0))) / F.count("*")
-    value = (0.5 * mean("is_direction_correct") + 0.3 * mean("is_advice_correct") + 0.2 * mean("is_range_correct")) * 100
-    return d.groupBy("symbol").agg(F.count("*").alias("n"), value.alias("win_rate"))
+    ``fallback`` rows where those are fewer than ``least``; of the last ``idle`` rows for a series without a row in ``due``, the
+    newly due ones.  The rank is limited to the last rows before they are shuffled."""
+    flag = lambda c: F.coalesce(c, F.lit(0))
+    value = 0.5 * flag("is_direction_correct") + 0.3 * flag("is_advice_correct") + 0.2 * flag("is_range_correct")
+    d = scored.select("symbol", "target_time", value.alias("__v"))
+    recent = d.withColumn("__k", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("target_time")))).where(F.col("__k") <= max(fallback, idle))
+
+    def over(limit: int) -> Column:
+        own = F.when(F.col("__k") <= limit, F.col("__v"))
+        return F.struct(F.count(own).alias("n"), F.sum(own).alias("v"))
+
+    last = recent.groupBy("symbol").agg(over(fallback).alias("__last"), over(idle).alias("__idle"))
+    today = d.where(F.col("target_time") >= session_start).groupBy("symbol").agg(F.struct(F.count("*").alias("n"), F.sum("__v").alias("v")).alias("__today"))
+    every = last.join(today, "symbol", "left")
+    every = every.withColumn("__due", F.lit(True)) if due is None else every.join(due.select("symbol", F.lit(True).alias("__due")).distinct(), "symbol", "left")
+    picked = F.when(F.col("__due").isNull(), F.col("__idle")).when(F.col("__today.n") >= least, F.col("__today")).otherwise(F.col("__last"))
+    return every.select("symbol", picked.alias("__p")).select("symbol", F.col("__p.n").alias("n"), (F.col("__p.v") / F.col("__p.n") * 100).alias("win_rate"))
 
 
 def dynamic_k(rate: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,21 +20,37 @@ def _start(writer, trigger: str | None) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)).start()
 
 
+def _run_id(checkpoint: str, spark: SparkSession) -> str:
+    """The id that Spark gives a checkpoint when its stream first starts; it stays over restarts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/metadata")
+    with_id = spark.read.text(path.toString()).first()[0]
+    return json.loads(with_id)["id"]
+
+
 def stream_ingest(source: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "bar_ts"), trigger: str | None = None) -> StreamingQuery:
     """Insert-or-ignore of every micro-batch into a parquet table: a key that exists, or came earlier, keeps its row.
 
-    A batch's rows go to a folder named by its id and are written over when it is repeated, so a restart adds nothing
-    twice.  Only folders of other batches are looked up.
+    A batch's rows go to a folder named by the checkpoint's id and the batch's, and are written over when the batch is
+    repeated: a restart adds nothing twice, and a new checkpoint over a table that exists leaves its rows alone.  Rows
+    lie in month folders of the last key, and only the months of a batch are looked up.
     """
+    spark, when = source.sparkSession, keys[-1]
+    table = f"{path.rstrip('/')}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        own = f"run={_run_id(checkpoint, spark)}-{batch_id}"
         rest = [c for c in batch.columns if c not in keys]
-        fresh = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*rest)).alias("__r")).select(*keys, "__r.*")
-        if batch_id > 0:
-            old = spark.read.schema(batch.schema).parquet(path).where(F.col("_metadata.file_path").rlike(f"batch={batch_id}/") == F.lit(False))
-            fresh = fresh.join(old.select(*keys), list(keys), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        month = F.coalesce(F.date_format(when, "yyyy-MM"), F.lit("none"))
+        fresh = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*rest)).alias("__r")).select(*keys, "__r.*").withColumn("month", month)
+        months = [r[0] for r in batch.select(month.alias("month")).distinct().collect()]
+        found = spark._jvm.org.apache.hadoop.fs.Path(table)
+        files = found.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(found) and months:
+            schema = T.StructType([*batch.schema.fields, T.StructField("run", T.StringType()), T.StructField("month", T.StringType())])
+            old = spark.read.schema(schema).option("basePath", table).parquet(table).where(F.col("month").isin(months) & (F.col("run") != own[4:]))
+            same = [old[k].eqNullSafe(fresh[k]) for k in keys]
+            fresh = fresh.join(old.select(*keys, "month"), same, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("month").parquet(f"{table}/{own}")
 
     return _start(source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
 

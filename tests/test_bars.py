@@ -12,11 +12,13 @@ import __spark_entry__ as entry
 from barweave.functions import windows as V
 from barweave.operators import calendar as K
 from barweave.operators import cleaning as C
+from barweave.operators import evaluation as E
 from barweave.operators import features as X
 from barweave.operators import forecast as P
 from barweave.operators import matching as M
 from barweave.operators import model as L
 from barweave.operators import storage as S
+from barweave.streaming import bars as Z
 
 T0 = datetime(2024, 1, 1)
 BAR = "symbol string, bar_ts timestamp, open double, high double, low double, close double, volume double"
@@ -181,3 +183,31 @@ def test_asof_join_gives_rates_to_every_series(spark, tmp_path):
     e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     got = {r.symbol: (r.rate, r.right_ts) for r in entry.queries()["cl7_asof_join"](spark, str(tmp_path)).collect()}
     assert got == {"view": (None, None), "metal": (2.0, "2024-03-01 00:10:00")}
+
+
+def test_ingest_with_a_fresh_checkpoint_keeps_the_table(spark, tmp_path):
+    schema, n = "symbol string, bar_ts timestamp, close double", iter(range(9))
+
+    def run(rows, checkpoint):
+        path = f"{tmp_path}/in{next(n)}"
+        spark.createDataFrame([("a", T0 + timedelta(days=40 * m), float(c)) for m, c in rows], schema).write.parquet(path)
+        source = spark.readStream.schema(schema).parquet(path)
+        Z.stream_ingest(source, f"{tmp_path}/table", f"{tmp_path}/{checkpoint}").awaitTermination()
+        return sorted((r.bar_ts, r.close) for r in spark.read.parquet(f"{tmp_path}/table").collect())
+
+    at = lambda m: T0 + timedelta(days=40 * m)
+    assert run([(0, 1), (1, 1), (1, 2)], "one") == [(at(0), 1.0), (at(1), 1.0)]
+    assert run([(0, 5), (2, 5)], "two") == [(at(0), 1.0), (at(1), 1.0), (at(2), 5.0)]
+    assert run([(2, 7), (3, 7)], "three") == [(at(0), 1.0), (at(1), 1.0), (at(2), 5.0), (at(3), 7.0)]
+
+
+def test_win_rate_by_newly_due_rows(spark):
+    rows = [(s, T0 + timedelta(hours=h), int(h % 3 == 0), 1, None) for s in "abc" for h in range(40 if s != "c" else 3)]
+    d = spark.createDataFrame(rows, "symbol string, target_time timestamp, is_direction_correct int, is_advice_correct int, is_range_correct int")
+    due = spark.createDataFrame([("a",), ("a",), ("c",)], "symbol string")
+    rate = lambda hours: 100 * (0.5 * sum(h % 3 == 0 for h in hours) / len(hours) + 0.3)
+    got = {r.symbol: (r.n, round(r.win_rate, 6)) for r in E.win_rate(d, F.lit(T0 + timedelta(hours=32)), due).collect()}
+    want = {"a": range(32, 40), "b": range(20, 40), "c": range(3)}
+    assert got == {s: (len(h), round(rate(h), 6)) for s, h in want.items()}
+    late = {r.symbol: r.n for r in E.win_rate(d, F.lit(T0 + timedelta(hours=38))).collect()}
+    assert late == {"a": 30, "b": 30, "c": 3}
