@@ -35,13 +35,14 @@ def with_position(df: DataFrame, by: tuple[str, ...] = ("symbol",), order: str =
     return d.withColumn("__row", inside).join(starts, [*by, "__month"]).withColumn("pos", F.col("__start") + F.col("__row") - 1).drop("__month", "__row", "__start")
 
 
-def in_chunks(df: DataFrame, transform: Callable[[DataFrame, W], DataFrame], behind: int, ahead: int = 0, by: tuple[str, ...] = ("symbol",), order: str = "bar_ts", chunk: int = CHUNK) -> DataFrame:
+def in_chunks(df: DataFrame, transform: Callable[[DataFrame, W], DataFrame], behind: int, ahead: int = 0, by: tuple[str, ...] = ("symbol",), order: str = "bar_ts", chunk: int = CHUNK, positioned: bool = False) -> DataFrame:
     """``transform(rows, window)`` chunk by chunk, with ``behind`` rows before each chunk and ``ahead`` after it.
 
-    Rows of the halo are dropped again.  ``chunk`` must not be smaller than the halo.
+    Rows of the halo are dropped again.  ``chunk`` must not be smaller than the halo.  With ``positioned``, ``df`` has
+    its positions already.
     """
     chunk = max(chunk, behind, ahead)
-    d = with_position(df, by, order)
+    d = df if positioned else with_position(df, by, order)
     own, within = F.floor(F.col("pos") / chunk), F.col("pos") % chunk
     copies = F.array(own, F.when(within >= chunk - behind, own + 1), F.when((within < ahead) & (own > 0), own - 1))
     d = d.withColumn("__chunk", F.explode(F.array_compact(copies)))
@@ -49,6 +50,17 @@ def in_chunks(df: DataFrame, transform: Callable[[DataFrame, W], DataFrame], beh
     return transform(d, w).where(F.col("__chunk") == F.floor(F.col("pos") / chunk)).drop("__chunk")
 
 
+def running_sums(df: DataFrame, sums: dict[str, str], by: tuple[str, ...] = ("symbol",), order: str = "bar_ts") -> DataFrame:
+    """Adds, under each name, the sum of a column up to each row of a series: inside months, and of the months before."""
+    d = df.withColumn("__month", F.date_trunc("month", order))
+    totals = d.groupBy(*by, "__month").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    earlier = W.partitionBy(*by).orderBy("__month").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(*by, "__month", *[F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(f"__{n}") for n in sums])
+    inside = W.partitionBy(*by, "__month").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    d = d.select("*", *[F.sum(c).over(inside).alias(f"__in_{n}") for n, c in sums.items()]).join(starts, [*by, "__month"])
+    return d.select(*df.columns, *[(F.col(f"__{n}") + F.col(f"__in_{n}")).alias(n) for n in sums])
+
+
 def fill(df: DataFrame, cols: list[str], forward: bool = True, by: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
     """Carries the last (or next) non-null value of each column along a series.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.functions.scratch import settled
+from barweave.jobs.learn_queries import feedback
 from barweave.jobs.match_queries import N, PAIRS, dated, nms_cte
 from barweave.operators import forecast as P
 from barweave.operators import matching as M
@@ -33,6 +34,7 @@ QD = "symbol, strftime(q_day, '%Y-%m-%d') AS q_day"
 def top(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Grid bars, windows and matches, each written once."""
     g = settled(grid(spark, sf_dir), "grid")
+    g = settled(P.placed(g), "placed")
     return g, settled(M.day_windows(g, N), "windows"), settled(M.match_days(g, N, radius=23, dtw_radius=None), "matches")
 
 
@@ -262,5 +264,6 @@ def fc19_advice_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fc20_generate_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, w, m = top(spark, sf_dir)
-    f = dated(P.generate_forecast(g, w, m, N, STEPS))
-    return f.select("symbol", "q_trading_date", "last_price", "valid_count", "confidence", "label", F.element_at("predicted", -1).alias("predicted_end"), F.element_at("upper", -1).alias("upper_end"), F.element_at("lower", -1).alias("lower_end"), "rest_high", "rest_low", "regime", "advice")
+    f = dated(P.generate_forecast(g, w, m, N, STEPS, feedback(spark, sf_dir), minutes=60))
+    ends = [F.element_at(c, -1).alias(f"{c}_end") for c in ("predicted", "upper", "lower", "q_upper", "q_lower")]
+    return f.select("symbol", "q_trading_date", "last_price", "valid_count", "confidence", "label", *ends, "rest_high", "rest_low", "high_time", "low_time", "regime", "advice")

@@ -137,6 +137,18 @@ def ev8_extrema_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.extrema_bias(d).select("symbol", "bar_ts", "high_bias", "low_bias")
 
 
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the latest evaluation says of each series: win rate, k, biases and the institution factor of volume alone."""
+    b = bars(spark, sf_dir)
+    rate = rates_of(spark, sf_dir).select("symbol", "win_rate", E.dynamic_k(F.col("win_rate")).alias("k"))
+    step = E.step_bias(scored(spark, sf_dir)).groupBy("symbol", "step").agg(F.max_by("bias", "target_time").alias("bias"))
+    step = step.groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "bias"))), lambda x: x["bias"]).alias("step_biases"))
+    ends = ev8_extrema_bias(spark, sf_dir).groupBy("symbol").agg(*[F.max_by(c, "bar_ts").alias(c) for c in ("high_bias", "low_bias")])
+    flow = X.apply(b, X.volume_imbalance(), behind=30).groupBy("symbol").agg(F.max_by("imbalance", "bar_ts").alias("i"))
+    flow = flow.select("symbol", X.institution_factor(F.lit(0.0), F.col("i")).alias("inst_factor"))
+    return settled(rate.join(step, "symbol", "full").join(ends, "symbol", "full").join(flow, "symbol", "full"), "feedback")
+
+
 @query(f"WITH {BARS} SELECT symbol, avg(abs((close - open) / (close + 1e-8))) AS mape, last(close - open ORDER BY bar_ts) AS last_error, avg(close - open) AS mean_error, avg(abs((close - open) / (close + 1e-8))) > .005 AS rematch FROM bars GROUP BY 1", "mape last_error mean_error")
 def ev9_mape_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.mape_check(bars(spark, sf_dir).select("symbol", "bar_ts", F.col("close").alias("actual"), F.col("open").alias("predicted")))
@@ -194,11 +206,12 @@ def bt1_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {BARS}, r AS (SELECT symbol, open AS l, (high + low) / 2 - open AS said, close - open AS came, abs(close - open) AS mape FROM bars), t AS (SELECT *, abs(said) > .05 AS s, sign(said) * came / l AS x FROM r)
-    SELECT symbol, count(*) AS n, avg(mape) AS mape, count(*) FILTER (s) AS signals, 100.0 * count(*) FILTER (s AND sign(said) = sign(came)) / count(*) FILTER (s) AS win_rate, avg(x) FILTER (s) AS mean_return FROM t GROUP BY 1""",
-    "mape win_rate mean_return",
+    SELECT symbol, count(*) AS n, avg(mape) AS mape, count(*) FILTER (s) AS signals, 100.0 * count(*) FILTER (s AND sign(said) = sign(came)) / count(*) FILTER (s) AS win_rate, avg(x) FILTER (s) AS mean_return,
+    avg(x) FILTER (s) / (stddev_pop(x) FILTER (s) + 1e-8) * sqrt(252 * 1440) AS sharpe FROM t GROUP BY 1""",
+    "mape win_rate mean_return sharpe",
     "",
     "n signals",
 )
 def bt2_backtest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = bars(spark, sf_dir).select("symbol", F.col("open").alias("last_price"), ((F.col("high") + F.col("low")) / 2).alias("predicted_end"), F.col("close").alias("actual_end"), F.abs(F.col("close") - F.col("open")).alias("mape"))
-    return B.backtest_metrics(d).drop("sharpe")
+    return B.backtest_metrics(d)

@@ -3,35 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barweave import config
 from barweave.functions.scratch import settled
-from barweave.functions.windows import with_position
 from barweave.operators import forecast, matching
 
 KEY = ("symbol", "q_trading_date")
 
 
-def backtest(bars: DataFrame, n: int, steps: int = config.FUTURE_STEPS, k: int = 3, radius: int = config.NMS_RADIUS, dtw_radius: int | None = None) -> DataFrame:
+def backtest(bars: DataFrame, n: int, steps: int = config.FUTURE_STEPS, k: int = 3, radius: int = config.NMS_RADIUS, dtw_radius: int | None = None, cutoffs: int | None = None) -> DataFrame:
     """(symbol, q_trading_date, last_price, predicted_end, actual_end, mape) for every day with matches and a full future.
 
-    Every day is a cut-off.  Candidates are earlier days only, and their futures end before the query's last bar, so
+    Every day is a cut-off; with ``cutoffs``, that many of each series, evenly spaced from the first to the last.  Candidates are earlier days only, and their futures end before the query's last bar, so
     nothing later than the cut-off is seen.
     """
-    bars = settled(bars, "bars")
+    bars = settled(forecast.placed(bars), "bars")
     windows = settled(matching.day_windows(bars, n), "windows")
     matches = matching.match_days(bars, n, k, radius=radius, dtw_radius=dtw_radius, past_only=True)
-    matches = settled(matches.where(F.col("h_start_pos") + n + steps <= F.col("q_start_pos") + n), "matches")
+    matches = matches.where(F.col("h_start_pos") + n + steps <= F.col("q_start_pos") + n)
+    if cutoffs is not None:
+        matches = matches.join(evenly_spaced(windows, cutoffs), list(KEY), "left_semi")
+    matches = settled(matches, "matches")
     queries = settled(forecast.query_prices(bars, windows, n), "queries")
     paths = forecast.project_path(forecast.vol_ratio(forecast.match_future(forecast.softmax_weights(matches), bars, n, steps), bars, queries, n), steps)
     predicted = forecast.ensemble_path(paths, steps).join(queries.select(*KEY, "last_pos", "last_price"), list(KEY))
-    actual = with_position(bars).select("symbol", F.col("pos").alias("__pos"), F.col("close").alias("actual"))
+    actual = bars.select("symbol", F.col("pos").alias("__pos"), F.col("close").alias("actual"))
     both = predicted.withColumn("__pos", F.col("last_pos") + F.col("step")).join(actual, ["symbol", "__pos"])
     done = both.groupBy(*KEY, "last_price").agg(F.count("*").alias("__n"), F.max_by("matcher", "step").alias("predicted_end"), F.max_by("actual", "step").alias("actual_end"), (F.avg(F.abs(F.col("matcher") - F.col("actual")) / F.col("actual")) * 100).alias("mape"))
     return done.where(F.col("__n") == steps).drop("__n")
 
 
+def evenly_spaced(windows: DataFrame, cutoffs: int) -> DataFrame:
+    """(symbol, q_trading_date) of ``cutoffs`` days of each series, evenly spaced, first and last included."""
+    days = windows.select("symbol", F.col("trading_date").alias("q_trading_date"))
+    w = W.partitionBy("symbol")  # one row a day
+    d = days.withColumns({"__i": F.row_number().over(w.orderBy("q_trading_date")) - 1, "__n": F.count("*").over(w)})
+    # day i is taken where a multiple of (n - 1) / (cutoffs - 1), cut to a whole number, is i
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(cutoffs - 1)), lambda j: F.floor(j * (F.col("__n") - 1) / max(cutoffs - 1, 1)))
+    return d.where(F.array_contains(wanted, F.col("__i").cast("long"))).select(*KEY)
+
+
 def backtest_metrics(results: DataFrame, min_move: float = 0.05, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """(n, mape, signals, win_rate, mean_return, sharpe): a forecast beyond ``min_move`` is a signal; its return takes the
     forecast's sign; Sharpe is scaled to years of minutes."""

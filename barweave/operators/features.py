@@ -59,13 +59,16 @@ def _percent(w: W, lag: int) -> Column:
     return F.coalesce((F.col("close") - before) / (before + EPS) * 100, F.lit(0.0))
 
 
-def apply(df: DataFrame, *steps: Step, behind: int = 60, ahead: int = 0, chunk: int = 4096) -> DataFrame:
+def apply(df: DataFrame, *steps: Step, behind: int = 60, ahead: int = 0, chunk: int = 4096, positioned: bool = False) -> DataFrame:
+    """The steps in one pass over chunks; a ``positioned`` frame has ``pos`` and keeps it."""
+
     def run(d: DataFrame, w: W) -> DataFrame:
         for step in steps:
             d = step(d, w)
         return d
 
-    return in_chunks(df, run, behind, ahead, chunk=chunk).drop("pos")
+    d = in_chunks(df, run, behind, ahead, chunk=chunk, positioned=positioned)
+    return d if positioned else d.drop("pos")
 
 
 def skeleton(bars: DataFrame, width: str = "5 minutes", kernel: Sequence[float] = KERNEL, gap: float = 5 * config.GAP_MINUTES) -> DataFrame:
@@ -294,6 +297,19 @@ def bar_features(df: DataFrame) -> DataFrame:
     return apply(ewm(df), *steps, counted, behind=60)
 
 
+def match_features(tracks: DataFrame, last: DataFrame) -> DataFrame:
+    """(symbol, bar_ts, hist_sim, hist_consensus, hist_return) of (symbol, bar_ts, similarity, path) rows, one for each match,
+    and (symbol, bar_ts, close): mean similarity, share of rising less share of falling paths, and their mean move in percent."""
+    end = F.when(F.size("path") > 0, F.element_at("path", -1) - F.col("path")[0])
+    d = tracks.withColumn("__end", end).groupBy("symbol", "bar_ts").agg(
+        F.avg(F.col("similarity") / 100).alias("hist_sim"),
+        F.coalesce(F.avg(F.signum("__end")), F.lit(0.0)).alias("hist_consensus"),
+        F.coalesce(F.avg("__end"), F.lit(0.0)).alias("__move"),
+    )
+    d = d.join(last.select("symbol", "bar_ts", "close"), ["symbol", "bar_ts"])
+    return d.select("symbol", "bar_ts", "hist_sim", "hist_consensus", (F.col("__move") / (F.col("close") + EPS) * 100).alias("hist_return"))
+
+
 def feature_vector(features: DataFrame, matches: DataFrame | None = None, biases: DataFrame | None = None) -> DataFrame:
     """(symbol, bar_ts, n_bars, features): 20 values, standardized by fixed constants and clipped to 3; zeros before 20 bars.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from barweave import config
 from barweave.functions.columns import clip, rounded
 from barweave.functions.scratch import settled
-from barweave.functions.windows import with_position
+from barweave.functions.windows import in_chunks, running_sums, with_position
 from barweave.operators import features
 
 KEY = ("symbol", "q_trading_date")
@@ -29,10 +29,21 @@ def softmax_weights(matches: DataFrame) -> DataFrame:
     return d.withColumn("weight", F.col("__e") / F.sum("__e").over(w)).drop("__e")
 
 
+def placed(bars: DataFrame) -> DataFrame:
+    """Bars with pos and the sums up to each bar of absolute changes (moved) and of closes (closes); a frame that has them
+    stays as it is, so that it can be written once."""
+    if {"pos", "moved", "closes"} <= set(bars.columns):
+        return bars
+    step = lambda d, w: d.withColumn("__move", F.coalesce(F.abs(F.col("close") - F.lag("close").over(w)), F.lit(0.0)))
+    return running_sums(in_chunks(bars, step, behind=1), {"moved": "__move", "closes": "close"}).drop("__move")
+
+
 def query_prices(bars: DataFrame, windows: DataFrame, n: int) -> DataFrame:
-    """(symbol, q_trading_date, last_pos, last_price, abs_move, vol30, n_bars): each query's state at its n-th bar."""
-    steps = (features.recent_abs_move(), lambda d, w: d.withColumns({"vol30": F.when(F.col("pos") >= 29, F.stddev_pop("close").over(w.rowsBetween(-29, 0)))}))
-    state = with_position(features.apply(bars, *steps, behind=30)).select("symbol", F.col("pos").alias("last_pos"), F.col("close").alias("last_price"), "abs_move", "vol30", (F.col("pos") + 1).alias("n_bars"))
+    """(symbol, q_trading_date, last_pos, as_of, last_price, abs_move, vol30, velocity, n_bars): each query's state at its n-th bar."""
+    spread = F.stddev_pop("close")
+    frame = lambda d, w: d.withColumns({"vol30": F.when(F.col("pos") >= 29, spread.over(w.rowsBetween(-29, 0))), "velocity": (F.col("close") - F.lag("close", 4).over(w)) / 5})
+    state = features.apply(placed(bars), features.recent_abs_move(), frame, behind=30, positioned=True)
+    state = state.select("symbol", F.col("pos").alias("last_pos"), F.col("bar_ts").alias("as_of"), F.col("close").alias("last_price"), "abs_move", "vol30", F.coalesce("velocity", F.lit(0.0)).alias("velocity"), (F.col("pos") + 1).alias("n_bars"))
     q = windows.select("symbol", F.col("trading_date").alias("q_trading_date"), (F.col("start_pos") + n - 1).alias("last_pos"))
     return q.join(state, ["symbol", "last_pos"])
 
@@ -42,7 +53,7 @@ def match_future(matches: DataFrame, bars: DataFrame, n: int, steps: int = confi
 
     A match at the very end of history carries its anchor.
     """
-    d = with_position(bars).select("symbol", "pos", "close")
+    d = placed(bars).select("symbol", "pos", "close")
     want = matches.select(*KEY, "rank", F.explode(F.sequence(F.col("h_start_pos") + n - 1, F.col("h_start_pos") + n - 1 + steps)).alias("pos"))
     got = want.join(d, ["symbol", "pos"]).groupBy(*KEY, "rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "close"))), lambda x: x["close"]).alias("__p"))
     p = F.col("__p")
@@ -51,11 +62,13 @@ def match_future(matches: DataFrame, bars: DataFrame, n: int, steps: int = confi
 
 
 def vol_ratio(matches: DataFrame, bars: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """Adds ratio: recent mean absolute move over that of the matched window, in 0.75..1.25; 1 for a still window."""
-    edge = with_position(bars).select("symbol", (F.col("pos") + 1).alias("pos"), F.col("close").alias("__before"))
-    moves = with_position(bars).join(edge, ["symbol", "pos"], "left").select("symbol", "pos", F.abs(F.col("close") - F.col("__before")).alias("move"))
-    want = matches.select(*KEY, "rank", F.explode(F.sequence(F.col("h_start_pos") + 1, F.col("h_start_pos") + n - 1)).alias("pos"))
-    hist = want.join(moves, ["symbol", "pos"]).groupBy(*KEY, "rank").agg(F.avg("move").alias("__h"))
+    """Adds ratio: recent mean absolute move over that of the matched window, in 0.75..1.25; 1 for a still window.
+
+    The window's mean is a difference of running sums, so a match looks up two bars.
+    """
+    ends = matches.select(*KEY, "rank", F.explode(F.array(F.col("h_start_pos"), F.col("h_start_pos") + n - 1)).alias("pos"))
+    hist = ends.join(placed(bars).select("symbol", "pos", "moved"), ["symbol", "pos"]).groupBy(*KEY, "rank")
+    hist = hist.agg(((F.max("moved") - F.min("moved")) / (n - 1)).alias("__h"))
     d = matches.join(hist, [*KEY, "rank"], "left").join(queries.select(*KEY, "last_price", "abs_move"), list(KEY))
     return d.withColumn("ratio", F.when(F.col("__h") > 1e-4, clip(F.col("abs_move") / F.col("__h"), 0.75, 1.25)).otherwise(1.0)).drop("__h")
 
@@ -81,11 +94,16 @@ def history_tracks(paths: DataFrame) -> DataFrame:
 
 def mean_aligned_track(matches: DataFrame, bars: DataFrame, queries: DataFrame, n: int, steps: int = config.FUTURE_STEPS) -> DataFrame:
     """(symbol, q_trading_date, step, price): the best match's bars and what followed, shifted to the mean of today's."""
-    d = with_position(bars).select("symbol", "pos", "close")
+    d = placed(bars).select("symbol", "pos", "close", "closes")
     best = matches.where("rank = 1").select(*KEY, F.col("h_start_pos"))
+
+    def mean(starts: DataFrame, name: str) -> DataFrame:
+        ends = starts.select(*KEY, F.explode(F.array(F.col("start"), F.col("start") + n - 1)).alias("pos")).join(d, ["symbol", "pos"])
+        first = F.min_by("close", "pos") - F.min_by("closes", "pos")
+        return ends.groupBy(*KEY).agg(((F.max_by("closes", "pos") + first) / n).alias(name))
+
+    shift = mean(best.select(*KEY, F.col("h_start_pos").alias("start")), "__h").join(mean(queries.select(*KEY, (F.col("last_pos") - n + 1).alias("start")), "__t"), list(KEY))
     span = best.select(*KEY, F.posexplode(F.sequence(F.col("h_start_pos"), F.col("h_start_pos") + n - 1 + steps)).alias("step", "pos")).join(d, ["symbol", "pos"])
-    today = queries.select(*KEY, F.explode(F.sequence(F.col("last_pos") - n + 1, F.col("last_pos"))).alias("pos")).join(d, ["symbol", "pos"])
-    shift = span.where(F.col("step") < n).groupBy(*KEY).agg(F.avg("close").alias("__h")).join(today.groupBy(*KEY).agg(F.avg("close").alias("__t")), list(KEY))
     return span.join(shift, list(KEY)).select(*KEY, "step", rounded(F.col("close") - F.col("__h") + F.col("__t"), 2).alias("price"))
 
 
@@ -285,36 +303,58 @@ def advice_record(d: DataFrame, n: int) -> DataFrame:
     return d.withColumn("record", F.struct(*fields))
 
 
-def generate_forecast(bars: DataFrame, windows: DataFrame, matches: DataFrame, n: int, steps: int = config.FUTURE_STEPS, win_rate: float = 100.0, k: float = 1.0, mse: float = 0.0, model: DataFrame | None = None) -> DataFrame:
+#: What the evaluation of earlier forecasts feeds back, and its values for a series without any.
+FEEDBACK = {"win_rate": 100.0, "k": 1.0, "mse": 0.0, "inst_factor": 0.0, "high_bias": 0.0, "low_bias": 0.0}
+
+
+def with_feedback(d: DataFrame, feedback: DataFrame | None) -> DataFrame:
+    """Adds the columns of FEEDBACK and step_biases (array) by symbol; what isn't given has its default."""
+    have = set(feedback.columns) if feedback is not None else set()
+    if feedback is not None:
+        d = d.join(feedback.select("symbol", *[F.col(c).alias(f"__{c}") for c in (*FEEDBACK, "step_biases") if c in have]), "symbol", "left")
+    value = lambda c, none: F.coalesce(f"__{c}", none) if c in have else none
+    none = F.array().cast("array<double>")
+    d = d.withColumns({c: value(c, F.lit(v)) for c, v in FEEDBACK.items()} | {"step_biases": value("step_biases", none)})
+    return d.drop(*[f"__{c}" for c in have])
+
+
+def generate_forecast(bars: DataFrame, windows: DataFrame, matches: DataFrame, n: int, steps: int = config.FUTURE_STEPS, feedback: DataFrame | None = None, model: DataFrame | None = None, minutes: int = 1) -> DataFrame:
     """One forecast for every query of ``windows``; those without a match get a default record.
 
-    Columns: last_price, predicted, upper, lower (arrays, 2 digits), valid_count, votes, confidence, label, rest_high,
-    rest_low, steps of both, regime, position, advice_raw, advice, record.  ``model``: (symbol, q_trading_date, step, model).
+    Columns: last_price, predicted, upper, lower, q_upper, q_lower (arrays, 2 digits), valid_count, votes, confidence,
+    label, rest_high, rest_low, steps and time labels of both, regime, position, advice_raw, advice, record, tracks and
+    top1_track.  ``feedback``: one row a symbol, see ``with_feedback``; biases are taken off, the win rate and the error
+    weigh the model, k widens the bands.  ``model``: (symbol, q_trading_date, step, model).  A bar is ``minutes`` long.
     """
+    bars = settled(placed(bars), "placed")
     queries = settled(query_prices(bars, windows, n), "queries")
     paths = settled(project_path(vol_ratio(match_future(softmax_weights(matches), bars, n, steps), bars, queries, n), steps), "paths")
-    at_bar = with_position(features.apply(bars, features.market_regime(), features.kalman_level(), features.resonance(), features.short_slopes(), behind=30))
+    at_bar = features.apply(bars, features.market_regime(), features.kalman_level(), features.resonance(), features.short_slopes(), behind=30, positioned=True)
     at_bar = at_bar.select("symbol", F.col("pos").alias("last_pos"), "regime", "regime_score", F.col("kalman").alias("base"), "resonance", "slope_15")
-    state = queries.join(at_bar, ["symbol", "last_pos"]).withColumns({"inst_factor": F.lit(0.0), "high_bias": F.lit(0.0), "low_bias": F.lit(0.0)})
-    votes = direction_votes(paths)
-    per_query = state.join(votes, list(KEY))
-    per_query = settled(per_query, "votes").withColumn("share", blend_weight(F.lit(win_rate), F.lit(mse), F.col("regime"), F.col("regime_score"), F.col("mean_sim")))
+    per_query = settled(with_feedback(queries.join(at_bar, ["symbol", "last_pos"]), feedback).join(direction_votes(paths), list(KEY)), "votes")
+    per_query = per_query.withColumn("share", blend_weight(F.col("win_rate"), F.col("mse"), F.col("regime"), F.col("regime_score"), F.col("mean_sim")))
     steps_df = ensemble_path(paths, steps)
     steps_df = steps_df.join(model, [*KEY, "step"], "left") if model is not None else steps_df.withColumn("model", F.lit(None).cast("double"))
-    steps_df = steps_df.join(per_query.select(*KEY, "share", "last_price", "vol30"), list(KEY)).withColumn("step_bias", F.lit(0.0))
+    told = per_query.select(*KEY, "share", "last_price", "vol30", "velocity", "k", "inst_factor", "high_bias", "low_bias", "step_biases")
+    bias = F.get("step_biases", F.least(F.col("step"), F.size("step_biases")) - 1)  # the last one goes on
+    steps_df = steps_df.join(told, list(KEY)).withColumn("step_bias", F.coalesce(bias, F.lit(0.0)))
     if steps > SHORT_STEPS:
-        steps_df = steps_df.withColumns({"high_bias": F.lit(0.0), "low_bias": F.lit(0.0), "velocity": F.lit(0.0)})
-    predicted = settled(confidence_band(blend_path(steps_df, steps), paths, F.lit(k)), "predicted")
-    extrema = rest_of_day_extrema(paths, predicted, state.select(*KEY, "last_price", "base", "inst_factor", "high_bias", "low_bias"))
-    arrays = predicted.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("step", "predicted", "upper", "lower"))).alias("__s"))
+        steps_df = steps_df.withColumn("matcher", F.col("matcher") + F.col("inst_factor") * config.INST_DRIFT * F.sqrt("step"))
+    predicted = confidence_band(blend_path(steps_df, steps), paths, F.col("k"))
+    predicted = settled(quantile_band(predicted, paths, F.col("k"), F.col("high_bias"), F.col("low_bias")), "predicted")
+    extrema = rest_of_day_extrema(paths, predicted, per_query.select(*KEY, "last_price", "base", "inst_factor", "high_bias", "low_bias"))
+    bands = ("predicted", "upper", "lower", "q_upper", "q_lower")
+    arrays = predicted.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("step", *bands))).alias("__s"))
     two = lambda c: F.transform("__s", lambda x: rounded(x[c], 2)).alias(c)
-    arrays = arrays.select(*KEY, two("predicted"), two("upper"), two("lower"), F.element_at("__s", -1)["predicted"].alias("__end"))
-    top1 = mean_aligned_track(matches, bars, queries, n, steps).groupBy(*KEY).agg((F.max_by("price", "step") - F.min_by("price", "step")).alias("top1_delta"), F.count("*").alias("__n"))
+    arrays = arrays.select(*KEY, *[two(c) for c in bands], F.element_at("__s", -1)["predicted"].alias("__end"))
+    top1 = mean_aligned_track(matches, bars, queries, n, steps).groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "price"))), lambda x: x["price"]).alias("top1_track"))
     best = matches.where("rank = 1").select(*KEY, F.col("similarity").alias("top1_sim"))
-    d = per_query.join(extrema, list(KEY)).join(arrays, list(KEY)).join(best, list(KEY)).join(top1, list(KEY), "left")
-    d = d.withColumns({"top1_delta": F.when(F.col("__n") >= 10, F.col("top1_delta")).otherwise(0.0), "delta": F.col("__end") - F.col("last_price"), "valid_count": F.col("up_votes") + F.col("down_votes") + F.col("flat_votes")})
-    d = settled(direction_confidence(d, F.lit(win_rate), F.col("resonance")), "forecasts")
-    d = advice_record(advice_state(settled(raw_advice(channel_position(d)).drop("__n", "__end"), "advice")), n)
-    out = ["valid_count", "up_votes", "down_votes", "flat_votes", "confidence", "label", "predicted", "upper", "lower", "rest_high", "rest_low", "high_step", "low_step", "regime", "position", "advice_raw", "advice", "record"]
+    d = per_query.join(extrema, list(KEY)).join(arrays, list(KEY)).join(best, list(KEY)).join(top1, list(KEY), "left").join(history_tracks(paths), list(KEY), "left")
+    track = F.col("top1_track")
+    d = d.withColumns({"top1_delta": F.when(F.size(track) >= 10, F.element_at(track, -1) - track[0]).otherwise(0.0), "delta": F.col("__end") - F.col("last_price"), "valid_count": F.col("up_votes") + F.col("down_votes") + F.col("flat_votes")})
+    d = d.withColumns({f"{c}_time": extrema_time_label(F.col(f"{c}_step") * minutes, F.col("as_of")) for c in ("high", "low")})
+    d = settled(direction_confidence(d, F.col("win_rate"), F.col("resonance")), "forecasts")
+    d = advice_record(advice_state(settled(raw_advice(channel_position(d)).drop("__end"), "advice")), n)
+    out = ["valid_count", "up_votes", "down_votes", "flat_votes", "confidence", "label", *bands, "rest_high", "rest_low", "high_step", "low_step", "high_time", "low_time", "regime", "position", "advice_raw", "advice", "record", "tracks", "top1_track"]
     full = queries.select(*KEY, "last_price").join(d.select(*KEY, *out), list(KEY), "left")
     return full.withColumns({"valid_count": F.coalesce("valid_count", F.lit(0)), "confidence": F.coalesce("confidence", F.lit(0.0)), "label": F.coalesce("label", F.lit("no data")), "advice": F.coalesce("advice", F.lit("NEUTRAL"))})

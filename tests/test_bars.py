@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from barweave.functions import windows as V
+from barweave.operators import backtest as B
 from barweave.operators import calendar as K
 from barweave.operators import cleaning as C
 from barweave.operators import evaluation as E
@@ -211,3 +212,56 @@ def test_win_rate_by_newly_due_rows(spark):
     assert got == {s: (len(h), round(rate(h), 6)) for s, h in want.items()}
     late = {r.symbol: r.n for r in E.win_rate(d, F.lit(T0 + timedelta(hours=38))).collect()}
     assert late == {"a": 30, "b": 30, "c": 3}
+
+
+def forecast_case(spark, steps, feedback=None):
+    b = make_bars(spark, 24 * 12, seed=5)
+    w, m = M.day_windows(b, 20), M.match_days(b, 20, radius=23, dtw_radius=None)
+    return {r.q_trading_date: r for r in P.generate_forecast(b, w, m, 20, steps, feedback, minutes=60).collect()}
+
+
+@pytest.mark.parametrize("steps", [6, 12])
+def test_forecast_takes_its_biases_off(spark, steps):
+    plain = forecast_case(spark, steps)
+    told = spark.createDataFrame([("a", 50.0, 2.0, 0.4, 0.2, 0.5, [0.1, 0.2])], "symbol string, win_rate double, k double, high_bias double, low_bias double, inst_factor double, step_biases array<double>")
+    got = forecast_case(spark, steps, told)
+    some = [d for d in plain if plain[d].valid_count]
+    assert some and len(some) < len(plain) + 1 and set(got) == set(plain)
+    for d in some:
+        a, g = plain[d], got[d]
+        for i in range(steps):
+            if steps == 6:
+                shift = -[0.1, 0.2][min(i, 1)]
+            else:
+                limit = a.last_price * 0.003
+                shift = max(-limit, min(limit, 0.3)) + 0.5 * P.config.INST_DRIFT * math.sqrt(i + 1)
+            assert g.predicted[i] - a.predicted[i] == pytest.approx(shift, abs=0.011)
+            assert g.upper[i] - g.predicted[i] == pytest.approx(2 * (a.upper[i] - a.predicted[i]), rel=0.02, abs=0.03)
+        assert g.rest_high == pytest.approx(a.rest_high + 0.5 * 0.25 + min(0.4, a.last_price * 0.005), abs=1e-9)
+        assert all(x >= p + 0.04 for x, p in zip(a.q_upper, a.predicted, strict=True)) and len(a.tracks) == a.valid_count
+        assert len(a.top1_track) <= 20 + steps and a.high_time and a.low_time
+    none = [d for d in plain if not plain[d].valid_count]
+    assert all(plain[d].advice == "NEUTRAL" and plain[d].label == "no data" for d in none)
+
+
+def test_match_features_against_plain_python(spark):
+    rows = [("a", T0, 90.0, [1.0, 2.0]), ("a", T0, 80.0, [5.0, 4.5]), ("a", T0, 70.0, [1.0, 1.0]), ("b", T0, 60.0, [])]
+    t = spark.createDataFrame(rows, "symbol string, bar_ts timestamp, similarity double, path array<double>")
+    last = spark.createDataFrame([("a", T0, 10.0), ("b", T0, 10.0)], "symbol string, bar_ts timestamp, close double")
+    got = {r.symbol: (r.hist_sim, r.hist_consensus, r.hist_return) for r in X.match_features(t, last).collect()}
+    assert got["a"] == pytest.approx((0.8, 0.0, (1 - 0.5 + 0) / 3 / 10 * 100)) and got["b"] == pytest.approx((0.6, 0.0, 0.0))
+
+
+def test_backtest_cutoffs_and_sharpe(spark):
+    b = make_bars(spark, 24 * 14, seed=6)
+    every = {r.q_trading_date: r for r in B.backtest(b, 20, radius=23).collect()}
+    few = {r.q_trading_date: r for r in B.backtest(b, 20, radius=23, cutoffs=4).collect()}
+    assert few and set(few) <= set(every) and all(few[d] == every[d] for d in few) and len(few) <= 4 < len(every)
+    closes = dict(zip(values(b, "bar_ts"), values(b, "close"), strict=True))
+    for r in every.values():
+        assert r.actual_end in closes.values() and r.mape >= 0
+    r = [(1.0, 1.2, 1.3), (1.0, 0.8, 1.1), (1.0, 1.01, 2.0), (2.0, 2.5, 2.2)]
+    d = spark.createDataFrame([("a", *x, 1.0) for x in r], "symbol string, last_price double, predicted_end double, actual_end double, mape double")
+    m = B.backtest_metrics(d).first()
+    x = np.array([0.3, -0.1, 0.1])
+    assert (m.n, m.signals) == (4, 3) and m.win_rate == pytest.approx(200 / 3) and m.sharpe == pytest.approx(x.mean() / (x.std() + 1e-8) * (252 * 1440) ** 0.5)
