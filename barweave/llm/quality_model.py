@@ -19,6 +19,8 @@ from .labelled import fold, labelled_sample
 
 #: Labelled documents that are learned from at most, words in a passage, buckets of byte triples.
 SAMPLE, WORDS, BUCKETS = 6000, 64, 32
+#: Passages of a document that are learned from at most, evenly spaced; all of them are scored.
+LEARNED = 64
 EMBED, ATTEND, EPOCHS, BATCH = 32, 16, 30, 128
 
 # Kinds of bytes: lower, upper, digit, beyond ASCII, blank, line end, sentence marks, ! and ?, quotes, |, brackets, slashes, @ and _, other symbols
@@ -160,29 +162,32 @@ class AttentionModel:
         return self
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, learn: Column) -> AttentionModel:
-    """A model of at most SAMPLE labelled documents, whose encoded passages the driver holds; untrained without any."""
+def quality_model(docs: DataFrame, labels: DataFrame, learn: Column) -> AttentionModel | None:
+    """A model of at most SAMPLE labelled documents; none without any.  The driver holds LEARNED passages of FEATURES
+    numbers of each at most, 80 MB in all."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [passages(t).tobytes() for t in utf8(b.column(0))]
+            bags = [passages(t) for t in utf8(b.column(0))]
+            rows = [(x if len(x) <= LEARNED else x[np.linspace(0, len(x) - 1, LEARNED).astype(np.int64)]).tobytes() for x in bags]
             yield pa.record_batch([pa.array(rows, pa.binary()), b.column(1)], ["passages", "y"])
 
     sample = labelled_sample(docs, labels, "quality", learn, SAMPLE)
     rows = map_arrow(sample.select("text", "y"), encode, "passages binary, y int").orderBy("passages").collect()
     bags = [np.frombuffer(r["passages"], np.float32).reshape(-1, FEATURES) for r in rows]
     y = np.array([r["y"] for r in rows], np.float32)
-    return AttentionModel().fit(bags, y) if len(bags) else AttentionModel()
+    return AttentionModel().fit(bags, y) if len(bags) else None
 
 
-def score_quality(docs: DataFrame, model: AttentionModel) -> DataFrame:
-    """(doc_id, score) of every whole text; null texts are scored as empty ones."""
+def score_quality(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
+    """(doc_id, score) of every whole text; null texts are scored as empty ones; without a model every score is 0.5."""
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = spread.value
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array(m.scores([passages(t) for t in utf8(b.column(1))]))], ["doc_id", "score"])
+            scores = m.scores([passages(t) for t in utf8(b.column(1))]) if m else np.full(len(b), 0.5)
+            yield pa.record_batch([b.column(0), pa.array(scores)], ["doc_id", "score"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), score, "doc_id long, score double")
 
@@ -190,7 +195,8 @@ def score_quality(docs: DataFrame, model: AttentionModel) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """(doc_id, held_out, score, predicted); rows of fold ``held`` are never learned from.
 
-    A null doc_id is never learned from and isn't held out; repeated rows score alike.
+    A null doc_id is never learned from and isn't held out; repeated rows score alike; without labelled rows every score
+    is 0.5; an empty table gives no rows; other columns don't matter.
     """
     doc_id = F.col("doc_id")
     scored = score_quality(docs, quality_model(docs, labels, fold(doc_id, folds) != held))

@@ -95,7 +95,7 @@ def default_rules() -> list[Rule]:
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
-    """Adds words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """Adds __words (an array), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text, words = F.col("text"), F.col("__words")
     d = docs.withColumn("__words", words_of(text))
     d = d.withColumns({"n_words": F.size(words).cast("long"), "word_chars": word_chars(text), "n_symbols": symbols(text), "n_dup_lines": duplicate_lines(text), "n_repeat_words": repeated_words(words)})
@@ -153,7 +153,11 @@ def quality_verdicts(docs: DataFrame, rules: list[Rule] | None = None) -> DataFr
 
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Documents that no rule rejects, with all their columns; expensive rules see only what the others let pass."""
+    """Documents that no rule rejects, with all their columns; expensive rules see only what the others let pass.
+
+    Null and empty texts have too few words and go; repeated rows and rows without a doc_id are judged each by its text;
+    an empty table stays empty; names of other columns don't matter.
+    """
     order = estimate_order(docs, rules or default_rules())
     text = F.coalesce(F.col("text"), F.lit(""))
     # words are bound inside the expression: a column would be put in its place again wherever the filter names it

@@ -239,6 +239,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
     """(doc_id, held_out, score, predicted); rows of fold ``held`` are never learned from.
 
     Null texts score like empty ones; a null doc_id is never learned from and isn't held out; repeated rows score alike.
+    Without labelled rows the lexicon's voters score alone; an empty table gives no rows; other columns don't matter.
     """
     doc_id = F.col("doc_id")
     scored = score_toxicity(docs, *toxicity_model(docs, labels, fold(doc_id, folds) != held))

@@ -574,3 +574,44 @@ def test_attention_model_gradients():
             down = loss()
             flat[i] = old
             assert abs((up - down) / 2e-5 - g[k].reshape(-1)[i]) < 1e-4, k
+
+
+HARD = [(None, None), (None, "some text"), (1, None), (1, ""), (2, "same text twice"), (2, "same text twice"), (3, "long " * 60_000), (4, "x" * 150_000), (5, " \n\t "), (6, "ok ok ok. fine?")]
+OPERATORS = {
+    "toxicity": lambda d, lab, bench: toxicity.toxicity_scores(d, lab),
+    "pseudonyms": lambda d, lab, bench: pseudonyms.pseudonymize(d, "k"),
+    "decontamination": lambda d, lab, bench: decontamination.benchmark_hits(d, bench),
+    "token_files": lambda d, lab, bench: token_files.token_file_digest(d, WORD),
+    "quality_model": lambda d, lab, bench: quality_model.quality_scores(d, lab),
+    "ngram_join": lambda d, lab, bench: ngram_join.jaccard_components(d),
+    "quality_rules": lambda d, lab, bench: quality_rules.quality_verdicts(d),
+    "sharding": lambda d, lab, bench: sharding.shard_documents(d, 3),
+}
+
+
+@pytest.mark.parametrize("name", list(OPERATORS))
+def test_nulls_repeats_long_texts_and_clashing_columns(spark, name):
+    """One row comes back for each row, and rows of one text get the same of what doesn't number them."""
+    clashing = ["node", "key", "part", "row", "size", "bucket", "score", "rank", "token", "__words", "n_words", "component", "slot", "y", "ids"]
+    d = spark.createDataFrame(HARD, "doc_id long, text string").select("*", *[F.lit("c").alias(c) for c in clashing]).repartition(2)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "same text twice"), (None, None), (3, "")], "item_id long, text string")
+    rows = OPERATORS[name](d, labels, bench).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in HARD)
+    numbers = {"start", "slot", "shard"}
+    two = [{k: v for k, v in r.asDict().items() if k not in numbers} for r in rows if r.doc_id == 2]
+    assert two[0] == two[1]
+    if name == "quality_model":
+        assert all(r.score == 0.5 for r in OPERATORS[name](d, labels.limit(0), bench).collect())
+
+
+def test_packing_and_counts_of_hard_rows(spark):
+    d = spark.createDataFrame(HARD, "doc_id long, text string").select("*", F.lit(1).alias("length"), F.lit("p").alias("part"), F.lit("r").alias("rank"))
+    e = WordEncoder(BYTE, True)
+    want = Counter()
+    for i, t in HARD:
+        want[i] += len(e.encode(t)) // 4 + 1
+    got = packing.pack_documents(d, BYTE).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == dict(want)
+    total = token_counts.length_totals(token_counts.length_histogram(d, BYTE)).agg(F.max("tokens")).first()[0]
+    assert total == sum(want.values()) - len(HARD)
