@@ -258,13 +258,15 @@ def qualifying(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratc
     the larger name) only, so the sets of a large component are asked about, not asking.
     """
     sizes = labels.groupBy("head").agg(F.count("*").alias("weight"))
-    own = sets.select("node", "n_shingles").join(labels.join(sizes, "head"), "node", "left")
-    own = own.select("node", "n_shingles", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), F.coalesce("head", "node").alias("head")).alias("of"))
+    named = scratch.keep(labels.join(sizes, "head").select("node", "head", "weight"), "named")
+    own = sets.select("node", "n_shingles", "prefix").join(if_small(named), "node", "left")
+    own = own.select("node", "n_shingles", "prefix", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), F.coalesce("head", "node").alias("head")).alias("of"))
     own = scratch.keep(own, "own")
-    listed = sets.select("node", F.explode("prefix").alias("token"))
+    listed = own.select("node", "of", F.explode("prefix").alias("token"))
     singles = F.count(F.when(F.col("of.weight") == 1, 1)).alias("singles")
-    filed = listed.join(own.select("node", "of"), "node").groupBy("token").agg(F.min("of.head").alias("lo"), F.max("of.head").alias("hi"), singles)
-    shared = scratch.keep(listed.join(filed.where("lo <> hi").select("token", "singles"), "token").select("token", "node", "singles"), "shared")
+    filed = listed.groupBy("token").agg(F.min("of.head").alias("lo"), F.max("of.head").alias("hi"), singles)
+    filed = scratch.keep(filed.where("lo <> hi").select("token", "singles"), "filed")
+    shared = scratch.keep(listed.select("token", "node").join(if_small(filed), "token").select("token", "node", "singles"), "shared")
     groups = scratch.keep(_groups(own, shared, percent), "groups")
     placed = own.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     matrix = shared.join(placed.select("node", "of", "group"), "node").groupBy("token", "group").agg(F.max("of").alias("of"))
@@ -280,7 +282,7 @@ def qualifying(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratc
     bound = F.least(need(n, lowest, percent), need(n, highest, percent))
     pairs = met.groupBy("node", "group", "n", "least", "most").agg(F.count("*").alias("common")).where(F.col("common") >= bound)
     pairs = scratch.keep(pairs.select("node", "group", "n"), "pairs")
-    scratch.drop(own, shared, matrix)
+    scratch.drop(own, named, filed, shared, matrix)
     return pairs, groups
 
 
@@ -371,7 +373,7 @@ def _components(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     rows = filed.select("row", "doc_id", "hash", "n_shingles", "a", "b")
     classes = rows.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     classes = scratch.keep(classes, "classes")
-    sets = filed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    sets = filed.join(if_small(classes.select(F.col("node").alias("row"))), "row", "left_semi").withColumnRenamed("row", "node")
     sets = scratch.keep(sets.select("node", "doc_id", "hash", "n_shingles", *SKETCHES, "prefix"), "sets")
 
     labels = None
