@@ -7,8 +7,6 @@ a matrix product, keeping the best few of each query.  Nothing is broadcast.
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +21,8 @@ from barweave.operators import calendar
 
 #: Queries in a block and windows in a part: what a task of the matrix form holds.
 BLOCK, PART = 512, 2048
+#: Pairs whose DTW is measured at once.
+DTW_ROWS = 4096
 LADDER = (4, 5.0, 50.0)
 
 
@@ -58,13 +58,24 @@ def decay_weights(n: int, rate: float = 0.0) -> list[float]:
     return (x / x.sum()).tolist()
 
 
+def dealt(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries, candidates) of the windows: queries are dealt to blocks and go to every part of their series, candidates
+    are dealt to parts and go to every block, by the hash of their day.  Each pair of a series shares one (symbol, block,
+    part), which holds about BLOCK queries and PART candidates however long the series is."""
+    counts = windows.groupBy("symbol").agg(F.count("*").alias("__n"))
+    cols = ["symbol", "trading_date", "start_pos", "start_ts", "z"]
+    sized = windows.join(counts, "symbol").select(*cols, *[F.ceil(F.col("__n") / size).cast("int").alias(name) for name, size in (("__blocks", BLOCK), ("__parts", PART))])
+    at = lambda count: F.pmod(F.xxhash64("trading_date"), F.col(count).cast("long")).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    queries = sized.select(*cols, at("__blocks").alias("block"), every("__parts").alias("part"))
+    return queries, sized.select(*[F.col(c).alias(c) for c in cols], at("__parts").alias("part"), every("__blocks").alias("block"))
+
+
 def candidate_pairs(windows: DataFrame, past_only: bool = False) -> DataFrame:
-    """Each window as a query (q_*) with the other windows of its series as candidates (h_*); equi-join on symbol."""
-    cols = ["trading_date", "start_pos", "start_ts", "z"]
-    q = windows.select("symbol", *[F.col(c).alias(f"q_{c}") for c in cols])
-    h = windows.select("symbol", *[F.col(c).alias(f"h_{c}") for c in cols])
+    """Each window as a query (q_*) with the other windows of its series as candidates (h_*); blocks meet parts."""
+    q, h = (d.select("symbol", "block", "part", *[F.col(c).alias(f"{side}_{c}") for c in ("trading_date", "start_pos", "start_ts", "z")]) for side, d in zip("qh", dealt(windows), strict=True))
     ok = F.col("h_trading_date") < F.col("q_trading_date") if past_only else F.col("h_trading_date") != F.col("q_trading_date")
-    return q.join(h, "symbol").where(ok)
+    return q.join(h, ["symbol", "block", "part"]).where(ok).drop("block", "part")
 
 
 def _dot(a: Column, b: Column, w: list[float]) -> Column:
@@ -211,21 +222,33 @@ def prune_candidates(pairs: DataFrame, k: int = 3, min_sim: float = config.MIN_S
     return d.where(~prune | F.col("__good")).drop("__n", "__good", "__m")
 
 
-def similar_days(windows: DataFrame, n: int, rate: float = 0.0, past_only: bool = False, keep: int | None = None, floor: float = 0.0) -> DataFrame:
+def worth_keeping(query: np.ndarray, composite: np.ndarray, similarity: np.ndarray, keep: int, rungs: list[float]) -> np.ndarray:
+    """Which pairs may be chosen: for each query and rung, the ``keep`` best by composite (ties stay) of those that reach
+    the rung.  A pair whose rounded similarity may lie on either side of a rung stays."""
+    stays, near = np.zeros(len(query), bool), 0.0051
+    for rung in rungs:
+        sure = np.flatnonzero(similarity >= rung + near)
+        order = sure[np.lexsort((-composite[sure], query[sure]))]
+        own = query[order]
+        last = order[np.arange(len(order)) - np.searchsorted(own, own) == keep - 1]
+        cut = np.full(query.max(initial=-1) + 1, -np.inf)
+        cut[query[last]] = composite[last]
+        stays[sure] |= composite[sure] >= cut[query[sure]]
+        stays |= np.abs(similarity - rung) < near
+    return stays
+
+
+def similar_days(windows: DataFrame, n: int, rate: float = 0.0, past_only: bool = False, keep: int | None = None, floor: float = 0.0, dtw_radius: int | None = None, rungs: tuple[float, ...] = ()) -> DataFrame:
     """MA4-MA8 as matrix products: (symbol, q_*, h_*, corr, segment, pivot, composite) of pairs of composite >= floor.
 
-    Queries are dealt to blocks and windows to parts by the hash of their day; a task gets one (symbol, block, part).
-    ``keep`` leaves the best of each query in each part.
+    A task gets one (symbol, block, part) of ``dealt``.  ``keep`` leaves the best of each query in each part.  With
+    ``dtw_radius`` these pairs are measured where their windows are, ``dtw`` is added, and of each rung in ``rungs`` the
+    best ``keep`` of each query stay.
     """
     weights, edges = np.array(decay_weights(n, rate)), segment_edges(n)
-    counts = windows.groupBy("symbol").agg(F.count("*").alias("__n"))
-    sized = windows.join(counts, "symbol").select("symbol", "trading_date", "start_pos", "start_ts", "z", F.ceil(F.col("__n") / BLOCK).cast("int").alias("__blocks"), F.ceil(F.col("__n") / PART).cast("int").alias("__parts"))
-    at = lambda count: F.pmod(F.xxhash64("trading_date"), F.col(count).cast("long")).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    cols = ["symbol", "trading_date", "start_pos", "start_ts", "z"]
-    q = sized.select(*cols, at("__blocks").alias("block"), every("__parts").alias("part"))
-    h = sized.select(*[F.col(c).alias(c) for c in cols], at("__parts").alias("part"), every("__blocks").alias("block"))
+    q, h = dealt(windows)
     schema = "symbol string, q_trading_date date, q_start_pos long, q_start_ts timestamp, h_trading_date date, h_start_pos long, h_start_ts timestamp, corr double, segment double, pivot double, composite double"
+    schema += "" if dtw_radius is None else ", dtw double"
 
     def centred(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = z - (z @ weights)[:, None]
@@ -248,14 +271,22 @@ def similar_days(windows: DataFrame, n: int, rate: float = 0.0, past_only: bool
         qd, hd = left["trading_date"].to_numpy(), right["trading_date"].to_numpy()
         ok = (hd[None] < qd[:, None]) if past_only else (hd[None] != qd[:, None])
         ok &= comp >= floor
-        if keep is not None and comp.shape[1] > keep:
+        if dtw_radius is None and keep is not None and comp.shape[1] > keep:
             cut = -np.sort(-np.where(ok, comp, -1), axis=1)[:, keep - 1]
             ok &= comp >= cut[:, None]  # ties stay
         i, j = np.nonzero(ok)
+        dtw = {}
+        if dtw_radius is not None:
+            far = np.concatenate([np.zeros(0), *(banded_dtw(a[i[s : s + DTW_ROWS]], b[j[s : s + DTW_ROWS]], dtw_radius) for s in range(0, len(i), DTW_ROWS))])
+            if keep is not None:
+                sim = np.clip(100 * comp[i, j] + np.clip((0.20 - far) * 25, -5, 5), 0, 100)
+                stays = worth_keeping(i, comp[i, j], sim, keep, list(rungs))
+                i, j, far = i[stays], j[stays], far[stays]
+            dtw = {"dtw": far}
         out = {"symbol": key[0]}
         for side, rows, k in (("q", left, i), ("h", right, j)):
             out |= {f"{side}_{c}": rows[c].to_numpy()[k] for c in ("trading_date", "start_pos", "start_ts")}
-        return pd.DataFrame(out | {"corr": corr[i, j], "segment": segment[i, j], "pivot": pivot[i, j], "composite": comp[i, j]})
+        return pd.DataFrame(out | {"corr": corr[i, j], "segment": segment[i, j], "pivot": pivot[i, j], "composite": comp[i, j], **dtw})
 
     keys = ["symbol", "block", "part"]
     return q.groupBy(*keys).cogroup(h.groupBy(*keys)).applyInPandas(compare, schema)
@@ -264,21 +295,18 @@ def similar_days(windows: DataFrame, n: int, rate: float = 0.0, past_only: bool
 def match_days(df: DataFrame, n: int, k: int = 3, min_sim: float = config.MIN_SIMILARITY, radius: int = config.NMS_RADIUS, dtw_radius: int | None = config.DTW_RADIUS, rate: float = 0.0, past_only: bool = False) -> DataFrame:
     """The top ``k`` past days for every (symbol, trading day) with n bars: MA1 to MA12.
 
-    Without DTW only the prefix that can be chosen leaves a part.  With DTW (a bonus within 5 percent) only pairs that can
-    reach the lowest rung are measured.
+    Only the prefix that can be chosen leaves a part, with DTW one for each rung; pairs that can't reach the lowest rung
+    even with the largest DTW bonus (5 percent) aren't measured.
     """
     windows = settled(day_windows(df, n), "windows")
     tries, step, floor = LADDER
-    lowest = max(floor, min_sim - step * (tries - 1))
+    rungs = tuple(max(floor, min_sim - step * a) for a in range(tries))
+    prefix = prefix_needed(k, radius, n)
     if dtw_radius is None:
-        pairs = similar_days(windows, n, rate, past_only, prefix_needed(k, radius, n), (lowest - 0.005) / 100)
+        pairs = similar_days(windows, n, rate, past_only, prefix, (min(rungs) - 0.005) / 100)
         pairs = pairs.withColumn("similarity", similarity_pct(F.col("composite"))).withColumn("dtw_bonus", F.lit(0.0))
     else:
-        pairs = settled(similar_days(windows, n, rate, past_only, None, (lowest - 5.005) / 100), "pairs")
-        z = windows.select("symbol", "trading_date", "z")
-        both = pairs.join(z.select("symbol", F.col("trading_date").alias("q_trading_date"), F.col("z").alias("q_z")), ["symbol", "q_trading_date"])
-        both = both.join(z.select("symbol", F.col("trading_date").alias("h_trading_date"), F.col("z").alias("h_z")), ["symbol", "h_trading_date"])
-        both = both.withColumn("dtw", dtw_distance(F.col("q_z"), F.col("h_z"), dtw_radius)).drop("q_z", "h_z")
-        both = both.withColumn("similarity", similarity_pct(F.col("composite"), F.col("dtw")))
-        pairs = both.withColumn("dtw_bonus", F.round(clip((0.20 - F.col("dtw")) * 25, -5.0, 5.0), 2)).drop("dtw")
+        pairs = similar_days(windows, n, rate, past_only, prefix, (min(rungs) - 5.005) / 100, dtw_radius, rungs)
+        pairs = pairs.withColumn("similarity", similarity_pct(F.col("composite"), F.col("dtw")))
+        pairs = pairs.withColumn("dtw_bonus", F.round(clip((0.20 - F.col("dtw")) * 25, -5.0, 5.0), 2)).drop("dtw")
     return top_k_nms(threshold_ladder(pairs, min_sim), k, radius, n)

@@ -63,6 +63,50 @@ def test_flat_series_has_no_match(spark):
     assert w.count() == 0 and M.match_days(b, 20, dtw_radius=None).count() == 0
 
 
+def test_worth_keeping_against_sorting():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        query, comp, sim = r.integers(0, 5, 60), r.integers(0, 12, 60) / 12, r.uniform(40, 80, 60)
+        got = M.worth_keeping(query, comp, sim, 3, [70.0, 60.0])
+        want = np.zeros(60, bool)
+        for q in range(5):
+            for rung in (70.0, 60.0):
+                own = [i for i in range(60) if query[i] == q and sim[i] >= rung + 0.0051]
+                least = sorted((comp[i] for i in own), reverse=True)[:3][-1:] or [9.0]
+                want[[i for i in own if comp[i] >= least[0]]] = True
+        want |= (np.abs(sim - 70) < 0.0051) | (np.abs(sim - 60) < 0.0051)
+        assert (got == want).all()
+    assert M.worth_keeping(np.zeros(0, int), np.zeros(0), np.zeros(0), 3, [70.0]).shape == (0,)
+
+
+def test_matches_with_dtw_against_all_pairs(spark, monkeypatch):
+    b = make_bars(spark, 24 * 40, seed=5).union(make_bars(spark, 24 * 9, symbol="b", seed=6))
+    w = M.day_windows(b, 20)
+    monkeypatch.setattr(M, "BLOCK", 7)
+    monkeypatch.setattr(M, "PART", 5)
+    monkeypatch.setattr(M, "DTW_ROWS", 11)
+    pairs = M.candidate_pairs(w)
+    days = {r.symbol: r.n for r in w.groupBy("symbol").agg(F.count("*").alias("n")).collect()}
+    assert pairs.count() == pairs.select("symbol", "q_trading_date", "h_trading_date").distinct().count() == sum(n * (n - 1) for n in days.values())
+    s = M.score_pairs(pairs, 20).withColumn("dtw", M.dtw_distance(F.col("q_z"), F.col("h_z"), 3)).drop("q_z", "h_z")
+    s = s.withColumn("similarity", M.similarity_pct(F.col("composite"), F.col("dtw")))
+    cols = ["symbol", "q_trading_date", "rank", "h_trading_date", "similarity", "attempt"]
+    for least, radius in ((70.0, 23), (90.0, 60)):
+        want = M.top_k_nms(M.threshold_ladder(s, least), 3, radius, 20).select(cols)
+        got = M.match_days(b, 20, min_sim=least, radius=radius, dtw_radius=3).select(cols)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 30
+
+
+def test_scratch_folder_of_a_local_session_without_a_setting(spark):
+    from barweave.functions import scratch
+
+    class Unset:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda key, default: default)}), spark.sparkContext
+
+    a, b = scratch.shared_path(Unset, "x"), scratch.shared_path(Unset, "x")
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
+
+
 def test_top_k_skips_near_starts(spark):
     rows = [("a", "2024-02-01", p, T0 + timedelta(hours=p), c, 90.0, True) for p, c in [(0, 0.9), (24, 0.95), (48, 0.8), (96, 0.95), (120, 0.7)]]
     d = spark.createDataFrame(rows, "symbol string, q_trading_date string, h_start_pos long, h_start_ts timestamp, composite double, similarity double, passes boolean")
