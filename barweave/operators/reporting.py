@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barweave import config
@@ -10,12 +11,16 @@ from barweave.functions.columns import rounded
 from barweave.operators import calendar
 
 
-def timeline(bars: DataFrame, forecast: DataFrame, preds: DataFrame, n: int = config.WINDOW, steps: int = config.FUTURE_STEPS, width: str = config.BAR) -> DataFrame:
+def timeline(bars: DataFrame, forecast: DataFrame, preds: DataFrame, n: int = config.WINDOW, steps: int = config.FUTURE_STEPS, width: str = config.BAR, top1: DataFrame | None = None, tracks: DataFrame | None = None) -> DataFrame:
     """One axis of the last ``n`` bars and ``steps`` future points: (symbol, ts, label, real, predicted, upper, lower,
     hist_pred, advice_type).
 
     ``forecast``: (symbol, step, predicted, upper, lower); its lines start at the last real price.  ``preds``: (symbol, ts,
     price, advice_type).  Points without advice say WAIT.
+
+    ``top1``: (symbol, top1_track), prices that end at the last future point; earlier points than it has are null, more than
+    the axis has are cut at its start.  ``tracks``: (symbol, tracks) as ``forecast.history_tracks`` gives them; each point
+    after the last real one has (rank, price) of every track, the last real one its price, earlier ones null.
     """
     past = calendar.axis_labels(calendar.tail(bars, n)).select("symbol", F.col("bar_ts").alias("ts"), "label", rounded("close", 2).alias("real"), F.lit(None).cast("int").alias("step"))
     last = past.groupBy("symbol").agg(F.max("ts").alias("__last"))
@@ -23,7 +28,17 @@ def timeline(bars: DataFrame, forecast: DataFrame, preds: DataFrame, n: int = co
     axis = past.unionByName(future).join(last, "symbol")
     d = axis.join(forecast, ["symbol", "step"], "left").join(preds.select("symbol", "ts", F.col("price").alias("hist_pred"), "advice_type"), ["symbol", "ts"], "left")
     line = lambda c: F.when(F.col("ts") == F.col("__last"), F.col("real")).otherwise(F.col(c)).alias(c)
-    return d.select("symbol", "ts", "label", "real", line("predicted"), line("upper"), line("lower"), "hist_pred", F.coalesce("advice_type", F.lit("WAIT")).alias("advice_type"))
+    more = []
+    if top1 is not None:
+        back = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("ts"))) - 1  # n + steps points for each series
+        d = d.withColumn("__back", back).join(top1.select("symbol", F.reverse("top1_track").alias("__top1")), "symbol", "left")
+        more.append(F.get("__top1", F.col("__back")).alias("top1"))
+    if tracks is not None:
+        d = d.join(tracks.select("symbol", F.col("tracks").alias("__tracks")), "symbol", "left")
+        price = lambda t: F.when(F.col("step").isNull(), F.col("real")).otherwise(F.get(t["path"], F.col("step") - 1))
+        points = F.transform("__tracks", lambda t: F.struct(t["rank"].alias("rank"), price(t).alias("price")))
+        more.append(F.when(F.col("ts") >= F.col("__last"), points).alias("tracks"))
+    return d.select("symbol", "ts", "label", "real", line("predicted"), line("upper"), line("lower"), "hist_pred", F.coalesce("advice_type", F.lit("WAIT")).alias("advice_type"), *more)
 
 
 def prediction_maps(preds: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from barweave.operators import features as X
 from barweave.operators import forecast as P
 from barweave.operators import matching as M
 from barweave.operators import model as L
+from barweave.operators import reporting as R
 from barweave.operators import storage as S
 from barweave.streaming import bars as Z
 
@@ -309,3 +310,19 @@ def test_backtest_cutoffs_and_sharpe(spark):
     m = B.backtest_metrics(d).first()
     x = np.array([0.3, -0.1, 0.1])
     assert (m.n, m.signals) == (4, 3) and m.win_rate == pytest.approx(200 / 3) and m.sharpe == pytest.approx(x.mean() / (x.std() + 1e-8) * (252 * 1440) ** 0.5)
+
+
+def test_timeline_has_the_tracks(spark):
+    b = make_bars(spark, 8).union(make_bars(spark, 8, symbol="b", seed=1))
+    f = spark.createDataFrame([("a", k, 1.0, 2.0, 0.0) for k in (1, 2, 3)], "symbol string, step int, predicted double, upper double, lower double")
+    p = spark.createDataFrame([], "symbol string, ts timestamp, price double, advice_type string")
+    paths = [(1, [7.0, 8.0, 9.0]), (2, [6.0, 5.0, 4.0])]
+    t = spark.createDataFrame([("a", paths)], "symbol string, tracks array<struct<rank:int,path:array<double>>>")
+    for top1, want in (([1.0, 2.0, 3.0, 4.0], [None] * 4 + [1.0, 2.0, 3.0, 4.0]), ([float(i) for i in range(20)], [float(i) for i in range(12, 20)])):
+        o = spark.createDataFrame([("a", top1)], "symbol string, top1_track array<double>")
+        rows = R.timeline(b, f, p, 5, 3, "1 hour", o, t).orderBy("symbol", "ts").collect()
+        a, other = [r for r in rows if r.symbol == "a"], [r for r in rows if r.symbol == "b"]
+        assert len(a) == len(other) == 8 and [r.top1 for r in a] == want
+        assert all(r.tracks is None for r in a[:4]) and all(r.top1 is None and r.tracks is None for r in other)
+        assert [[tuple(x) for x in r.tracks] for r in a[4:]] == [[(1, a[4].real), (2, a[4].real)], [(1, 7.0), (2, 6.0)], [(1, 8.0), (2, 5.0)], [(1, 9.0), (2, 4.0)]]
+    assert "top1" not in R.timeline(b, f, p, 5, 3, "1 hour").columns
