@@ -236,6 +236,16 @@ def need(n: Column, m: Column, percent: int) -> Column:
     return F.greatest(overlap - rest, F.lit(1))
 
 
+def least_need(n: Column, lowest: Column, highest: Column, percent: int) -> Column:
+    """A lower bound of ``need(n, m)`` over all sizes m from lowest to highest.
+
+    Up to n it rises with m, so its least value stands at the lowest size.  Beyond n, overlap less rest falls but for
+    rounding: both are rounded up, so no value is more than one below the value at the highest size.
+    """
+    right = need(n, highest, percent) - F.when(highest > F.greatest(n, lowest), 1).otherwise(0)
+    return F.greatest(F.least(need(n, lowest, percent), right), F.lit(1))
+
+
 def _groups(own: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """(node, group): components, and crowds of single sets that have a token and about their size in common, are cut
     into groups of about PART sets; a group is named by its smallest node.  What isn't named is a group of its own."""
@@ -279,7 +289,7 @@ def qualifying(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratc
     met = met.where(f"most * 100 >= n * {percent} and least * {percent} <= n * 100")
     n = F.col("n")
     lowest, highest = F.greatest("least", F.ceil(n * percent / 100)), F.least("most", F.floor(n * 100 / percent))
-    bound = F.least(need(n, lowest, percent), need(n, highest, percent))
+    bound = least_need(n, lowest, highest, percent)
     pairs = met.groupBy("node", "group", "n", "least", "most").agg(F.count("*").alias("common")).where(F.col("common") >= bound)
     pairs = scratch.keep(pairs.select("node", "group", "n"), "pairs")
     scratch.drop(own, named, filed, shared, matrix)

@@ -22,6 +22,8 @@ SAMPLE, WORDS, BUCKETS = 6000, 64, 32
 #: Passages of a document that are learned from at most, evenly spaced; all of them are scored.
 LEARNED = 64
 EMBED, ATTEND, EPOCHS, BATCH = 32, 16, 30, 128
+#: Passages scored at once.
+ROWS = 16
 
 # Kinds of bytes: lower, upper, digit, beyond ASCII, blank, line end, sentence marks, ! and ?, quotes, |, brackets, slashes, @ and _, other symbols
 _KIND = np.full(256, 13, np.uint8)
@@ -122,10 +124,25 @@ class AttentionModel:
         return {"x": x, "n": n, "pre": pre, "h": h, "t": t, "s": s, "att": att, "z": z, "y": _sigmoid(z @ p["c"] + p["d"][0])}
 
     def scores(self, bags: list[np.ndarray]) -> np.ndarray:
-        if not bags:
-            return np.zeros(0)
-        starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
-        return self._forward(np.concatenate(bags), starts)["y"].astype(np.float64)
+        """Each document is scored by itself, in doubles and in blocks of one shape filled up with zeros, so that its
+        score doesn't depend on what shares its batch."""
+        p = {k: v.astype(np.float64) for k, v in self.p.items()}
+        mean, scale = self.mean.astype(np.float64), self.scale.astype(np.float64)
+        out = np.zeros(len(bags))
+        for i, bag in enumerate(bags):
+            each = []
+            for at in range(0, len(bag), ROWS):
+                own = bag[at : at + ROWS]
+                x = np.zeros((ROWS, FEATURES))
+                x[: len(own)] = (own - mean) * scale
+                h = np.maximum(x @ p["w"] + p["b"], 0)
+                e = np.tanh(h @ p["v"]) * _sigmoid(h @ p["u"]) @ p["a"]
+                each.append((h[: len(own)], e[: len(own)]))
+            h, e = np.concatenate([x for x, _ in each]), np.concatenate([x for _, x in each])
+            att = np.exp(e - e.max())
+            z = (h * att[:, None]).sum(axis=0) / att.sum()
+            out[i] = _sigmoid((z * p["c"]).sum() + p["d"][0])
+        return out
 
     def attention(self, bag: np.ndarray) -> np.ndarray:
         """The weight of each passage of one document."""

@@ -314,6 +314,34 @@ def test_groups_are_opened_only_within_their_bound(spark):
     assert pairs <= meet and len(pairs) < len(meet) / 2  # the bound rejects most groups that share a token
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_the_bound_holds_for_every_size_in_a_group(spark, percent):
+    """least_need isn't above what any size between the least and the largest needs."""
+    r = random.Random(percent)
+    rows = [(n, low, r.randint(low, n * 100 // percent)) for n in range(1, 300) for low in r.choices(range(-(-n * percent // 100), n * 100 // percent + 1), k=4)]
+    d = spark.createDataFrame(rows, "n long, low long, high long")
+    bound = ngram_join.least_need(F.col("n"), F.col("low"), F.col("high"), percent)
+    each = d.withColumn("bound", bound).withColumn("m", F.explode(F.sequence("low", "high")))
+    least = each.groupBy("n", "low", "high").agg(F.min("bound").alias("bound"), F.min(ngram_join.need(F.col("n"), F.col("m"), percent)).alias("least"))
+    assert least.where("bound > least").count() == 0
+    assert least.where("bound < least - 1").count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_no_link_is_lost_at_the_bound(spark, percent):
+    """Sets of four texts where one links with a single member of a group, with exactly the least similarity."""
+    r, texts = random.Random(percent), []
+    for k in range(150):
+        # of 3-word shingles y has n + ends, x shares n of them and has one of its own: n / (n + ends + 1) = percent / 100
+        ends = r.choice([2, 3, 4, 5, 6]) if percent == 90 else r.choice([1, 3, 5, 7])
+        n = (ends + 1) * percent // (100 - percent)
+        y = [f"q{k}w{j}" for j in range(n + ends + 2)]
+        texts += [y, y[ends:] + [f"new{k}"], y[:-ends], [f"ahead{k}", *y]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(texts[1])), (5000, " ".join(texts[1])), (5001, None)]
+    found = {x.doc_id: x.component_id for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert all(found[i] == i // 4 * 4 for i in range(len(texts))) and found[5000] == 0 and found[5001] == 5001
+
+
 def test_spanning_links_connect_what_the_found_ones_do():
     r = np.random.default_rng(2)
     for _ in range(20):
@@ -553,6 +581,16 @@ def test_classifiers_on_held_out_rows(labelled, label, score, folds, held):
     assert score(docs.limit(0), labels).collect() == []
 
 
+def test_scores_do_not_depend_on_the_batch():
+    r = np.random.default_rng(5)
+    bags = [r.random((k, quality_model.FEATURES)).astype(np.float32) for k in (1, 5, 16, 17, 40, 1, 200)]
+    m = quality_model.AttentionModel(1)
+    whole, alone = m.scores(bags), [m.scores([b])[0] for b in bags]
+    assert whole.tolist() == alone and m.scores(bags[::-1])[::-1].tolist() == alone and len(m.scores([])) == 0
+    starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
+    assert np.abs(whole - m._forward(np.concatenate(bags), starts)["y"]).max() < 1e-5
+
+
 def test_attention_model_gradients():
     r = np.random.default_rng(1)
     m = quality_model.AttentionModel()
