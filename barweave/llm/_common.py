@@ -5,11 +5,13 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: Rows in one Arrow batch handed to Python: a few MB of ordinary documents.
 ARROW_ROWS = "512"
@@ -72,6 +74,40 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def grouped(df: DataFrame, key: list[str], order: list[str], fn: Callable[[dict[str, list]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``fn`` over the rows of each key, which are few, in the order given; many keys share a task and none is a call of
+    its own.  ``fn`` gets lists by column and gives rows."""
+    names, out = df.columns, to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {n: [] for n in names}
+        of, found = None, []
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+        for b in batches:
+            columns = {n: b.column(i).to_pylist() for i, n in enumerate(names)}
+            keys = list(zip(*(columns[k] for k in key), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if of not in (None, keys[i]):
+                    found += fn(held)
+                    held = {n: [] for n in names}
+                of = keys[i]
+                for n in names:
+                    held[n] += columns[n][i:j]
+            if found:
+                yield batch(found)
+                found = []
+        if of is not None and (found := list(fn(held))):
+            yield batch(found)
+
+    return map_arrow(df.repartition(*key).sortWithinPartitions(*key, *order), run, schema)
+
+
 # Bytes of words: digits, letters (A-Z lowered) and everything beyond ASCII. Other bytes separate.
 _ALNUM = bytes(
     (b + 32) if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
