@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, merkle, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, token_counts, token_files, toxicity
+from . import alignment, decontamination, merkle, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, token_counts, token_files, toxicity
 from ._common import table
 from .encoding import vocabulary_path
 
@@ -61,6 +61,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_sharding,
         op12_merkle_manifest,
+        op13_token_alignment,
     )
 }
 
