@@ -30,8 +30,8 @@ from .shingles import distinct, mix, shingle_codes, shingle_sets, slabs, word_co
 PART, PART_SHINGLES = 128, 200_000
 #: So many single sets under one token are put into groups.
 CROWD = 8
-#: Hashed counts of shingles: their number is fixed, so is what the driver gets and sends.
-COUNT_BITS = 18
+#: Hashed counts of shingles, added up in ranges: their number is fixed, so is what the driver gets (32 MB) and sends (16).
+COUNT_BITS, COUNT_RANGES = 22, 64
 #: Token columns compared at once.
 COLUMNS = 4096
 #: Pairs of the three min-hashes under which sets meet.
@@ -40,23 +40,33 @@ SKETCHES = ("k12", "k13", "k23")
 
 def _rarity(docs: DataFrame, shingle: int) -> np.ndarray:
     """For each hashed count its place in ascending order: the rarer a shingle's count, the smaller."""
+    size = (1 << COUNT_BITS) // COUNT_RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
+        total = np.zeros(1 << COUNT_BITS, np.uint32)
         for b in batches:
             for data, offsets in slabs(b.column(0)):
                 codes, _ = shingle_codes(*word_codes(data, offsets), shingle)
-                total += np.bincount((codes >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 1 << 16):
-            k = some[at : at + (1 << 16)]
-            yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(total[k])], ["k", "n"])
-
-    rows = map_arrow(docs.select("text"), count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << COUNT_BITS, np.int64)
-    total[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    place = np.empty(len(total), np.uint64)
-    place[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
+                np.add.at(total, (codes >> np.uint64(64 - COUNT_BITS)).astype(np.int64), np.uint32(1))
+        if total.any():  # most counts are small, so their high bytes compress away
+            packed = [pa.compress(total[k * size : (k + 1) * size].view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) for k in range(COUNT_RANGES)]
+            yield pa.record_batch([pa.array(np.arange(COUNT_RANGES, dtype=np.int32)), pa.array(packed, pa.binary())], ["k", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = np.frombuffer(pa.decompress(packed, 4 * size, "zstd", asbytes=True), np.uint8).reshape(4, size)
+                totals[k] = totals.get(k, 0) + np.ascontiguousarray(raw.T).view(np.uint32)[:, 0].astype(np.int64)
+        yield pa.record_batch([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["k", "counts"])
+
+    schema = "k int, counts binary"
+    rows = map_arrow(map_arrow(docs.select("text"), count, schema).repartition("k"), add, schema).collect()
+    total = np.zeros((COUNT_RANGES, size), np.int64)
+    for k, counts in rows:
+        total[k] = np.frombuffer(counts, np.int64)
+    place = np.empty(total.size, np.uint32)
+    place[np.argsort(total.reshape(-1), kind="stable")] = np.arange(total.size, dtype=np.uint32)
     return place
 
 
@@ -79,7 +89,7 @@ def _file(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
             for data, offsets in slabs(batch.column(2)):
                 codes, starts = shingle_codes(*word_codes(data, offsets), shingle)
                 # the place of its count takes the place of a code's high bits: still one number for each shingle
-                codes = (place.value[(codes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] << np.uint64(64 - COUNT_BITS)) | (codes & low)
+                codes = (place.value[(codes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(64 - COUNT_BITS)) | (codes & low)
                 codes, starts = distinct(codes, starts)
                 n = np.diff(starts)
                 some = np.flatnonzero(n)
@@ -185,15 +195,29 @@ def blocks(rows: DataFrame, key: list[str], fn: Callable[[dict[str, list]], list
     return map_arrow(rows.repartition(*key).sortWithinPartitions(*key, "node"), run, schema)
 
 
-def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of nodes; only their texts are shuffled."""
-    wanted = sets.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash"))
+def _one_each(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, text, hash) of documents, once for each doc_id and text."""
+    names = ["__doc", "__hash"]
+    again = scratch.keep(rows.groupBy("doc_id", "hash").count().where("count > 1").select("doc_id", "hash").toDF(*names), "again")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    if again.isEmpty():
+        return own
+    same = own["hash"].eqNullSafe(F.col("__hash")) & own["doc_id"].eqNullSafe(F.col("__doc"))
+    again = if_small(again)
+    one = scratch.keep(own.join(again, same, "left_semi").dropDuplicates(["doc_id", "hash"]), "one")
+    return own.join(again, same, "left_anti").union(one)
+
+
+def _with_texts(own: DataFrame, sets: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (numbers, one of them a node) with the texts of their nodes.  Few rows are handed to every task, so that a
+    text moves only to where it is compared; beyond that all documents are shuffled once."""
+    placed = rows.join(sets.select("node", F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash")), "node")
+    placed = if_small(scratch.keep(placed, "placed"))
     same = own["hash"].eqNullSafe(F.col("__hash")) & own["doc_id"].eqNullSafe(F.col("__doc"))
-    return own.join(if_small(wanted), same).select("node", "text")
+    return own.join(placed, same).select(*rows.columns, "text")
 
 
-def _merged(docs: DataFrame, sets: DataFrame, labels: DataFrame | None, key: str, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
+def _merged(own: DataFrame, sets: DataFrame, labels: DataFrame | None, key: str, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
     """(node, head): heads of components, or single sets, that agree in a sketch are linked part by part."""
     heads = sets.select("node", F.col(key).alias("key"), "n_shingles", F.lit(1).cast("long").alias("weight"))
     if labels is not None:
@@ -206,15 +230,15 @@ def _merged(docs: DataFrame, sets: DataFrame, labels: DataFrame | None, key: str
     dealt = scratch.keep(dealt, "dealt")
     anchors = dealt.groupBy("key", "part").agg(F.first("anchor").alias("anchor")).select("key", "part", F.col("anchor").alias("node"), "anchor")
     rows = dealt.where("node <> anchor").union(anchors)
-    texts = scratch.keep(_texts(docs, sets, dealt.select("node").distinct()).dropDuplicates(["node"]), "texts")
+    rows = _with_texts(own, sets, rows, scratch).select("key", "part", "node", "anchor", "text")
 
     def link(part: dict[str, list]) -> list[tuple]:
         if len(part["node"]) < 2:
             return []
         return group_part(part["node"], shingle_sets(pa.array(part["text"]), shingle), part["anchor"][0], percent)
 
-    linked = scratch.keep(blocks(rows.join(texts, "node").select("key", "part", "node", "anchor", "text"), ["key", "part"], link, "node long, head long").distinct(), "linked")
-    scratch.drop(dealt, texts)
+    linked = scratch.keep(blocks(rows, ["key", "part"], link, "node long, head long").distinct(), "linked")
+    scratch.drop(dealt)
     return linked
 
 
@@ -314,15 +338,15 @@ def spanning(found: np.ndarray, left: list[int], right: list[int]) -> list[tuple
     return out
 
 
-def _opened(docs: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
+def _opened(own: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
     """(x, y): for each qualifying group, links that connect its queries with the members that they link with."""
     sizes = pairs.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / (2 * PART)), F.ceil(F.sum("n") / PART_SHINGLES)).cast("long").alias("blocks"))
     asked = pairs.join(sizes, "group").select("group", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", F.lit(True).alias("query"))
     members = groups.join(sizes, "group")
     alone = sizes.join(groups.select("group").distinct(), "group", "left_anti").select("group", F.col("group").alias("node"), "blocks")
     members = members.select("group", "node", "blocks").union(alone).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = scratch.keep(asked.union(members.select("group", "block", "node", F.lit(False).alias("query"))), "opened")
-    texts = scratch.keep(_texts(docs, sets, rows.select("node").distinct()).dropDuplicates(["node"]), "texts")
+    rows = asked.union(members.select("group", "block", "node", F.lit(False).alias("query")))
+    rows = _with_texts(own, sets, rows, scratch).select("group", "block", "node", "query", "text")
 
     def link(block: dict[str, list]) -> list[tuple]:
         query = np.array(block["query"])
@@ -332,8 +356,7 @@ def _opened(docs: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFram
         q, m = np.flatnonzero(query).tolist(), np.flatnonzero(~query).tolist()
         return spanning(similar([each[i] for i in q], [each[i] for i in m], percent), [nodes[i] for i in q], [nodes[i] for i in m])
 
-    edges = scratch.keep(blocks(rows.join(texts, "node").select("group", "block", "node", "query", "text"), ["group", "block"], link, "x long, y long"), "edges")
-    scratch.drop(rows, texts)
+    edges = scratch.keep(blocks(rows, ["group", "block"], link, "x long, y long"), "edges")
     return edges
 
 
@@ -386,11 +409,12 @@ def _components(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     sets = filed.join(if_small(classes.select(F.col("node").alias("row"))), "row", "left_semi").withColumnRenamed("row", "node")
     sets = scratch.keep(sets.select("node", "doc_id", "hash", "n_shingles", *SKETCHES, "prefix"), "sets")
 
+    own = _one_each(docs, rows, scratch)
     labels = None
     for key in SKETCHES:
-        labels = _followed(labels, _merged(docs, sets, labels, key, percent, shingle, scratch), scratch)
+        labels = _followed(labels, _merged(own, sets, labels, key, percent, shingle, scratch), scratch)
     pairs, groups = qualifying(sets, labels, percent, scratch)
-    edges = _opened(docs, sets, groups, pairs, percent, shingle, scratch)
+    edges = _opened(own, sets, groups, pairs, percent, shingle, scratch)
     scratch.drop(groups, pairs)
     labels = _linked(labels, edges, scratch)
     final = classes.join(labels, "node", "left").select("a", "b", "n_shingles", "least", F.coalesce("head", "node").alias("component"))
