@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -108,6 +109,26 @@ def grouped(df: DataFrame, key: list[str], order: list[str], fn: Callable[[dict[
     return map_arrow(df.repartition(*key).sortWithinPartitions(*key, *order), run, schema)
 
 
+def numbered(rows: DataFrame, scratch: Scratch, order: list[str], tree: str = "tree", flag: str | None = None) -> DataFrame:
+    """Adds pos (from 0, in the order given) and n (rows) within each value of ``tree``, and the number of earlier rows
+    with ``flag`` as flagged.  Rows are range-partitioned, so that one value may lie over many tasks; only counts of
+    (value, range) are summed up in order."""
+    ranged = scratch.keep(rows.repartitionByRange(tree, *order).withColumn("part", F.spark_partition_id()), "ranged")
+    held = F.lit(0) if flag is None else F.when(F.col(flag), 1).otherwise(0)
+    counts = ranged.groupBy(tree, "part").agg(F.count("*").alias("m"), F.sum(held).alias("f"))
+    of = W.partitionBy(tree)
+    run = of.orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.select(tree, "part", (F.sum("m").over(run) - F.col("m")).alias("before"), F.sum("m").over(of).alias("n"), (F.sum("f").over(run) - F.col("f")).alias("f_before"))
+    own = W.partitionBy(tree, "part").orderBy(*order)
+    d = ranged.withColumn("local", F.row_number().over(own) - 1)
+    if flag is not None:
+        d = d.withColumn("f_local", F.sum(held).over(own.rowsBetween(W.unboundedPreceding, 0)) - held)
+    d = d.join(if_small(scratch.keep(counts, "ranges")), [tree, "part"]).withColumn("pos", F.col("before") + F.col("local"))
+    if flag is not None:
+        d = d.withColumn("flagged", F.col("f_before") + F.col("f_local"))
+    return d.drop("part", "local", "before", "f_before", "f_local")
+
+
 # Bytes of words: digits, letters (A-Z lowered) and everything beyond ASCII. Other bytes separate.
 _ALNUM = bytes(
     (b + 32) if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)

@@ -14,10 +14,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import Scratch, grouped, if_small
+from ._common import Scratch, grouped, if_small, numbered
 
 #: Children of a node, and levels of a block.
 ARITY, HEIGHT = 16, 3
@@ -76,17 +75,6 @@ def leaf_digest(doc_id: Column, source: Column, lang: Column, n_chars: Column, t
     return F.sha2(F.concat(*map(field, (doc_id, source, lang, n_chars, text))), 256)
 
 
-def numbered(rows: DataFrame, scratch: Scratch, order: list[str]) -> DataFrame:
-    """Adds pos (from 0, in the order given) and n (rows) within ``tree``.  Rows are range-partitioned, so one tree may
-    lie over many tasks; only counts of (tree, range) are summed up in order."""
-    ranged = scratch.keep(rows.repartitionByRange("tree", *order).withColumn("part", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("tree", "part").agg(F.count("*").alias("m"))
-    tree = W.partitionBy("tree")
-    counts = counts.select("tree", "part", (F.sum("m").over(tree.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("m")).alias("before"), F.sum("m").over(tree).alias("n"))
-    local = F.row_number().over(W.partitionBy("tree", "part").orderBy(*order)) - 1
-    return ranged.withColumn("local", local).join(counts, ["tree", "part"]).withColumn("pos", F.col("before") + F.col("local")).drop("part", "local", "before")
-
-
 def _blocks(nodes: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """Nodes with the block that each lies in, and what is known above the block."""
     d = nodes.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long"))

@@ -30,7 +30,7 @@ from .shingles import distinct, mix, shingle_codes, shingle_sets, slabs, word_co
 PART, PART_SHINGLES = 128, 200_000
 #: So many single sets under one token are put into groups.
 CROWD = 8
-#: Hashed counts of shingles, added up in ranges: their number is fixed, so is what the driver gets (32 MB) and sends (16).
+#: Hashed counts of shingles, added up in ranges: their number is fixed, so is what the driver gets and sends (16 MB each).
 COUNT_BITS, COUNT_RANGES = 22, 64
 #: Token columns compared at once.
 COLUMNS = 4096
@@ -58,13 +58,12 @@ def _rarity(docs: DataFrame, shingle: int) -> np.ndarray:
             for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = np.frombuffer(pa.decompress(packed, 4 * size, "zstd", asbytes=True), np.uint8).reshape(4, size)
                 totals[k] = totals.get(k, 0) + np.ascontiguousarray(raw.T).view(np.uint32)[:, 0].astype(np.int64)
-        yield pa.record_batch([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["k", "counts"])
+        yield pa.record_batch([pa.array(list(totals), pa.int32()), pa.array([np.minimum(t, 0xFFFFFFFF).astype(np.uint32).tobytes() for t in totals.values()], pa.binary())], ["k", "counts"])
 
     schema = "k int, counts binary"
-    rows = map_arrow(map_arrow(docs.select("text"), count, schema).repartition("k"), add, schema).collect()
-    total = np.zeros((COUNT_RANGES, size), np.int64)
-    for k, counts in rows:
-        total[k] = np.frombuffer(counts, np.int64)
+    total = np.zeros((COUNT_RANGES, size), np.uint32)
+    for k, counts in map_arrow(map_arrow(docs.select("text"), count, schema).repartition("k"), add, schema).collect():
+        total[k] = np.frombuffer(counts, np.uint32)
     place = np.empty(total.size, np.uint32)
     place[np.argsort(total.reshape(-1), kind="stable")] = np.arange(total.size, dtype=np.uint32)
     return place

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontamination, merkle, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, token_counts, token_files, toxicity
+from . import alignment, decontamination, merkle, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, suffix_dedup, token_counts, token_files, toxicity
 from ._common import table
 from .encoding import vocabulary_path
 
@@ -57,6 +57,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard_join,
         op9_quality_rules,
         op10_sharding,
+        op11_suffix_dedup,
         op12_merkle_manifest,
         op13_token_alignment,
     )
