@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barweave import config
 from barweave.functions.columns import rounded
-from barweave.functions.windows import fill, in_chunks
+from barweave.functions.windows import fill, in_chunks, month
 
 OHLC = ("open", "high", "low", "close")
 
@@ -79,13 +79,13 @@ def asof_join(left: DataFrame, right: DataFrame, values: list[str], by: tuple[st
     """``left`` with ``values`` of the last right row at or before it (``forward``: the first at or after), or nulls.
 
     Both sides are stacked and filled, so a row is never paired with more than one other.  Right rows of one time are
-    one row: the largest of their values in column order.
+    one row: the largest of their values in column order.  Left rows without a time stay, with nulls.
     """
-    one = right.groupBy(*by, order).agg(F.max(F.struct(*values)).alias("__v"))
+    one = right.where(F.col(order).isNotNull()).groupBy(*by, order).agg(F.max(F.struct(*values)).alias("__v"))
     one = one.select(*by, order, F.struct(F.col(order).alias("__at"), "__v").alias("__r"))
     rows = left.select(*by, order, F.struct(*left.columns).alias("__left"), F.lit(None).cast(one.schema["__r"].dataType).alias("__r"), F.lit(0 if forward else 1).alias("__side"))
     both = rows.unionByName(one.withColumns({"__left": F.lit(None).cast(rows.schema["__left"].dataType), "__side": F.lit(1 if forward else 0)}))
-    both = both.withColumn("__order", F.struct(order, "__side")).withColumn("__month", F.date_trunc("month", order))
+    both = both.withColumn("__order", F.struct(order, "__side")).withColumn("__month", month(order))
     inside, months = W.partitionBy(*by, "__month").orderBy("__order"), W.partitionBy(*by).orderBy("__month")
     span, travel = ((0, W.unboundedFollowing), (1, W.unboundedFollowing)) if forward else ((W.unboundedPreceding, 0), (W.unboundedPreceding, -1))
     pick = F.first if forward else F.last

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barweave import config
 from barweave.functions.columns import clip, rounded
-from barweave.functions.windows import affine_scan, with_position
+from barweave.functions.windows import affine_scans, with_position
 from barweave.operators.cleaning import asof_join
 
 
@@ -22,17 +22,19 @@ def make_predictions(forecasts: DataFrame, flat: float = config.FLAT) -> DataFra
     return forecasts.where(present).withColumn("predicted_direction", direction(F.col("predicted_price") - F.col("base_price"), flat))
 
 
-def resolve_actuals(pred: DataFrame, bars: DataFrame, now: Column, n: int = 6) -> DataFrame:
-    """Pending rows with target_time <= now: actual_price (close of the first bar at or after it) and the next ``n`` closes.
+def resolve_actuals(pred: DataFrame, bars: DataFrame, now: Column | None = None, n: int = 6, times: bool = False) -> DataFrame:
+    """Pending rows with target_time <= now (all of them without ``now``): actual_price (close of the first bar at or after
+    it) and the next ``n`` closes; with ``times``, the times of that bar (actual_ts) and of the last of the closes (closes_ts).
 
-    Rows without such a bar stay pending: both are null.
+    Rows without such a bar stay pending: both are null.  Bars that have positions keep them.
     """
-    due = pred.where(F.col("actual_price").isNull() & (F.col("target_time") <= now)).drop("actual_price")
-    d = with_position(bars).select("symbol", F.col("bar_ts").alias("ts"), "pos", "close")
+    due = pred.where(F.col("actual_price").isNull() & (F.lit(True) if now is None else F.col("target_time") <= now)).drop("actual_price")
+    d = (bars if "pos" in bars.columns else with_position(bars)).select("symbol", F.col("bar_ts").alias("ts"), "pos", "close")
     hit = asof_join(due.withColumn("ts", F.col("target_time")), d, ["pos"], forward=True).drop("ts")
     want = hit.where("pos is not null").select("symbol", "target_time", F.explode(F.sequence(F.col("pos"), F.col("pos") + n - 1)).alias("pos")).distinct()
-    closes = want.join(d.drop("ts"), ["symbol", "pos"]).groupBy("symbol", "target_time").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "close"))), lambda x: x["close"]).alias("closes"))
-    return hit.drop("pos", "right_ts").join(closes, ["symbol", "target_time"], "left").withColumn("actual_price", F.get("closes", F.lit(0)))
+    closes = want.join(d, ["symbol", "pos"]).groupBy("symbol", "target_time").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "close"))), lambda x: x["close"]).alias("closes"), F.max("ts").alias("closes_ts"))
+    found = hit.drop("pos").withColumnRenamed("right_ts", "actual_ts").join(closes, ["symbol", "target_time"], "left").withColumn("actual_price", F.get("closes", F.lit(0)))
+    return found if times else found.drop("actual_ts", "closes_ts")
 
 
 def score_predictions(resolved: DataFrame, flat: float = config.FLAT, lenient: float = 0.25) -> DataFrame:
@@ -89,19 +91,23 @@ def realized_returns(resolved: DataFrame, n: int = 6) -> DataFrame:
     return resolved.withColumn("returns", F.when(F.size(c) == n, steps).otherwise(equal))
 
 
-def step_bias(scored: DataFrame, alpha: float = 0.25, n: int = 6, order: str = "target_time") -> DataFrame:
-    """(symbol, target_time, step, bias): smoothed error of the straight path to the forecast at each step, in time order.
+def step_biases(scored: DataFrame, alpha: float = 0.25, n: int = 6, order: str = "target_time") -> DataFrame:
+    """Rows with ``n`` closes and biases: the smoothed error of the straight path to the forecast at each step so far.
 
-    Rounding (4 digits) is done on output only, so the recurrence is a scan over chunks.
+    The steps' recurrences are one scan; rounding (4 digits) is done on output only.
     """
     base, end = F.col("base_price"), F.col("predicted_price")
     first = base + (end - base) * 0.167
-    line = lambda i: first + (end - first) * i / (n - 1)
-    errors = F.transform("closes", lambda c, i: line(i) - c)
-    d = scored.where(F.size("closes") == n).select("symbol", order, F.posexplode(errors).alias("step", "e"))
-    d = d.withColumns({"step": F.col("step") + 1, "__a": F.lit(1 - alpha), "__b": alpha * F.col("e")})
-    d = affine_scan(d, "__a", "__b", "bias", by=("symbol", "step"), order=order)
-    return d.select("symbol", order, "step", rounded("bias", 4).alias("bias"))
+    errors = {f"__b{i}": alpha * (first + (end - first) * i / (n - 1) - F.get("closes", F.lit(i))) for i in range(n)}
+    d = scored.where(F.size("closes") == n).withColumns({"__a": F.lit(1 - alpha), **errors})
+    d = affine_scans(d, {f"__x{i}": ("__a", f"__b{i}") for i in range(n)}, order=order)
+    return d.withColumn("biases", F.array(*[rounded(f"__x{i}", 4) for i in range(n)])).drop("__a", *errors, *[f"__x{i}" for i in range(n)])
+
+
+def step_bias(scored: DataFrame, alpha: float = 0.25, n: int = 6, order: str = "target_time") -> DataFrame:
+    """(symbol, target_time, step, bias) of ``step_biases``, a row for each step."""
+    d = step_biases(scored, alpha, n, order).select("symbol", order, F.posexplode("biases").alias("step", "bias"))
+    return d.withColumn("step", F.col("step") + 1)
 
 
 def extrema_bias(df: DataFrame, fast: float = 0.3, slow: float = 0.7, trigger: float = 3.0, order: str = "bar_ts") -> DataFrame:
@@ -119,7 +125,7 @@ def extrema_bias(df: DataFrame, fast: float = 0.3, slow: float = 0.7, trigger: f
 
     (ha, hb), (la, lb) = pair(over, far_below, p - hi), pair(under, far_above, p - lo)
     d = df.withColumns({"__ha": ha, "__hb": hb, "__la": la, "__lb": lb})
-    d = affine_scan(affine_scan(d, "__ha", "__hb", "high_bias", order=order), "__la", "__lb", "low_bias", order=order)
+    d = affine_scans(d, {"high_bias": ("__ha", "__hb"), "low_bias": ("__la", "__lb")}, order=order)
     return d.drop("__ha", "__hb", "__la", "__lb")
 
 

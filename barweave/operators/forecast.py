@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from barweave import config
 from barweave.functions.columns import clip, rounded
 from barweave.functions.scratch import settled
-from barweave.functions.windows import in_chunks, running_sums, with_position
+from barweave.functions.windows import carried, in_chunks, running_sums, with_position
 from barweave.operators import features
 
 KEY = ("symbol", "q_trading_date")
@@ -262,8 +262,8 @@ ADVICE = ("STRONG_BUY", "BUY_DIP", "WAIT", "SELL_RISK", "STRONG_SELL")
 def advice_state(d: DataFrame, by: tuple[str, ...] = ("symbol",), order: str = "q_trading_date", chunk: int = 4096) -> DataFrame:
     """Adds advice: the raw advice of each series passed through the memory in order, starting from WAIT.
 
-    A row maps each possible last advice to the next one; a chunk's rows are composed to one such map, the maps of a
-    series are followed in order, and each chunk is expanded from its own start.
+    A row maps each possible last advice to the next one; a chunk's rows are composed to one such map, ``carried`` says
+    what each chunk starts from, and each chunk is expanded from there.
     """
     d = with_position(d, by, order).withColumn("__chunk", F.floor(F.col("pos") / chunk).cast("long"))
     keys, inputs = [*by, "__chunk"], ["advice_raw", "upside", "position", "high_step"]
@@ -283,10 +283,10 @@ def advice_state(d: DataFrame, by: tuple[str, ...] = ("symbol",), order: str = "
         return rows.assign(advice=run(rows, rows["__start"].iloc[0])).drop(columns=["__chunk", "__start", "pos"])
 
     maps = d.groupBy(*keys).applyInPandas(compose, d.select(*keys).withColumn("ends", F.array(F.lit(""))).schema)
-    earlier = W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
     names = F.array(*[F.lit(a) for a in ADVICE])
-    start = F.aggregate(F.collect_list("ends").over(earlier), F.lit("WAIT"), lambda s, e: F.element_at(e, F.array_position(names, s).cast("int")))
-    started = d.join(maps.select(*keys, start.alias("__start")), keys)
+    leads = lambda last, ends: F.element_at(ends, F.array_position(names, last).cast("int"))
+    starts = carried(maps, "ends", lambda s, e: F.transform(s, lambda last: leads(last, e)), leads, F.lit("WAIT"), by)
+    started = d.join(starts.withColumnRenamed("__x", "__start"), keys)
     schema = started.drop("__chunk", "__start", "pos").withColumn("advice", F.lit("")).schema
     return started.groupBy(*keys).applyInPandas(expand, schema)
 
