@@ -83,22 +83,22 @@ class Aligner:
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
         self.groups: list[bytes] = []
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of A, of B, groups; -1 where the bytes aren't the text's
+        # of each stretch: tokens of A, of B, groups (-1 where the bytes aren't the text's); where its linked pairs begin, and how many
+        self.table = np.zeros((1024, 5), np.int64)
         self.pool = Pool()
-        self.runs: list[tuple[int, int]] = []
         self.chars = 0
 
     def _learn(self, words: list[str]) -> None:
         whole = [e.ids for e in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)]
         parts = self.b.encode(words, num_threads=1)
-        pairs, lengths = [], []
+        pairs, lengths, rows, first = [], [], [], len(self.groups)
         for w, a, b in zip(words, whole, parts, strict=True):
             b = b or [self.blank]  # a blank alone at a text's end
             raw = (" " + w).encode()
             ta, tb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
             if b"".join(ta) != raw or b"".join(tb) != raw:
                 self.groups.append(b"")
-                self.sizes.append((0, 0, -1))
+                rows.append((0, 0, -1))
                 lengths.append(0)
                 continue
             i = j = 0
@@ -109,10 +109,13 @@ class Aligner:
                 i, j = i + n, j + m
                 pairs.append(a[i - 1] << B_BITS | b[j - 1])
             self.groups.append(";".join(texts).encode())
-            self.sizes.append((len(a), len(b), len(sizes)))
+            rows.append((len(a), len(b), len(sizes)))
             lengths.append(len(sizes))
-        begin, length = self.pool.add(np.array(pairs, np.uint32), lengths)
-        self.runs += zip(begin.tolist(), length.tolist(), strict=True)
+        if len(self.groups) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((2 * len(self.groups) - len(self.table), 5), np.int64)])
+        own = self.table[first : len(self.groups)]
+        own[:, :3] = rows
+        own[:, 3], own[:, 4] = self.pool.add(np.array(pairs, np.uint32), lengths)
 
     def places(self, words: list[str]) -> list[int]:
         """Where the tables have each stretch."""
@@ -137,13 +140,14 @@ class Aligner:
                 words += stretches(t)
             ends.append(len(words))
         at = self.places(words)
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 3)[at]
+        rows = self.table[np.array(at, np.int64)]
+        sizes = rows[:, :3]
         bad = np.concatenate([[0], np.cumsum(sizes[:, 2] < 0)])[ends]
         bad = bad[1:] > bad[:-1]
         sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(sizes, axis=0)])[ends]
         totals = np.where(bad[:, None], 0, sums[1:] - sums[:-1])
         digests = ["" if not n else hashlib.sha256(b";".join(map(self.groups.__getitem__, at[i:j]))).hexdigest() for i, j, n in zip(ends[:-1], ends[1:], totals[:, 0].tolist(), strict=True)]
-        run = np.array(self.runs, np.int64).reshape(-1, 2)[at]
+        run = rows[:, 3:]
         of = np.repeat(np.arange(len(texts)), np.diff(ends))
         run[bad[of], 1] = 0
         offsets = np.cumsum(run[:, 1]) - run[:, 1]
