@@ -38,20 +38,20 @@ _CUT = re.compile(r"(?<=\S) ")
 B_BITS = 15
 
 
-def label_string(a: list[bytes], b: list[bytes], size: int) -> bytes:
+def label_string(a_ends: np.ndarray, b_ends: np.ndarray, size: int) -> bytes:
     """For each byte: ``.`` no token ends there, ``a`` or ``b`` one of A's or B's does, ``x`` both do."""
-    out = bytearray(b"." * size)
-    for tokens, mark in ((a, b"a"), (b, b"b")):
-        end = 0
-        for t in tokens:
-            end += len(t)
-            out[end - 1] = mark[0] if out[end - 1] == 0x2E else 0x78
-    return bytes(out)
+    out = np.zeros(size, np.uint8)
+    out[a_ends - 1] += 1
+    out[b_ends - 1] += 2
+    return np.frombuffer(b".abx", np.uint8)[out].tobytes()
 
 
-def group_sizes(labels: bytes) -> list[tuple[int, int]]:
-    """(tokens of A, tokens of B) of each group."""
-    return [(span.count(b"a") + 1, span.count(b"b") + 1) for span in _GROUP.findall(labels)]
+def group_sizes(labels: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of A and tokens of B in each group."""
+    ends = np.array([m.end() for m in _GROUP.finditer(labels)], np.int64)
+    marks = np.frombuffer(labels, np.uint8)
+    both = marks == 0x78
+    return tuple(np.diff(np.cumsum(np.append(False, (marks == mark) | both))[ends], prepend=0) for mark in b"ab")
 
 
 def stretches(text: str) -> list[str]:
@@ -78,6 +78,11 @@ class Aligner:
         self.a_bytes = {i: plain(t) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
         self.blank = self.b.piece_to_id("▁")
+        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_size[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.top = max(len(self.a_size), len(self.b_size))
+        self.said = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(self.top)]  # an id and what follows it
         self._clear()
 
     def _clear(self) -> None:
@@ -89,33 +94,43 @@ class Aligner:
         self.chars = 0
 
     def _learn(self, words: list[str]) -> None:
-        whole = [e.ids for e in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)]
-        parts = self.b.encode(words, num_threads=1)
-        pairs, lengths, rows, first = [], [], [], len(self.groups)
-        for w, a, b in zip(words, whole, parts, strict=True):
-            b = b or [self.blank]  # a blank alone at a text's end
-            raw = (" " + w).encode()
-            ta, tb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(ta) != raw or b"".join(tb) != raw:
-                self.groups.append(b"")
-                rows.append((0, 0, -1))
-                lengths.append(0)
-                continue
-            i = j = 0
-            texts = []
-            sizes = group_sizes(label_string(ta, tb, len(raw)))
-            for n, m in sizes:
-                texts.append(",".join(map(str, a[i : i + n])) + "|" + ",".join(map(str, b[j : j + m])))
-                i, j = i + n, j + m
-                pairs.append(a[i - 1] << B_BITS | b[j - 1])
-            self.groups.append(";".join(texts).encode())
-            rows.append((len(a), len(b), len(sizes)))
-            lengths.append(len(sizes))
+        """Aligns stretches all at once: their bytes are one string of labels, which no group leaves, as tokens of both end
+        with each stretch."""
+        first, raw = len(self.groups), [(" " + w).encode() for w in words]
+        sides = [([e.ids for e in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)], self.a_bytes.__getitem__), ([x or [self.blank] for x in self.b.encode(words, num_threads=1)], self.b_bytes.__getitem__)]
+        bad = np.zeros(len(words), bool)
+        for ids, spelt in sides:
+            if b"".join([spelt(i) for x in ids for i in x]) != b"".join(raw):
+                bad |= np.array([b"".join(map(spelt, x)) != r for x, r in zip(ids, raw, strict=True)])
+        good = np.flatnonzero(~bad).tolist()
+        a, b = ([ids[k] for k in good] for ids, _ in sides)
+        ends = np.cumsum([len(raw[k]) for k in good], dtype=np.int64)
+        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
+        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (a, b))
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        in_a, in_b = group_sizes(label_string(a_ends, b_ends, int(ends[-1]) if len(ends) else 0))
+        last_a, last_b = np.cumsum(in_a), np.cumsum(in_b)  # tokens up to each group's end
+        groups = np.searchsorted(a_ends[last_a - 1], ends, side="right")  # groups up to each stretch's end
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[last_a - 1], mark_b[last_b - 1] = 1, 2
+        mark_b[last_b[groups - 1] - 1] = 3
+        place_a = np.arange(len(a)) + np.repeat(last_b - in_b, in_a)
+        place_b = np.arange(len(b)) + np.repeat(last_a, in_b)
+        spoken = np.zeros(len(a) + len(b), np.int64)
+        spoken[place_a], spoken[place_b] = a + mark_a * self.top, b + mark_b * self.top
+        spoken = list(map(self.said.__getitem__, spoken.tolist()))
+        stops = np.cumsum(n_a + n_b).tolist()
+        texts = ["".join(spoken[i:j]).encode() for i, j in zip([0, *stops], stops, strict=False)]
+        rows = np.zeros((len(words), 5), np.int64)
+        rows[:, 2] = -1
+        rows[good, 0], rows[good, 1], rows[good, 2] = n_a, n_b, np.diff(groups, prepend=0)
+        rows[:, 3], rows[:, 4] = self.pool.add((a[last_a - 1] << B_BITS | b[last_b - 1]).astype(np.uint32), np.maximum(rows[:, 2], 0))
+        self.groups += [b""] * len(words)
+        for k, text in zip(good, texts, strict=True):
+            self.groups[first + k] = text
         if len(self.groups) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((2 * len(self.groups) - len(self.table), 5), np.int64)])
-        own = self.table[first : len(self.groups)]
-        own[:, :3] = rows
-        own[:, 3], own[:, 4] = self.pool.add(np.array(pairs, np.uint32), lengths)
+        self.table[first : len(self.groups)] = rows
 
     def places(self, words: list[str]) -> list[int]:
         """Where the tables have each stretch."""

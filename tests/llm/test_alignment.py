@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,8 +85,9 @@ def test_alignment(spark, monkeypatch, pairs):
 
 
 def test_labels_and_groups():
-    labels = alignment.label_string([b"ab", b"c", b"de"], [b"a", b"bc", b"d", b"e"], 5)
-    assert labels == b"baxbx" and alignment.group_sizes(labels) == [(2, 2), (1, 2)]
+    labels = alignment.label_string(np.array([2, 3, 5]), np.array([1, 3, 4, 5]), 5)
+    assert labels == b"baxbx" and [x.tolist() for x in alignment.group_sizes(labels)] == [[2, 1], [2, 2]]
+    assert [x.tolist() for x in alignment.group_sizes(b"")] == [[], []]
 
 
 def test_full_tables_give_the_same(monkeypatch):
