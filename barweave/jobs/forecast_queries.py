@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barweave.functions.scratch import settled
 from barweave.jobs.learn_queries import feedback
 from barweave.jobs.match_queries import N, PAIRS, dated, nms_cte
+from barweave.operators import features as X
 from barweave.operators import forecast as P
 from barweave.operators import matching as M
 from barweave.registry import query
@@ -261,9 +262,39 @@ def fc19_advice_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("symbol", F.col("q_trading_date").alias("bar_ts"), "record.action", "record.time_window", F.regexp_extract("record.expected_profit", "^([+-]+)", 1).alias("sign"))
 
 
+#: Steps of the short and the long forecast.
+HORIZONS = {"short": STEPS, "long": N}
+
+
+def forecasts(spark: SparkSession, g: DataFrame, sf_dir: str, horizons: dict[str, int] | None = None) -> DataFrame:
+    """A forecast of each horizon for every day of the grid ``g``, from earlier days and what was known at its last bar:
+    matches whose future is past, scores and biases of resolved predictions, and the model that had learned their returns
+    from inputs with the matches of the day."""
+    horizons = horizons or HORIZONS
+    g = settled(P.placed(g), "placed")
+    w = settled(M.day_windows(g, N), "windows")
+    q = settled(P.query_prices(g, w, N), "queries")
+    every = settled(M.match_days(g, N, radius=23, past_only=True), "matches")
+    inputs = None
+    for name, steps in horizons.items():
+        m = every.where(F.col("h_start_pos") + steps <= F.col("q_start_pos"))
+        if inputs is None:  # the model's inputs have the first horizon's matches
+            paths = P.project_path(P.vol_ratio(P.match_future(P.softmax_weights(m), g, N, steps), g, q, N), steps)
+            ends = q.select(*P.KEY, F.col("as_of").alias("bar_ts"), F.col("last_price").alias("close"))
+            told = X.match_features(paths.select(*P.KEY, "similarity", "path").join(ends, list(P.KEY)), ends)
+            of_bars = X.bar_features(g.select("symbol", "bar_ts", "open", "high", "low", "close", "volume")).join(ends.select("symbol", "bar_ts"), ["symbol", "bar_ts"], "left_semi")
+            of_bars = settled(of_bars, "features")
+            vectors = X.feature_vector(of_bars, matches=told).join(ends.select(*P.KEY, "bar_ts"), ["symbol", "bar_ts"])
+            inputs = settled(vectors.join(of_bars.select("symbol", "bar_ts", "imbalance"), ["symbol", "bar_ts"]).select(*P.KEY, "features", "imbalance"), "inputs")
+            known, said = feedback(spark, sf_dir, q, inputs)
+            out = None
+        f = P.generate_forecast(g, w, m, N, steps, known, P.model_path(said, q, steps), minutes=60).withColumn("horizon", F.lit(name))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
 @query()
 def fc20_generate_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, w, m = top(spark, sf_dir)
-    f = dated(P.generate_forecast(g, w, m, N, STEPS, feedback(spark, sf_dir), minutes=60))
+    f = dated(forecasts(spark, settled(grid(spark, sf_dir), "grid"), sf_dir))
     ends = [F.element_at(c, -1).alias(f"{c}_end") for c in ("predicted", "upper", "lower", "q_upper", "q_lower")]
-    return f.select("symbol", "q_trading_date", "last_price", "valid_count", "confidence", "label", *ends, "rest_high", "rest_low", "high_time", "low_time", "regime", "advice")
+    return f.select("symbol", "q_trading_date", "horizon", "last_price", "valid_count", "confidence", "label", *ends, "rest_high", "rest_low", "high_time", "low_time", "regime", "advice")

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.functions.scratch import settled
+from barweave.functions.windows import with_position
 from barweave.jobs.match_queries import N, dated
 from barweave.operators import backtest as B
 from barweave.operators import evaluation as E
 from barweave.operators import features as X
+from barweave.operators import feedback as V
 from barweave.operators import model as L
 from barweave.registry import query
 from barweave.sources.events import BARS, bars, grid
 
+OHLCV = ("open", "high", "low", "close", "volume")
 ADVICE = ("STRONG_BUY", "BUY_DIP", "WAIT", "SELL_RISK", "STRONG_SELL", "NEUTRAL")
 PRED = f"""{BARS}, pr0 AS (SELECT symbol, bar_ts, bar_ts + INTERVAL 6 HOUR AS target_time, close AS base_price, close + (close - lag(close) OVER (PARTITION BY symbol ORDER BY bar_ts)) / 2 AS predicted_price,
   (['{"', '".join(ADVICE)}'])[CAST(volume AS BIGINT) % 6 + 1] AS advice_type FROM bars),
@@ -137,16 +140,29 @@ def ev8_extrema_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.extrema_bias(d).select("symbol", "bar_ts", "high_bias", "low_bias")
 
 
-def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the latest evaluation says of each series: win rate, k, biases and the institution factor of volume alone."""
+def known_samples(spark: SparkSession, sf_dir: str, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every prediction of every bar with its scores and the times from which they are known; and its features with the
+    returns that came, known from ``ts`` on."""
+    p = predictions(spark, sf_dir).withColumn("actual_price", F.lit(None).cast("double"))
+    done = settled(E.score_predictions(E.resolve_actuals(p, placed, times=True)), "scored")
+    made = X.feature_vector(X.bar_features(placed.select("symbol", "bar_ts", *OHLCV)))
+    r = E.realized_returns(done).select("symbol", F.col("created_at").alias("bar_ts"), "returns", F.col("closes_ts").alias("ts"))
+    return done, made.join(r, ["symbol", "bar_ts"]).select("symbol", "ts", "features", "returns")
+
+
+def feedback(spark: SparkSession, sf_dir: str, queries: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What was known at each query's last bar: (symbol, q_trading_date, win_rate, k, mse, biases, inst_factor), and the
+    model's returns for its ``inputs`` (symbol, q_trading_date, features, imbalance)."""
     b = bars(spark, sf_dir)
-    rate = rates_of(spark, sf_dir).select("symbol", "win_rate", E.dynamic_k(F.col("win_rate")).alias("k"))
-    step = E.step_bias(scored(spark, sf_dir)).groupBy("symbol", "step").agg(F.max_by("bias", "target_time").alias("bias"))
-    step = step.groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "bias"))), lambda x: x["bias"]).alias("step_biases"))
-    ends = ev8_extrema_bias(spark, sf_dir).groupBy("symbol").agg(*[F.max_by(c, "bar_ts").alias(c) for c in ("high_bias", "low_bias")])
-    flow = X.apply(b, X.volume_imbalance(), behind=30).groupBy("symbol").agg(F.max_by("imbalance", "bar_ts").alias("i"))
-    flow = flow.select("symbol", X.institution_factor(F.lit(0.0), F.col("i")).alias("inst_factor"))
-    return settled(rate.join(step, "symbol", "full").join(ends, "symbol", "full").join(flow, "symbol", "full"), "feedback")
+    b = settled(with_position(b), "bars")
+    done, samples = known_samples(spark, sf_dir, b)
+    day = F.col("q_trading_date").cast("string").alias("key")
+    asked = queries.join(inputs.select("symbol", "q_trading_date", "features"), ["symbol", "q_trading_date"], "left")
+    said = L.replay(samples, asked.select("symbol", day, F.col("as_of").alias("ts"), "features"))
+    said = settled(said.withColumn("q_trading_date", F.col("key").cast("date")), "said")
+    flow = inputs.select("symbol", "q_trading_date", X.institution_factor(F.lit(0.0), F.col("imbalance")).alias("inst_factor"))
+    known = V.as_of(done, queries.select("symbol", "q_trading_date", "as_of")).join(said.select("symbol", "q_trading_date", "mse"), ["symbol", "q_trading_date"], "left")
+    return settled(known.join(flow, ["symbol", "q_trading_date"], "left"), "feedback"), said
 
 
 @query(f"WITH {BARS} SELECT symbol, avg(abs((close - open) / (close + 1e-8))) AS mape, last(close - open ORDER BY bar_ts) AS last_error, avg(close - open) AS mean_error, avg(abs((close - open) / (close + 1e-8))) > .005 AS rematch FROM bars GROUP BY 1", "mape last_error mean_error")

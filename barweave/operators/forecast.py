@@ -308,23 +308,33 @@ FEEDBACK = {"win_rate": 100.0, "k": 1.0, "mse": 0.0, "inst_factor": 0.0, "high_b
 
 
 def with_feedback(d: DataFrame, feedback: DataFrame | None) -> DataFrame:
-    """Adds the columns of FEEDBACK and step_biases (array) by symbol; what isn't given has its default."""
+    """Adds the columns of FEEDBACK and step_biases (array) by symbol, or by (symbol, q_trading_date) if ``feedback`` has
+    both; what isn't given has its default."""
     have = set(feedback.columns) if feedback is not None else set()
     if feedback is not None:
-        d = d.join(feedback.select("symbol", *[F.col(c).alias(f"__{c}") for c in (*FEEDBACK, "step_biases") if c in have]), "symbol", "left")
+        by = [c for c in KEY if c in have]
+        d = d.join(feedback.select(*by, *[F.col(c).alias(f"__{c}") for c in (*FEEDBACK, "step_biases") if c in have]), by, "left")
     value = lambda c, none: F.coalesce(f"__{c}", none) if c in have else none
     none = F.array().cast("array<double>")
     d = d.withColumns({c: value(c, F.lit(v)) for c, v in FEEDBACK.items()} | {"step_biases": value("step_biases", none)})
     return d.drop(*[f"__{c}" for c in have])
 
 
+def model_path(said: DataFrame, queries: DataFrame, steps: int = config.FUTURE_STEPS) -> DataFrame:
+    """(symbol, q_trading_date, step, model): returns compounded from each query's price; the last one stands for the rest."""
+    prices = F.aggregate("returns", F.array().cast("array<double>"), lambda a, r: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.col("last_price")) * (1 + r))))
+    d = said.where("returns is not null").select(*KEY, "returns").join(queries.select(*KEY, "last_price"), list(KEY)).select(*KEY, prices.alias("p"))
+    path = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.get("p", F.least(i, F.size("p") - 1)))
+    return d.select(*KEY, F.posexplode(path).alias("step", "model")).withColumn("step", F.col("step") + 1)
+
+
 def generate_forecast(bars: DataFrame, windows: DataFrame, matches: DataFrame, n: int, steps: int = config.FUTURE_STEPS, feedback: DataFrame | None = None, model: DataFrame | None = None, minutes: int = 1) -> DataFrame:
     """One forecast for every query of ``windows``; those without a match get a default record.
 
     Columns: last_price, predicted, upper, lower, q_upper, q_lower (arrays, 2 digits), valid_count, votes, confidence,
     label, rest_high, rest_low, steps and time labels of both, regime, position, advice_raw, advice, record, tracks and
-    top1_track.  ``feedback``: one row a symbol, see ``with_feedback``; biases are taken off, the win rate and the error
-    weigh the model, k widens the bands.  ``model``: (symbol, q_trading_date, step, model).  A bar is ``minutes`` long.
+    top1_track.  ``feedback``: one row a symbol or a query, see ``with_feedback``; biases are taken off, the win rate and the
+    error weigh the model, k widens the bands.  ``model``: (symbol, q_trading_date, step, model).  A bar is ``minutes`` long.
     """
     bars = settled(placed(bars), "placed")
     queries = settled(query_prices(bars, windows, n), "queries")

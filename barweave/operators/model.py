@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,29 +80,118 @@ def sgd_step(flat: np.ndarray, velocity: np.ndarray, count: int, x: np.ndarray,
     return flat + velocity, velocity, float((err * err).mean())
 
 
+class Learner:
+    """The model of one series while its samples pass by: a few hundred numbers."""
+
+    def __init__(self, symbol: str, seed: int):
+        self.symbol, self.count, self.ema, self.last = symbol, 0, 0.0, 0.0
+        self.flat = initial_weights(symbol, seed)
+        self.velocity = np.zeros_like(self.flat)
+
+    def resume(self, row: dict) -> None:
+        self.flat, self.velocity = np.array(row["weights"], float), np.array(row["momentum"], float)
+        self.count, self.ema, self.last = row["train_count"], row["ema_mse"], row["last_mse"]
+
+    def learn(self, x: list[float], y: list[float]) -> None:
+        self.flat, self.velocity, self.last = sgd_step(self.flat, self.velocity, self.count, fixed_inputs(np.asarray(x, float)[None])[0], np.asarray(y, float))
+        self.count += 1
+        self.ema = self.last if self.ema == 0.0 else 0.8 * self.ema + 0.2 * self.last
+
+    def returns(self, x: list[float], most: float) -> list[float]:
+        w1, b1, w2, b2 = unpack(self.flat)
+        y = np.tanh(fixed_inputs(np.asarray(x, float)[None])[0] @ w1 + b1) @ w2 + b2
+        bound = min(0.0003 + self.count * 1e-5, most)
+        return np.clip(y, -bound, bound).tolist()
+
+    def state(self) -> tuple:
+        return self.symbol, self.flat.tolist(), self.velocity.tolist(), self.count, self.ema, self.last
+
+
+#: What a row of a series is, in the order in which rows of one time are taken.
+RESUMED, SAMPLE, ASKED = 0, 1, 2
+NAMES = [c.split()[0] for c in STATE.split(", ")]
+
+
+def _taken_in_order(samples: DataFrame, state: DataFrame | None, order: str) -> DataFrame:
+    """Known model rows and samples as rows of one kind, to be sorted by ``in_order``."""
+    blank = [F.lit(None).cast(t.split(" ", 1)[1]).alias(t.split()[0]) for t in STATE.split(", ")[1:]]
+    rows = samples.select("symbol", F.lit(SAMPLE).alias("kind"), F.col(order).cast("timestamp").alias("t"), F.col("features").cast("array<double>").alias("features"), F.col("returns").cast("array<double>").alias("returns"), *blank)
+    if state is not None:
+        nothing = [F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("array<double>").alias("features"), F.lit(None).cast("array<double>").alias("returns")]
+        rows = rows.union(state.select("symbol", F.lit(RESUMED).alias("kind"), *nothing, *NAMES[1:]))
+    return rows
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("symbol").sortWithinPartitions("symbol", F.col("kind") != RESUMED, "t", "kind", "features", "returns")
+
+
 def fit_online(samples: DataFrame, state: DataFrame | None = None, order: str = "ts", seed: int = 0) -> DataFrame:
     """Model rows after learning each series' (features, returns) in time order; series are independent tasks.
 
-    A series' samples come to its task sorted in Arrow batches; the state is a few hundred numbers.  Series without
-    new samples keep their row.
+    Samples are sorted by Spark and come in Arrow batches; a series goes on from batch to batch with its model alone, so
+    memory doesn't grow with its length.  Samples of one time are ordered by their numbers.  Series without new samples
+    keep their row; an empty table of samples gives the known rows.
+    """
+    rows = _sorted(_taken_in_order(samples, state, order))
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: Learner | None = None
+
+        def batch(done: list[Learner]) -> pa.RecordBatch:
+            kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.float64(), pa.float64()]
+            return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*(x.state() for x in done), strict=True), kinds, strict=True)], NAMES)
+
+        for b in batches:
+            done = []
+            for row in pa.table([*b.columns], names).to_pylist():
+                if of is None or of.symbol != row["symbol"]:
+                    done += [of] if of else []
+                    of = Learner(row["symbol"], seed)
+                if row["kind"] == RESUMED:
+                    of.resume(row)
+                else:
+                    of.learn(row["features"], row["returns"])
+            if done:
+                yield batch(done)
+        if of is not None:
+            yield batch([of])
+
+    return rows.mapInArrow(run, STATE)
+
+
+def replay(samples: DataFrame, queries: DataFrame, state: DataFrame | None = None, order: str = "ts", seed: int = 0, most: float = 0.0008) -> DataFrame:
+    """(symbol, key, returns, mse, train_count) for (symbol, key, ts, features) queries: what the model that has learned the
+    samples up to a query's time, and none after it, says of the query.  Without features there are no returns.
+
+    Samples and queries of a series pass through one task in time order, as in ``fit_online``.
     """
-    want = samples.select("symbol", order, "features", "returns")
-    known = (state if state is not None else samples.sparkSession.createDataFrame([], STATE)).select(*[c.split()[0] for c in STATE.split(", ")])
-
-    def learn(key: tuple, rows: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        if len(old):
-            s = old.iloc[0]
-            flat, velocity, count, ema, last = np.array(s["weights"]), np.array(s["momentum"]), int(s["train_count"]), float(s["ema_mse"]), float(s["last_mse"])
-        else:
-            flat, count, ema, last = initial_weights(key[0], seed), 0, 0.0, 0.0
-            velocity = np.zeros_like(flat)
-        for x, y in rows.sort_values(order)[["features", "returns"]].itertuples(index=False):
-            flat, velocity, last = sgd_step(flat, velocity, count, fixed_inputs(np.asarray(x, float)[None])[0], np.asarray(y, float))
-            count += 1
-            ema = last if ema == 0.0 else 0.8 * ema + 0.2 * last
-        return pd.DataFrame({"symbol": [key[0]], "weights": [flat.tolist()], "momentum": [velocity.tolist()], "train_count": [count], "ema_mse": [ema], "last_mse": [last]})
-
-    return want.groupBy("symbol").cogroup(known.groupBy("symbol")).applyInPandas(learn, STATE)
+    rows = _taken_in_order(samples, state, order).withColumn("key", F.lit(None).cast("string"))
+    nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("returns", *NAMES[1:])]
+    asked = queries.select("symbol", F.lit(ASKED).alias("kind"), F.col("ts").cast("timestamp").alias("t"), F.col("features").cast("array<double>").alias("features"), *nothing, "key")
+    rows = _sorted(rows.union(asked))
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: Learner | None = None
+        for b in batches:
+            said = []
+            for row in pa.table([*b.columns], names).to_pylist():
+                if of is None or of.symbol != row["symbol"]:
+                    of = Learner(row["symbol"], seed)
+                if row["kind"] == RESUMED:
+                    of.resume(row)
+                elif row["kind"] == SAMPLE:
+                    of.learn(row["features"], row["returns"])
+                else:
+                    x = row["features"]
+                    said.append((of.symbol, row["key"], None if x is None else of.returns(x, most), of.ema, of.count))
+            if said:
+                kinds = [pa.string(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.int32()]
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*said, strict=True), kinds, strict=True)], ["symbol", "key", "returns", "mse", "train_count"])
+
+    return rows.mapInArrow(run, "symbol string, key string, returns array<double>, mse double, train_count int")
 
 
 def model_status(state: DataFrame) -> DataFrame:
