@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from barweave.functions.scratch import shared_path
 from barweave.jobs.forecast_queries import ADVICE_IN, advice_inputs
 from barweave.operators import forecast as P
+from barweave.jobs.learn_queries import NEXT, PRED, RES, SCORED, predictions, scored
 from barweave.registry import query
 from barweave.sources.events import BARS, TICKS, bars, bars_cte, ticks
 from barweave.streaming import bars as S
+from barweave.streaming import state as K
 
 OHLCV = "open high low close volume"
 
@@ -51,17 +53,24 @@ def st3_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(S.stream_dedupe(as_stream(t.unionByName(t)), ["symbol", "event_id"]))
 
 
+LATE = """late AS (SELECT max(bar_ts) - INTERVAL 10 MINUTE AS seen FROM bars),
+fb AS (SELECT d.*, b.bar_ts AS actual_ts, b.close AS actual_price FROM pred d ASOF LEFT JOIN bars b ON d.symbol = b.symbol AND b.bar_ts >= d.target_time),
+fw AS (SELECT * REPLACE (CASE WHEN actual_ts <= target_time + INTERVAL 2 HOUR THEN actual_ts END AS actual_ts, CASE WHEN actual_ts <= target_time + INTERVAL 2 HOUR THEN actual_price END AS actual_price) FROM fb),
+res AS (SELECT fw.* FROM fw, late WHERE coalesce(actual_ts, target_time + INTERVAL 2 HOUR) < seen)"""
+
+
 @query(
-    f"""WITH {BARS}, p AS (SELECT symbol, bar_ts + INTERVAL 6 HOUR AS target_time, close AS base_price FROM bars)
-    SELECT p.symbol, target_time, base_price, first(b.close ORDER BY b.bar_ts) AS actual_price FROM p JOIN bars b ON b.symbol = p.symbol AND b.bar_ts BETWEEN target_time AND target_time + INTERVAL 2 HOUR GROUP BY ALL""",
-    "base_price actual_price",
-    "target_time",
+    f"""WITH {PRED}, {LATE}, {SCORED} SELECT symbol, target_time, actual_ts, actual_price, CASE WHEN actual_price IS NOT NULL THEN coalesce(is_direction_correct, 0) END AS is_direction_correct,
+    CASE WHEN actual_price IS NOT NULL THEN coalesce(is_range_correct, 0) END AS is_range_correct, CASE WHEN actual_price IS NOT NULL THEN coalesce(is_advice_correct, 0) END AS is_advice_correct FROM scored""",
+    "actual_price",
+    "target_time actual_ts",
+    "is_direction_correct is_range_correct is_advice_correct",
 )
 def st4_stream_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir).select("symbol", "bar_ts", "close")
-    p = b.select("symbol", (F.col("bar_ts") + F.expr("INTERVAL 6 HOURS")).alias("target_time"), F.col("close").alias("base_price"), F.col("close").alias("predicted_price"))
-    found = finished(S.stream_evaluate(as_stream(p), as_stream(b)))
-    return found.groupBy("symbol", "target_time", "base_price").agg(F.min_by("close", "bar_ts").alias("actual_price"))
+    """Straight from the stream: each prediction once, scored by its first bar or closed without one."""
+    p = predictions(spark, sf_dir)
+    found = finished(K.stream_evaluate(as_stream(p), as_stream(bars(spark, sf_dir).select("symbol", "bar_ts", "close"))))
+    return found.select("symbol", "target_time", "actual_ts", "actual_price", "is_direction_correct", "is_range_correct", "is_advice_correct")
 
 
 @query(
@@ -75,4 +84,19 @@ def st4_stream_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def st5_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = P.raw_advice(advice_inputs(spark, sf_dir)).select("symbol", F.col("q_trading_date").alias("ts"), "advice_raw", "upside", "position", "high_step")
-    return finished(S.stream_state(as_stream(raw)))
+    return finished(K.stream_state(as_stream(K.events(raw, "advice")))).select("symbol", "ts", "advice")
+
+
+@query(
+    f"""WITH RECURSIVE {PRED}, {RES}, {NEXT}, er AS (SELECT symbol, target_time, step, base_price + (predicted_price - base_price) * .167 + (predicted_price - base_price) * .833 * (step - 1) / 5 - close AS e, row_number() OVER (PARTITION BY symbol, step ORDER BY target_time) AS n FROM nx WHERE m = 6),
+    b AS (SELECT symbol, target_time, step, n, .25 * e AS x FROM er WHERE n = 1 UNION ALL SELECT e.symbol, e.target_time, e.step, e.n, .75 * b.x + .25 * e.e FROM b JOIN er e ON e.symbol = b.symbol AND e.step = b.step AND e.n = b.n + 1)
+    SELECT symbol, target_time AS ts, step, x AS bias FROM b""",
+    "bias",
+    "ts",
+    "step",
+)
+def st5_stream_biases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step biases of each series, kept in the stream's state."""
+    rows = K.events(scored(spark, sf_dir), "steps", "target_time").where(F.size("closes") == 6)
+    found = finished(K.stream_state(as_stream(rows)))
+    return found.select("symbol", "ts", F.posexplode("steps").alias("step", "bias")).withColumn("step", F.col("step") + 1)

@@ -37,8 +37,8 @@ def resolve_actuals(pred: DataFrame, bars: DataFrame, now: Column | None = None,
     return found if times else found.drop("actual_ts", "closes_ts")
 
 
-def score_predictions(resolved: DataFrame, flat: float = config.FLAT, lenient: float = 0.25) -> DataFrame:
-    """Adds is_direction_correct, is_range_correct and is_advice_correct (0 or 1) to rows with an actual price."""
+def flags(flat: float = config.FLAT, lenient: float = 0.25) -> dict[str, Column]:
+    """is_direction_correct, is_range_correct and is_advice_correct (0 or 1) of a row with an actual price."""
     change = F.col("actual_price") - F.col("base_price")
     actual, said, advice = direction(change, flat), F.col("predicted_direction"), F.col("advice_type")
     right = (actual == said) | (actual == "FLAT") | (said == "FLAT") | (F.abs(change) <= lenient)
@@ -50,8 +50,13 @@ def score_predictions(resolved: DataFrame, flat: float = config.FLAT, lenient: f
         .when(advice == "WAIT", F.abs(change) <= 0.80)
         .otherwise((actual == said) | (actual == "FLAT"))
     )
-    flags = {"is_direction_correct": right, "is_range_correct": F.col("actual_price").between(F.col("lower_bound"), F.col("upper_bound")), "is_advice_correct": by_advice}
-    return resolved.where("actual_price is not null").withColumns({k: F.coalesce(v, F.lit(False)).cast("int") for k, v in flags.items()})
+    each = {"is_direction_correct": right, "is_range_correct": F.col("actual_price").between(F.col("lower_bound"), F.col("upper_bound")), "is_advice_correct": by_advice}
+    return {k: F.coalesce(v, F.lit(False)).cast("int") for k, v in each.items()}
+
+
+def score_predictions(resolved: DataFrame, flat: float = config.FLAT, lenient: float = 0.25) -> DataFrame:
+    """Adds the flags to rows with an actual price; others are left out."""
+    return resolved.where("actual_price is not null").withColumns(flags(flat, lenient))
 
 
 def win_rate(scored: DataFrame, session_start: Column, due: DataFrame | None = None, least: int = 5, fallback: int = 30, idle: int = 20) -> DataFrame:

@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barweave.operators.cleaning import OHLC
-from barweave.operators.forecast import next_advice
+from barweave.streaming.state import PROVIDER
 
 
 def _start(writer, trigger: str | None) -> StreamingQuery:
@@ -68,37 +64,12 @@ def stream_dedupe(stream: DataFrame, keys: list[str], lateness: str = "1 hour",
     return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_evaluate(preds: DataFrame, bars: DataFrame, max_wait: str = "2 hours", lateness: str = "10 minutes") -> DataFrame:
-    """Predictions with every bar from their target time to ``max_wait`` after it; the first of them is the actual price.
-
-    Both sides have watermarks, so state is bounded.  A prediction without a bar in that time gives no row.
-    """
-    p = preds.withWatermark("target_time", lateness).select(F.col("symbol").alias("p_symbol"), "target_time", "base_price", "predicted_price")
-    b = bars.withWatermark("bar_ts", lateness).select("symbol", "bar_ts", "close")
-    near = (F.col("symbol") == F.col("p_symbol")) & (F.col("bar_ts") >= F.col("target_time")) & (F.col("bar_ts") <= F.col("target_time") + F.expr(f"INTERVAL {max_wait}"))
-    return p.join(b, near).drop("p_symbol")
-
-
-ADVICE_OUT = "symbol string, ts timestamp, advice string"
-
-
-def stream_state(advice: DataFrame) -> DataFrame:
-    """The advice memory of each series across batches and restarts: (symbol, ts, advice) of (symbol, ts, advice_raw, upside,
-    position, high_step)."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else "WAIT"
-        rows = pd.concat(list(batches)).sort_values("ts")  # one micro-batch of one series
-        said = []
-        for raw, up, pos, peak in rows[["advice_raw", "upside", "position", "high_step"]].itertuples(index=False):
-            last = next_advice(last, raw, up, pos, peak)
-            said.append(last)
-        state.update((last,))
-        yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"].to_numpy(), "advice": said})
-
-    return advice.groupBy("symbol").applyInPandasWithState(step, ADVICE_OUT, "last string", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
-    """Appends a stream to a parquet table; the file sink commits each batch once."""
-    return _start(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append"), trigger)
+    """Appends a stream to a parquet table; the file sink commits each batch once.  States are kept by RocksDB."""
+    conf = stream.sparkSession.conf
+    setting, old = "spark.sql.streaming.stateStore.providerClass", conf.get("spark.sql.streaming.stateStore.providerClass")
+    conf.set(setting, PROVIDER)
+    try:  # a started stream has its own copy of the settings
+        return _start(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append"), trigger)
+    finally:
+        conf.set(setting, old)
