@@ -25,9 +25,9 @@ def series(*by: str, order: str = "bar_ts") -> W:
     return W.partitionBy(*(by or ("symbol",))).orderBy(order)
 
 
-def month(order: str) -> Column:
-    """The month that a row is filed under; rows without a time have one of their own, before all others."""
-    return F.coalesce(F.date_trunc("month", order), F.lit("0001-01-01").cast("timestamp"))
+def month(order: str, unit: str = "month") -> Column:
+    """The month (or day, ...) that a row is filed under; rows without a time have one of their own, before all others."""
+    return F.coalesce(F.date_trunc(unit, order), F.lit("0001-01-01").cast("timestamp"))
 
 
 def with_position(df: DataFrame, by: tuple[str, ...] = ("symbol",), order: str = "bar_ts") -> DataFrame:

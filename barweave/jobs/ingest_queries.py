@@ -102,11 +102,12 @@ def io6_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     "bar_ts",
 )
 def io7_incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first half cleaned and stored, then brought up to date; the SQL is a full rebuild."""
+    """The first half cleaned and stored by months, then brought up to date; the SQL is a full rebuild."""
     t = ticks(spark, sf_dir)
     path = shared_path(spark, "clean")
-    S.write_snapshot(C.clean_series(t.where(F.col("ts") < middle(bars(spark, sf_dir)) + F.expr("INTERVAL 617 MINUTES")), "1 hour", gap=60.0), path)
-    return C.incremental_refresh(S.read_snapshot(spark, path), t, "1 hour", gap=60.0)
+    C.write_months(C.clean_series(t.where(F.col("ts") < middle(bars(spark, sf_dir)) + F.expr("INTERVAL 617 MINUTES")), "1 hour", gap=60.0), path)
+    C.refresh_months(spark, path, t, "1 hour", gap=60.0)
+    return spark.read.parquet(path).drop("month")
 
 
 @query(f"WITH {BARS} SELECT symbol, bar_ts, close, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS DOUBLE) AS close_smooth FROM bars", "close close_smooth", "bar_ts")
@@ -235,12 +236,8 @@ RATES = f"{BARS}, rates AS (SELECT ts, max(price / 10 + 1) AS rate FROM ticks WH
 def cl7_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir).select("symbol", "bar_ts", "close")
     left = b.withColumn("ts", F.col("bar_ts"))
-    return C.asof_join(left, _rates_of(spark, sf_dir, b), ["rate"]).select("symbol", "bar_ts", "close", "rate", "right_ts")
-
-
-def _rates_of(spark: SparkSession, sf_dir: str, b: DataFrame) -> DataFrame:
-    """The rate table under the name of each series of the bars."""
-    return rates(spark, sf_dir).select("ts", "rate").crossJoin(b.select("symbol").distinct())
+    shared = rates(spark, sf_dir).select("ts", "rate")
+    return C.asof_join(left, shared, ["rate"], by=(), unit="day").select("symbol", "bar_ts", "close", "rate", "right_ts")
 
 
 @query(f"WITH {BARS} SELECT symbol, bar_ts, bar_ts + INTERVAL 8 HOUR AS local_ts, strftime(bar_ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS local_iso FROM bars", "", "bar_ts local_ts")

@@ -103,13 +103,36 @@ def ma8_composite_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("symbol", F.col("q_trading_date").alias("q_day"), F.col("h_trading_date").alias("h_day"), "composite")
 
 
-@query()
+def dtw_cte(n: int, radius: int, source: str) -> str:
+    """DTW of the pairs of ``source`` (id, a, b: lists of n) by recursion over the cells of the band: ``up`` is the row
+    above, ``own`` the row so far; cells outside the band are infinite."""
+    cost = "(a[i] - b[j]) * (a[i] - b[j])"
+    inf = "CAST('inf' AS DOUBLE)"
+    pad = f"list_transform(range(1, {n} - j + 1), lambda x: {inf})"
+    ahead = f"list_transform(range(0, greatest(1, i + 1 - {radius})), lambda x: {inf})"
+    cell = f"{cost} + least(up[j + 1], up[j], own[j])"
+    return f"""dtw AS (SELECT id, a, b, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, list_concat([CAST(0 AS DOUBLE)], list_transform(range(0, {n}), lambda x: {inf})) AS up, [{inf}] AS own FROM {source} UNION ALL
+  SELECT id, a, b, CASE WHEN last THEN i + 1 ELSE i END, CASE WHEN last THEN greatest(1, i + 1 - {radius}) ELSE j + 1 END, CASE WHEN last THEN list_concat(now, {pad}) ELSE up END, CASE WHEN last THEN {ahead} ELSE now END
+  FROM (SELECT *, j >= least({n}, i + {radius}) AS last, list_append(own, {cell}) AS now FROM dtw WHERE i <= {n})),
+far AS (SELECT id, sqrt(up[{n + 1}]) / {n} AS dtw FROM dtw WHERE i = {n + 1})"""
+
+
+DTW_PAIRS = f"""past AS (SELECT row_number() OVER () AS id, q.symbol, q.day AS q_day, h.day AS h_day, q.z AS a, h.z AS b FROM win q JOIN win h ON q.symbol = h.symbol AND h.day < q.day),
+{dtw_cte(N, 3, "past")}"""
+
+
+@query(f"WITH RECURSIVE {WIN}, {DTW_PAIRS} SELECT symbol, strftime(q_day, '%Y-%m-%d') AS q_trading_date, strftime(h_day, '%Y-%m-%d') AS h_trading_date, dtw FROM past JOIN far USING (id)", "dtw")
 def ma9_banded_dtw(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = M.candidate_pairs(win(spark, sf_dir), past_only=True)
     return dated(p.withColumn("dtw", M.dtw_distance(F.col("q_z"), F.col("h_z"), 3))).select("symbol", "q_trading_date", "h_trading_date", "dtw")
 
 
-@query()
+WITH_DTW = f"""{WIN}, {pairs_cte(N).replace("pairs AS (SELECT", "pairs AS (SELECT row_number() OVER () AS id, q.z AS a, h.z AS b,")}"""
+BONUS = """bonus AS (SELECT scored.* EXCLUDE (similarity), dtw, greatest(-5, least(5, (.20 - dtw) * 25)) AS bonus FROM scored JOIN far USING (id)),
+rated AS (SELECT *, CAST(round(CAST(greatest(0, least(100, 100 * composite + bonus)) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS similarity FROM bonus)"""
+
+
+@query(f"WITH RECURSIVE {WITH_DTW}, {dtw_cte(N, 3, '(SELECT * FROM pairs WHERE h_day < q_day)')}, {BONUS} SELECT symbol, strftime(q_day, '%Y-%m-%d') AS q_trading_date, strftime(h_day, '%Y-%m-%d') AS h_trading_date, similarity FROM rated", "similarity")
 def ma10_similarity_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = M.score_pairs(M.candidate_pairs(win(spark, sf_dir), past_only=True), N)
     pct = M.similarity_pct(F.col("composite"), M.dtw_distance(F.col("q_z"), F.col("h_z"), 3))
@@ -162,7 +185,13 @@ def ma14_match_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("symbol", F.col("q_trading_date").alias("q_day"), "rank", F.col("h_trading_date").alias("h_day"), "similarity", "corr")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {WITH_DTW}, {dtw_cte(N, 3, "pairs")}, {BONUS}, {nms_cte(23).replace("FROM scored", "FROM rated")} SELECT symbol, strftime(q_day, '%Y-%m-%d') AS q_day, c.rank, strftime(h_day, '%Y-%m-%d') AS h_day, similarity,
+    CAST(round(CAST(bonus AS DECIMAL(18, 9)), 2) AS DOUBLE) AS dtw_bonus, r.attempt > 0 AS low_confidence FROM chosen c JOIN rung r USING (symbol, q_day)""",
+    "similarity dtw_bonus",
+    "",
+    "rank",
+)
 def ma14_match_days_dtw(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = dated(M.match_days(grid(spark, sf_dir), N, radius=23, dtw_radius=3))
     return top.select("symbol", F.col("q_trading_date").alias("q_day"), "rank", F.col("h_trading_date").alias("h_day"), "similarity", "dtw_bonus", "low_confidence")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barweave import config
+from barweave.functions.windows import month
 
 
 def trading_date(ts: Column | str, start_hour: int = config.DAY_START_HOUR) -> Column:
@@ -23,23 +24,25 @@ def session_position(df: DataFrame, start_hour: int = config.DAY_START_HOUR) ->
     return d.join(last, "symbol").withColumn("is_last_day", F.col("trading_date") == F.col("__last")).drop("__last")
 
 
-def tail(df: DataFrame, n: int, order: str = "bar_ts") -> DataFrame:
-    """The last ``n`` rows of each series.  Whole months that can't hold one of them are pruned before ranking."""
-    d = df.withColumn("__month", F.date_trunc("month", order))
-    counts = d.groupBy("symbol", "__month").agg(F.count("*").alias("__n"))
+def tail(df: DataFrame, n: int | DataFrame, order: str = "bar_ts") -> DataFrame:
+    """The last ``n`` rows of each series, or of (symbol, n) rows as many as each says.  Whole months that can't hold one
+    of them are pruned before ranking."""
+    d = df.withColumn("__month", month(order))
+    counts = d.groupBy("symbol", "__month").agg(F.count("*").alias("__m"))
+    counts = counts.withColumn("__want", F.lit(n)) if isinstance(n, int) else counts.join(n.select("symbol", F.col("n").alias("__want")), "symbol")
     later = W.partitionBy("symbol").orderBy(F.desc("__month")).rowsBetween(W.unboundedPreceding, -1)
-    near = counts.withColumn("__later", F.coalesce(F.sum("__n").over(later), F.lit(0))).where(F.col("__later") < n).drop("__n", "__later")
+    near = counts.withColumn("__later", F.coalesce(F.sum("__m").over(later), F.lit(0))).where("__later < __want").select("symbol", "__month", "__want")
     rank = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc(order)))
-    return d.join(near, ["symbol", "__month"]).withColumn("__r", rank).where(F.col("__r") <= n).drop("__r", "__month")
+    return d.join(near, ["symbol", "__month"]).withColumn("__r", rank).where("__r <= __want").drop("__r", "__month", "__want")
 
 
 def current_query(df: DataFrame, min_points: int = config.MIN_SESSION_POINTS, borrow: bool = True) -> DataFrame:
     """(symbol, n, closes): the last N closes, N = bars of the last trading day, but ``min_points`` at least where
-    bars may be borrowed from the day before."""
-    s = session_position(df).where("is_last_day").groupBy("symbol").agg(F.count("*").alias("__today"))
+    bars may be borrowed from the day before.  Only the months that hold them are ranked."""
+    days = df.groupBy("symbol", trading_date("bar_ts").alias("__day")).agg(F.count("*").alias("__n"))
+    today = days.groupBy("symbol").agg(F.max_by("__n", "__day").alias("__today"))
     want = F.greatest("__today", F.lit(min_points)) if borrow else F.col("__today")
-    rank = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("bar_ts")))
-    recent = df.join(s.select("symbol", want.alias("__want")), "symbol").withColumn("__r", rank).where(F.col("__r") <= F.col("__want"))
+    recent = tail(df, today.select("symbol", want.alias("n")))
     closes = F.transform(F.sort_array(F.collect_list(F.struct("bar_ts", "close"))), lambda x: x["close"])
     return recent.groupBy("symbol").agg(F.count("*").alias("n"), closes.alias("closes"))
 

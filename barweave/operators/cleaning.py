@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from barweave import config
 from barweave.functions.columns import rounded
+from barweave.functions.scratch import settled
 from barweave.functions.windows import fill, in_chunks, month
+from barweave.operators.calendar import tail
 
 OHLC = ("open", "high", "low", "close")
 
@@ -75,18 +77,21 @@ def fill_backward(df: DataFrame, cols: list[str], by: tuple[str, ...] = ("symbol
     return fill(df, cols, False, by, order)
 
 
-def asof_join(left: DataFrame, right: DataFrame, values: list[str], by: tuple[str, ...] = ("symbol",), order: str = "ts", forward: bool = False, tolerance_s: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, values: list[str], by: tuple[str, ...] = ("symbol",), order: str = "ts", forward: bool = False, tolerance_s: int | None = None, unit: str = "month") -> DataFrame:
     """``left`` with ``values`` of the last right row at or before it (``forward``: the first at or after), or nulls.
 
     Both sides are stacked and filled, so a row is never paired with more than one other.  Right rows of one time are
     one row: the largest of their values in column order.  Left rows without a time stay, with nulls.
+
+    Rows meet in ranges of time (``unit``: month, day, hour), and each range's last right row travels on to the next.
+    Without ``by``, all left rows share one right table: no right row is copied, and the ranges are the tasks.
     """
     one = right.where(F.col(order).isNotNull()).groupBy(*by, order).agg(F.max(F.struct(*values)).alias("__v"))
     one = one.select(*by, order, F.struct(F.col(order).alias("__at"), "__v").alias("__r"))
     rows = left.select(*by, order, F.struct(*left.columns).alias("__left"), F.lit(None).cast(one.schema["__r"].dataType).alias("__r"), F.lit(0 if forward else 1).alias("__side"))
     both = rows.unionByName(one.withColumns({"__left": F.lit(None).cast(rows.schema["__left"].dataType), "__side": F.lit(1 if forward else 0)}))
-    both = both.withColumn("__order", F.struct(order, "__side")).withColumn("__month", month(order))
-    inside, months = W.partitionBy(*by, "__month").orderBy("__order"), W.partitionBy(*by).orderBy("__month")
+    both = both.withColumn("__order", F.struct(order, "__side")).withColumn("__month", month(order, unit))
+    inside, months = W.partitionBy(*by, "__month").orderBy("__order"), W.partitionBy(*(by or (F.lit(0),))).orderBy("__month")
     span, travel = ((0, W.unboundedFollowing), (1, W.unboundedFollowing)) if forward else ((W.unboundedPreceding, 0), (W.unboundedPreceding, -1))
     pick = F.first if forward else F.last
     edge = F.min_by if forward else F.max_by
@@ -200,17 +205,64 @@ def clean_series(ticks: DataFrame, width: str, window: int = 11, limit: float =
     return flag_gaps(filter_spikes(bars, window, limit).drop("is_spike"), gap)
 
 
+def refresh_marks(snapshot: DataFrame, window: int = 11) -> DataFrame:
+    """(symbol, __from, __keep) of each series: where rebuilding begins (2 * window bars before the newest one), and from
+    where rebuilt rows take the place of old ones (half a window before it)."""
+    half = window // 2
+    newest = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("bar_ts")))
+    last = tail(snapshot.select("symbol", "bar_ts"), 2 * window).withColumn("n", newest)
+    return last.groupBy("symbol").agg(F.min("bar_ts").alias("__from"), F.min(F.when(F.col("n") <= half + 1, F.col("bar_ts"))).alias("__keep"))
+
+
+def _rebuilt(marks: DataFrame, ticks: DataFrame, width: str, window: int, limit: float, gap: float) -> DataFrame:
+    recent = ticks.join(marks, "symbol", "left").where(F.col("__from").isNull() | (F.col("ts") >= F.col("__from"))).drop("__from", "__keep")
+    done = clean_series(recent, width, window, limit, gap).join(marks, "symbol", "left")
+    return done.where(F.col("__keep").isNull() | (F.col("bar_ts") >= F.col("__keep"))).drop("__from", "__keep")
+
+
 def incremental_refresh(snapshot: DataFrame, ticks: DataFrame, width: str, window: int = 11, limit: float = 15.0, gap: float = config.GAP_MINUTES) -> DataFrame:
     """A clean snapshot brought up to date, equal to a full rebuild.
 
     New bars, the last open bar and the halo that their medians need are rebuilt; older rows are kept.  Each series is
     rebuilt from 2 * window bars before its newest one, of which the first window only serve as halo.
     """
-    half = window // 2
-    newest = W.partitionBy("symbol").orderBy(F.desc("bar_ts"))
-    tail = snapshot.select("symbol", "bar_ts", F.row_number().over(newest).alias("n"))
-    marks = tail.groupBy("symbol").agg(F.min(F.when(F.col("n") <= 2 * window, F.col("bar_ts"))).alias("__from"), F.min(F.when(F.col("n") <= half + 1, F.col("bar_ts"))).alias("__keep"))
-    recent = ticks.join(marks, "symbol", "left").where(F.col("__from").isNull() | (F.col("ts") >= F.col("__from"))).drop("__from", "__keep")
-    rebuilt = clean_series(recent, width, window, limit, gap).join(marks, "symbol", "left").where(F.col("__keep").isNull() | (F.col("bar_ts") >= F.col("__keep")))
+    marks = refresh_marks(snapshot, window)
+    rebuilt = _rebuilt(marks, ticks, width, window, limit, gap)
     kept = snapshot.join(marks, "symbol").where(F.col("bar_ts") < F.col("__keep"))
     return kept.select(*snapshot.columns).unionByName(rebuilt.select(*snapshot.columns))
+
+
+MARKS = "_marks"
+
+
+def write_months(clean: DataFrame, path: str, window: int = 11) -> None:
+    """A clean snapshot as month partitions, with the marks of its series beside them for ``refresh_months``."""
+    clean.withColumn("month", F.date_format("bar_ts", "yyyy-MM")).write.mode("overwrite").partitionBy("month").parquet(path)
+    refresh_marks(clean.sparkSession.read.parquet(path), window).write.mode("overwrite").parquet(f"{path}/{MARKS}")
+
+
+def refresh_months(spark: SparkSession, path: str, ticks: DataFrame, width: str, window: int = 11, limit: float = 15.0, gap: float = config.GAP_MINUTES) -> list[str]:
+    """Brings the table of ``write_months`` up to date and returns the months that were read and written again.
+
+    The marks say from where each series is rebuilt, so ticks before them and months before the first rebuilt bar are
+    never read; a month that no new bar touches keeps its files.  Equal to a full rebuild; a repeated call changes
+    nothing.  The months, few beside the rows, are all that reaches the driver.
+    """
+    marks = settled(spark.read.parquet(f"{path}/{MARKS}"), "marks")
+    start = marks.agg(F.min("__from"), F.min("__keep")).first()
+    known = marks.select("symbol")
+    late = ticks.join(known, "symbol", "left_semi").where(F.col("ts") >= F.lit(start[0])).unionByName(ticks.join(known, "symbol", "left_anti"))
+    rebuilt = settled(_rebuilt(marks, late, width, window, limit, gap).withColumn("month", F.date_format("bar_ts", "yyyy-MM")), "rebuilt")
+    months = sorted(r[0] for r in rebuilt.select("month").distinct().collect())
+    old = spark.read.schema(rebuilt.schema).option("basePath", path).parquet(path).where(F.col("month").isin(months))
+    kept = old.join(marks, "symbol", "left").where(F.col("__keep").isNull() | (F.col("bar_ts") < F.col("__keep"))).select(*rebuilt.columns)
+    new = settled(kept.unionByName(rebuilt), "months")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    # marks of series with new bars come from the months just written, those of others stay
+    fresh = refresh_marks(new.join(rebuilt.select("symbol").distinct(), "symbol", "left_semi"), window)
+    n = new.groupBy("symbol").count().where(F.col("count") < 2 * window).select("symbol")
+    short = fresh.join(n, "symbol", "left_semi").join(marks.select("symbol", F.col("__from").alias("__f"), F.col("__keep").alias("__k")), "symbol", "left")
+    short = short.select("symbol", F.least("__from", "__f").alias("__from"), F.least("__keep", F.coalesce("__k", "__keep")).alias("__keep"))
+    every = fresh.join(n, "symbol", "left_anti").unionByName(short).unionByName(marks.join(rebuilt.select("symbol").distinct(), "symbol", "left_anti"))
+    settled(every, "marks").write.mode("overwrite").parquet(f"{path}/{MARKS}")
+    return months

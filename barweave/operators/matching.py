@@ -238,12 +238,67 @@ def worth_keeping(query: np.ndarray, composite: np.ndarray, similarity: np.ndarr
     return stays
 
 
+def dtw_bound(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """A lower bound of the DTW distance of rows ``i`` of ``a`` and ``j`` of ``b``: the first and last points always meet,
+    and each point meets one inside the band's envelope of the other row, whichever row is taken."""
+    n = a.shape[1]
+
+    def envelope(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide = np.pad(z, ((0, 0), (radius, radius)), mode="edge")
+        views = np.lib.stride_tricks.sliding_window_view(wide, 2 * radius + 1, axis=1)
+        return views.max(axis=2), views.min(axis=2)
+
+    (a_top, a_low), (b_top, b_low) = envelope(a), envelope(b)
+    out = np.zeros(len(i))
+    for s in range(0, len(i), DTW_ROWS):
+        p, q = i[s : s + DTW_ROWS], j[s : s + DTW_ROWS]
+        ends = (a[p, 0] - b[q, 0]) ** 2 + (a[p, -1] - b[q, -1]) ** 2
+        outside = [(np.maximum(np.maximum(x - top, low - x), 0) ** 2).sum(axis=1) for x, top, low in ((a[p], b_top[q], b_low[q]), (b[q], a_top[p], a_low[p]))]
+        out[s : s + DTW_ROWS] = np.sqrt(np.maximum(ends, np.maximum(*outside))) / n
+    return out
+
+
+def measured(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, composite: np.ndarray, radius: int, keep: int | None, rungs: list[float]) -> np.ndarray:
+    """The DTW distance of the pairs that may be among the ``keep`` best of a query on one of the rungs; nan for others.
+
+    Pairs are measured in the order of their composite, ever more of them in a round.  A pair is left out when its bound
+    keeps it below each rung, but for those where ``keep`` better pairs are known to reach it.
+    """
+    far = np.full(len(i), np.nan)
+
+    def measure(rows: np.ndarray) -> None:
+        for s in range(0, len(rows), DTW_ROWS):
+            own = rows[s : s + DTW_ROWS]
+            far[own] = banded_dtw(a[i[own]], b[j[own]], radius)
+
+    if keep is None or not rungs:
+        measure(np.arange(len(i)))
+        return far
+    near, take = 0.0051, keep
+    reach = np.clip(100 * composite + np.clip((0.20 - dtw_bound(a, b, i, j, radius)) * 25, -5, 5), 0, 100)
+    cuts = np.full((len(rungs), i.max(initial=-1) + 1), -np.inf)
+    order = np.lexsort((-composite, i))
+    while True:
+        wanted = np.isnan(far) & np.any([(reach >= rung - near) & (composite >= cut[i]) for rung, cut in zip(rungs, cuts, strict=True)], axis=0)
+        rows = order[wanted[order]]
+        if not len(rows):
+            return far
+        measure(rows[np.arange(len(rows)) - np.searchsorted(i[rows], i[rows]) < take])
+        take *= 2
+        known = order[~np.isnan(far[order])]
+        sim = np.clip(100 * composite[known] + np.clip((0.20 - far[known]) * 25, -5, 5), 0, 100)
+        for rung, cut in zip(rungs, cuts, strict=True):
+            sure = known[sim >= rung + near]
+            last = sure[np.arange(len(sure)) - np.searchsorted(i[sure], i[sure]) == keep - 1]
+            cut[i[last]] = composite[last]
+
+
 def similar_days(windows: DataFrame, n: int, rate: float = 0.0, past_only: bool = False, keep: int | None = None, floor: float = 0.0, dtw_radius: int | None = None, rungs: tuple[float, ...] = ()) -> DataFrame:
     """MA4-MA8 as matrix products: (symbol, q_*, h_*, corr, segment, pivot, composite) of pairs of composite >= floor.
 
     A task gets one (symbol, block, part) of ``dealt``.  ``keep`` leaves the best of each query in each part.  With
-    ``dtw_radius`` these pairs are measured where their windows are, ``dtw`` is added, and of each rung in ``rungs`` the
-    best ``keep`` of each query stay.
+    ``dtw_radius`` the pairs that may be chosen are measured where their windows are, see ``measured``, ``dtw`` is added,
+    and of each rung in ``rungs`` the best ``keep`` of each query stay.
     """
     weights, edges = np.array(decay_weights(n, rate)), segment_edges(n)
     q, h = dealt(windows)
@@ -277,7 +332,9 @@ def similar_days(windows: DataFrame, n: int, rate: float = 0.0, past_only: bool
         i, j = np.nonzero(ok)
         dtw = {}
         if dtw_radius is not None:
-            far = np.concatenate([np.zeros(0), *(banded_dtw(a[i[s : s + DTW_ROWS]], b[j[s : s + DTW_ROWS]], dtw_radius) for s in range(0, len(i), DTW_ROWS))])
+            far = measured(a, b, i, j, comp[i, j], dtw_radius, keep, list(rungs))
+            known = ~np.isnan(far)
+            i, j, far = i[known], j[known], far[known]
             if keep is not None:
                 sim = np.clip(100 * comp[i, j] + np.clip((0.20 - far) * 25, -5, 5), 0, 100)
                 stays = worth_keeping(i, comp[i, j], sim, keep, list(rungs))

@@ -1,6 +1,7 @@
 """Bar operators: hand-made cases, equivalences and plain Python restatements."""
 
 import math
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -80,6 +81,40 @@ def test_worth_keeping_against_sorting():
     assert M.worth_keeping(np.zeros(0, int), np.zeros(0), np.zeros(0), 3, [70.0]).shape == (0,)
 
 
+def test_dtw_bounds_are_never_above_the_distance():
+    r = np.random.default_rng(4)
+    for n, radius in ((8, 1), (24, 3), (24, 30)):
+        a, b = r.standard_normal((200, n)), r.standard_normal((200, n)).cumsum(axis=1)
+        i, j = r.integers(0, 200, 500), r.integers(0, 200, 500)
+        bound = M.dtw_bound(a, b, i, j, radius)
+        assert (bound <= M.banded_dtw(a[i], b[j], radius) + 1e-12).all() and bound.mean() > 0
+
+
+def test_few_pairs_are_measured_and_none_is_missed():
+    """Days in clusters: the bound and the best so far spare most measurements, and what may be chosen is the same."""
+    r = np.random.default_rng(5)
+    shapes = r.standard_normal((12, 24)).cumsum(axis=1)
+    z = np.concatenate([shapes + 0.3 * r.standard_normal((12, 24)) for _ in range(10)])
+    z = (z - z.mean(axis=1, keepdims=True)) / z.std(axis=1, keepdims=True)
+    corr = np.clip(z @ z.T / 24, 0, 1)
+    i, j = np.nonzero((corr > 0.4) & ~np.eye(len(z), dtype=bool))
+    comp, rungs = corr[i, j], [70.0, 65.0, 60.0, 55.0]
+    whole = M.banded_dtw(z[i], z[j], 3)
+    sim = np.clip(100 * comp + np.clip((0.20 - whole) * 25, -5, 5), 0, 100)
+    want = M.worth_keeping(i, comp, sim, 3, rungs)
+    far = M.measured(z, z, i, j, comp, 3, 3, rungs)
+    known = ~np.isnan(far)
+    assert np.allclose(far[known], whole[known])
+    stays = M.worth_keeping(i[known], comp[known], np.clip(100 * comp[known] + np.clip((0.20 - far[known]) * 25, -5, 5), 0, 100), 3, rungs)
+    # every pair that is among the best of a rung is measured and kept; others that stay lie on a rung's edge
+    for rung in rungs:
+        for q in np.unique(i):
+            own = np.flatnonzero((i == q) & (sim >= rung + 0.0051))
+            best = own[np.argsort(-comp[own], kind="stable")[:3]]
+            assert known[best].all() and stays[np.searchsorted(np.flatnonzero(known), best)].all()
+    assert want.sum() >= stays.sum() and known.mean() < 0.4, f"{known.mean():.2f} of the pairs were measured"
+
+
 def test_matches_with_dtw_against_all_pairs(spark, monkeypatch):
     b = make_bars(spark, 24 * 40, seed=5).union(make_bars(spark, 24 * 9, symbol="b", seed=6))
     w = M.day_windows(b, 20)
@@ -223,6 +258,23 @@ def test_empty_tables(spark):
     assert C.upsample_interpolate(e, "1 hour").collect() == []
 
 
+def test_asof_join_of_a_shared_table(spark, tmp_path):
+    """Without a key every series takes its rates from one table, which isn't copied; rows without a time stay."""
+    r = random.Random(6)
+    left = [(s, None if i == 7 else T0 + timedelta(minutes=r.randint(0, 6000)), float(i)) for s in "abc" for i in range(60)]
+    right = sorted({T0 + timedelta(minutes=r.randint(500, 5000)) for _ in range(40)})
+    d = spark.createDataFrame(left, "symbol string, ts timestamp, v double")
+    rates = spark.createDataFrame([(t, float(k)) for k, t in enumerate(right)] + [(None, 99.0)], "ts timestamp, rate double")
+    for unit in ("hour", "day", "month"):
+        found = C.asof_join(d, rates, ["rate"], by=(), unit=unit)
+        for x in found.collect():
+            before = [k for k, t in enumerate(right) if x.ts is not None and t <= x.ts]
+            assert (x.rate, x.right_ts) == ((float(before[-1]), right[before[-1]]) if before else (None, None))
+        assert found.count() == len(left)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_asof_join_gives_rates_to_every_series(spark, tmp_path):
     rows = [(1, "2024-03-01 00:10:00", 1, "view", 10.0, '{"k": 1}'), (2, "2024-03-01 01:10:00", 2, "metal", 5.0, '{"k": 2}')]
     e = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
@@ -231,6 +283,32 @@ def test_asof_join_gives_rates_to_every_series(spark, tmp_path):
     assert got == {"view": (None, None), "metal": (2.0, "2024-03-01 00:10:00")}
 
 
+def test_refresh_reads_and_writes_the_last_months_alone(spark, tmp_path):
+    """Five months of bars, new ticks in the last two: equal to a rebuild, older months keep their files, twice is once."""
+    r = random.Random(8)
+    rows = [(s, T0 + timedelta(hours=7 * i), i, 100 + r.gauss(0, 10), 1.0, "s") for s in "ab" for i in range(500 if s == "a" else 90)] + [("new", T0 + timedelta(hours=3400), 1, 5.0, 1.0, "s")]
+    t = spark.createDataFrame(rows, "symbol string, ts timestamp, event_id long, price double, volume double, source string").persist()
+    shown = lambda d: values(d, "symbol", "bar_ts", "close", "volume", "is_gap")
+    path = f"{tmp_path}/clean"
+    old = t.where(F.col("ts") < F.lit(T0 + timedelta(hours=3000)))
+    C.write_months(C.clean_series(old, "1 hour", gap=600.0), path)
+    files = {f: os.path.getmtime(f"{path}/{d}/{f}") for d in os.listdir(path) if d < "month=2024-04" and d.startswith("month") for f in os.listdir(f"{path}/{d}") if f.endswith("parquet")}
+    for _ in range(2):
+        months = C.refresh_months(spark, path, t, "1 hour", gap=600.0)
+        assert shown(spark.read.parquet(path).drop("month")) == shown(C.clean_series(t, "1 hour", gap=600.0))
+        # series b has ended long ago: its last bars are checked again
+        assert set(months) <= {"2024-01", "2024-04", "2024-05"}
+    assert sum(os.path.exists(f"{path}/month=2024-0{k}/{f}") for f in files for k in (2, 3)) == sum(1 for d in ("month=2024-02", "month=2024-03") for f in os.listdir(f"{path}/{d}") if f.endswith("parquet"))
+
+
+def test_current_query_ranks_the_last_months_alone(spark):
+    rows = [("a", T0 + timedelta(hours=i), float(i)) for i in range(24 * 150)] + [("b", T0 + timedelta(days=31 * k), float(k)) for k in range(5)]
+    d = spark.createDataFrame(rows, "symbol string, bar_ts timestamp, close double")
+    got = {x.symbol: x.closes for x in K.current_query(d, min_points=40).collect()}
+    assert got == {"a": [float(i) for i in range(24 * 150 - 40, 24 * 150)], "b": [0.0, 1.0, 2.0, 3.0, 4.0]}
+    assert len(K.current_query(d, min_points=2, borrow=False).where("symbol = 'a'").first().closes) == 18
+
+
 def test_ingest_with_a_fresh_checkpoint_keeps_the_table(spark, tmp_path):
     schema, n = "symbol string, bar_ts timestamp, close double", iter(range(9))
 
