@@ -10,8 +10,9 @@
    merged in by a symbol or two and the rank of the sampled suffix behind them.  All sorts are range-partitioned, and a
    merge is a count of rows in two sorted lists.
 3. Adjacent suffixes are compared: a common prefix of LENGTH bytes or more says which windows recur.  Windows that no
-   such prefix covers (at the ends of a match, between two symbols) are told apart by 128-bit codes, together with one
-   of each kind of windows behind the same anchor bytes.
+   such prefix covers (at the ends of a match, between two symbols, at the edge of two sorted ranges) are told apart by
+   128-bit codes, together with one of each kind of windows behind the same anchor bytes; slices of neighbouring windows
+   whose common bytes don't recur are left out first.
 4. Texts that occur twice are removed whole where they have LENGTH bytes; of them one takes part.
 """
 
@@ -27,16 +28,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import Scratch, grouped, if_small, map_arrow, numbered
-from .encoding import eight
 from .shingles import EXACT, STEP, codes_of, mix, slabs, span_sums
 
 LENGTH, GRAM = 200, 16
 #: Windows whose anchors are found at once.
 SEGMENT = 4 << 20
-#: Sorted suffixes that are compared in one call.
-BUCKET = 4096
+#: Neighbouring windows that are looked for together, and the share of suffixes that a recursion leaves to them.
+SLICE, SPARE = 16, 0.02
 _OTHER = mix(EXACT, 0x1F3)
-_PLACE = np.uint64((1 << 24) - 1)
+_PLACE, _FAR, _MIX = np.uint64((1 << 24) - 1), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
 
 
 def anchors(data: np.ndarray, length: int) -> np.ndarray:
@@ -45,9 +45,12 @@ def anchors(data: np.ndarray, length: int) -> np.ndarray:
     half, out = length // 2, []
     for at in range(0, max(0, len(data) - length + 1), SEGMENT):
         part = data[at : at + SEGMENT + length - 1]
-        i, eights = np.arange(len(part) - GRAM + 1), np.full(len(part) - GRAM + 1, 8)
-        gram = mix(eight(part, i, eights) * STEP + mix(eight(part, i + 8, eights), 3), 5)
-        least = (gram & ~_PLACE) | i.astype(np.uint64)
+        n = len(part) - GRAM + 1
+        eights = np.ndarray((n + 8,), "<u8", np.ascontiguousarray(part), strides=(1,))
+        gram = (eights[:n] * STEP) ^ (eights[8:] * _FAR)
+        gram ^= gram >> np.uint64(29)
+        gram *= _MIX
+        least = (gram & ~_PLACE) | np.arange(n, dtype=np.uint64)
         size = 1
         while 2 * size <= half:
             least = np.minimum(least[:-size], least[size:])
@@ -109,27 +112,31 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
     return map_arrow(_named(docs), run, schema)
 
 
-def _regions(docs: DataFrame, candidates: DataFrame, length: int) -> DataFrame:
+def _regions(docs: DataFrame, candidates: DataFrame, repeated: bool, length: int) -> DataFrame:
     """Stretches of neighbouring candidates: their bytes, and their anchors and windows by their places there."""
     schema = "tid long, copies long, start long, body binary, a array<int>, lo array<int>, hi array<int>, c array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, out = b.column(2).cast(pa.binary()), []
-            for k in range(len(b)):
-                raw = texts[k].as_py()
-                j, a, lo, hi, c = (np.array([x[f] for x in b.column(3)[k].as_py()], np.int64) for f in ("j", "a", "lo", "hi", "c"))
-                cuts = [0, *(np.flatnonzero(np.diff(j) != 1) + 1).tolist(), len(j)]
-                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                    s = int(lo[x])
-                    out.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), s, raw[s : int(hi[y - 1]) + length], *((v[x:y] - s).tolist() for v in (a, lo, hi)), c[x:y].tolist()))
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64())]
-                yield pa.record_batch([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], ["tid", "copies", "start", "body", "a", "lo", "hi", "c"])
+            if not len(b):
+                continue
+            (j, of), (a, _), (lo, _), (hi, _), (c, _) = (_flat(b.column(k)) for k in range(3, 8))
+            first = np.ones(len(j), bool)
+            first[1:] = (of[1:] != of[:-1]) | (j[1:] != j[:-1] + 1)
+            begins = np.flatnonzero(first)
+            ends = np.append(begins[1:], len(j))
+            start, row = lo[begins], of[begins]
+            texts = b.column(2).cast(pa.binary()).to_pylist()
+            bodies = [texts[r][x:y] for r, x, y in zip(row.tolist(), start.tolist(), (hi[ends - 1] + length).tolist(), strict=True)]
+            base, i32 = np.repeat(start, ends - begins), pa.int32()
+            lists = _lists(np.append(begins, len(j)), (a - base, i32), (lo - base, i32), (hi - base, i32), (c, pa.int64()))
+            yield pa.record_batch([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(start), pa.array(bodies, pa.binary()), *lists], ["tid", "copies", "start", "body", "a", "lo", "hi", "c"])
 
     same = (docs["t1"] == candidates["__t1"]) & (docs["t2"] == candidates["__t2"]) & docs["doc_id"].eqNullSafe(candidates["__doc"])
-    found = map_arrow(docs.join(candidates, same).select("tid", "copies", "text", "listed"), run, schema)
-    return found.groupBy("tid", "start").agg(*[F.first(x).alias(x) for x in ("copies", "body", "a", "lo", "hi", "c")])  # rows may repeat
+    found = map_arrow(docs.join(candidates, same).select("tid", "copies", "text", "j", "a", "lo", "hi", "c"), run, schema)
+    if not repeated:
+        return found
+    return found.groupBy("tid", "start").agg(*[F.first(x).alias(x) for x in ("copies", "body", "a", "lo", "hi", "c")])
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,10 +166,11 @@ def _symbols(regions: DataFrame, length: int) -> DataFrame:
     return map_arrow(regions.select("seq", "body", "a", "lo", "hi", "c"), run, "seq long, i long, p1 long, p2 long, size long, c long, kind long")
 
 
-def suffix_order(symbols: DataFrame, reach: int, scratch: Scratch) -> DataFrame:
+def suffix_order(symbols: DataFrame, reach: int, scratch: Scratch, spare: float = 0.0) -> DataFrame:
     """(seq, i, at) of (seq, i, sym, size): ``at`` ascends as the suffixes of all strings do, whose symbols are positive
     numbers.  A string's end comes before every symbol; equal suffixes, and those that agree over ``reach`` in size, are
-    in any order."""
+    in any order.  The recursion ends where no more than the share ``spare`` of the sampled suffixes is left to be told
+    apart; those are in any order, too."""
     follow = W.partitionBy("seq").orderBy("i")
     place = F.col("i") % 3
     own = symbols.withColumns({f"s{k}": F.lead("sym", k, 0).over(follow) for k in (1, 2)} | {"span": F.col("size") + F.lead("size", 1, 0).over(follow) + F.lead("size", 2, 0).over(follow)})
@@ -170,12 +178,13 @@ def suffix_order(symbols: DataFrame, reach: int, scratch: Scratch) -> DataFrame:
     sample, triple = own.where(place != 0), ["sym", "s1", "s2"]
     names = sample.groupBy(*triple).agg(F.count("*").alias("times"), F.max((F.col("s2") != 0) & (F.col("span") < reach)).alias("short"))
     names = scratch.keep(names.withColumn("all", F.lit(0)), "names")
-    if names.where("times > 1 and short").isEmpty():
+    counted = names.agg(F.sum("times").alias("all"), F.sum(F.when(F.col("short") & (F.col("times") > 1), F.col("times")).otherwise(0)).alias("left")).first()
+    if (counted["left"] or 0) <= spare * (counted["all"] or 0):
         ranks = numbered(sample, scratch, [*triple, "seq", "i"], "all").select("seq", "i", (F.col("pos") + 1).alias("at"))
     else:
         names = numbered(names, scratch, triple, "all").select(*triple, (F.col("pos") + 1).alias("name"))
         again = sample.join(names, triple).select((F.col("seq") * 2 + place - 1).alias("seq"), F.floor(F.col("i") / 3).alias("i"), F.col("name").alias("sym"), F.col("span").alias("size"))
-        inner = suffix_order(again, reach, scratch)
+        inner = suffix_order(again, reach, scratch, spare)
         ranks = inner.select(F.floor(F.col("seq") / 2).alias("seq"), (F.col("i") * 3 + F.pmod("seq", F.lit(2)) + 1).alias("i"), "at")
     ranks = scratch.keep(ranks, "ranks")
     d = own.join(ranks, ["seq", "i"], "left")
@@ -191,41 +200,59 @@ def suffix_order(symbols: DataFrame, reach: int, scratch: Scratch) -> DataFrame:
     return done
 
 
-def common_size(x: list[int], y: list[int], sizes: list[int]) -> int:
-    """The size of the symbols that two suffixes begin with."""
-    total = 0
-    for a, b, n in zip(x, y, sizes, strict=False):
-        if a != b:
-            break
-        total += n
+def common_sizes(heads: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The size of the symbols that each suffix and the one after it begin with; heads are one after another."""
+    n = np.diff(offsets)
+    both, total = np.minimum(n[:-1], n[1:]), np.zeros(max(len(n) - 1, 0), np.int64)
+    alive = np.arange(len(total))
+    step = 0
+    while len(alive := alive[both[alive] > step]):
+        x = offsets[alive] + step
+        alive = alive[heads[x] == heads[offsets[alive + 1] + step]]
+        total[alive] += sizes[offsets[alive] + step]
+        step += 1
     return total
 
 
-def _longest(symbols: DataFrame, order: DataFrame, reach: int, scratch: Scratch) -> DataFrame:
-    """(seq, i, common): the longest common prefix of each suffix with an adjacent one, up to about ``reach``."""
-
-    def heads(string: dict[str, list]) -> Iterator[tuple]:
-        syms, sizes = string["sym"], string["size"]
-        ends = np.cumsum(sizes)
-        stops = np.searchsorted(ends, ends - np.array(sizes) + reach) + 1
-        for i, stop in enumerate(stops.tolist()):
-            yield string["seq"][0], i, syms[i:stop], sizes[i:stop]
-
-    rows = grouped(symbols.select("seq", "i", "sym", "size"), ["seq"], ["i"], heads, "seq long, i long, head array<long>, sizes array<long>")
-    sort = numbered(order.withColumn("all", F.lit(0)), scratch, ["at", "seq", "i"], "all").select("seq", "i", "pos", "n")
-    d = rows.join(sort, ["seq", "i"])
-    bucket, inside = F.floor(F.col("pos") / BUCKET), F.col("pos") % BUCKET
-    near = F.array_compact(F.array(bucket, F.when(inside == 0, bucket - 1), F.when(inside == BUCKET - 1, bucket + 1)))
-    d = d.withColumn("bucket", F.explode(near))
+def _longest(symbols: DataFrame, order: DataFrame, length: int, reach: int) -> DataFrame:
+    """(seq, i, common) of suffixes that have ``length`` bytes or more in common with an adjacent one.  Suffixes lie in
+    sorted ranges and are compared inside them; what meets at two ranges' edge is left to the windows' codes."""
 
-    def compare(rows: dict[str, list]) -> Iterator[tuple]:
-        own, heads = rows["bucket"][0], rows["head"]
-        both = [0, *(common_size(heads[k], heads[k + 1], rows["sizes"][k]) for k in range(len(heads) - 1)), 0]
-        for k, pos in enumerate(rows["pos"]):
-            if pos // BUCKET == own:
-                yield rows["seq"][k], rows["i"][k], max(both[k], both[k + 1])
-
-    return grouped(d.drop("n"), ["bucket"], ["pos"], compare, "seq long, i long, common long")
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (syms, of), (sizes, _) = _flat(b.column(1)), _flat(b.column(2))
+            if not len(of):
+                continue
+            ends = np.cumsum(sizes)
+            row_end = np.searchsorted(of, of, side="right")
+            stop = np.minimum(np.searchsorted(ends, ends - sizes + reach) + 1, row_end)
+            n = stop - np.arange(len(of))
+            cuts = np.concatenate([[0], np.cumsum(n)])
+            at = np.repeat(np.arange(len(of)) - cuts[:-1], n) + np.arange(cuts[-1])
+            i = np.arange(len(of)) - np.searchsorted(of, of)
+            yield pa.record_batch([pa.array(np.asarray(b.column(0))[of]), pa.array(i), *_lists(cuts, (syms[at], pa.int64()), (sizes[at], pa.int32()))], ["seq", "i", "head", "sizes"])
+
+    strings = symbols.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("i", "sym", "size"))).alias("s"))
+    strings = strings.select("seq", F.col("s.sym").alias("syms"), F.col("s.size").cast("array<int>").alias("sizes"))
+    rows = map_arrow(strings, heads, "seq long, i long, head array<long>, sizes array<int>").join(order, ["seq", "i"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the last suffix of the batch before, not yet given out
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if last is None else pa.concat_batches([last, b])
+            (head, _), (sizes, _) = _flat(b.column(2)), _flat(b.column(3))
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(b.column(2).value_lengths()))])
+            both = common_sizes(head, sizes, offsets)
+            near = np.maximum(np.append(both, 0), np.append(0, both))
+            keep = np.flatnonzero(near >= length)
+            yield pa.record_batch([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(near[keep])], ["seq", "i", "common"])
+            last = b.slice(len(b) - 1)
+
+    ordered = rows.repartitionByRange("at", "seq", "i").sortWithinPartitions("at", "seq", "i")
+    found = map_arrow(ordered.select("seq", "i", "head", "sizes"), compare, "seq long, i long, common long")
+    return found.groupBy("seq", "i").agg(F.max("common").alias("common"))
 
 
 def _pairs(mask: np.ndarray) -> list[int]:
@@ -255,24 +282,51 @@ def _covered(regions: DataFrame, common: DataFrame, length: int) -> DataFrame:
     return map_arrow(d, run, "seq long, tid long, start long, done array<int>, open array<int>, i array<int>")
 
 
-def _windows(regions: DataFrame, covered: DataFrame, targets: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, seq, p, open) of the windows that aren't covered, and of all others of their and the targets' symbols."""
-    known = covered.select("seq", "open", "i").join(targets.groupBy("seq").agg(F.collect_list("i").alias("wanted")), "seq", "left").where("size(open) > 0 or wanted is not null")
+def _slices(regions: DataFrame, covered: DataFrame, targets: DataFrame, length: int) -> DataFrame:
+    """(k, seq, i, slice, open): for SLICE neighbouring windows before an anchor the code of the bytes that all of them
+    have; of symbols with windows that aren't covered, and of the targets."""
+    known = covered.select("seq", "i").join(targets.groupBy("seq").agg(F.collect_list("i").alias("wanted")), "seq", "left").where("size(i) > 0 or wanted is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for seq, body, a, lo, hi, partly, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(k) for k in range(2, 7)), strict=True):
+                a, lo, hi = (np.asarray(x.values).astype(np.int64) for x in (a, lo, hi))
+                i = np.unique(np.concatenate([np.asarray(x.values).astype(np.int64) for x in (partly, wanted) if x.is_valid]))
+                first, last = (a[i] - hi[i]) // SLICE, (a[i] - lo[i]) // SLICE
+                n = last - first + 1
+                of = np.repeat(i, n)
+                part = np.repeat(last + np.cumsum(n) - n, n) - np.arange(n.sum())
+                s = a[of] - SLICE * part
+                at = np.argsort(s, kind="stable")
+                k = np.zeros(len(s), np.int64)
+                k[at] = code(np.frombuffer(body, np.uint8), s[at], s[at] + length - SLICE + 1)
+                k = mix(k.view(np.uint64) + part.astype(np.uint64) * STEP, 11).view(np.int64)
+                yield pa.record_batch([pa.array(k), pa.array(np.full(len(k), seq)), pa.array(of), pa.array(part), pa.array(np.isin(of, np.asarray(partly.values)))], ["k", "seq", "i", "slice", "open"])
+
+    d = regions.select("seq", "body", "a", "lo", "hi").join(known, "seq").select("seq", "body", "a", "lo", "hi", "i", "wanted")
+    return map_arrow(d, run, "k long, seq long, i long, slice long, open boolean")
+
+
+def _windows(regions: DataFrame, covered: DataFrame, slices: DataFrame, length: int) -> DataFrame:
+    """(w1, w2, seq, p, open) of the windows in slices that recur; open: no common prefix covers the window."""
+    known = slices.groupBy("seq").agg(F.collect_list(F.col("i").cast("int")).alias("i"), F.collect_list(F.col("slice").cast("int")).alias("slice")).join(covered.select("seq", "open"), "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for seq, body, lo, hi, left, partly, wanted in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+            for seq, body, a, lo, hi, i, part, left in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(k) for k in range(2, 7)), b.column(7).to_pylist(), strict=True):
+                a, lo, hi, i, part = (np.asarray(x.values).astype(np.int64) for x in (a, lo, hi, i, part))
                 state = np.zeros(hi[-1] + 1, np.int8)
-                for i in [*partly, *(wanted or [])]:
-                    state[lo[i] : hi[i] + 1] = 1
+                begin, end = np.maximum(a[i] - SLICE * part - SLICE + 1, lo[i]), np.minimum(a[i] - SLICE * part, hi[i])
+                for x, y in zip(begin.tolist(), end.tolist(), strict=True):
+                    state[x : y + 1] = 1
                 for x, y in zip(left[::2], left[1::2], strict=True):
-                    state[x:y] = 2
+                    state[x:y] *= 2
                 p = np.flatnonzero(state)
                 data = np.frombuffer(body, np.uint8)
                 columns = [pa.array(code(data, p, p + length, v)) for v in (EXACT, _OTHER)]
                 yield pa.record_batch([*columns, pa.array(np.full(len(p), seq)), pa.array(p), pa.array(state[p] == 2)], ["w1", "w2", "seq", "p", "open"])
 
-    d = regions.select("seq", "body", "lo", "hi").join(known, "seq").select("seq", "body", "lo", "hi", "open", "i", "wanted")
+    d = regions.select("seq", "body", "a", "lo", "hi").join(known, "seq").select("seq", "body", "a", "lo", "hi", "i", "slice", "open")
     return map_arrow(d, run, "w1 long, w2 long, seq long, p long, open boolean")
 
 
@@ -304,23 +358,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     listed = own.select(F.col("row").alias("tid"), F.posexplode(F.arrays_zip("a", "lo", "hi", "c")).alias("j", "x")).select("tid", "j", "x.*")
     occurrence = F.xxhash64("tid", "j")
     again = listed.groupBy("c").agg(F.min(occurrence).alias("x"), F.max(occurrence).alias("y")).where("x <> y").select("c")
-    found = listed.join(scratch.keep(again, "again"), "c").groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("j", "a", "lo", "hi", "c"))).alias("listed"))
+    found = listed.join(scratch.keep(again, "again"), "c").groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("j", "a", "lo", "hi", "c"))).alias("x")).select("tid", "x.j", "x.a", "x.lo", "x.hi", "x.c")
     wanted = texts.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "__doc", "tid", "copies")
     candidates = scratch.keep(found.join(wanted, "tid"), "candidates")
-    regions = scratch.keep(_regions(_named(docs), candidates, length).withColumn("seq", F.monotonically_increasing_id()), "regions")
+    repeated = not info.groupBy("t1", "t2", "doc_id").count().where("count > 1").isEmpty()
+    regions = scratch.keep(_regions(_named(docs), candidates, repeated, length).withColumn("seq", F.monotonically_increasing_id()), "regions")
     raw = scratch.keep(_symbols(regions, length), "raw")
     names = scratch.keep(raw.select("p1", "p2").distinct().withColumn("sym", F.monotonically_increasing_id() + 1), "symbols")
     symbols = scratch.keep(raw.join(names, ["p1", "p2"]).drop("p1", "p2"), "strings")
     scratch.drop(candidates, raw, names)
-    reach = length + length // 2
-    order = suffix_order(symbols.select("seq", "i", "sym", "size"), reach, scratch)
-    covered = scratch.keep(_covered(regions, _longest(symbols, order, reach, scratch), length), "covered")
+    order = suffix_order(symbols.select("seq", "i", "sym", "size"), length, scratch, SPARE)
+    covered = scratch.keep(_covered(regions, _longest(symbols, order, length, length + length // 2), length), "covered")
     left = covered.select("seq", F.explode("i").alias("i")).select("seq", F.col("i").cast("long").alias("i"))
     behind = scratch.keep(symbols.join(left, ["seq", "i"]).select("c").distinct(), "behind")
     closed = symbols.join(left, ["seq", "i"], "left_anti").join(behind, "c")
     targets = closed.groupBy("kind").agg(F.min(F.struct("seq", "i")).alias("x")).select("x.seq", F.col("x.i").cast("int").alias("i"))
-    targets = scratch.keep(targets, "targets")
-    windows = _windows(regions, covered, targets, length)
+    slices = scratch.keep(_slices(regions, covered, targets, length), "slices")
+    place = F.xxhash64("seq", "i")
+    recur = slices.groupBy("k").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("open").alias("some")).where("x <> y and some").select("k")
+    slices = scratch.keep(slices.join(recur, "k").select("seq", "i", "slice"), "recurring")
+    windows = scratch.keep(_windows(regions, covered, slices, length), "windows")
     place = F.xxhash64("seq", "p")
     twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("open").alias("some")).where("x <> y and some").select("w1", "w2")
     more = windows.where("open").join(scratch.keep(twice, "twice"), ["w1", "w2"]).join(covered.select("seq", "tid", "start"), "seq")
@@ -329,7 +386,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     done = covered.where("size(done) > 0").select("tid", "start", F.explode(pairs).alias("r")).select("tid", (F.col("start") + F.col("r.x")).alias("s"), (F.col("start") + F.col("r.y") + length - 1).alias("e"))
     single = if_small(texts.where("copies = 1").select("tid"))
     spans = scratch.keep(_spans(more.union(done).join(single, "tid", "left_semi")), "spans")
-    scratch.drop(regions, symbols, order, covered, behind, targets)
+    scratch.drop(regions, symbols, order, covered, behind, slices, windows)
     return info, texts, spans
 
 
