@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.functions.scratch import settled
+from barweave.jobs.feature_queries import BIAS, DAILY, daily_closes
 from barweave.jobs.learn_queries import feedback
 from barweave.jobs.match_queries import N, PAIRS, dated, nms_cte
 from barweave.operators import features as X
@@ -98,6 +99,30 @@ def fc6_mean_aligned_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(P.mean_aligned_track(m, g, P.query_prices(g, w, N), N, STEPS), "step", "price")
 
 
+MATCHED = {i: name for i, (name, _, _) in enumerate(X.FEATURES) if name in ("inst", "hist_sim", "hist_consensus", "hist_return", "dxy", "us10y", "macro")}
+_SCALED = ", ".join(f"({i}, greatest(-3, least(3, ({v} - {m}) / ({s} + 1e-8))))" for i, v, m, s in ((i, {"inst": "bias", "dxy": "bias / 2", "us10y": "-bias", "macro": "(abs(bias / 2) + abs(bias)) / 2"}.get(n, n), *X.FEATURES[i][1:]) for i, n in MATCHED.items()))
+
+
+@query(
+    f"""WITH {ALL}, {DAILY.removeprefix(f"{BARS}, ")}, {BIAS}, mt AS (SELECT symbol, q_day, rank, last(price ORDER BY step) - first(price ORDER BY step) AS e FROM path GROUP BY 1, 2, 3),
+    mf AS (SELECT symbol, q_day, avg(similarity / 100) AS hist_sim, avg(sign(e)) AS hist_consensus, avg(e) AS move FROM mt JOIN chosen USING (symbol, q_day, rank) GROUP BY 1, 2),
+    mv2 AS (SELECT symbol, q_day, hist_sim, hist_consensus, move / (last_price + 1e-8) * 100 AS hist_return, bias FROM mf JOIN qs USING (symbol, q_day) JOIN bias USING (symbol)),
+    mx AS (SELECT mv2.*, unnest([{_SCALED}]) AS x FROM mv2) SELECT {QD}, x[1] AS i, x[2] AS v FROM mx""".replace("x[1] AS i, x[2] AS v", "CAST(struct_extract(x, 1) AS BIGINT) AS i, struct_extract(x, 2) AS v"),
+    "v",
+    "",
+    "i",
+)
+def fe12_match_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of the feature vector that come from matches and outer biases, at the last bar of every matched day."""
+    g, q, _, paths = paths_of(spark, sf_dir)
+    ends = q.select(*P.KEY, F.col("as_of").alias("bar_ts"), F.col("last_price").alias("close"))
+    told = X.match_features(paths.select(*P.KEY, "similarity", "path").join(ends, list(P.KEY)), ends)
+    of_bars = X.bar_features(g.select("symbol", "bar_ts", "open", "high", "low", "close", "volume")).join(told.select("symbol", "bar_ts"), ["symbol", "bar_ts"], "left_semi")
+    bias = X.trend_bias(daily_closes(spark, sf_dir)).select("symbol", F.col("bias").alias("inst"), (F.col("bias") / 2).alias("dxy"), (-F.col("bias")).alias("us10y"))
+    v = X.feature_vector(of_bars, told, bias).join(ends.select(*P.KEY, "bar_ts"), ["symbol", "bar_ts"])
+    return named(v, F.posexplode("features").alias("i", "v")).where(F.col("i").isin(list(MATCHED)))
+
+
 ENS = "ens AS (SELECT symbol, q_day, step, sum(weight * price) AS matcher FROM path JOIN wt USING (symbol, q_day, rank) GROUP BY 1, 2, 3)"
 
 

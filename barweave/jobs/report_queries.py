@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barweave.jobs.forecast_queries import ALL as FORECASTS
+from barweave.jobs.forecast_queries import STEPS, paths_of
 from barweave.jobs.learn_queries import PRED, WIN, predictions, rates_of, scored
+from barweave.jobs.match_queries import N
 from barweave.operators import evaluation as E
+from barweave.operators import forecast as P
 from barweave.operators import reporting as R
 from barweave.registry import query
 from barweave.sources.events import BARS, bars
@@ -29,6 +33,35 @@ def rp1_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.timeline(b, f, p, n=50, steps=6, width="1 hour")
 
 
+TRACKS = f"""lastq AS (SELECT symbol, max(q_day) AS q_day FROM chosen GROUP BY 1), ends AS (SELECT symbol, max(p) AS top_p, max(bar_ts) AS top_ts FROM pos GROUP BY 1),
+axis AS (SELECT symbol, bar_ts AS ts, top_p - p + {STEPS} AS back, 0 AS step, close AS real FROM pos JOIN ends USING (symbol) WHERE p > top_p - 50 UNION ALL SELECT symbol, top_ts + to_hours(s), {STEPS} - s, s, NULL FROM (SELECT *, unnest(range(1, {STEPS + 1})) AS s FROM ends)),
+sp AS (SELECT c.symbol, c.q_day, p.p - c.start_pos AS step, p.close, row_number() OVER (PARTITION BY c.symbol ORDER BY p.p DESC) - 1 AS back FROM chosen c JOIN lastq USING (symbol, q_day) JOIN pos p ON p.symbol = c.symbol AND p.p BETWEEN c.start_pos AND c.start_pos + {N - 1 + STEPS} WHERE rank = 1),
+h AS (SELECT symbol, q_day, avg(close) AS h FROM sp WHERE step < {N} GROUP BY 1, 2), t AS (SELECT symbol, day AS q_day, list_avg(closes) AS t FROM raw),
+tp AS (SELECT symbol, back, CAST(round(CAST(close - h + t AS DECIMAL(18, 9)), 2) AS DOUBLE) AS top1 FROM sp JOIN h USING (symbol, q_day) JOIN t USING (symbol, q_day)),
+tr AS (SELECT symbol, rank, step, CAST(round(CAST(price AS DECIMAL(18, 9)), 2) AS DOUBLE) AS price FROM path JOIN lastq USING (symbol, q_day)),
+ranks AS (SELECT DISTINCT symbol, rank FROM tr),
+pts AS (SELECT a.symbol, a.ts, r.rank, CASE WHEN a.step = 0 THEN CAST(round(CAST(a.real AS DECIMAL(18, 9)), 2) AS DOUBLE) ELSE tr.price END AS price FROM axis a JOIN ranks r USING (symbol) LEFT JOIN tr ON tr.symbol = a.symbol AND tr.rank = r.rank AND tr.step = a.step WHERE a.step > 0 OR a.back = {STEPS})"""
+
+
+@query(
+    f"""WITH {FORECASTS}, {TRACKS} SELECT axis.symbol, axis.ts, top1, {", ".join(f"max(price) FILTER (rank = {k}) AS track{k}" for k in (1, 2, 3))}
+    FROM axis LEFT JOIN tp USING (symbol, back) LEFT JOIN pts ON pts.symbol = axis.symbol AND pts.ts = axis.ts GROUP BY 1, 2, 3""",
+    "top1 track1 track2 track3",
+    "ts",
+)
+def rp1_timeline_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The axis of the grid with the tracks and the aligned best match of each series' last matched day."""
+    g, q, m, paths = paths_of(spark, sf_dir)
+    last = m.groupBy("symbol").agg(F.max("q_trading_date").alias("q_trading_date"))
+    own = lambda d: d.join(last, list(P.KEY), "left_semi")
+    top1 = own(P.mean_aligned_track(m, g, q, N, STEPS)).groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "price"))), lambda x: x["price"]).alias("top1_track"))
+    none = g.select("symbol", F.lit(1).alias("step"), *[F.lit(None).cast("double").alias(c) for c in ("predicted", "upper", "lower")]).limit(0)
+    past = g.select("symbol", F.col("bar_ts").alias("ts"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("string").alias("advice_type")).limit(0)
+    d = R.timeline(g.select("symbol", "bar_ts", "close"), none, past, 50, STEPS, "1 hour", top1, own(P.history_tracks(paths)))
+    of = lambda k: F.get(F.transform(F.filter("tracks", lambda t: t["rank"] == k), lambda t: t["price"]), F.lit(0)).alias(f"track{k}")
+    return d.select("symbol", "ts", "top1", of(1), of(2), of(3))
+
+
 @query(
     f"""WITH {PRED}, p AS (SELECT symbol, target_time AS ts, last(predicted_price ORDER BY bar_ts) AS price FROM pred GROUP BY 1, 2), a AS (SELECT symbol, ts, last(advice_type ORDER BY bar_ts) AS advice_type FROM (SELECT symbol, bar_ts, bar_ts AS ts, advice_type FROM pred UNION ALL SELECT symbol, bar_ts, target_time, advice_type FROM pred) GROUP BY 1, 2)
     SELECT symbol, ts, price, advice_type FROM p FULL JOIN a USING (symbol, ts)""",
