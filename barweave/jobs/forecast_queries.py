@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from barweave.functions.scratch import settled
 from barweave.jobs.feature_queries import BIAS, DAILY, daily_closes
 from barweave.jobs.learn_queries import feedback
-from barweave.jobs.match_queries import N, PAIRS, dated, nms_cte
+from barweave.jobs.match_queries import N, PAIRS, WIN, dated, nms_cte, pairs_cte
+from barweave.operators import backtest as B
 from barweave.operators import features as X
 from barweave.operators import forecast as P
 from barweave.operators import matching as M
@@ -323,3 +324,22 @@ def fc20_generate_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = dated(forecasts(spark, settled(grid(spark, sf_dir), "grid"), sf_dir))
     ends = [F.element_at(c, -1).alias(f"{c}_end") for c in ("predicted", "upper", "lower", "q_upper", "q_lower")]
     return f.select("symbol", "q_trading_date", "horizon", "last_price", "valid_count", "confidence", "label", *ends, "rest_high", "rest_low", "high_time", "low_time", "regime", "advice")
+
+
+#: Chosen from earlier days, of which those whose future is past at the query's last bar are used.
+PAST = f"{WIN}, {pairs_cte(N, past=True)}, {nms_cte(23)}".replace("chosen AS (", "chosen0 AS (") + f", chosen AS (SELECT c.* FROM chosen0 c JOIN win w ON w.symbol = c.symbol AND w.day = c.q_day WHERE c.start_pos + {STEPS} <= w.start_pos)"
+REPLAY = f"""rs AS (SELECT ens.symbol, ens.q_day, ens.step, matcher, p.close AS actual, last_price, p.bar_ts, l.bar_ts AS as_of FROM ens JOIN qs USING (symbol, q_day) JOIN pos p ON p.symbol = ens.symbol AND p.p = q_pos + {N - 1} + step JOIN pos l ON l.symbol = ens.symbol AND l.p = q_pos + {N - 1}),
+full_days AS (SELECT symbol, q_day, max(bar_ts) AS known_at, max(as_of) AS as_of, row_number() OVER (PARTITION BY symbol ORDER BY max(bar_ts)) AS k FROM rs GROUP BY 1, 2 HAVING count(*) = {STEPS}),
+er AS (SELECT rs.*, known_at, k FROM rs JOIN full_days USING (symbol, q_day)),
+bs AS (SELECT symbol, step, k, known_at, .25 * (matcher - actual) AS x FROM er WHERE k = 1 UNION ALL SELECT e.symbol, e.step, e.k, e.known_at, .75 * b.x + .25 * (e.matcher - e.actual) FROM bs b JOIN er e ON e.symbol = b.symbol AND e.step = b.step AND e.k = b.k + 1),
+cr AS (SELECT er.symbol, er.q_day, er.step, matcher, actual, last_price, matcher - coalesce(x, 0) AS corrected FROM er ASOF LEFT JOIN bs ON bs.symbol = er.symbol AND bs.step = er.step AND bs.known_at <= er.as_of)"""
+
+
+@query(
+    f"""WITH RECURSIVE {PAST}, {WT}, {ST}, {PATH}, {ENS}, {REPLAY} SELECT symbol, strftime(q_day, '%Y-%m-%d') AS q_trading_date, last_price, last(matcher ORDER BY step) AS predicted_end, last(actual ORDER BY step) AS actual_end, avg(abs(matcher - actual) / actual) * 100 AS mape,
+    last(corrected ORDER BY step) AS corrected_end, avg(abs(corrected - actual) / actual) * 100 AS corrected_mape FROM cr GROUP BY 1, 2, 3""",
+    "last_price predicted_end actual_end mape corrected_end corrected_mape",
+)
+def bt1_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day of the grid as a cut-off, with the corrections learned from the cut-offs before it."""
+    return dated(B.backtest(grid(spark, sf_dir), N, STEPS, radius=23, replay=True))

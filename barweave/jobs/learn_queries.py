@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from barweave.functions.scratch import settled
 from barweave.functions.windows import with_position
-from barweave.jobs.match_queries import N, dated
 from barweave.operators import backtest as B
 from barweave.operators import evaluation as E
 from barweave.operators import features as X
@@ -215,11 +214,6 @@ def ml3_model_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.split("symbol", "\\|")[0].alias("symbol"), F.split("symbol", "\\|")[1].alias("bar_ts"), "train_count", "ensemble_weight")
 
 
-@query()
-def bt1_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dated(B.backtest(grid(spark, sf_dir), N, radius=23))
-
-
 @query(
     f"""WITH {BARS}, r AS (SELECT symbol, open AS l, (high + low) / 2 - open AS said, close - open AS came, abs(close - open) AS mape FROM bars), t AS (SELECT *, abs(said) > .05 AS s, sign(said) * came / l AS x FROM r)
     SELECT symbol, count(*) AS n, avg(mape) AS mape, count(*) FILTER (s) AS signals, 100.0 * count(*) FILTER (s AND sign(said) = sign(came)) / count(*) FILTER (s) AS win_rate, avg(x) FILTER (s) AS mean_return,

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barweave import config
 from barweave.functions.scratch import settled
+from barweave.functions.windows import affine_scans
 from barweave.operators import forecast, matching
+from barweave.operators.cleaning import asof_join
 
 KEY = ("symbol", "q_trading_date")
 
 
-def backtest(bars: DataFrame, n: int, steps: int = config.FUTURE_STEPS, k: int = 3, radius: int = config.NMS_RADIUS, dtw_radius: int | None = None, cutoffs: int | None = None) -> DataFrame:
+def backtest(bars: DataFrame, n: int, steps: int = config.FUTURE_STEPS, k: int = 3, radius: int = config.NMS_RADIUS, dtw_radius: int | None = None, cutoffs: int | None = None, replay: bool = False) -> DataFrame:
     """(symbol, q_trading_date, last_price, predicted_end, actual_end, mape) for every day with matches and a full future.
 
-    Every day is a cut-off; with ``cutoffs``, that many of each series, evenly spaced from the first to the last.  Candidates are earlier days only, and their futures end before the query's last bar, so
-    nothing later than the cut-off is seen.
+    Every day is a cut-off; with ``cutoffs``, that many of each series, evenly spaced from the first to the last.
+    Candidates are earlier days only, and their futures end before the query's last bar, so nothing later than the
+    cut-off is seen.  With ``replay``, corrected_end and corrected_mape are added, see ``replayed``.
     """
     bars = settled(forecast.placed(bars), "bars")
     windows = settled(matching.day_windows(bars, n), "windows")
@@ -28,11 +31,38 @@ def backtest(bars: DataFrame, n: int, steps: int = config.FUTURE_STEPS, k: int =
     matches = settled(matches, "matches")
     queries = settled(forecast.query_prices(bars, windows, n), "queries")
     paths = forecast.project_path(forecast.vol_ratio(forecast.match_future(forecast.softmax_weights(matches), bars, n, steps), bars, queries, n), steps)
-    predicted = forecast.ensemble_path(paths, steps).join(queries.select(*KEY, "last_pos", "last_price"), list(KEY))
-    actual = bars.select("symbol", F.col("pos").alias("__pos"), F.col("close").alias("actual"))
+    predicted = forecast.ensemble_path(paths, steps).join(queries.select(*KEY, "last_pos", "as_of", "last_price"), list(KEY))
+    actual = bars.select("symbol", F.col("pos").alias("__pos"), F.col("close").alias("actual"), F.col("bar_ts").alias("__ts"))
     both = predicted.withColumn("__pos", F.col("last_pos") + F.col("step")).join(actual, ["symbol", "__pos"])
-    done = both.groupBy(*KEY, "last_price").agg(F.count("*").alias("__n"), F.max_by("matcher", "step").alias("predicted_end"), F.max_by("actual", "step").alias("actual_end"), (F.avg(F.abs(F.col("matcher") - F.col("actual")) / F.col("actual")) * 100).alias("mape"))
-    return done.where(F.col("__n") == steps).drop("__n")
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("step", c))), lambda x: x[c])
+    done = both.groupBy(*KEY, "last_price", "as_of").agg(ordered("matcher").alias("predicted"), ordered("actual").alias("actual"), F.max("__ts").alias("known_at"))
+    done = done.where(F.size("actual") == steps)
+    ends = {"predicted_end": F.element_at("predicted", -1), "actual_end": F.element_at("actual", -1), "mape": _mape("predicted")}
+    if not replay:
+        return done.withColumns(ends).select(*KEY, "last_price", *ends)
+    done = replayed(settled(done, "results"), steps)
+    ends |= {"corrected_end": F.element_at("corrected", -1), "corrected_mape": _mape("corrected")}
+    return done.withColumns(ends).select(*KEY, "last_price", *ends)
+
+
+def _mape(path: str) -> Column:
+    gaps = F.zip_with(path, "actual", lambda p, a: F.abs(p - a) / a)
+    return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size(path) * 100
+
+
+def replayed(results: DataFrame, steps: int, alpha: float = 0.25) -> DataFrame:
+    """Adds corrected: each cut-off's path less the step biases learned from the results that were known at it.
+
+    A result is known from the time of its last actual bar on; biases are smoothed over results in that order, so a
+    replay of the cut-offs one after another gives the same.
+    """
+    errors = {f"__b{i}": alpha * (F.get("predicted", F.lit(i)) - F.get("actual", F.lit(i))) for i in range(steps)}
+    d = results.select(*KEY, "known_at", F.lit(1 - alpha).alias("__a"), *[e.alias(c) for c, e in errors.items()])
+    d = affine_scans(d, {f"__x{i}": ("__a", f"__b{i}") for i in range(steps)}, order="known_at")
+    learned = d.select("symbol", F.col("known_at").alias("ts"), F.array(*[f"__x{i}" for i in range(steps)]).alias("biases"))
+    found = asof_join(results.withColumn("ts", F.col("as_of")), learned, ["biases"])
+    bias = lambda i: F.coalesce(F.get("biases", i), F.lit(0.0))
+    return found.withColumn("corrected", F.transform("predicted", lambda p, i: p - bias(i))).drop("ts", "right_ts", "biases")
 
 
 def evenly_spaced(windows: DataFrame, cutoffs: int) -> DataFrame:
