@@ -31,10 +31,10 @@ INDEX_BYTES = 2 << 20
 class WindowIndex:
     """Windows of a block of items, filed under one shingle each; a word's number comes from ``words``."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.words: dict[bytes, int] = {}
         found: dict[tuple[int, ...], list[int]] = {}
-        self.items = [str(name) for name, _ in items]
+        self.items = [name for name, _ in items]
         for k, (_, text) in enumerate(items):
             ids = [self.words.setdefault(w, len(self.words)) for w in alnum_words(text)]
             n = min(window, len(ids))
@@ -116,17 +116,17 @@ def _digest(n_words: int, spans: list[tuple[int, int]], names: list[str]) -> tup
     hit = np.zeros(n_words, bool)
     for begin, end in spans:
         hit[begin:end] = True
-    names = sorted(set(names))
+    names = sorted({n for n in names if n is not None})
     return int(hit.sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[str, bytes | None]]]:
+def _blocks(items: DataFrame) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in blocks of about INDEX_BYTES; only one is on the driver at a time."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // INDEX_BYTES) or 1
     for k in range(n):
         own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(str(r[0]), r[1].encode()) for r in own.select("item_id", "text").where("text is not null").collect()]
+        yield [(None if r[0] is None else str(r[0]), r[1].encode()) for r in own.select("item_id", "text").where("text is not null").collect()]
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, spans: bool = False) -> DataFrame:
@@ -134,7 +134,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, spans: b
 
     A word is hit if it lies in any occurrence of an item window; an item of fewer words is one window.  ``spans`` adds
     the word ranges [begin, end).  Null and empty texts have no words and hit nothing; repeated rows give repeated rows;
-    an empty benchmark leaves every document clean.  The index of a block of items is broadcast: its size is bounded by
+    an empty benchmark leaves every document clean; windows of an item without an item_id hit words, but name no item.  The index of a block of items is broadcast: its size is bounded by
     INDEX_BYTES of text.  With several blocks, the hits of each go to the shared folder and are joined by document.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("key"))

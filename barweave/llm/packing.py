@@ -159,8 +159,9 @@ def packed_sequences(packed: DataFrame, pad_id: int, size: int) -> DataFrame:
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """Packs whole documents into windows of ``size`` tokens; one row for each piece.
 
-    Every piece, including its ids, is written to the shared folder once, so that ranks never change when an executor
-    is lost.  Null doc_ids and repeated rows are packed like any other row.
+    Every piece (with its ids if ``keep_ids``) is written to the shared folder once, so that ranks never change when an
+    executor is lost.  Null doc_ids and repeated rows are packed like any other row; null and empty texts are the end id
+    alone; texts longer than a window are cut; an empty table gives no rows; other columns don't matter.
     """
-    pieces = materialize(encode_pieces(docs, vocabulary, size, end_id).withColumn("ids_crc32", F.crc32("ids")), "pieces")
-    return pack_pieces(pieces if keep_ids else pieces.drop("ids"), size)
+    pieces = encode_pieces(docs, vocabulary, size, end_id).withColumn("ids_crc32", F.crc32("ids"))
+    return pack_pieces(materialize(pieces if keep_ids else pieces.drop("ids"), "pieces"), size)

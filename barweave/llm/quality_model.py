@@ -212,7 +212,8 @@ def score_quality(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """(doc_id, held_out, score, predicted); rows of fold ``held`` are never learned from.
 
-    A null doc_id is never learned from and isn't held out; repeated rows score alike; without labelled rows every score
+    Null and empty texts are scored as one passage of zeros.  A null doc_id is never learned from and isn't held out; rows of
+    one text score alike, whatever their batch; without labelled rows every score
     is 0.5; an empty table gives no rows; other columns don't matter.
     """
     doc_id = F.col("doc_id")

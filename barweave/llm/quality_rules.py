@@ -141,7 +141,9 @@ def first_rejection(rules: list[Rule], text: Column, words: Column) -> Column:
 def quality_verdicts(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by).
 
-    A null or empty text has no words and fails the base.  Repeated rows give repeated rows.
+    A null or empty text has no words and fails the base.  Repeated rows give repeated rows; an empty table gives no
+    rows; other columns don't matter.  Which rule rejects a row that several would is a matter of their order, which
+    follows measured costs, so ``rejected_by`` may differ between runs; ``kept`` doesn't.
     """
     rules = [r for r in (rules or default_rules()) if r.name not in ("too_few_words", "repeated_words")]
     order = estimate_order(docs, rules)

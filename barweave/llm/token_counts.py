@@ -20,7 +20,8 @@ BLOCK = 4096
 def length_histogram(docs: DataFrame, vocabulary: str, blanks: bool = True) -> DataFrame:
     """(length, n_docs): documents by encoded length of the whole text; null and empty texts have length 0.
 
-    Each task sends one row for each length that it saw.
+    Each task sends one row for each length that it saw.  Repeated rows count each; an empty table gives no rows; other
+    columns don't matter.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

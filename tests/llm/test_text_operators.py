@@ -228,6 +228,16 @@ def test_decontamination(spark, monkeypatch, index_bytes):
     assert decontamination.benchmark_hits(docs.limit(0), bench).collect() == []
 
 
+@pytest.mark.parametrize("index_bytes", [2 << 20, 40])
+def test_items_without_an_id_name_nothing(spark, monkeypatch, index_bytes):
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", index_bytes)
+    items = spark.createDataFrame([(None, "one two three"), (7, "four five six"), (None, None)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "zero one two three end"), (2, "four five six one two three"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.benchmark_hits(d, items).collect()}
+    none, seven = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"7").hexdigest()
+    assert got == {1: (5, 3, 0, none, True), 2: (6, 6, 1, seven, True), 3: (0, 0, 0, none, False)}
+
+
 def test_contaminated_rows_are_judged_by_their_own_texts(spark, monkeypatch):
     hit, long = "one two three four five six seven eight nine ten", "word " * 200_000
     rows = [(None, hit), (None, "clean"), (1, hit), (1, "clean"), (2, "x"), (3, None), (4, ""), (5, long), (6, long + hit), (7, hit), (7, hit)]
