@@ -60,17 +60,18 @@ res AS (SELECT fw.* FROM fw, late WHERE coalesce(actual_ts, target_time + INTERV
 
 
 @query(
-    f"""WITH {PRED}, {LATE}, {SCORED} SELECT symbol, target_time, actual_ts, actual_price, CASE WHEN actual_price IS NOT NULL THEN coalesce(is_direction_correct, 0) END AS is_direction_correct,
-    CASE WHEN actual_price IS NOT NULL THEN coalesce(is_range_correct, 0) END AS is_range_correct, CASE WHEN actual_price IS NOT NULL THEN coalesce(is_advice_correct, 0) END AS is_advice_correct FROM scored""",
+    f"""WITH {PRED}, {LATE}, {SCORED} SELECT symbol, target_time, actual_ts, actual_price, CASE WHEN actual_price IS NOT NULL THEN coalesce(is_direction_correct, 0) ELSE -1 END AS is_direction_correct,
+    CASE WHEN actual_price IS NOT NULL THEN coalesce(is_range_correct, 0) ELSE -1 END AS is_range_correct, CASE WHEN actual_price IS NOT NULL THEN coalesce(is_advice_correct, 0) ELSE -1 END AS is_advice_correct FROM scored""",
     "actual_price",
     "target_time actual_ts",
     "is_direction_correct is_range_correct is_advice_correct",
 )
 def st4_stream_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Straight from the stream: each prediction once, scored by its first bar or closed without one."""
+    """Straight from the stream: each prediction once, scored by its first bar or closed without one (flags -1)."""
     p = predictions(spark, sf_dir)
     found = finished(K.stream_evaluate(as_stream(p), as_stream(bars(spark, sf_dir).select("symbol", "bar_ts", "close"))))
-    return found.select("symbol", "target_time", "actual_ts", "actual_price", "is_direction_correct", "is_range_correct", "is_advice_correct")
+    flags = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("is_direction_correct", "is_range_correct", "is_advice_correct")]
+    return found.select("symbol", "target_time", "actual_ts", "actual_price", *flags)
 
 
 @query(
