@@ -283,18 +283,21 @@ def _groups(own: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     return dealt.select("node", F.min("node").over(W.partitionBy("key", "class", "part")).alias("group"))
 
 
-def qualifying(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def qualifying(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch, read: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(node, group, n) pairs that are to be opened, and (node, group) of the sets in groups of several.
 
     ``labels``: (node, head) of components; what isn't named is alone.  A pair is within the bound of common tokens, and
     the group has a member of another component under one of them.  A set asks for sets of larger components (ties: of
-    the larger name) only, so the sets of a large component are asked about, not asking.
+    the larger name) only, so the sets of a large component are asked about, not asking.  ``read``: a written table that
+    only ``sets`` reads; it is deleted as soon as it isn't needed.
     """
     sizes = labels.groupBy("head").agg(F.count("*").alias("weight"))
     named = scratch.keep(labels.join(sizes, "head").select("node", "head", "weight"), "named")
     own = sets.select("node", "n_shingles", "prefix").join(if_small(named), "node", "left")
     own = own.select("node", "n_shingles", "prefix", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), F.coalesce("head", "node").alias("head")).alias("of"))
     own = scratch.keep(own, "own")
+    if read is not None:
+        scratch.drop(read)
     listed = own.select("node", "of", F.explode("prefix").alias("token"))
     singles = F.count(F.when(F.col("of.weight") == 1, 1)).alias("singles")
     filed = listed.groupBy("token").agg(F.min("of.head").alias("lo"), F.max("of.head").alias("hi"), singles)
@@ -402,17 +405,17 @@ def _components(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     ``least`` is the smallest doc_id in it."""
     scratch = Scratch(docs.sparkSession)
     filed = scratch.keep(_file(docs, percent, shingle), "filed")
-    rows = filed.select("row", "doc_id", "hash", "n_shingles", "a", "b")
+    rows = scratch.keep(filed.select("row", "doc_id", "hash", "n_shingles", "a", "b"), "rows")
     classes = rows.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     classes = scratch.keep(classes, "classes")
-    sets = filed.join(if_small(classes.select(F.col("node").alias("row"))), "row", "left_semi").withColumnRenamed("row", "node")
-    sets = scratch.keep(sets.select("node", "doc_id", "hash", "n_shingles", *SKETCHES, "prefix"), "sets")
+    every = filed.join(if_small(classes.select(F.col("node").alias("row"))), "row", "left_semi").withColumnRenamed("row", "node")
+    sets = scratch.keep(every.select("node", "doc_id", "hash", "n_shingles", *SKETCHES), "sets")
 
     own = _one_each(docs, rows, scratch)
     labels = None
     for key in SKETCHES:
         labels = _followed(labels, _merged(own, sets, labels, key, percent, shingle, scratch), scratch)
-    pairs, groups = qualifying(sets, labels, percent, scratch)
+    pairs, groups = qualifying(every, labels, percent, scratch, filed)
     edges = _opened(own, sets, groups, pairs, percent, shingle, scratch)
     scratch.drop(groups, pairs)
     labels = _linked(labels, edges, scratch)
