@@ -123,4 +123,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": _OP3, "op9_quality_rules": _OP9}
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """Nodes {name}0, {name}1, ... (t, i, n, d) over the rows (t, i, n, d) of ``leaves``, and {name}p0, ... with the siblings
+    before and after each node of a level that has several."""
+    out = [f"{name}0 AS (SELECT t, i, n, d FROM {leaves})"]
+    for k in range(levels):
+        out.append(f"{name}{k + 1} AS (SELECT t, i // 16 AS i, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d FROM {name}{k} GROUP BY t, i // 16, n)")
+        pair = f"{name}{k} a JOIN {name}{k} b ON a.t = b.t AND a.i // 16 = b.i // 16"
+        side = lambda op: f"coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i {op} a.i), '')"
+        out.append(f"{name}p{k} AS (SELECT a.t, a.i, {side('<')} AS ahead, {side('>')} AS behind FROM {pair} WHERE a.n > 1 GROUP BY a.t, a.i)")
+    return ", ".join(out)
+
+
+def _fold_sql(name: str, before: str, levels: int, tree: str, at: str) -> str:
+    """Rows of ``before`` with x folded up the levels of a tree, and what the siblings say added to ``said``."""
+    out = []
+    for k in range(levels):
+        row = f"SELECT r.* EXCLUDE (x, said), said || coalesce(ahead || behind, '') AS said, CASE WHEN p.t IS NULL THEN x ELSE sha256(ahead || x || behind) END AS x"
+        out.append(f"{name}f{k} AS ({row} FROM {before if k == 0 else f'{name}f{k - 1}'} r LEFT JOIN {name}p{k} p ON p.t = {tree} AND p.i = {at} // {16**k})")
+    return ", ".join(out)
+
+
+#: Levels of a source's tree and of the sources' tree that the SQL is written out for: 16 ** 5 rows, 16 ** 3 sources.
+_DEEP, _WIDE = 5, 3
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_LOW = _LEAF.replace("CAST(text AS VARCHAR)", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+_CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_concat([xor(a, b)], CAST(range(8) AS BIGINT[])), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+_OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS t, sha256({_LEAF}) AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN sha256({_LOW}) END AS low FROM documents),
+l AS (SELECT *, leaf AS d, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM d),
+{_tree_sql("a", "l", _DEEP)},
+s AS (SELECT '' AS t, t AS of, d, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM a{_DEEP}),
+{_tree_sql("b", "s", _WIDE)},
+r0 AS (SELECT l.doc_id, l.t, l.i, l.leaf, s.d AS subroot, s.i AS si, '' AS said, coalesce(low, leaf) AS x FROM l JOIN s ON s.of = l.t),
+{_fold_sql("a", "r0", _DEEP, "r.t", "r.i")},
+{_fold_sql("b", f"af{_DEEP - 1}", _WIDE, "''", "r.si")}
+SELECT doc_id, leaf, subroot, b{_WIDE}.d AS root, sha256(said) AS proof_sha256, x AS folded_root, x = b{_WIDE}.d AS verified FROM bf{_WIDE - 1}, b{_WIDE}
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": _OP3, "op9_quality_rules": _OP9, "op12_merkle_manifest": _OP12}
