@@ -19,10 +19,11 @@ import pyarrow.compute as pc
 
 from .shingles import EXACT, codes_of, powers, slabs, span_sums, word_spans
 
-#: Words that the memo holds, and the longest one in bytes: some tens of MB in each Python worker.
-MEMO_WORDS, MEMO_BYTES = 1_000_000, 40
-#: Bytes of Arrow batches that are joined before they are encoded.
-JOINED = 4 << 20
+#: Words that the memo holds, and the longest one in bytes: some tens of MB in each Python worker, twice that while
+#: words are added.
+MEMO_WORDS, MEMO_BYTES = 500_000, 40
+#: Bytes of Arrow batches that are joined, and of a slab of texts: arrays over its words take some 80 times as much.
+JOINED = 1 << 20
 MARKS = b".,!?;:"
 # White space beyond ASCII's, which words of bytes don't end at: such texts are encoded whole.
 _WIDE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
