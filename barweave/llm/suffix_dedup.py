@@ -1,9 +1,9 @@
 """Byte strings of a given length that start more than once in a corpus, by a distributed difference-cover suffix sort.
 
 1. Every window of LENGTH bytes has an anchor: the place of its least hashed 16-gram, which depends on the window's bytes
-   alone.  Equal windows have their anchors at the same offset, and so the same bytes behind them.  What stands behind
-   an anchor in each of its windows is hashed and counted over the corpus; only stretches of anchors that recur are
-   worked on further.
+   alone.  Equal windows have their anchors at the same offset, and so the same bytes around them.  An anchor's windows
+   are of two kinds, by their distance to it; what all windows of a kind have in common (three quarters of LENGTH) is
+   hashed and counted over the corpus.  Only stretches of anchors that recur so are worked on further.
 2. Such a stretch is a string of symbols, one for the bytes from each anchor to the next.  Its suffixes are sorted by
    the difference-cover algorithm modulo 3: triples of symbols at the sampled places are sorted and named; where a name
    is shared by suffixes that aren't told apart yet, the algorithm recurses on the names; the remaining suffixes are
@@ -88,9 +88,10 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """Each row's text by its codes, size and digest, and its anchors: place, first and last window, and the code of what
-    stands behind the anchor in each of them."""
-    schema = "row long, doc_id long, t1 long, t2 long, n_bytes long, whole string, a array<int>, lo array<int>, hi array<int>, c array<long>"
+    """Each row's text by its codes, size and digest, and its anchors: place, first and last window, and the codes of the
+    bytes that its near windows have in common, and its far ones (null without such windows)."""
+    schema = "row long, doc_id long, t1 long, t2 long, n_bytes long, whole string, a array<int>, lo array<int>, hi array<int>, near array<long>, far array<long>"
+    half, quarter = length // 2, length // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -101,12 +102,17 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
             for data, offsets in slabs(b.column(1)):
                 n = len(offsets) - 1
                 of, a, lo, hi = runs(data, offsets, length)
-                c = code(data, a, a + length - length // 2 + 1)
+                cuts = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+                kinds = []
+                for has, begin, size in ((a - hi < quarter, 0, length - quarter + 1), (a - lo >= quarter, quarter, quarter + length - half + 1)):
+                    s, k = a[has] - begin, np.zeros(len(a), np.uint64)
+                    k[has] = mix(code(data, s, s + size).view(np.uint64), begin)
+                    kinds.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(k.view(np.int64), mask=~has)))
                 whole = [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 base, i32 = offsets[:-1][of], pa.int32()
-                lists = _lists(np.searchsorted(of, np.arange(n + 1)), (a - base, i32), (lo - base, i32), (hi - base, i32), (c, pa.int64()))
-                columns = [pa.array(row + np.arange(n)), *(b.column(k).slice(at, n) for k in (0, 2, 3)), pa.array(np.diff(offsets)), pa.array(whole), *lists]
-                yield pa.record_batch(columns, ["row", "doc_id", "t1", "t2", "n_bytes", "whole", "a", "lo", "hi", "c"])
+                lists = _lists(cuts, (a - base, i32), (lo - base, i32), (hi - base, i32))
+                columns = [pa.array(row + np.arange(n)), *(b.column(k).slice(at, n) for k in (0, 2, 3)), pa.array(np.diff(offsets)), pa.array(whole), *lists, *kinds]
+                yield pa.record_batch(columns, ["row", "doc_id", "t1", "t2", "n_bytes", "whole", "a", "lo", "hi", "near", "far"])
                 at, row = at + n, row + n
 
     return map_arrow(_named(docs), run, schema)
@@ -114,13 +120,13 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
 
 def _regions(docs: DataFrame, candidates: DataFrame, repeated: bool, length: int) -> DataFrame:
     """Stretches of neighbouring candidates: their bytes, and their anchors and windows by their places there."""
-    schema = "tid long, copies long, start long, body binary, a array<int>, lo array<int>, hi array<int>, c array<long>"
+    schema = "tid long, copies long, start long, body binary, a array<int>, lo array<int>, hi array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            (j, of), (a, _), (lo, _), (hi, _), (c, _) = (_flat(b.column(k)) for k in range(3, 8))
+            (j, of), (a, _), (lo, _), (hi, _) = (_flat(b.column(k)) for k in range(3, 7))
             first = np.ones(len(j), bool)
             first[1:] = (of[1:] != of[:-1]) | (j[1:] != j[:-1] + 1)
             begins = np.flatnonzero(first)
@@ -129,14 +135,14 @@ def _regions(docs: DataFrame, candidates: DataFrame, repeated: bool, length: int
             texts = b.column(2).cast(pa.binary()).to_pylist()
             bodies = [texts[r][x:y] for r, x, y in zip(row.tolist(), start.tolist(), (hi[ends - 1] + length).tolist(), strict=True)]
             base, i32 = np.repeat(start, ends - begins), pa.int32()
-            lists = _lists(np.append(begins, len(j)), (a - base, i32), (lo - base, i32), (hi - base, i32), (c, pa.int64()))
-            yield pa.record_batch([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(start), pa.array(bodies, pa.binary()), *lists], ["tid", "copies", "start", "body", "a", "lo", "hi", "c"])
+            lists = _lists(np.append(begins, len(j)), (a - base, i32), (lo - base, i32), (hi - base, i32))
+            yield pa.record_batch([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(start), pa.array(bodies, pa.binary()), *lists], ["tid", "copies", "start", "body", "a", "lo", "hi"])
 
     same = (docs["t1"] == candidates["__t1"]) & (docs["t2"] == candidates["__t2"]) & docs["doc_id"].eqNullSafe(candidates["__doc"])
-    found = map_arrow(docs.join(candidates, same).select("tid", "copies", "text", "j", "a", "lo", "hi", "c"), run, schema)
+    found = map_arrow(docs.join(candidates, same).select("tid", "copies", "text", "j", "a", "lo", "hi"), run, schema)
     if not repeated:
         return found
-    return found.groupBy("tid", "start").agg(*[F.first(x).alias(x) for x in ("copies", "body", "a", "lo", "hi", "c")])
+    return found.groupBy("tid", "start").agg(*[F.first(x).alias(x) for x in ("copies", "body", "a", "lo", "hi")])
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,16 +160,17 @@ def _symbols(regions: DataFrame, length: int) -> DataFrame:
             data, sizes = np.frombuffer(b"".join(bodies), np.uint8), np.array([len(x) for x in bodies], np.int64)
             ends = np.cumsum(sizes)
             base = ends - sizes
-            (a, of), (lo, _), (hi, _), (c, _) = (_flat(b.column(k)) for k in (2, 3, 4, 5))
+            (a, of), (lo, _), (hi, _) = (_flat(b.column(k)) for k in (2, 3, 4))
             first = np.searchsorted(of, np.arange(len(b)))
             s = a + base[of]
             e = np.append(s[1:], 0)
             e[np.append(first[1:], len(s)) - 1] = ends
+            c = code(data, s, s + length - length // 2 + 1)
             kind = mix(code(data, lo + base[of], hi + base[of] + length).view(np.uint64) + (a - lo).astype(np.uint64) * STEP, 9).view(np.int64)
             columns = [np.asarray(b.column(0))[of], np.arange(len(of)) - first[of], code(data, s, e), code(data, s, e, _OTHER), e - s, c, kind]
             yield pa.record_batch([pa.array(x) for x in columns], ["seq", "i", "p1", "p2", "size", "c", "kind"])
 
-    return map_arrow(regions.select("seq", "body", "a", "lo", "hi", "c"), run, "seq long, i long, p1 long, p2 long, size long, c long, kind long")
+    return map_arrow(regions.select("seq", "body", "a", "lo", "hi"), run, "seq long, i long, p1 long, p2 long, size long, c long, kind long")
 
 
 def suffix_order(symbols: DataFrame, reach: int, scratch: Scratch, spare: float = 0.0) -> DataFrame:
@@ -174,29 +181,30 @@ def suffix_order(symbols: DataFrame, reach: int, scratch: Scratch, spare: float
     follow = W.partitionBy("seq").orderBy("i")
     place = F.col("i") % 3
     own = symbols.withColumns({f"s{k}": F.lead("sym", k, 0).over(follow) for k in (1, 2)} | {"span": F.col("size") + F.lead("size", 1, 0).over(follow) + F.lead("size", 2, 0).over(follow)})
-    own = scratch.keep(own.withColumn("all", F.lit(0)), "suffixes")
+    before = set(scratch.paths)
+    own = scratch.keep(own.drop("size").withColumn("all", F.lit(0)), "suffixes")
     sample, triple = own.where(place != 0), ["sym", "s1", "s2"]
     names = sample.groupBy(*triple).agg(F.count("*").alias("times"), F.max((F.col("s2") != 0) & (F.col("span") < reach)).alias("short"))
     names = scratch.keep(names.withColumn("all", F.lit(0)), "names")
     counted = names.agg(F.sum("times").alias("all"), F.sum(F.when(F.col("short") & (F.col("times") > 1), F.col("times")).otherwise(0)).alias("left")).first()
     if (counted["left"] or 0) <= spare * (counted["all"] or 0):
-        ranks = numbered(sample, scratch, [*triple, "seq", "i"], "all").select("seq", "i", (F.col("pos") + 1).alias("at"))
+        ranks = numbered(sample.drop("span"), scratch, [*triple, "seq", "i"], "all").select("seq", "i", (F.col("pos") + 1).alias("at"))
     else:
-        names = numbered(names, scratch, triple, "all").select(*triple, (F.col("pos") + 1).alias("name"))
+        names = numbered(names.select(*triple, "all"), scratch, triple, "all").select(*triple, (F.col("pos") + 1).alias("name"))
         again = sample.join(names, triple).select((F.col("seq") * 2 + place - 1).alias("seq"), F.floor(F.col("i") / 3).alias("i"), F.col("name").alias("sym"), F.col("span").alias("size"))
         inner = suffix_order(again, reach, scratch, spare)
         ranks = inner.select(F.floor(F.col("seq") / 2).alias("seq"), (F.col("i") * 3 + F.pmod("seq", F.lit(2)) + 1).alias("i"), "at")
     ranks = scratch.keep(ranks, "ranks")
     d = own.join(ranks, ["seq", "i"], "left")
     d = d.withColumns({f"r{k}": F.coalesce(F.lead("at", k).over(follow), F.lit(0)) for k in (1, 2)}).withColumn("rest", place == 0)
-    d = scratch.keep(d, "merging")
+    d = scratch.keep(d.drop("s2", "span"), "merging")
     rest = F.col("rest")
-    one = numbered(d.where(place != 2), scratch, ["sym", "r1", "seq", "i"], "all", "rest")
-    two = numbered(d.where(place != 1), scratch, ["sym", "s1", "r2", "seq", "i"], "all", "rest")
+    one = numbered(d.where(place != 2).drop("s1", "r2"), scratch, ["sym", "r1", "seq", "i"], "all", "rest")
+    two = numbered(d.where(place != 1).drop("r1"), scratch, ["sym", "s1", "r2", "seq", "i"], "all", "rest")
     parts = one.select("seq", "i", F.when(rest, F.col("pos")).otherwise(F.col("at") - 1 + F.col("flagged")).alias("before"))
     parts = parts.union(two.select("seq", "i", F.when(rest, F.col("pos") - F.col("flagged")).otherwise(F.col("at") - 1 + F.col("flagged"))))
     done = scratch.keep(parts.groupBy("seq", "i").agg((F.sum("before") + 1).alias("at")), "order")
-    scratch.drop(own, names, ranks, d)
+    scratch.drop(*(kept for k, (kept, _) in list(scratch.paths.items()) if k not in before and kept is not done))
     return done
 
 
@@ -230,11 +238,11 @@ def _longest(symbols: DataFrame, order: DataFrame, length: int, reach: int) -> D
             cuts = np.concatenate([[0], np.cumsum(n)])
             at = np.repeat(np.arange(len(of)) - cuts[:-1], n) + np.arange(cuts[-1])
             i = np.arange(len(of)) - np.searchsorted(of, of)
-            yield pa.record_batch([pa.array(np.asarray(b.column(0))[of]), pa.array(i), *_lists(cuts, (syms[at], pa.int64()), (sizes[at], pa.int32()))], ["seq", "i", "head", "sizes"])
+            yield pa.record_batch([pa.array(np.asarray(b.column(0))[of]), pa.array(i), *_lists(cuts, (syms[at], pa.int64()), (sizes[at], pa.int32())), b.column(3).flatten()], ["seq", "i", "head", "sizes", "at"])
 
-    strings = symbols.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("i", "sym", "size"))).alias("s"))
-    strings = strings.select("seq", F.col("s.sym").alias("syms"), F.col("s.size").cast("array<int>").alias("sizes"))
-    rows = map_arrow(strings, heads, "seq long, i long, head array<long>, sizes array<int>").join(order, ["seq", "i"])
+    strings = symbols.select("seq", "i", "sym", "size").join(order, ["seq", "i"]).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("i", "sym", "size", "at"))).alias("s"))
+    strings = strings.select("seq", F.col("s.sym").alias("syms"), F.col("s.size").cast("array<int>").alias("sizes"), F.col("s.at").cast("array<long>").alias("at"))
+    rows = map_arrow(strings, heads, "seq long, i long, head array<long>, sizes array<int>, at long")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the last suffix of the batch before, not yet given out
@@ -351,16 +359,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     occur once: the bytes that strings of ``length`` which start elsewhere too cover."""
     scratch = Scratch(docs.sparkSession)
     filed = scratch.keep(_anchored(docs, length), "anchored")
-    info = filed.select("row", "doc_id", "t1", "t2", "n_bytes", "whole")
-    texts = filed.groupBy("t1", "t2").agg(F.min("row").alias("tid"), F.min_by("doc_id", "row").alias("__doc"), F.count("*").alias("copies"))
+    info = scratch.keep(filed.select("row", "doc_id", "t1", "t2", "n_bytes", "whole"), "info")
+    texts = info.groupBy("t1", "t2").agg(F.min("row").alias("tid"), F.min_by("doc_id", "row").alias("__doc"), F.count("*").alias("copies"))
     texts = scratch.keep(texts, "texts")
     own = filed.join(if_small(texts.select(F.col("tid").alias("row"))), "row", "left_semi")
-    listed = own.select(F.col("row").alias("tid"), F.posexplode(F.arrays_zip("a", "lo", "hi", "c")).alias("j", "x")).select("tid", "j", "x.*")
-    occurrence = F.xxhash64("tid", "j")
-    again = listed.groupBy("c").agg(F.min(occurrence).alias("x"), F.max(occurrence).alias("y")).where("x <> y").select("c")
-    found = listed.join(scratch.keep(again, "again"), "c").groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("j", "a", "lo", "hi", "c"))).alias("x")).select("tid", "x.j", "x.a", "x.lo", "x.hi", "x.c")
+    listed = own.select(F.col("row").alias("tid"), F.posexplode(F.arrays_zip("a", "lo", "hi", "near", "far")).alias("j", "x")).select("tid", "j", "x.*")
+    coded = listed.select(F.explode(F.array("near", "far")).alias("k"), "tid", "j", "a", "lo", "hi").where("k is not null")
+    again = scratch.keep(coded.groupBy("k").count().where("count > 1").select("k"), "again")
+    found = coded.join(again, "k").groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("j", "a", "lo", "hi"))).alias("x")).select("tid", "x.j", "x.a", "x.lo", "x.hi")
     wanted = texts.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "__doc", "tid", "copies")
     candidates = scratch.keep(found.join(wanted, "tid"), "candidates")
+    scratch.drop(filed, again)
     repeated = not info.groupBy("t1", "t2", "doc_id").count().where("count > 1").isEmpty()
     regions = scratch.keep(_regions(_named(docs), candidates, repeated, length).withColumn("seq", F.monotonically_increasing_id()), "regions")
     raw = scratch.keep(_symbols(regions, length), "raw")
