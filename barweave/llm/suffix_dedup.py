@@ -382,20 +382,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     behind = scratch.keep(symbols.join(left, ["seq", "i"]).select("c").distinct(), "behind")
     closed = symbols.join(left, ["seq", "i"], "left_anti").join(behind, "c")
     targets = closed.groupBy("kind").agg(F.min(F.struct("seq", "i")).alias("x")).select("x.seq", F.col("x.i").cast("int").alias("i"))
-    slices = scratch.keep(_slices(regions, covered, targets, length), "slices")
+    every = scratch.keep(_slices(regions, covered, targets, length), "slices")
+    scratch.drop(symbols, order, behind)
     place = F.xxhash64("seq", "i")
-    recur = slices.groupBy("k").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("open").alias("some")).where("x <> y and some").select("k")
-    slices = scratch.keep(slices.join(recur, "k").select("seq", "i", "slice"), "recurring")
-    windows = scratch.keep(_windows(regions, covered, slices, length), "windows")
-    place = F.xxhash64("seq", "p")
-    twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("open").alias("some")).where("x <> y and some").select("w1", "w2")
-    more = windows.where("open").join(scratch.keep(twice, "twice"), ["w1", "w2"]).join(covered.select("seq", "tid", "start"), "seq")
+    recur = every.groupBy("k").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("open").alias("some")).where("x <> y and some").select("k")
+    slices = scratch.keep(every.join(recur, "k").select("seq", "i", "slice"), "recurring")
+    scratch.drop(every)
+    windows = _windows(regions, covered, slices, length)  # made twice, as they are many times the bytes of their regions
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("w1", "w2")
+    twice = scratch.keep(twice, "twice")
+    more = windows.where("open").join(twice, ["w1", "w2"]).join(covered.select("seq", "tid", "start"), "seq")
     more = more.select("tid", (F.col("start") + F.col("p")).alias("s"), (F.col("start") + F.col("p") + length).alias("e"))
     pairs = F.transform(F.sequence(F.lit(0), (F.size("done") / 2).cast("int") - 1), lambda k: F.struct(F.get("done", 2 * k).alias("x"), F.get("done", 2 * k + 1).alias("y")))
     done = covered.where("size(done) > 0").select("tid", "start", F.explode(pairs).alias("r")).select("tid", (F.col("start") + F.col("r.x")).alias("s"), (F.col("start") + F.col("r.y") + length - 1).alias("e"))
     single = if_small(texts.where("copies = 1").select("tid"))
     spans = scratch.keep(_spans(more.union(done).join(single, "tid", "left_semi")), "spans")
-    scratch.drop(regions, symbols, order, covered, behind, slices, windows)
+    scratch.drop(regions, covered, slices, twice)
     return info, texts, spans
 
 
