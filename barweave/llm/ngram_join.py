@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import Scratch, if_small, map_arrow
+from ._common import BROADCAST_ROWS, Scratch, if_small, map_arrow
 from .shingles import distinct, mix, shingle_codes, shingle_sets, slabs, word_codes
 
 #: Sets and shingles of a part or of a block of queries, on average.
@@ -34,6 +34,8 @@ CROWD = 8
 COUNT_BITS, COUNT_RANGES = 22, 64
 #: Token columns compared at once.
 COLUMNS = 4096
+#: Slots of tokens, 64 to a row, that are handed to every task in place of many tokens (2^19 rows at most).
+SLOT_BITS = 25
 #: Pairs of the three min-hashes under which sets meet.
 SKETCHES = ("k12", "k13", "k23")
 
@@ -283,6 +285,18 @@ def _groups(own: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     return dealt.select("node", F.min("node").over(W.partitionBy("key", "class", "part")).alias("group"))
 
 
+def sifted(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Rows whose token shares a slot with one of the tokens, so that few of the others are shuffled to be joined; all rows
+    where the tokens are few, as these are broadcast themselves."""
+    if tokens.count() <= BROADCAST_ROWS:
+        return rows
+    slot = F.col("token").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    word, place = F.shiftright(slot, 6).alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("place")
+    taken = tokens.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = rows.withColumns({"word": word, "place": place}).join(F.broadcast(taken), "word").where(F.getbit("bits", "place") == 1)
+    return found.select(*rows.columns)
+
+
 def qualifying(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch, read: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(node, group, n) pairs that are to be opened, and (node, group) of the sets in groups of several.
 
@@ -302,7 +316,7 @@ def qualifying(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratc
     singles = F.count(F.when(F.col("of.weight") == 1, 1)).alias("singles")
     filed = listed.groupBy("token").agg(F.min("of.head").alias("lo"), F.max("of.head").alias("hi"), singles)
     filed = scratch.keep(filed.where("lo <> hi").select("token", "singles"), "filed")
-    shared = scratch.keep(listed.select("token", "node").join(if_small(filed), "token").select("token", "node", "singles"), "shared")
+    shared = scratch.keep(sifted(listed.select("token", "node"), filed).join(if_small(filed), "token").select("token", "node", "singles"), "shared")
     groups = scratch.keep(_groups(own, shared, percent), "groups")
     placed = own.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     matrix = shared.join(placed.select("node", "of", "group"), "node").groupBy("token", "group").agg(F.max("of").alias("of"))
