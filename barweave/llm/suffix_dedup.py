@@ -4,7 +4,8 @@
    alone.  Equal windows have their anchors at the same offset, and so the same bytes around them.  An anchor's windows
    are of two kinds, by their distance to it; what all windows of a kind have in common (three quarters of LENGTH) is
    hashed and counted over the corpus.  Only stretches of anchors that recur so are worked on further.
-2. Such a stretch is a string of symbols, one for the bytes from each anchor to the next.  Its suffixes are sorted by
+2. Such a stretch is a string of symbols, one for the bytes from each anchor to the next; equal symbols in a row (a word said
+   over and over) are one symbol, whose windows repeat in itself.  Its suffixes are sorted by
    the difference-cover algorithm modulo 3: triples of symbols at the sampled places are sorted and named; where a name
    is shared by suffixes that aren't told apart yet, the algorithm recurses on the names; the remaining suffixes are
    merged in by a symbol or two and the rank of the sampled suffix behind them.  All sorts are range-partitioned, and a
@@ -151,8 +152,10 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _symbols(regions: DataFrame, length: int) -> DataFrame:
-    """(seq, i, p1, p2, size, c, kind) of every symbol: 128 bits of its bytes, its size, the code behind its anchor, and the
-    code of all bytes of its windows."""
+    """(seq, i, c, kind, r, p1, p2, size, own) of every anchor: the code behind it and the code of all bytes of its windows.
+    Symbols that follow on equal ones are one symbol with these; where one begins, r is its place, p1 and p2 are 128 bits of
+    its bytes, size is theirs, and own the size over which it is repeated in itself, if windows lie there."""
+    names = ["seq", "i", "c", "kind", "r", "p1", "p2", "size", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,10 +170,20 @@ def _symbols(regions: DataFrame, length: int) -> DataFrame:
             e[np.append(first[1:], len(s)) - 1] = ends
             c = code(data, s, s + length - length // 2 + 1)
             kind = mix(code(data, lo + base[of], hi + base[of] + length).view(np.uint64) + (a - lo).astype(np.uint64) * STEP, 9).view(np.int64)
-            columns = [np.asarray(b.column(0))[of], np.arange(len(of)) - first[of], code(data, s, e), code(data, s, e, _OTHER), e - s, c, kind]
-            yield pa.record_batch([pa.array(x) for x in columns], ["seq", "i", "p1", "p2", "size", "c", "kind"])
-
-    return map_arrow(regions.select("seq", "body", "a", "lo", "hi"), run, "seq long, i long, p1 long, p2 long, size long, c long, kind long")
+            head, (p1, p2) = np.ones(len(s), bool), (code(data, s, e, v) for v in (EXACT, _OTHER))
+            head[1:] = (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1]) | (of[1:] != of[:-1])
+            at = np.flatnonzero(head)
+            stop = e[np.append(at[1:], len(s))[: len(at)] - 1]
+            unit, size = (e - s)[at], stop - s[at]
+            place = np.cumsum(head) - 1
+            columns = [pa.array(x) for x in (np.asarray(b.column(0))[of], np.arange(len(of)) - first[of], c, kind)]
+            for x in (place[at] - place[first][of[at]], code(data, s[at], stop), code(data, s[at], stop, _OTHER), size, np.where((size > unit) & (size >= length + unit), size, 0)):
+                full = np.zeros(len(s), np.int64)
+                full[at] = x
+                columns.append(pa.array(full, mask=~head))
+            yield pa.record_batch(columns, names)
+
+    return map_arrow(regions.select("seq", "body", "a", "lo", "hi"), run, ", ".join(f"{n} long" for n in names))
 
 
 def suffix_order(symbols: DataFrame, reach: int, scratch: Scratch, spare: float = 0.0) -> DataFrame:
@@ -222,9 +235,9 @@ def common_sizes(heads: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> n
     return total
 
 
-def _longest(symbols: DataFrame, order: DataFrame, length: int, reach: int) -> DataFrame:
-    """(seq, i, common) of suffixes that have ``length`` bytes or more in common with an adjacent one.  Suffixes lie in
-    sorted ranges and are compared inside them; what meets at two ranges' edge is left to the windows' codes."""
+def _longest(strings: DataFrame, order: DataFrame, length: int, reach: int) -> DataFrame:
+    """(seq, i, common) of suffixes that have ``length`` bytes or more in common with an adjacent one; i: the anchor.  Suffixes
+    lie in sorted ranges and are compared inside them; what meets at two ranges' edge is left to the windows' codes."""
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,11 +250,10 @@ def _longest(symbols: DataFrame, order: DataFrame, length: int, reach: int) -> D
             n = stop - np.arange(len(of))
             cuts = np.concatenate([[0], np.cumsum(n)])
             at = np.repeat(np.arange(len(of)) - cuts[:-1], n) + np.arange(cuts[-1])
-            i = np.arange(len(of)) - np.searchsorted(of, of)
-            yield pa.record_batch([pa.array(np.asarray(b.column(0))[of]), pa.array(i), *_lists(cuts, (syms[at], pa.int64()), (sizes[at], pa.int32())), b.column(3).flatten()], ["seq", "i", "head", "sizes", "at"])
+            yield pa.record_batch([pa.array(np.asarray(b.column(0))[of]), b.column(4).flatten(), *_lists(cuts, (syms[at], pa.int64()), (sizes[at], pa.int32())), b.column(3).flatten()], ["seq", "i", "head", "sizes", "at"])
 
-    strings = symbols.select("seq", "i", "sym", "size").join(order, ["seq", "i"]).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("i", "sym", "size", "at"))).alias("s"))
-    strings = strings.select("seq", F.col("s.sym").alias("syms"), F.col("s.size").cast("array<int>").alias("sizes"), F.col("s.at").cast("array<long>").alias("at"))
+    strings = strings.join(order, ["seq", "i"]).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("i", "sym", "size", "at", "anchor"))).alias("s"))
+    strings = strings.select("seq", F.col("s.sym").alias("syms"), F.col("s.size").cast("array<int>").alias("sizes"), F.col("s.at").cast("array<long>").alias("at"), F.col("s.anchor").alias("anchor"))
     rows = map_arrow(strings, heads, "seq long, i long, head array<long>, sizes array<int>, at long")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,18 +384,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     scratch.drop(filed, again)
     repeated = not info.groupBy("t1", "t2", "doc_id").count().where("count > 1").isEmpty()
     regions = scratch.keep(_regions(_named(docs), candidates, repeated, length).withColumn("seq", F.monotonically_increasing_id()), "regions")
-    raw = scratch.keep(_symbols(regions, length), "raw")
-    names = scratch.keep(raw.select("p1", "p2").distinct().withColumn("sym", F.monotonically_increasing_id() + 1), "symbols")
-    symbols = scratch.keep(raw.join(names, ["p1", "p2"]).drop("p1", "p2"), "strings")
-    scratch.drop(candidates, raw, names)
-    order = suffix_order(symbols.select("seq", "i", "sym", "size"), length, scratch, SPARE)
-    covered = scratch.keep(_covered(regions, _longest(symbols, order, length, length + length // 2), length), "covered")
+    symbols = scratch.keep(_symbols(regions, length), "symbols")
+    heads = symbols.where("r is not null")
+    names = scratch.keep(heads.select("p1", "p2").distinct().withColumn("sym", F.monotonically_increasing_id() + 1), "names")
+    strings = heads.join(names, ["p1", "p2"]).select("seq", F.col("r").alias("i"), "sym", "size", F.col("i").alias("anchor"))
+    strings = scratch.keep(strings, "strings")
+    scratch.drop(candidates, names)
+    order = suffix_order(strings.drop("anchor"), length, scratch, SPARE)
+    common = _longest(strings, order, length, length + length // 2).union(heads.where("own > 0").select("seq", "i", "own"))
+    covered = scratch.keep(_covered(regions, common, length), "covered")
     left = covered.select("seq", F.explode("i").alias("i")).select("seq", F.col("i").cast("long").alias("i"))
     behind = scratch.keep(symbols.join(left, ["seq", "i"]).select("c").distinct(), "behind")
     closed = symbols.join(left, ["seq", "i"], "left_anti").join(behind, "c")
     targets = closed.groupBy("kind").agg(F.min(F.struct("seq", "i")).alias("x")).select("x.seq", F.col("x.i").cast("int").alias("i"))
     every = scratch.keep(_slices(regions, covered, targets, length), "slices")
-    scratch.drop(symbols, order, behind)
+    scratch.drop(symbols, strings, order, behind)
     place = F.xxhash64("seq", "i")
     recur = every.groupBy("k").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("open").alias("some")).where("x <> y and some").select("k")
     slices = scratch.keep(every.join(recur, "k").select("seq", "i", "slice"), "recurring")
