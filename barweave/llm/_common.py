@@ -46,16 +46,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Written tables of one operator; a table is deleted once what reads it is written."""
+    """Written tables of one operator; a table is deleted once what reads it is written.  With ``tidy``, the shuffle files
+    of a table go as soon as it is written."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+    def __init__(self, spark: SparkSession, tidy: bool = False):
+        self.spark, self.paths, self.tidy = spark, {}, tidy
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written to the shared folder and read back."""
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
+        path, before = scratch_path(self.spark, name), self.spark.conf.get(CLEANUP, None)
+        if self.tidy:
+            self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = (kept, path)
         return kept

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import Scratch, grouped, if_small, map_arrow, numbered
+from ._common import Scratch, grouped, if_small, map_arrow
 from .shingles import EXACT, STEP, codes_of, mix, slabs, span_sums
 
 LENGTH, GRAM = 200, 16
@@ -119,6 +119,37 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
     return map_arrow(_named(docs), run, schema)
 
 
+def _candidates(own: DataFrame) -> DataFrame:
+    """(tid, a, lo, hi): the anchors of each text, in lists, that have a code which recurs.  Rows are sorted by their codes, and
+    equal ones lie side by side."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (a, of), (lo, _), (hi, _) = (_flat(b.column(k)) for k in (1, 2, 3))
+            rows = pa.record_batch([pa.array(x) for x in (np.asarray(b.column(0))[of], a.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32))], ["tid", "a", "lo", "hi"])
+            for codes in (b.column(4).flatten(), b.column(5).flatten()):
+                yield pa.record_batch([codes, *rows.columns], ["k", "tid", "a", "lo", "hi"]).filter(codes.is_valid())
+
+    def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, twice = None, False  # the last row before this batch, and whether its code has recurred
+        for b in batches:
+            if not len(b):
+                continue
+            k = np.asarray(b.column(0))
+            same = k[1:] == k[:-1]
+            before = last is not None and last.column(0)[0].as_py() == k[0]
+            keep = np.append(before, same) | np.append(same, False)
+            if before and not twice:
+                yield last.select(["tid", "a", "lo", "hi"])
+            if keep.any():
+                yield b.filter(pa.array(keep)).select(["tid", "a", "lo", "hi"])
+            last, twice = b.slice(len(b) - 1), bool(keep[-1])
+
+    coded = map_arrow(own.select("row", "a", "lo", "hi", "near", "far"), listed, "k long, tid long, a int, lo int, hi int")
+    found = map_arrow(coded.repartition("k").sortWithinPartitions("k"), recurring, "tid long, a int, lo int, hi int")
+    return found.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("a", "lo", "hi"))).alias("x")).select("tid", "x.a", "x.lo", "x.hi")
+
+
 def _regions(docs: DataFrame, candidates: DataFrame, repeated: bool, length: int) -> DataFrame:
     """Stretches of neighbouring candidates: their bytes, and their anchors and windows by their places there."""
     schema = "tid long, copies long, start long, body binary, a array<int>, lo array<int>, hi array<int>"
@@ -127,20 +158,22 @@ def _regions(docs: DataFrame, candidates: DataFrame, repeated: bool, length: int
         for b in batches:
             if not len(b):
                 continue
-            (j, of), (a, _), (lo, _), (hi, _) = (_flat(b.column(k)) for k in range(3, 7))
-            first = np.ones(len(j), bool)
-            first[1:] = (of[1:] != of[:-1]) | (j[1:] != j[:-1] + 1)
+            (a, of), (lo, _), (hi, _) = (_flat(b.column(k)) for k in range(3, 6))
+            first = np.ones(len(a), bool)
+            first[1:] = (of[1:] != of[:-1]) | (lo[1:] != hi[:-1] + 1)
             begins = np.flatnonzero(first)
-            ends = np.append(begins[1:], len(j))
+            ends = np.append(begins[1:], len(a))
             start, row = lo[begins], of[begins]
             texts = b.column(2).cast(pa.binary()).to_pylist()
             bodies = [texts[r][x:y] for r, x, y in zip(row.tolist(), start.tolist(), (hi[ends - 1] + length).tolist(), strict=True)]
             base, i32 = np.repeat(start, ends - begins), pa.int32()
-            lists = _lists(np.append(begins, len(j)), (a - base, i32), (lo - base, i32), (hi - base, i32))
+            lists = _lists(np.append(begins, len(a)), (a - base, i32), (lo - base, i32), (hi - base, i32))
             yield pa.record_batch([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(start), pa.array(bodies, pa.binary()), *lists], ["tid", "copies", "start", "body", "a", "lo", "hi"])
 
     same = (docs["t1"] == candidates["__t1"]) & (docs["t2"] == candidates["__t2"]) & docs["doc_id"].eqNullSafe(candidates["__doc"])
-    found = map_arrow(docs.join(candidates, same).select("tid", "copies", "text", "j", "a", "lo", "hi"), run, schema)
+    keys = if_small(candidates.select("__t1", "__t2", "__doc"))
+    docs = docs.join(keys, (docs["t1"] == keys["__t1"]) & (docs["t2"] == keys["__t2"]) & docs["doc_id"].eqNullSafe(keys["__doc"]), "left_semi")
+    found = map_arrow(docs.join(candidates, same).select("tid", "copies", "text", "a", "lo", "hi"), run, schema)
     if not repeated:
         return found
     return found.groupBy("tid", "start").agg(*[F.first(x).alias(x) for x in ("copies", "body", "a", "lo", "hi")])
@@ -186,6 +219,32 @@ def _symbols(regions: DataFrame, length: int) -> DataFrame:
     return map_arrow(regions.select("seq", "body", "a", "lo", "hi"), run, ", ".join(f"{n} long" for n in names))
 
 
+def _sorted(rows: DataFrame, scratch: Scratch, order: list[str], flag: str | None = None) -> DataFrame:
+    """Adds pos (from 0, in the order given) and flagged, the number of earlier rows with ``flag``.  A row's place in its sorted
+    range is counted where it is sorted; only the sizes of ranges are summed up in order."""
+    rows = rows.withColumn("__flag", F.lit(False) if flag is None else F.col(flag))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at, held = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            own, n = np.asarray(b.column(b.num_columns - 1).cast(pa.int8())).astype(np.int64), len(b)
+            total = held + np.cumsum(own)
+            columns = [*b.columns[:-1], pa.array(np.full(n, part, np.int64)), pa.array(np.arange(at, at + n)), pa.array(total - own), pa.array(total)]
+            yield pa.record_batch(columns, [*b.schema.names[:-1], "part", "local", "f_local", "f_through"])
+            at, held = at + n, int(total[-1]) if n else held
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__flag").schema.fields)
+    ranged = map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), run, f"{kinds}, part long, local long, f_local long, f_through long")
+    ranged = scratch.keep(ranged, "ranged")
+    upto = W.partitionBy("all").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts = ranged.groupBy("part").agg((F.max("local") + 1).alias("m"), F.max("f_through").alias("f")).withColumn("all", F.lit(0))
+    counts = counts.select("part", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("before"), F.coalesce(F.sum("f").over(upto), F.lit(0)).alias("f_before"))
+    d = ranged.join(if_small(scratch.keep(counts, "ranges")), "part")
+    return d.withColumns({"pos": F.col("before") + F.col("local"), "flagged": F.col("f_before") + F.col("f_local")}).drop("part", "local", "f_local", "f_through", "before", "f_before")
+
+
 def suffix_order(symbols: DataFrame, reach: int, scratch: Scratch, spare: float = 0.0) -> DataFrame:
     """(seq, i, at) of (seq, i, sym, size): ``at`` ascends as the suffixes of all strings do, whose symbols are positive
     numbers.  A string's end comes before every symbol; equal suffixes, and those that agree over ``reach`` in size, are
@@ -195,15 +254,16 @@ def suffix_order(symbols: DataFrame, reach: int, scratch: Scratch, spare: float
     place = F.col("i") % 3
     own = symbols.withColumns({f"s{k}": F.lead("sym", k, 0).over(follow) for k in (1, 2)} | {"span": F.col("size") + F.lead("size", 1, 0).over(follow) + F.lead("size", 2, 0).over(follow)})
     before = set(scratch.paths)
-    own = scratch.keep(own.drop("size").withColumn("all", F.lit(0)), "suffixes")
+    own = scratch.keep(own.drop("size"), "suffixes")
     sample, triple = own.where(place != 0), ["sym", "s1", "s2"]
     names = sample.groupBy(*triple).agg(F.count("*").alias("times"), F.max((F.col("s2") != 0) & (F.col("span") < reach)).alias("short"))
-    names = scratch.keep(names.withColumn("all", F.lit(0)), "names")
+    names = scratch.keep(names, "names")
     counted = names.agg(F.sum("times").alias("all"), F.sum(F.when(F.col("short") & (F.col("times") > 1), F.col("times")).otherwise(0)).alias("left")).first()
     if (counted["left"] or 0) <= spare * (counted["all"] or 0):
-        ranks = numbered(sample.drop("span"), scratch, [*triple, "seq", "i"], "all").select("seq", "i", (F.col("pos") + 1).alias("at"))
+        ranks = _sorted(sample.select(*triple, "seq", "i"), scratch, [*triple, "seq", "i"]).select("seq", "i", (F.col("pos") + 1).alias("at"))
     else:
-        names = numbered(names.select(*triple, "all"), scratch, triple, "all").select(*triple, (F.col("pos") + 1).alias("name"))
+        names = names.select(*triple).repartitionByRange(*triple).sortWithinPartitions(*triple).withColumn("name", F.monotonically_increasing_id() + 1)
+        names = scratch.keep(names, "numbers")
         again = sample.join(names, triple).select((F.col("seq") * 2 + place - 1).alias("seq"), F.floor(F.col("i") / 3).alias("i"), F.col("name").alias("sym"), F.col("span").alias("size"))
         inner = suffix_order(again, reach, scratch, spare)
         ranks = inner.select(F.floor(F.col("seq") / 2).alias("seq"), (F.col("i") * 3 + F.pmod("seq", F.lit(2)) + 1).alias("i"), "at")
@@ -212,11 +272,13 @@ def suffix_order(symbols: DataFrame, reach: int, scratch: Scratch, spare: float
     d = d.withColumns({f"r{k}": F.coalesce(F.lead("at", k).over(follow), F.lit(0)) for k in (1, 2)}).withColumn("rest", place == 0)
     d = scratch.keep(d.drop("s2", "span"), "merging")
     rest = F.col("rest")
-    one = numbered(d.where(place != 2).drop("s1", "r2"), scratch, ["sym", "r1", "seq", "i"], "all", "rest")
-    two = numbered(d.where(place != 1).drop("r1"), scratch, ["sym", "s1", "r2", "seq", "i"], "all", "rest")
-    parts = one.select("seq", "i", F.when(rest, F.col("pos")).otherwise(F.col("at") - 1 + F.col("flagged")).alias("before"))
-    parts = parts.union(two.select("seq", "i", F.when(rest, F.col("pos") - F.col("flagged")).otherwise(F.col("at") - 1 + F.col("flagged"))))
-    done = scratch.keep(parts.groupBy("seq", "i").agg((F.sum("before") + 1).alias("at")), "order")
+    one = _sorted(d.where(place != 2).drop("s1", "r2"), scratch, ["sym", "r1", "seq", "i"], "rest")
+    two = _sorted(d.where(place != 1).drop("r1"), scratch, ["sym", "s1", "r2", "seq", "i"], "rest")
+    both = one.where(rest).select("seq", "i", "pos").union(two.where(rest).select("seq", "i", F.col("pos") - F.col("flagged")))
+    merged = both.groupBy("seq", "i").agg((F.sum("pos") + 1).alias("at"))
+    for x in (one, two):
+        merged = merged.union(x.where(~rest).select("seq", "i", F.col("at") + F.col("flagged")))
+    done = scratch.keep(merged, "order")
     scratch.drop(*(kept for k, (kept, _) in list(scratch.paths.items()) if k not in before and kept is not done))
     return done
 
@@ -303,50 +365,62 @@ def _covered(regions: DataFrame, common: DataFrame, length: int) -> DataFrame:
 
 
 def _slices(regions: DataFrame, covered: DataFrame, targets: DataFrame, length: int) -> DataFrame:
-    """(k, seq, i, slice, open): for SLICE neighbouring windows before an anchor the code of the bytes that all of them
-    have; of symbols with windows that aren't covered, and of the targets."""
+    """(k, u1, u2, seq, b, e, open): for SLICE neighbouring windows before an anchor the code of the bytes that all
+    of them have, 128 bits of the bytes that any of them has, and where these begin and end; of symbols with windows that
+    aren't covered, and of the targets."""
     known = covered.select("seq", "i").join(targets.groupBy("seq").agg(F.collect_list("i").alias("wanted")), "seq", "left").where("size(i) > 0 or wanted is not null")
+    names = ["k", "u1", "u2", "seq", "b", "e", "open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for seq, body, a, lo, hi, partly, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(k) for k in range(2, 7)), strict=True):
-                a, lo, hi = (np.asarray(x.values).astype(np.int64) for x in (a, lo, hi))
-                i = np.unique(np.concatenate([np.asarray(x.values).astype(np.int64) for x in (partly, wanted) if x.is_valid]))
-                first, last = (a[i] - hi[i]) // SLICE, (a[i] - lo[i]) // SLICE
-                n = last - first + 1
-                of = np.repeat(i, n)
-                part = np.repeat(last + np.cumsum(n) - n, n) - np.arange(n.sum())
-                s = a[of] - SLICE * part
-                at = np.argsort(s, kind="stable")
-                k = np.zeros(len(s), np.int64)
-                k[at] = code(np.frombuffer(body, np.uint8), s[at], s[at] + length - SLICE + 1)
-                k = mix(k.view(np.uint64) + part.astype(np.uint64) * STEP, 11).view(np.int64)
-                yield pa.record_batch([pa.array(k), pa.array(np.full(len(k), seq)), pa.array(of), pa.array(part), pa.array(np.isin(of, np.asarray(partly.values)))], ["k", "seq", "i", "slice", "open"])
-
-    d = regions.select("seq", "body", "a", "lo", "hi").join(known, "seq").select("seq", "body", "a", "lo", "hi", "i", "wanted")
-    return map_arrow(d, run, "k long, seq long, i long, slice long, open boolean")
+        for batch in batches:
+            if not len(batch):
+                continue
+            bodies = batch.column(1).to_pylist()
+            ends = np.cumsum([len(x) for x in bodies])
+            base, data = ends - [len(x) for x in bodies], np.frombuffer(b"".join(bodies), np.uint8)
+            (a, of), (lo, _), (hi, _) = (_flat(batch.column(k)) for k in (2, 3, 4))
+            first, (partly, p_of), (wanted, w_of) = np.searchsorted(of, np.arange(len(batch))), _flat(batch.column(5)), _flat(batch.column(6))
+            left = first[p_of] + partly
+            x = np.unique(np.concatenate([left, first[w_of] + wanted]))
+            near, far = (a[x] - hi[x]) // SLICE, (a[x] - lo[x]) // SLICE
+            n = far - near + 1
+            x = np.repeat(x, n)
+            part = np.repeat(far + np.cumsum(n) - n, n) - np.arange(n.sum())
+            s = a[x] - SLICE * part
+            begin, last = np.maximum(s - SLICE + 1, lo[x]), np.minimum(s, hi[x])
+            own = base[of[x]]
+            at, k = np.argsort(own + s, kind="stable"), np.zeros(len(s), np.int64)
+            k[at] = code(data, (own + s)[at], (own + s)[at] + length - SLICE + 1)
+            k = mix(k.view(np.uint64) + part.astype(np.uint64) * STEP, 11).view(np.int64)
+            place = ((a[x] - begin) * length + (a[x] - last)).astype(np.uint64) * STEP
+            u1, u2 = (mix(code(data, own + begin, own + last + length, v).view(np.uint64) + place, 13).view(np.int64) for v in (EXACT, _OTHER))
+            columns = [k, u1, u2, np.asarray(batch.column(0))[of[x]], begin, last + length, np.isin(x, left)]
+            yield pa.record_batch([pa.array(c) for c in columns], names)
+
+    d = regions.select("seq", "body", "a", "lo", "hi").join(known, "seq").select("seq", "body", "a", "lo", "hi", "i", F.coalesce("wanted", F.array().cast("array<int>")).alias("wanted"))
+    return map_arrow(d, run, ", ".join(f"{n} {'boolean' if n == 'open' else 'long'}" for n in names))
 
 
 def _windows(regions: DataFrame, covered: DataFrame, slices: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, seq, p, open) of the windows in slices that recur; open: no common prefix covers the window."""
-    known = slices.groupBy("seq").agg(F.collect_list(F.col("i").cast("int")).alias("i"), F.collect_list(F.col("slice").cast("int")).alias("slice")).join(covered.select("seq", "open"), "seq")
+    """(w1, w2, seq, p, open) of the windows in the slices; open: in an open slice, and no common prefix covers the window."""
+    lists = [F.collect_list(F.col(c).cast("int")).alias(c) for c in ("b", "e", "open")]
+    known = slices.groupBy("seq").agg(*lists).join(covered.select("seq", F.col("open").alias("left")), "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for seq, body, a, lo, hi, i, part, left in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(k) for k in range(2, 7)), b.column(7).to_pylist(), strict=True):
-                a, lo, hi, i, part = (np.asarray(x.values).astype(np.int64) for x in (a, lo, hi, i, part))
-                state = np.zeros(hi[-1] + 1, np.int8)
-                begin, end = np.maximum(a[i] - SLICE * part - SLICE + 1, lo[i]), np.minimum(a[i] - SLICE * part, hi[i])
-                for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-                    state[x : y + 1] = 1
+        for batch in batches:
+            for seq, body, b, e, own, left in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                state = np.zeros(len(body) - length + 1, np.int8)
+                for x, y, z in zip(b, e, own, strict=True):
+                    state[x : y - length + 1] = 1 + z
+                todo = np.zeros(len(state), bool)
                 for x, y in zip(left[::2], left[1::2], strict=True):
-                    state[x:y] *= 2
+                    todo[x:y] = True
                 p = np.flatnonzero(state)
                 data = np.frombuffer(body, np.uint8)
                 columns = [pa.array(code(data, p, p + length, v)) for v in (EXACT, _OTHER)]
-                yield pa.record_batch([*columns, pa.array(np.full(len(p), seq)), pa.array(p), pa.array(state[p] == 2)], ["w1", "w2", "seq", "p", "open"])
+                yield pa.record_batch([*columns, pa.array(np.full(len(p), seq)), pa.array(p), pa.array((state[p] == 2) & todo[p])], ["w1", "w2", "seq", "p", "open"])
 
-    d = regions.select("seq", "body", "a", "lo", "hi").join(known, "seq").select("seq", "body", "a", "lo", "hi", "i", "slice", "open")
+    d = regions.select("seq", "body").join(known, "seq").select("seq", "body", "b", "e", "open", "left")
     return map_arrow(d, run, "w1 long, w2 long, seq long, p long, open boolean")
 
 
@@ -369,19 +443,15 @@ def _spans(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (row, doc_id, t1, t2, n_bytes, whole), texts (t1, t2, tid, copies) and spans (tid, begins, ends) of texts that
     occur once: the bytes that strings of ``length`` which start elsewhere too cover."""
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, tidy=True)
     filed = scratch.keep(_anchored(docs, length), "anchored")
     info = scratch.keep(filed.select("row", "doc_id", "t1", "t2", "n_bytes", "whole"), "info")
     texts = info.groupBy("t1", "t2").agg(F.min("row").alias("tid"), F.min_by("doc_id", "row").alias("__doc"), F.count("*").alias("copies"))
     texts = scratch.keep(texts, "texts")
-    own = filed.join(if_small(texts.select(F.col("tid").alias("row"))), "row", "left_semi")
-    listed = own.select(F.col("row").alias("tid"), F.posexplode(F.arrays_zip("a", "lo", "hi", "near", "far")).alias("j", "x")).select("tid", "j", "x.*")
-    coded = listed.select(F.explode(F.array("near", "far")).alias("k"), "tid", "j", "a", "lo", "hi").where("k is not null")
-    again = scratch.keep(coded.groupBy("k").count().where("count > 1").select("k"), "again")
-    found = coded.join(again, "k").groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("j", "a", "lo", "hi"))).alias("x")).select("tid", "x.j", "x.a", "x.lo", "x.hi")
+    found = _candidates(filed.join(if_small(texts.select(F.col("tid").alias("row"))), "row", "left_semi"))
     wanted = texts.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "__doc", "tid", "copies")
     candidates = scratch.keep(found.join(wanted, "tid"), "candidates")
-    scratch.drop(filed, again)
+    scratch.drop(filed)
     repeated = not info.groupBy("t1", "t2", "doc_id").count().where("count > 1").isEmpty()
     regions = scratch.keep(_regions(_named(docs), candidates, repeated, length).withColumn("seq", F.monotonically_increasing_id()), "regions")
     symbols = scratch.keep(_symbols(regions, length), "symbols")
@@ -399,20 +469,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     targets = closed.groupBy("kind").agg(F.min(F.struct("seq", "i")).alias("x")).select("x.seq", F.col("x.i").cast("int").alias("i"))
     every = scratch.keep(_slices(regions, covered, targets, length), "slices")
     scratch.drop(symbols, strings, order, behind)
-    place = F.xxhash64("seq", "i")
-    recur = every.groupBy("k").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("open").alias("some")).where("x <> y and some").select("k")
-    slices = scratch.keep(every.join(recur, "k").select("seq", "i", "slice"), "recurring")
-    scratch.drop(every)
-    windows = _windows(regions, covered, slices, length)  # made twice, as they are many times the bytes of their regions
+    each = every.groupBy("u1", "u2").agg(F.first("k").alias("k"), F.min(F.struct("seq", "b", "e")).alias("x"), F.count("*").alias("n"), F.max("open").alias("open"))
+    each = scratch.keep(each.select("u1", "u2", "k", "x", (F.col("open") & (F.col("n") > 1)).alias("settled"), (F.col("open") & (F.col("n") == 1)).alias("open")), "each")
+    recur = each.groupBy("k").agg(F.count("*").alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("k")
+    windows = scratch.keep(_windows(regions, covered, each.join(recur, "k").select("x.*", "open"), length), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("w1", "w2")
-    twice = scratch.keep(twice, "twice")
-    more = windows.where("open").join(twice, ["w1", "w2"]).join(covered.select("seq", "tid", "start"), "seq")
-    more = more.select("tid", (F.col("start") + F.col("p")).alias("s"), (F.col("start") + F.col("p") + length).alias("e"))
+    more = windows.where("open").join(twice, ["w1", "w2"]).select("seq", F.col("p").alias("b"), (F.col("p") + length).alias("e"))
+    more = more.union(every.where("open").join(each.where("settled").select("u1", "u2"), ["u1", "u2"]).select("seq", "b", "e"))
+    more = more.join(covered.select("seq", "tid", "start"), "seq").select("tid", (F.col("start") + F.col("b")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
     pairs = F.transform(F.sequence(F.lit(0), (F.size("done") / 2).cast("int") - 1), lambda k: F.struct(F.get("done", 2 * k).alias("x"), F.get("done", 2 * k + 1).alias("y")))
     done = covered.where("size(done) > 0").select("tid", "start", F.explode(pairs).alias("r")).select("tid", (F.col("start") + F.col("r.x")).alias("s"), (F.col("start") + F.col("r.y") + length - 1).alias("e"))
     single = if_small(texts.where("copies = 1").select("tid"))
     spans = scratch.keep(_spans(more.union(done).join(single, "tid", "left_semi")), "spans")
-    scratch.drop(regions, covered, slices, twice)
+    scratch.drop(regions, covered, every, each, windows)
     return info, texts, spans
 
 
