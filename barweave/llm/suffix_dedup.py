@@ -32,8 +32,8 @@ from ._common import Scratch, grouped, if_small, map_arrow
 from .shingles import EXACT, STEP, codes_of, mix, slabs, span_sums
 
 LENGTH, GRAM = 200, 16
-#: Windows whose anchors are found at once.
-SEGMENT = 4 << 20
+#: Windows whose anchors are found at once: few, so that their hashes stay in a core's cache.
+SEGMENT = 1 << 15
 #: Neighbouring windows that are looked for together, and the share of suffixes that a recursion leaves to them.
 SLICE, SPARE = 16, 0.02
 _OTHER = mix(EXACT, 0x1F3)
@@ -119,35 +119,52 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
     return map_arrow(_named(docs), run, schema)
 
 
+def _marked(rows: DataFrame, keys: list[str], only: bool = False) -> DataFrame:
+    """Adds again, whether another row has the same keys, and first, whether no earlier one has.  Rows are sorted by the keys,
+    so that equal ones lie side by side and are looked at one after another.  ``only``: only rows that have another one."""
+    rows = rows.select(*keys, *(c for c in rows.columns if c not in keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tied = None, False  # the last row so far, and whether the one before it has its keys
+
+        def marked(b: pa.RecordBatch, next_to: np.ndarray) -> pa.RecordBatch:
+            same, first = next_to[:-1] | next_to[1:], ~next_to[:-1]
+            b = pa.record_batch([*b.columns, pa.array(same), pa.array(first)], [*b.schema.names, "again", "first"])
+            return b.filter(pa.array(same)) if only else b
+
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if held is None else pa.concat_batches([held, b])
+            equal = np.ones(len(b) - 1, bool)
+            for k in range(len(keys)):
+                x = np.asarray(b.column(k))
+                equal &= x[1:] == x[:-1]
+            next_to = np.concatenate([[tied], equal])
+            yield marked(b.slice(0, len(b) - 1), next_to)
+            held, tied = b.slice(len(b) - 1), bool(next_to[-1])
+        if held is not None:
+            yield marked(held, np.array([tied, False]))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return map_arrow(rows.repartition(*keys).sortWithinPartitions(*keys), run, f"{kinds}, again boolean, first boolean")
+
+
 def _candidates(own: DataFrame) -> DataFrame:
-    """(tid, a, lo, hi): the anchors of each text, in lists, that have a code which recurs.  Rows are sorted by their codes, and
-    equal ones lie side by side."""
+    """(tid, a, lo, hi): the anchors of each text, in lists, that have a code which recurs."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             (a, of), (lo, _), (hi, _) = (_flat(b.column(k)) for k in (1, 2, 3))
-            rows = pa.record_batch([pa.array(x) for x in (np.asarray(b.column(0))[of], a.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32))], ["tid", "a", "lo", "hi"])
+            tid, x = np.asarray(b.column(0))[of], pa.array(a << 32 | (a - lo) << 16 | (a - hi))
             for codes in (b.column(4).flatten(), b.column(5).flatten()):
-                yield pa.record_batch([codes, *rows.columns], ["k", "tid", "a", "lo", "hi"]).filter(codes.is_valid())
+                yield pa.record_batch([codes, pa.array(tid), x], ["k", "tid", "x"]).filter(codes.is_valid())
 
-    def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, twice = None, False  # the last row before this batch, and whether its code has recurred
-        for b in batches:
-            if not len(b):
-                continue
-            k = np.asarray(b.column(0))
-            same = k[1:] == k[:-1]
-            before = last is not None and last.column(0)[0].as_py() == k[0]
-            keep = np.append(before, same) | np.append(same, False)
-            if before and not twice:
-                yield last.select(["tid", "a", "lo", "hi"])
-            if keep.any():
-                yield b.filter(pa.array(keep)).select(["tid", "a", "lo", "hi"])
-            last, twice = b.slice(len(b) - 1), bool(keep[-1])
-
-    coded = map_arrow(own.select("row", "a", "lo", "hi", "near", "far"), listed, "k long, tid long, a int, lo int, hi int")
-    found = map_arrow(coded.repartition("k").sortWithinPartitions("k"), recurring, "tid long, a int, lo int, hi int")
-    return found.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("a", "lo", "hi"))).alias("x")).select("tid", "x.a", "x.lo", "x.hi")
+    coded = map_arrow(own.select("row", "a", "lo", "hi", "near", "far"), listed, "k long, tid long, x long")
+    found = _marked(coded, ["k"], only=True).groupBy("tid").agg(F.sort_array(F.collect_set("x")).alias("x"))
+    place = lambda x: F.shiftright(x, 32)
+    lists = {"a": place, "lo": lambda x: place(x) - F.shiftright(x, 16).bitwiseAND(0xFFFF), "hi": lambda x: place(x) - x.bitwiseAND(0xFFFF)}
+    return found.select("tid", *(F.transform("x", f).cast("array<int>").alias(c) for c, f in lists.items()))
 
 
 def _regions(docs: DataFrame, candidates: DataFrame, repeated: bool, length: int) -> DataFrame:
@@ -337,9 +354,12 @@ def _longest(strings: DataFrame, order: DataFrame, length: int, reach: int) -> D
     return found.groupBy("seq", "i").agg(F.max("common").alias("common"))
 
 
-def _pairs(mask: np.ndarray) -> list[int]:
-    """Begins and ends of the runs of true values, one after another."""
-    return np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist()
+def _pairs(mask: np.ndarray, base: np.ndarray) -> pa.Array:
+    """Begins and ends of the runs of true values, one after another, in a list for each stretch that begins at ``base``; a
+    false value lies between stretches."""
+    at = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+    of = np.searchsorted(base, at, side="right") - 1
+    return _lists(np.searchsorted(of, np.arange(len(base) + 1)), (at - base[of], pa.int32()))[0]
 
 
 def _covered(regions: DataFrame, common: DataFrame, length: int) -> DataFrame:
@@ -348,19 +368,29 @@ def _covered(regions: DataFrame, common: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for seq, tid, copies, start, a, lo, hi, rows in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
-                mask = np.full(hi[-1] + 1, copies > 1)
-                for i, n in ((r["i"], r["common"]) for r in rows or []):
-                    if n >= length:
-                        mask[a[i] : a[i] + n - length + 1] = True
-                left = [i for i, (x, y) in enumerate(zip(lo, hi, strict=True)) if not mask[x : y + 1].all()]
-                out.append((seq, tid, start, _pairs(mask), _pairs(~mask), left))
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 3
-            yield pa.record_batch([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], ["seq", "tid", "start", "done", "open", "i"])
-
-    each = common.where(F.col("common") >= length).groupBy("seq").agg(F.collect_list(F.struct("i", "common")).alias("found"))
+            if not len(b):
+                continue
+            (a, of), (lo, _), (hi, _), (i, i_of), (n, _) = (_flat(b.column(k)) for k in range(4, 9))
+            first = np.searchsorted(of, np.arange(len(b) + 1))
+            size = hi[first[1:] - 1] + 1
+            base = np.cumsum(size + 1) - (size + 1)
+            real = np.ones(int(size.sum()) + len(b), bool)
+            real[base + size] = False
+            change = np.zeros(len(real) + 1, np.int64)
+            x = base[i_of] + a[first[i_of] + i]
+            np.add.at(change, x, 1)
+            np.add.at(change, x + n - length + 1, -1)
+            mask = (np.cumsum(change[:-1]) > 0) | np.repeat(np.asarray(b.column(2)) > 1, size + 1)
+            left = real & ~mask
+            sums = np.concatenate([[0], np.cumsum(left)])
+            some = np.flatnonzero(sums[base[of] + hi + 1] > sums[base[of] + lo])
+            cuts = np.searchsorted(some, first)
+            yield pa.record_batch([b.column(0), b.column(1), b.column(3), _pairs(mask & real, base), _pairs(left, base), *_lists(cuts, (some - first[of[some]], pa.int32()))], ["seq", "tid", "start", "done", "open", "i"])
+
+    each = common.where(F.col("common") >= length).groupBy("seq").agg(F.collect_list(F.struct("i", "common")).alias("x"))
     d = regions.select("seq", "tid", "copies", "start", "a", "lo", "hi").join(each, "seq", "left")
+    none = F.array().cast("array<long>")
+    d = d.select("seq", "tid", "copies", "start", "a", "lo", "hi", F.coalesce("x.i", none).alias("i"), F.coalesce("x.common", none).alias("common"))
     return map_arrow(d, run, "seq long, tid long, start long, done array<int>, open array<int>, i array<int>")
 
 
@@ -408,17 +438,22 @@ def _windows(regions: DataFrame, covered: DataFrame, slices: DataFrame, length:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for seq, body, b, e, own, left in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                state = np.zeros(len(body) - length + 1, np.int8)
-                for x, y, z in zip(b, e, own, strict=True):
-                    state[x : y - length + 1] = 1 + z
-                todo = np.zeros(len(state), bool)
-                for x, y in zip(left[::2], left[1::2], strict=True):
-                    todo[x:y] = True
-                p = np.flatnonzero(state)
-                data = np.frombuffer(body, np.uint8)
-                columns = [pa.array(code(data, p, p + length, v)) for v in (EXACT, _OTHER)]
-                yield pa.record_batch([*columns, pa.array(np.full(len(p), seq)), pa.array(p), pa.array((state[p] == 2) & todo[p])], ["w1", "w2", "seq", "p", "open"])
+            if not len(batch):
+                continue
+            bodies = batch.column(1).to_pylist()
+            sizes = np.array([len(x) for x in bodies], np.int64)
+            base, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(bodies), np.uint8)
+            (b, of), (e, _), (own, _), (left, l_of) = (_flat(batch.column(k)) for k in range(2, 6))
+            n = e - b  # the bytes of each slice, one slice after another
+            s = np.cumsum(n) - n
+            data = data[np.repeat(base[of] + b - s, n) + np.arange(n.sum())]
+            n = n - length + 1
+            x = np.repeat(np.arange(len(b)), n)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at, p, seq = s[x] + nth, b[x] + nth, np.asarray(batch.column(0))[of[x]]
+            todo = (own[x] == 1) & (np.searchsorted(base[l_of] + left, base[of[x]] + p, side="right") % 2 == 1)
+            columns = [*(code(data, at, at + length, v) for v in (EXACT, _OTHER)), seq, p, todo]
+            yield pa.record_batch([pa.array(c) for c in columns], ["w1", "w2", "seq", "p", "open"])
 
     d = regions.select("seq", "body").join(known, "seq").select("seq", "body", "b", "e", "open", "left")
     return map_arrow(d, run, "w1 long, w2 long, seq long, p long, open boolean")
@@ -467,21 +502,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     behind = scratch.keep(symbols.join(left, ["seq", "i"]).select("c").distinct(), "behind")
     closed = symbols.join(left, ["seq", "i"], "left_anti").join(behind, "c")
     targets = closed.groupBy("kind").agg(F.min(F.struct("seq", "i")).alias("x")).select("x.seq", F.col("x.i").cast("int").alias("i"))
-    every = scratch.keep(_slices(regions, covered, targets, length), "slices")
+    every = scratch.keep(_marked(_slices(regions, covered, targets, length), ["u1", "u2"]).drop("u1", "u2"), "slices")
     scratch.drop(symbols, strings, order, behind)
-    each = every.groupBy("u1", "u2").agg(F.first("k").alias("k"), F.min(F.struct("seq", "b", "e")).alias("x"), F.count("*").alias("n"), F.max("open").alias("open"))
-    each = scratch.keep(each.select("u1", "u2", "k", "x", (F.col("open") & (F.col("n") > 1)).alias("settled"), (F.col("open") & (F.col("n") == 1)).alias("open")), "each")
+    settled = every.where("open and again").select("seq", "b", "e")
+    each = every.where("first").withColumn("open", F.col("open") & ~F.col("again"))
     recur = each.groupBy("k").agg(F.count("*").alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("k")
-    windows = scratch.keep(_windows(regions, covered, each.join(recur, "k").select("x.*", "open"), length), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("w1", "w2")
-    more = windows.where("open").join(twice, ["w1", "w2"]).select("seq", F.col("p").alias("b"), (F.col("p") + length).alias("e"))
-    more = more.union(every.where("open").join(each.where("settled").select("u1", "u2"), ["u1", "u2"]).select("seq", "b", "e"))
+    windows = _marked(_windows(regions, covered, each.join(recur, "k").select("seq", "b", "e", "open"), length), ["w1", "w2"], only=True)
+    more = windows.where("open").select("seq", F.col("p").alias("b"), (F.col("p") + length).alias("e")).union(settled)
     more = more.join(covered.select("seq", "tid", "start"), "seq").select("tid", (F.col("start") + F.col("b")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
     pairs = F.transform(F.sequence(F.lit(0), (F.size("done") / 2).cast("int") - 1), lambda k: F.struct(F.get("done", 2 * k).alias("x"), F.get("done", 2 * k + 1).alias("y")))
     done = covered.where("size(done) > 0").select("tid", "start", F.explode(pairs).alias("r")).select("tid", (F.col("start") + F.col("r.x")).alias("s"), (F.col("start") + F.col("r.y") + length - 1).alias("e"))
     single = if_small(texts.where("copies = 1").select("tid"))
     spans = scratch.keep(_spans(more.union(done).join(single, "tid", "left_semi")), "spans")
-    scratch.drop(regions, covered, every, each, windows)
+    scratch.drop(regions, covered, every)
     return info, texts, spans
 
 
