@@ -121,7 +121,8 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
 
 def _marked(rows: DataFrame, keys: list[str], only: bool = False) -> DataFrame:
     """Adds again, whether another row has the same keys, and first, whether no earlier one has.  Rows are sorted by the keys,
-    so that equal ones lie side by side and are looked at one after another.  ``only``: only rows that have another one."""
+    so that equal ones lie side by side and are looked at one after another.  ``only``: only rows that have another one, or
+    are ``known`` to have one."""
     rows = rows.select(*keys, *(c for c in rows.columns if c not in keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +130,8 @@ def _marked(rows: DataFrame, keys: list[str], only: bool = False) -> DataFrame:
 
         def marked(b: pa.RecordBatch, next_to: np.ndarray) -> pa.RecordBatch:
             same, first = next_to[:-1] | next_to[1:], ~next_to[:-1]
+            if only and "known" in b.schema.names:
+                same |= np.asarray(b.column(b.schema.get_field_index("known")).cast(pa.int8())) == 1
             b = pa.record_batch([*b.columns, pa.array(same), pa.array(first)], [*b.schema.names, "again", "first"])
             return b.filter(pa.array(same)) if only else b
 
@@ -151,16 +154,26 @@ def _marked(rows: DataFrame, keys: list[str], only: bool = False) -> DataFrame:
 
 
 def _candidates(own: DataFrame) -> DataFrame:
-    """(tid, a, lo, hi): the anchors of each text, in lists, that have a code which recurs."""
+    """(tid, a, lo, hi): the anchors of each text, in lists, that have a code which recurs.  Where a code recurs among the texts
+    of a batch, one row keeps it for the others to find; the rest are known and dealt out by their places, so that a
+    code of a large part of all rows isn't one task's."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             (a, of), (lo, _), (hi, _) = (_flat(b.column(k)) for k in (1, 2, 3))
-            tid, x = np.asarray(b.column(0))[of], pa.array(a << 32 | (a - lo) << 16 | (a - hi))
-            for codes in (b.column(4).flatten(), b.column(5).flatten()):
-                yield pa.record_batch([codes, pa.array(tid), x], ["k", "tid", "x"]).filter(codes.is_valid())
-
-    coded = map_arrow(own.select("row", "a", "lo", "hi", "near", "far"), listed, "k long, tid long, x long")
+            tid, x = np.asarray(b.column(0))[of], a << 32 | (a - lo) << 16 | (a - hi)
+            codes = pa.concat_arrays([b.column(4).flatten(), b.column(5).flatten()])
+            there = np.asarray(codes.is_valid())
+            k, tid, x = np.asarray(codes.drop_null()), np.tile(tid, 2)[there], np.tile(x, 2)[there]
+            at = np.argsort(k, kind="stable")
+            like = k[at][1:] == k[at][:-1]
+            later, known = at[1:][like], np.zeros(len(k), bool)
+            known[later] = known[at[:-1][like]] = True
+            k = k.copy()
+            k[later] = mix(tid[later].view(np.uint64) * STEP + x[later].view(np.uint64), 17).view(np.int64)
+            yield pa.record_batch([pa.array(k), pa.array(tid), pa.array(x), pa.array(known)], ["k", "tid", "x", "known"])
+
+    coded = map_arrow(own.select("row", "a", "lo", "hi", "near", "far"), listed, "k long, tid long, x long, known boolean")
     found = _marked(coded, ["k"], only=True).groupBy("tid").agg(F.sort_array(F.collect_set("x")).alias("x"))
     place = lambda x: F.shiftright(x, 32)
     lists = {"a": place, "lo": lambda x: place(x) - F.shiftright(x, 16).bitwiseAND(0xFFFF), "hi": lambda x: place(x) - x.bitwiseAND(0xFFFF)}

@@ -33,3 +33,22 @@ def test_shuffle_files_go_and_few_windows_are_listed(spark, monkeypatch):
     got = Counter(tuple(x[c] for c in FIELDS) for x in suffix_dedup.removed_digest(d).collect())
     assert got == all_windows(rows)
     assert 0 < listed[0] < 40 * len(rows)
+
+
+def test_a_code_of_many_rows_is_dealt_out(spark, monkeypatch):
+    r = random.Random(6)
+    text = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    line = text(60)
+    rows = [(k, f"{text(10)} {line} {text(10)}") for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    most, marked = [], suffix_dedup._marked
+
+    def counted(given, keys, *rest, **named):
+        if keys == ["k"]:
+            most.append(given.groupBy("k").count().agg({"count": "max"}).first()[0])
+        return marked(given, keys, *rest, **named)
+
+    monkeypatch.setattr(suffix_dedup, "_marked", counted)
+    got = Counter(tuple(x[c] for c in FIELDS) for x in suffix_dedup.removed_digest(d).collect())
+    assert got == all_windows(rows)
+    assert most and most[0] <= 8
